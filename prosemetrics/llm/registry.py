@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from . import warc
 from .sharding import op1_kd_shards
 
-QUERIES = {"op1_kd_shards": op1_kd_shards}
-ORACLES: dict[str, str] = {}
+QUERIES = {"op1_kd_shards": op1_kd_shards, "op8_warc_transactions": warc.op8_warc_transactions}
+ORACLES: dict[str, str] = {"op8_warc_transactions": warc.ORACLE}
