@@ -2,8 +2,15 @@
 
 from __future__ import annotations
 
-from . import warc
+from . import decontamination, warc
 from .sharding import op1_kd_shards
 
-QUERIES = {"op1_kd_shards": op1_kd_shards, "op8_warc_transactions": warc.op8_warc_transactions}
-ORACLES: dict[str, str] = {"op8_warc_transactions": warc.ORACLE}
+QUERIES = {
+    "op1_kd_shards": op1_kd_shards,
+    "op5_winnowing": decontamination.op5_winnowing,
+    "op8_warc_transactions": warc.op8_warc_transactions,
+}
+ORACLES: dict[str, str] = {
+    "op5_winnowing": decontamination.ORACLE,
+    "op8_warc_transactions": warc.ORACLE,
+}
