@@ -121,6 +121,10 @@ _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _FOLD = np.arange(256, dtype=np.uint8)
 _FOLD[65:91] += 32
 
+#: Bytes that are no part of a word of letters, digits and characters beyond ASCII.
+MARKS = np.ones(256, bool)
+MARKS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
+
 _P = np.uint64(0x9E3779B97F4A7C15)
 _INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
@@ -158,13 +162,13 @@ def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarra
     return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
 
 
-def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Words ``[^\\x20\\x09-\\x0D]+`` of the documents data[offsets[i]:offsets[i+1]], A-Z in lower case.
+def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Words, by default ``[^\\x20\\x09-\\x0D]+``, of the documents data[offsets[i]:offsets[i+1]], A-Z in lower case.
 
     Returns the folded bytes, the words' starts and ends, and the n + 1 places where each document's words begin.
     """
     data = _FOLD[data]
-    ink = ~_SPACE[data]
+    ink = ~space[data]
     edge = np.zeros(len(data) + 1, bool)
     edge[offsets] = True
     start = ink.copy()
@@ -220,3 +224,8 @@ class Lookup:
             go = (at >= 0) & ~same
             left, slot = left[go], slot[go]
         return out
+
+
+def remainder(doc_id: Column, of: int) -> Column:
+    """CRC-32 of the id as text, modulo ``of``; a null id counts as empty text."""
+    return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))

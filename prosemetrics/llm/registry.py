@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, warc
+from . import decontamination, language, warc
 from .sharding import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op5_winnowing": decontamination.op5_winnowing,
     "op8_warc_transactions": warc.op8_warc_transactions,
+    "op10_output_codes": language.op10_output_codes,
 }
 ORACLES: dict[str, str] = {
     "op5_winnowing": decontamination.ORACLE,
