@@ -41,18 +41,17 @@ def kgrams(words: Column) -> Column:
 
 
 def fingerprints(words: Column) -> Column:
-    """Structs of pos and hash: in each window of WINDOW K-grams the smallest hash, the last of equal ones.
-
-    ``span`` counts the windows, from the place ``pos - back`` of the first, that this K-gram is smallest in.
-    """
-    least = lambda g, i: F.array_min(F.transform(F.sequence(F.lit(0), F.lit(WINDOW - 1)), lambda j: F.struct(F.get(g, i + j).alias("hash"), (-i - j).alias("neg"))))
-    mins = let(kgrams(words), lambda g: F.transform(_upto(F.size(g) - (WINDOW - 1)), lambda i: least(g, i)))
-    return let(mins, lambda m: F.filter(F.transform(m, lambda x, i: F.struct((-x["neg"]).alias("pos"), x["hash"].alias("hash"), i.alias("first"), ((i == 0) | (F.get(m, i - 1)["neg"] != x["neg"])).alias("new"))), lambda x: x["new"]))
+    """Structs first, last, hash: the smallest K-gram hash in each window of WINDOW K-grams, kept once for a run of
+    neighbouring windows, first to last, that have the same."""
+    mins = let(kgrams(words), lambda g: F.transform(_upto(F.size(g) - (WINDOW - 1)), lambda i: F.least(*[F.get(g, i + j) for j in range(WINDOW)])))
+    fresh = lambda m: F.filter(_upto(F.size(m)), lambda i: (i == 0) | (F.get(m, i) != F.get(m, i - 1)))
+    return let(mins, lambda m: let(fresh(m), lambda s: F.transform(s, lambda i, k: F.struct(i.alias("first"), (F.coalesce(F.get(s, k + 1), F.size(m)) - 1).alias("last"), F.get(m, i).alias("hash")))))
 
 
-def _few(df: DataFrame) -> DataFrame:
-    """A written table, marked for broadcast if it is small enough."""
-    return F.broadcast(df) if df.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST else df
+def _few(df: DataFrame, size: Column | None = None) -> DataFrame:
+    """A written table, marked for broadcast if its rows (or the sum of ``size``) are few enough."""
+    held = df.agg(F.sum(size)).first()[0] or 0 if size is not None else df.limit(MOST_BROADCAST + 1).count()
+    return F.broadcast(df) if held <= MOST_BROADCAST else df
 
 
 def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> tuple[DataFrame, DataFrame]:
@@ -73,19 +72,20 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> tuple[Data
 
 
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
-    """Rows doc, pos, length, cls: an occurrence of a window in the words of docs(doc, w)."""
+    """Rows doc, pos, length, cls: an occurrence of a window in the words of docs(doc, text)."""
     long, short = windows.where(F.col("length") == SPAN), windows.where(F.col("length") < SPAN)
     marks = written(long.select(F.explode(fingerprints(F.split("content", " "))).alias("f")).select("f.hash").distinct(), "benchmark-fingerprints")
-    prints = docs.select("doc", F.explode(fingerprints(F.col("w"))).alias("f")).select("doc", "f.hash", "f.pos", "f.first")
-    found = written(prints.join(_few(marks), "hash", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("pos", "first")).alias("at")), "document-candidates")  # within one document's length
-    # extension: the spans whose smallest K-gram that is, first .. pos, are compared as text
-    near = docs.join(found, "doc").select("doc", "w", F.explode("at").alias("at")).select("doc", "w", F.explode(F.sequence("at.first", F.least("at.pos", F.size("w") - SPAN))).alias("pos"))
-    spans = near.select("doc", "pos", F.array_join(F.slice("w", F.col("pos") + 1, SPAN), " ").alias("content"))
+    prints = docs.select("doc", F.explode(fingerprints(word_array(F.col("text")))).alias("f")).select("doc", "f.hash", "f.first", "f.last")
+    found = prints.join(_few(marks), "hash", "left_semi").groupBy("doc").agg(F.collect_set(F.struct("first", "last")).alias("at"))  # no more than one document has
+    found = written(found, "document-candidates")
+    # extension: the windows that a hit's hash is the smallest of, compared as text
+    near = docs.join(_few(found, F.size("at") + 1), "doc").select("doc", word_array(F.col("text")).alias("w"), "at").select("doc", "w", F.explode("at").alias("at"))
+    spans = near.select("doc", "w", F.explode(F.sequence("at.first", "at.last")).alias("pos")).select("doc", "pos", F.array_join(F.slice("w", F.col("pos") + 1, SPAN), " ").alias("content"))
     hits = spans.join(_few(long), "content").select("doc", "pos", "length", "cls")
     for (n,) in short.select("length").distinct().sort("length").collect():  # at most SPAN - 1 lengths
         exact = written(short.where(F.col("length") == n), f"benchmark-short-{n}")
-        grams = docs.select("doc", F.posexplode(F.expr(f"transform(if(size(w) >= {n}, sequence(0, size(w) - {n}), cast(array() as array<int>)), i -> array_join(slice(w, i + 1, {n}), ' '))")).alias("pos", "content"))
-        hits = hits.unionByName(grams.join(_few(exact), "content").select("doc", "pos", "length", "cls"))
+        every = let(word_array(F.col("text")), lambda w, n=n: F.transform(_upto(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+        hits = hits.unionByName(docs.select("doc", F.posexplode(every).alias("pos", "content")).join(_few(exact), "content").select("doc", "pos", "length", "cls"))
     return hits
 
 
@@ -99,16 +99,16 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """
     windows, items = benchmark_windows(benchmark)
     key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    keyed = docs.select("doc_id", F.unhex(F.substring(key, 1, 32)).alias("doc"), word_array(F.col("text")).alias("w"))
-    hits = written(find_hits(keyed.select("doc", "w"), windows).distinct(), "document-hits")
+    keyed = docs.select("doc_id", F.unhex(F.substring(key, 1, 32)).alias("doc"), "text")
+    hits = written(find_hits(keyed.select("doc", "text"), windows).distinct(), "document-hits")
     # positions: distinct words in the union of the spans; runs of starts are merged, one document at a time
     starts = F.array_sort(F.collect_set(F.struct("pos", "length")))
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["pos"] + x["length"] - F.greatest(x["pos"], s["end"]))).alias("n"), F.greatest(s["end"], x["pos"] + x["length"]).alias("end")), lambda s: s["n"])
     counts = hits.groupBy("doc").agg(covered.cast("long").alias("n_hit"), F.min("pos").alias("first_hit"))
     named = hits.select("doc", "cls").distinct().join(_few(items), "cls").groupBy("doc").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("null")))).alias("items"))
     marks = written(counts.join(named, "doc"), "document-marks")
-    rows = keyed.select("doc_id", "doc", F.size("w").cast("long").alias("n_words"))
-    return rows.join(marks, "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).drop("doc")
+    rows = keyed.select("doc_id", "doc", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
+    return rows.join(_few(marks, F.size("items") + 1), "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).drop("doc")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
