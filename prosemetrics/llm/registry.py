@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, toxicity, warc
+from . import decontamination, language, similarity, toxicity, warc
 from .sharding import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_weak_supervision": toxicity.op6_weak_supervision,
+    "op7_size_aware_join": similarity.op7_size_aware_join,
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op10_output_codes": language.op10_output_codes,
 }
