@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, similarity, toxicity, warc
+from . import decontamination, language, similarity, tokens, toxicity, warc
 from .sharding import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_weak_supervision": toxicity.op6_weak_supervision,
     "op7_size_aware_join": similarity.op7_size_aware_join,
     "op8_warc_transactions": warc.op8_warc_transactions,
+    "op9_transducer_counts": tokens.op9_transducer_counts,
     "op10_output_codes": language.op10_output_codes,
 }
 ORACLES: dict[str, str] = {
+    "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op5_winnowing": decontamination.ORACLE,
     "op8_warc_transactions": warc.ORACLE,
 }
