@@ -2,9 +2,10 @@
 
 Small sets enumerate the subsets that a partner must share; sets with a common subset are links as they stand.
 Large sets are joined through inverted lists over a prefix of their shingles: of two sets with a Jaccard
-similarity of t or more, the first floor((1 - t) * size) + 1 elements in any common order meet. The order puts
-frequent shingles (heavy) last, so that shared passages do not make long lists. The size where one way gives
-over to the other is that where its keys begin to cost more. Sets that are equal are one class throughout.
+similarity of t or more, the first (1 - t) * size + r elements in any common order have r in common. So a set
+with fewer shared elements than that goes before anything is compared. The order puts frequent shingles (heavy)
+last, so that shared passages do not make long lists. The size where one way gives over to the other is that
+where its keys begin to cost more. Sets that are equal are one class throughout.
 """
 
 from __future__ import annotations
@@ -26,7 +27,9 @@ K, PERCENT = 5, 80
 #: A subset key costs one row; an inverted-list key costs its row and the candidates that come of it.
 LIST_COST = 16
 #: Sets that hold a shingle for it to be heavy; heavy shingles at most. Either changes the order, never the result.
-HEAVY, MOST_HEAVY = 64, 1_000_000
+HEAVY, MOST_HEAVY = 16, 1_000_000
+#: One element in so many of a set must be shared within the prefixes, and each prefix is longer by that.
+SHARE = 20
 #: Classes whose keys are broadcast at most (8 MB); more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _WEIGHTS = mix(np.arange(11, 11 + K, dtype=np.uint64)) | np.uint64(1)
@@ -63,8 +66,13 @@ def partners(s: int) -> range:
     return range(-(-PERCENT * s // 100), 100 * s // PERCENT + 1)
 
 
+def needed(s: int) -> int:
+    """Elements that the prefix of a set of size s must share with a partner's, unless the partner needs fewer."""
+    return max(1, s // SHARE)
+
+
 def prefix(s: int) -> int:
-    return s - -(-PERCENT * s // 100) + 1
+    return s - -(-PERCENT * s // 100) + needed(s)
 
 
 def boundary() -> int:
@@ -136,33 +144,27 @@ def find_heavy(docs: DataFrame) -> np.ndarray:
 
 
 def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
-    """Rows key, class, size, light (share of the set that is not heavy), sure: list keys and subset keys of all sets."""
+    """Rows key, class: the keys of every set. Subset keys are odd, keys of inverted lists even."""
     sent = docs.sparkSession.sparkContext.broadcast(heavy)
-    most = boundary()
+    most, even = boundary(), np.uint64(0xFFFFFFFFFFFFFFFE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         often = Lookup(sent.value)
         for _, keys, sets in _each(batches, once=True):
             if not sets:
                 continue
-            sizes = np.array([len(x) for x in sets])
-            late = np.split(often.find(np.concatenate(sets)) >= 0, np.cumsum(sizes)[:-1])
-            cols: list[list] = [[], [], [], [], []]
-
-            def add(found: np.ndarray, k: int, sure: bool, light: float, cols: list = cols, keys: list = keys, sizes: np.ndarray = sizes) -> None:
-                for c, x in zip(cols, (found, np.full(len(found), keys[k], np.int64), np.full(len(found), sizes[k], np.int32), np.full(len(found), light, np.float32), np.full(len(found), sure)), strict=True):
-                    c.append(x)
-
-            for k, (x, last) in enumerate(zip(sets, late, strict=True)):
-                light = 1 - last.mean()
+            late = np.split(often.find(np.concatenate(sets)) >= 0, np.cumsum([len(x) for x in sets])[:-1])
+            found, owners = [], []
+            for key, x, last in zip(keys, sets, late, strict=True):
                 if len(x) <= most:
-                    add(subset_keys(x, most), k, True, light)
+                    found.append(subset_keys(x, most) | np.uint64(1))
+                    owners.append(np.full(len(found[-1]), key, np.int64))
                 if 100 * len(x) >= PERCENT * most:  # it may have a partner beyond the boundary
-                    add(np.concatenate([x[~last], x[last]])[: prefix(len(x))], k, False, light)
-            key, *rest = (np.concatenate(c) for c in cols)
-            yield pa.RecordBatch.from_arrays([_signed(key), *map(pa.array, rest)], ["key", "class", "size", "light", "sure"])
+                    found.append(np.unique(np.concatenate([x[~last], x[last]])[: prefix(len(x))] & even))
+                    owners.append(np.full(len(found[-1]), key, np.int64))
+            yield pa.RecordBatch.from_arrays([_signed(np.concatenate(found)), pa.array(np.concatenate(owners))], ["key", "class"])
 
-    return map_arrow(docs.select("text"), run, "key long, class long, size int, light float, sure boolean")
+    return map_arrow(docs.select("text"), run, "key long, class long")
 
 
 def arrays(docs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -204,25 +206,33 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
-def link_classes(docs: DataFrame) -> DataFrame:
-    """class, root for every class that has a link. Complete: no pair that can be a link goes unseen."""
+def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """class, root for every class that has a link; ``sizes``: class, size. No pair that can be a link goes unseen."""
     keys = postings(docs, find_heavy(docs))
     shared = written(keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "shared-keys")
     lists = written(keys.join(shared, "key", "left_semi").distinct(), "lists")
-    # of each list, the set with the fewest rare shingles is the centre that all others are compared with first
-    centre = lists.groupBy("key").agg(F.min(F.struct("light", "class")).getField("class").alias("b"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = written(lists.join(centre, "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b", "sure").groupBy("a", "b").agg(F.max("sure").alias("sure")), "stars")
-    involved = lists.join(centre.select("key"), "key", "left_semi").where(~F.col("sure")).select("class").distinct()
-    sets = written(arrays(docs, written(involved, "involved")), "sets")
-    links = written(stars.where("sure").select("a", "b").union(verify(stars.where("not sure").select("a", "b"), sets)), "links")
+    subsets, lists = lists.where("key & 1 = 1"), lists.where("key & 1 = 0")
+    need = lambda size: F.greatest(F.lit(1), F.floor(size / SHARE))
+    least = F.ceil(F.col("size") * PERCENT / 100)  # of a partner, which may need fewer
+    for _ in range(2):  # a set with too few shared keys has no partner; without it, others have fewer
+        kept = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= need(least)).select("class", "size", (F.col("n") / F.col("size")).alias("core"))
+        alive = lists.select("key", "class").join(kept, "class")
+        lists = written(alive.join(alive.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
+    # of each list, the set that shares most of itself is the centre, with which all others are compared first
+    centre = lists.groupBy("key").agg(F.max(F.struct("core", "class"))["class"].alias("b"))
+    stars = lists.join(centre, "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
+    sets = written(arrays(docs, written(lists.select("class").distinct(), "involved")), "sets")
+    same = subsets.join(subsets.groupBy("key").agg(F.min("class").alias("b")), "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
+    links = written(same.union(verify(stars, sets)), "links")
     roots = components(links)
     # then every pair of a list that the stars left in different components
-    placed = lists.where(~F.col("sure")).join(roots.toDF("class", "root"), "class", "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
+    placed = lists.join(roots.toDF("class", "root"), "class", "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
     split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
     placed = written(placed.join(split, "key", "left_semi"), "split-lists")
     left, right = placed.toDF("key", "a", "s", "ra"), placed.toDF("key", "b", "t", "rb")
-    pairs = left.join(right, "key").where((F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))).select("a", "b").distinct()
-    more = written(verify(pairs, sets), "more-links")
+    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))
+    pairs = left.join(right, "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
+    more = written(verify(pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b"), sets), "more-links")
     if not more.limit(1).count():
         return roots.toDF("class", "root")
     return components(links.union(more)).toDF("class", "root")
@@ -238,8 +248,8 @@ def join_similar(docs: DataFrame) -> DataFrame:
     are told apart by 64-bit keys.
     """
     members = written(map_arrow(docs.select("doc_id", "text"), _members, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_shingles long, class long"), "members")
-    roots = link_classes(docs)
-    first = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"))
+    first = members.where("class is not null").groupBy("class").agg(F.min("doc_id").alias("first"), F.max("n_shingles").alias("size"))
+    roots = link_classes(docs, first.select("class", "size"))
     named = first.join(roots, "class", "left").withColumn("root", F.coalesce("root", "class"))
     named = written(named.join(named.groupBy("root").agg(F.min("first").alias("component_id")), "root").select("class", "component_id"), "named")
     known = members.where("class is not null").join(named, "class").select("doc_id", "n_shingles", "component_id")
