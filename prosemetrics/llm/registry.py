@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import decontamination, language, similarity, tokens, toxicity, warc
+from . import context_tree, decontamination, language, similarity, tokens, toxicity, warc
 from .sharding import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
+    "op2_context_tree": context_tree.op2_context_tree,
     "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_weak_supervision": toxicity.op6_weak_supervision,
@@ -16,6 +17,7 @@ QUERIES = {
     "op10_output_codes": language.op10_output_codes,
 }
 ORACLES: dict[str, str] = {
+    "op2_context_tree": context_tree.op2_context_tree,
     "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op5_winnowing": decontamination.ORACLE,
     "op8_warc_transactions": warc.ORACLE,
