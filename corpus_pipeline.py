@@ -1,12 +1,71 @@
-"""A training corpus out of ``documents``, stage by stage; each stage's rows are written and read again."""
+"""A training corpus out of ``documents``, stage by stage; each stage's rows are written and read again.
+
+All stages but the last return the columns of ``documents``. Rows with a null doc_id pass the stages that name
+rows by it. Copies of one row count as one document.
+"""
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from prosemetrics.llm import decontamination, language, similarity, tokens, toxicity
 from prosemetrics.llm.common import table, written
 
-STAGES: list = []
+#: Ids that are broadcast at most (8 MB) to take rows out; more of them are joined by a shuffle.
+MOST_BROADCAST = 1_000_000
+
+
+def _without(docs: DataFrame, ids: DataFrame, name: str) -> DataFrame:
+    """``docs`` less the rows whose doc_id is among ``ids``."""
+    ids = written(ids.select("doc_id").where("doc_id is not null").distinct(), name)
+    few = ids.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    return docs.join(F.broadcast(ids) if few else ids, "doc_id", "left_anti").select(docs.columns)
+
+
+def not_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score under 0.5; the model learns from the labelled rows among them."""
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"))
+    return toxicity.score_texts(docs, model).where("toxicity < 0.5").select(docs.columns)
+
+
+def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows of one clear language: not those without letters or between two. Without a lang to learn, all stay."""
+    model = language.fit(docs)
+    if not model.languages:
+        return docs
+    return language.identify(docs, model).where(F.col("lang_pred").isin(model.languages) & ~F.col("ambiguous")).select(docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Of each group of near duplicates the smallest doc_id, once."""
+    groups = similarity.join_similar(docs)
+    rest = _without(docs, groups.where("doc_id <> component_id"), "near-duplicates")
+    repeated = docs.groupBy("doc_id").count().where("count > 1 and doc_id is not null").limit(1).count()
+    return rest.dropDuplicates(["doc_id", "text"]) if repeated else rest
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that share no window with the benchmark."""
+    marked = decontamination.decontaminate(docs, table(spark, sf_dir, "benchmark"))
+    return _without(docs, marked.where("n_hit > 0"), "contaminated")
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, lang, source, n_tokens and ids of every row."""
+    out = tokens.encode(docs.select("doc_id", "lang", "source", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return out.select("doc_id", "lang", "source", F.size("ids").cast("long").alias("n_tokens"), "ids")
+
+
+STAGES = [
+    ("toxicity", not_toxic),
+    ("language", known_language),
+    ("near_duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("encoding", encoded),
+]
+#: The first two stages are learned, which SQL cannot express; tests hold the stages against brute force.
 ORACLE_SQL = None
 
 

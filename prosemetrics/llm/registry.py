@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontamination, language, similarity, tokens, toxicity, warc
+from . import context_tree, decontamination, language, neighbours, similarity, tokens, toxicity, warc
 from .sharding import op1_kd_shards
 
 QUERIES = {
     "op1_kd_shards": op1_kd_shards,
     "op2_context_tree": context_tree.op2_context_tree,
+    "op3_one_bit_codes": neighbours.op3_one_bit_codes,
     "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op5_winnowing": decontamination.op5_winnowing,
     "op6_weak_supervision": toxicity.op6_weak_supervision,
@@ -18,7 +19,9 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op2_context_tree": context_tree.op2_context_tree,
+    "op3_one_bit_codes": neighbours.op3_one_bit_codes,
     "op4_prefix_encoding": tokens.op4_prefix_encoding,
+    "op3_one_bit_codes": neighbours.ORACLE,
     "op5_winnowing": decontamination.ORACLE,
     "op8_warc_transactions": warc.ORACLE,
 }
