@@ -149,8 +149,8 @@ def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLE = """
 with v as (select vec_id, cast(embedding as double[]) as e from embeddings where embedding is not null),
-u as (select * from v where len(list_filter(e, x -> x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, x -> x <> 0)) > 0),
-d as (select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), p -> (p[1] - p[2]) * (p[1] - p[2])))) as score from u q join u c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
+u as (select * from v where len(list_filter(e, lambda x: x is null or isnan(x) or isinf(x))) = 0 and len(list_filter(e, lambda x: x <> 0)) > 0),
+d as (select q.vec_id as query_id, c.vec_id, sqrt(list_sum(list_transform(list_zip(q.e, c.e), lambda p: (p[1] - p[2]) * (p[1] - p[2])))) as score from u q join u c on q.vec_id <> c.vec_id where q.vec_id % 100 = 0)
 select query_id, cast(row_number() over (partition by query_id order by score, vec_id) as integer) as rank, vec_id, score from d
 qualify row_number() over (partition by query_id order by score, vec_id) <= 10
 """
