@@ -30,6 +30,8 @@ LIST_COST = 16
 HEAVY, MOST_HEAVY = 16, 1_000_000
 #: One element in so many of a set must be shared within the prefixes, and each prefix is longer by that.
 SHARE = 20
+#: Rounds of stars before the pairs that are left are compared.
+MOST_TURNS = 8
 #: Classes whose keys are broadcast at most (8 MB); more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _WEIGHTS = mix(np.arange(11, 11 + K, dtype=np.uint64)) | np.uint64(1)
@@ -218,20 +220,29 @@ def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
         kept = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= need(least)).select("class", "size", (F.col("n") / F.col("size")).alias("core"))
         alive = lists.select("key", "class").join(kept, "class")
         lists = written(alive.join(alive.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
-    # of each list, the set that shares most of itself is the centre, with which all others are compared first
-    centre = lists.groupBy("key").agg(F.max(F.struct("core", "class"))["class"].alias("b"))
-    stars = lists.join(centre, "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
     sets = written(arrays(docs, written(lists.select("class").distinct(), "involved")), "sets")
     same = subsets.join(subsets.groupBy("key").agg(F.min("class").alias("b")), "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
-    links = written(same.union(verify(stars, sets)), "links")
-    roots = components(links)
+    links, roots, turn = same, None, 0
+    placed = lists.withColumn("root", F.col("class"))
+    while True:
+        # of each list, one set is the centre that the others are compared with: first the one that shares most of
+        # itself, then others by a hash; lists within one component are done
+        rank = F.struct(F.col("core").alias("x"), "class", "root") if not turn else F.struct(F.xxhash64("class", F.lit(turn)).alias("x"), "class", "root")
+        centre = placed.groupBy("key").agg(F.max(rank).alias("c")).select("key", F.col("c.class").alias("b"), F.col("c.root").alias("other"))
+        stars = placed.join(centre, "key").where(F.col("root") != F.col("other")).select(F.col("class").alias("a"), "b").distinct()
+        links = written(links.union(verify(stars, sets)), "links")
+        roots = components(links)
+        placed = placed.drop("root").join(roots.toDF("class", "root"), "class", "left").select("key", "class", "size", "core", F.coalesce("root", "class").alias("root"))
+        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
+        placed = written(placed.join(split.select("key"), "key", "left_semi"), "split-lists")
+        turn += 1
+        left = placed.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
+        if turn == MOST_TURNS or (left["pairs"] or 0) <= 4 * (left["rows"] or 0):
+            break
     # then every pair of a list that the stars left in different components
-    placed = lists.join(roots.toDF("class", "root"), "class", "left").select("key", "class", "size", F.coalesce("root", "class").alias("root"))
-    split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo < hi").select("key")
-    placed = written(placed.join(split, "key", "left_semi"), "split-lists")
-    left, right = placed.toDF("key", "a", "s", "ra"), placed.toDF("key", "b", "t", "rb")
+    one, two = placed.select("key", F.col("class").alias("a"), F.col("size").alias("s"), F.col("root").alias("ra")), placed.select("key", F.col("class").alias("b"), F.col("size").alias("t"), F.col("root").alias("rb"))
     close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))
-    pairs = left.join(right, "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
+    pairs = one.join(two, "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
     more = written(verify(pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b"), sets), "more-links")
     if not more.limit(1).count():
         return roots.toDF("class", "root")
