@@ -1,6 +1,490 @@
-"""Named queries over the driver's tables, each with the SQL that gives the same rows."""
+"""Named queries over the driver's tables, each with the SQL that gives the same rows where SQL can.
+
+Corpora: ``documents`` by ``lang`` (baseline: en); class: ``labels.quality``; books: ``embeddings.label``, chunks in
+the order of ``vec_id``; ordered sequences: ``conversations``. Doubles are rounded to six places on both sides.
+"""
 
 from __future__ import annotations
 
-QUERIES: dict = {}
-ORACLES: dict = {}
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from ..functions import text as T
+from ..operators import arcs, lexical, lm, models, relational, stats
+from ..streaming import incremental
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
+ORACLES: dict[str, str] = {}
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def rounded(rows: DataFrame, places: int = 6) -> DataFrame:
+    return rows.select(*[F.round(c, places).alias(c) if t in ("double", "float") else F.col(c) for c, t in rows.dtypes])
+
+
+def query(oracle: str | None = None, places: int = 6) -> Callable:
+    def add(f: Callable) -> Callable:
+        QUERIES[f.__name__] = lambda spark, sf_dir: rounded(f(spark, sf_dir), places)
+        if oracle:
+            ORACLES[f.__name__] = oracle
+        return f
+
+    return add
+
+
+# Pieces of SQL. Unicode's white space is spelled out, as the pattern library there knows ASCII's only.
+_BLANKS = r"[\s\x0b\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]+"
+_CLEAN = rf"trim(regexp_replace(regexp_replace(text, '{_BLANKS}', ' ', 'g'), '[^\x00-\x7F]', '', 'g'))"
+_WORDS = r"list_filter(string_split_regex({0}, '\s+'), lambda w: w <> '')"
+_TOKENS = f"tok as (select doc_id, w, pos from (select doc_id, unnest(ws) as w, unnest(range(len(ws))) as pos from (select doc_id, {_WORDS.format(f'lower({_CLEAN})')} as ws from documents)))"
+_COUNTS = f"""{_TOKENS}, tc as (select doc_id, w as term, count(*) as cnt from tok group by 1, 2),
+dn as (select doc_id, sum(cnt) as n from tc group by 1),
+x as (select tc.doc_id, term, cnt, n, cnt / n::double as p from tc join dn using (doc_id)),
+cf as (select term, sum(cnt) as c, sum(cnt) / (select sum(cnt) from tc)::double as q from tc group by 1)"""
+_MEASURES = f"""{_COUNTS}, rk as (select term, row_number() over (order by c, term) as r from cf),
+tail as (select term from rk where r <= floor((select count(*) from cf) * 0.5)),
+m as (select doc_id, cast(max(n) as bigint) as n_tokens, sum(-p * ln(q + 1e-12)) as lex_rarity, count(*) / max(n)::double as types_used_rate,
+ count(*) filter (cnt = 1) / max(n)::double as hapax_rate, sum(case when tail.term is not null then p else 0.0 end) as rare_tail_share,
+ sum(-p * ln(p + 1e-12)) as work_entropy, sum(p * (ln(p + 1e-12) - ln(q + 1e-12))) as kl_from_corpus
+ from x join cf using (term) left join tail using (term) group by 1)"""
+_SENTENCES = rf"sen as (select doc_id, cast(unnest(range(1, len(s) + 1)) as integer) as sentence_number, unnest(s) as sentence from (select doc_id, list_filter(list_transform(regexp_extract_all({_CLEAN}, '[^.!?]+[.!?]*'), lambda v: trim(v)), lambda v: length(v) >= 6) as s from documents))"
+_MODEL = f"""{_TOKENS}, pr as (select doc_id, pos, w, lag(w) over (partition by doc_id order by pos) as v from tok),
+base as (select pr.* from pr join documents d using (doc_id) where d.lang = 'en'),
+ug as (select w, count(*) as cw from base group by 1), bg as (select v, w, count(*) as cvw from base where v is not null group by 1, 2),
+tot as (select sum(cw) as n, count(*) as types from ug)"""
+_NLL = "-ln(0.5 * coalesce(coalesce(cvw, 0) / h.cw::double, 0.0) + 0.5 * (coalesce(ug.cw, 0) + 1) / (n + types + 1)::double)"
+_SCORED = f"{_MODEL}, nll as (select pr.doc_id, pos, pr.w, {_NLL} as nll from pr left join bg on bg.v = pr.v and bg.w = pr.w left join ug on ug.w = pr.w left join ug h on h.w = pr.v, tot where pr.v is not null)"
+_DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]))"
+_ARCS = f"""e as (select label, vec_id, cast(embedding as double[]) as v from embeddings),
+cp as (select i, avg(v[i]) as m from e, range(1, 65) t(i) group by 1), ce as (select list(m order by i) as c from cp),
+di as (select label, vec_id, 1 - {_DOT.format('v', 'c')} / sqrt({_DOT.format('v', 'v')} * {_DOT.format('c', 'c')}) as dist from e, ce),
+bk as (select label, list(dist order by vec_id) as d, count(*) as n from di group by 1 having count(*) >= 2),
+sm as (select label, n, case when n >= greatest(10, n // 10) then list_transform(range(0, n - greatest(10, n // 10) + 1), lambda i: list_sum(d[i + 1:i + greatest(10, n // 10)]) / greatest(10, n // 10)) else list_transform(range(0, 10 - n + 1), lambda i: list_sum(d) / 10) end as s from bk),
+ar as (select label, n, list_transform(range(0, 100), lambda i: s[floor(i * (len(s) - 1) / 99.0)::int + 1] + (i * (len(s) - 1) / 99.0 - floor(i * (len(s) - 1) / 99.0)) * (s[least(floor(i * (len(s) - 1) / 99.0)::int + 1, len(s) - 1) + 1] - s[floor(i * (len(s) - 1) / 99.0)::int + 1])) as arc from sm)"""
+_CLUSTERS = f"{_ARCS}, cl as (select label as book, label % 3 as cluster, arc from ar)"
+_MEANS = "mp as (select cluster, i, avg(arc[i]) as m, stddev_pop(arc[i]) as sd from cl, range(1, 101) t(i) group by 1, 2), mn as (select cluster, list(m order by i) as mean from mp group by 1)"
+_DIST = "sqrt(list_sum(list_transform(range(1, 101), lambda i: ({0}[i] - {1}[i]) * ({0}[i] - {1}[i]))))"
+_CATS = ", ".join(f"cast(len(list_filter(ws, lambda w: w in ({', '.join(repr(x) for x in v)}))) as bigint) as {k}" for k, v in relational.CATEGORIES.items())
+_CATEGORY = f"ct as (select doc_id, cast(len(ws) as bigint) as tokens, {_CATS} from (select doc_id, {_WORDS.format(f'lower({_CLEAN})')} as ws from documents))"
+_STYLE = f"st as (select doc_id, cast(len(ws) as bigint) as word_count, case when len(ws) > 0 then list_sum(list_transform(ws, lambda w: length(w))) / len(ws)::double else 0.0 end as avg_word_length, case when len(ws) > 0 then len(list_distinct(ws)) / len(ws)::double else 0.0 end as ttr from (select doc_id, {_WORDS.format(_CLEAN)} as ws from documents))"
+_LABELLED = f"{_STYLE}, lb as (select st.*, y from st join (select doc_id, max(quality) as y from labels group by 1) l using (doc_id))"
+_LONG = f"{_LABELLED}, lo as (select 'word_count' as feature, word_count::double as x, y from lb union all select 'avg_word_length', avg_word_length, y from lb union all select 'ttr', ttr, y from lb)"
+FEATURES = ["word_count", "avg_word_length", "ttr"]
+
+
+def _docs(spark: SparkSession, d: str) -> DataFrame:
+    return read(spark, d, "documents")
+
+
+def _model(spark: SparkSession, d: str) -> lm.CountModel:
+    return lm.fit(_docs(spark, d).where("lang = 'en'"))
+
+
+def _style(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", *[c.alias(n) for n, c in T.style(T.words(T.clean_text(F.col("text")))).items()])
+
+
+def _labelled(spark: SparkSession, d: str) -> DataFrame:
+    own = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    return _style(spark, d).join(own, "doc_id")
+
+
+def _arcs(spark: SparkSession, d: str) -> DataFrame:
+    return arcs.arcs(read(spark, d, "embeddings"), "label", "vec_id")
+
+
+def _clusters(spark: SparkSession, d: str) -> DataFrame:
+    return _arcs(spark, d).select(F.col("label").alias("book"), (F.col("label") % 3).alias("cluster"), "arc")
+
+
+# Text
+@query(f"select doc_id, {_CLEAN} as text from documents")
+def clean_text(spark, d):
+    return _docs(spark, d).select("doc_id", T.clean_text(F.col("text")).alias("text"))
+
+
+@query(f"with {_SENTENCES} select doc_id, sentence_number, sentence from sen")
+def sentence_split(spark, d):
+    return lm.sentence_rows(_docs(spark, d)).select("doc_id", "sentence_number", "sentence")
+
+
+@query(f"with {_SENTENCES}, z as (select *, {_WORDS.format('sentence')} as ws from sen) select doc_id, sentence_number, cast(len(ws) as bigint) as word_count, round(list_sum(list_transform(ws, lambda w: length(w))) / len(ws)::double, 6) as avg_word_length, round(len(list_distinct(ws)) / len(ws)::double, 6) as ttr from z")
+def sentence_style(spark, d):
+    return lm.sentence_rows(_docs(spark, d)).drop("sentence")
+
+
+@query(f"with {_STYLE} select doc_id, word_count, round(avg_word_length, 6) as avg_word_length, round(ttr, 6) as ttr from st")
+def doc_style(spark, d):
+    return _style(spark, d)
+
+
+@query(f"with w as (select doc_id, {_WORDS.format(_CLEAN)} as ws from documents), b as (select doc_id, ws, unnest(range(0, len(ws) // 64)) as i from w) select doc_id, cast(i as bigint) as block, array_to_string(ws[i * 64 + 1:i * 64 + 64], ' ') as tokens from b")
+def token_blocks(spark, d):
+    x = _docs(spark, d).select("doc_id", F.posexplode(T.token_blocks(T.words(T.clean_text(F.col("text"))), 64)).alias("block", "b"))
+    return x.select("doc_id", F.col("block").cast("long").alias("block"), F.array_join("b", " ").alias("tokens"))
+
+
+@query("select doc_id, case when length(text) > 200 then text[1:200] else text end as prefix from documents")
+def char_prefix(spark, d):
+    return _docs(spark, d).select("doc_id", F.when(F.length("text") > 200, F.left("text", F.lit(200))).otherwise(F.col("text")).alias("prefix"))
+
+
+@query()
+def chunk_greedy(spark, d):
+    lengths = F.transform(T.sentences(T.clean_text(F.col("text"))), lambda s: F.size(T.words(s)))
+    x = _docs(spark, d).select("doc_id", F.posexplode(T.greedy_chunks(lengths, 200)).alias("chunk", "words"))
+    return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("words").cast("long").alias("words"))
+
+
+@query()
+def boilerplate_strip(spark, d):
+    book = F.concat(F.lit("Header\n*** START OF THE BOOK ***\n\nProduced by someone\n\n"), "text", F.lit("\n*** END OF THE BOOK ***\nLicence"))
+    return _docs(spark, d).select("doc_id", T.strip_boilerplate(book).alias("body"))
+
+
+@query()
+def keynorm(spark, d):
+    return _docs(spark, d).select("doc_id", T.keynorm(F.concat("source", F.lit("_Café No. "), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("k"))
+
+
+@query("select doc_id, case when length(t) > 50 then t[1:47] || '...' else t end as title, replace(replace(source || ' / ' || lang, ' ', '_'), '/', '_') as file_name from (select *, text[1:60] as t from documents)")
+def label_strings(spark, d):
+    return _docs(spark, d).select("doc_id", T.shortened(F.left("text", F.lit(60))).alias("title"), T.safe_name(F.concat("source", F.lit(" / "), "lang")).alias("file_name"))
+
+
+# Language model
+@query(f"with {_SCORED} select doc_id, round(avg(nll), 6) as mean_nll, count(*) as n_scored from nll group by 1")
+def lm_document_nll(spark, d):
+    return lm.document_nll(_docs(spark, d), _model(spark, d))
+
+
+@query(f"with {_SCORED}, c as (select lang, avg(nll) as mean_nll, exp(avg(nll)) as ppl from nll join documents using (doc_id) group by 1) select lang, round(mean_nll, 6) as mean_nll, round(ppl, 2) as ppl, round(ppl - (select ppl from c where lang = 'en'), 2) as gap from c")
+def ppl_gap(spark, d):
+    x = lm.corpus_gap(_docs(spark, d), _model(spark, d), "lang", F.col("lang") == "en")
+    return x.withColumns({"ppl": F.round("ppl", 2), "gap": F.round("gap", 2)})
+
+
+@query(f"with {_SCORED}, k as (select doc_id, pos, w, nll, row_number() over (partition by doc_id order by nll desc, pos) as place from nll) select doc_id, cast(place as integer) as place, pos::integer as pos, w, round(nll, 6) as nats, round(nll / ln(2), 6) as bits from k where place <= 5")
+def token_surprisal_top(spark, d):
+    from pyspark.sql import Window
+
+    x = lm.token_nll(_docs(spark, d), _model(spark, d))
+    x = x.withColumn("place", F.row_number().over(Window.partitionBy("doc_id").orderBy(F.desc("nll"), "pos"))).where("place <= 5")
+    return x.select("doc_id", "place", "pos", "w", F.col("nll").alias("nats"), (F.col("nll") / F.log(F.lit(2.0))).alias("bits"))
+
+
+def _scored(spark: SparkSession, d: str) -> DataFrame:
+    return lm.sentence_scores(_docs(spark, d), _model(spark, d))
+
+
+@query()
+def lm_sentence_nll(spark, d):
+    return _scored(spark, d).select("doc_id", "sentence_number", "mean_nll")
+
+
+@query()
+def ppl_summary(spark, d):
+    return lm.summary(_scored(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id"), "lang", "mean_nll")
+
+
+@query()
+def top_moments_context(spark, d):
+    return lm.top_moments(_scored(spark, d))
+
+
+@query(f"with {_SENTENCES} select doc_id, sentence_number, round(avg(length(sentence)) over (partition by doc_id order by sentence_number rows between 49 preceding and current row), 6) as rolling from sen")
+def rolling_mean(spark, d):
+    x = lm.sentence_rows(_docs(spark, d)).withColumn("size", F.length("sentence"))
+    return lm.rolling_mean(x, "doc_id", "sentence_number", "size").select("doc_id", "sentence_number", "rolling")
+
+
+@query(f"with {_SENTENCES}, mk as (select unnest(['the', 'license', 'er', '2.0']) as marker) select s.doc_id, mk.marker, min(case when contains(lower(sentence), mk.marker) then sentence_number end) as sentence_number from sen s, mk group by 1, 2")
+def milestones_marker(spark, d):
+    return lm.milestones(lm.sentence_rows(_docs(spark, d)), ["the", "license", "er", "2.0"]).select("doc_id", "marker", "sentence_number")
+
+
+@query()
+def adaptation_curve(spark, d):
+    """The gap as the model learns from growing parts of the baseline: hashes choose them."""
+    docs, out = _docs(spark, d), None
+    for step, share in enumerate((25, 50, 100)):
+        model = lm.fit(docs.where((F.col("lang") == "en") & (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < share)))
+        one = lm.corpus_gap(docs, model, "lang", F.col("lang") == "en").withColumn("step", F.lit(step))
+        out = one if out is None else out.unionByName(one)
+    return out.select("step", "lang", "mean_nll", F.round("ppl", 2).alias("ppl"), F.round("gap", 2).alias("gap"))
+
+
+# Lexical
+@query(f"with {_MEASURES} select doc_id, n_tokens, round(lex_rarity, 6) as lex_rarity, round(types_used_rate, 6) as types_used_rate, round(hapax_rate, 6) as hapax_rate, round(rare_tail_share, 6) as rare_tail_share, round(work_entropy, 6) as work_entropy, round(kl_from_corpus, 6) as kl_from_corpus from m")
+def foregrounding(spark, d):
+    return lexical.foregrounding(_docs(spark, d))
+
+
+def _z(c: str, table: str) -> str:
+    return f"({c} - (select avg({c}) from {table})) / (select stddev_samp({c}) from {table})"
+
+
+@query(f"with {_MEASURES} select doc_id, round(({' + '.join(_z(c, 'm') for c in ('lex_rarity', 'types_used_rate', 'hapax_rate', 'rare_tail_share'))}) / 4, 6) as foregrounding_index from m")
+def foregrounding_index(spark, d):
+    return lexical.foregrounding_index(lexical.foregrounding(_docs(spark, d)))
+
+
+@query(f"with {_COUNTS}, y as (select x.*, coalesce(l.q, 0) as cls from x left join (select doc_id, max(quality) as q from labels group by 1) l using (doc_id)), ma as (select cls, sum(p) as mass from y group by 1), cn as (select cls, term, sum(p) / any_value(mass) as q from y join ma using (cls) group by 1, 2) select doc_id, round(sum(p * (ln(p + 1e-12) - ln(q + 1e-12))), 6) as kl_own from y join cn using (cls, term) group by 1")
+def kl_own_class(spark, d):
+    return lexical.kl_from_class(_docs(spark, d), read(spark, d, "labels"))
+
+
+@query(f"with {_CATEGORY} select *, {', '.join(f'round({k} * 1000.0::double / nullif(tokens, 0), 6) as {k}_n' for k in relational.CATEGORIES)} from ct")
+def rate_per_1000(spark, d):
+    return relational.per_thousand(relational.category_counts(_docs(spark, d)), list(relational.CATEGORIES), "tokens")
+
+
+@query(f"with {_CATEGORY}, r as (select doc_id, {', '.join(f'{k} * 1000.0::double / nullif(tokens, 0) as {k}_n' for k in relational.CATEGORIES)} from ct) select doc_id, round(({_z('article_n', 'r')} + {_z('preposition_n', 'r')}) / 2 - ({_z('pronoun_n', 'r')} + {_z('verb_n', 'r')}) / 2, 6) as poetic from r")
+def composite_indices(spark, d):
+    x = relational.per_thousand(relational.category_counts(_docs(spark, d)), list(relational.CATEGORIES), "tokens")
+    x = relational.composite(x, "embodied", ["article_n", "preposition_n"])
+    x = relational.composite(x, "abstract", ["pronoun_n", "verb_n"])
+    return x.select("doc_id", (F.col("embodied") - F.col("abstract")).alias("poetic"))
+
+
+# Relational
+@query("with q as (select quantile_cont(l_extendedprice, 0.25) as a, quantile_cont(l_extendedprice, 0.75) as b from lineitem) select l_orderkey, l_linenumber, round(case when l_extendedprice < a - 0.1 * (b - a) or l_extendedprice > b + 0.1 * (b - a) then l_extendedprice / 1000 else l_extendedprice end, 6) as l_extendedprice from lineitem, q")
+def iqr_repair(spark, d):
+    return stats.iqr_repair(read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_extendedprice"), ["l_extendedprice"], fence=0.1)
+
+
+@query("select doc_id, try_cast(regexp_extract(text, '([0-9]+)', 1) as double) as number from documents")
+def numeric_coerce(spark, d):
+    return relational.coerce(_docs(spark, d).select("doc_id", F.regexp_extract("text", "([0-9]+)", 1).alias("number")), "number")
+
+
+@query(f"with {_MEASURES}, {_STYLE}, {_CATEGORY} select doc_id, lang, y as quality, n_tokens, word_count, tokens, round(ttr, 6) as ttr, round(work_entropy, 6) as work_entropy from documents join (select doc_id, max(quality) as y from labels group by 1) l using (doc_id) join m using (doc_id) join st using (doc_id) join ct using (doc_id)")
+def master_join(spark, d):
+    docs = _docs(spark, d)
+    label = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("quality"))
+    x = relational.master("doc_id", docs.select("doc_id", "lang"), label, lexical.foregrounding(docs), _style(spark, d), relational.category_counts(docs))
+    return x.select("doc_id", "lang", "quality", "n_tokens", "word_count", "tokens", "ttr", "work_entropy")
+
+
+@query("select doc_id from documents where doc_id in (select doc_id from labels)")
+def semi_valid_ids(spark, d):
+    return _docs(spark, d).select("doc_id").join(read(spark, d, "labels").select("doc_id"), "doc_id", "left_semi")
+
+
+@query("select doc_id from documents where doc_id not in (select doc_id from labels)")
+def anti_processed(spark, d):
+    return incremental.pending(_docs(spark, d).select("doc_id"), read(spark, d, "labels"), "doc_id")
+
+
+@query("select distinct doc_id, source from documents where cast(doc_id as varchar) in ('3', '5') or regexp_matches(source, '(?i)SRC1$')")
+def union_distinct_search(spark, d):
+    return arcs.search(_docs(spark, d).select("doc_id", "source"), "doc_id", "source", ids=["3", "5"], titles=["SRC1$"])
+
+
+@query("select source, doc_id, lang from (select *, row_number() over (partition by source order by doc_id) as r from documents) where r = 1")
+def dedupe_keep_first(spark, d):
+    return relational.keep_first(_docs(spark, d).select("source", "doc_id", "lang"), ["source"], ["doc_id"])
+
+
+@query("select doc_id from documents order by md5(cast(doc_id as varchar) || '|42'), doc_id limit 20")
+def hash_sample(spark, d):
+    return relational.hash_sample(_docs(spark, d).select("doc_id"), "doc_id", 20)
+
+
+@query("select lang, count(*) as n from documents group by 1")
+def value_counts(spark, d):
+    return _docs(spark, d).groupBy("lang").agg(F.count("*").alias("n"))
+
+
+@query("select id, cast(min(pos) as integer) as pos from (select trim(w) as id, pos from (select unnest(string_split(string_agg(case when item_id % 3 = 0 then '#' else '' end || cast(item_id % 7 as varchar), ',' order by item_id), ',')) as w, unnest(range(count(*))) as pos from benchmark)) where regexp_matches(id, '^[0-9]+$') group by 1")
+def id_reader(spark, d):
+    from ..sources.readers import id_list
+
+    line = F.concat(F.when(F.col("item_id") % 3 == 0, "#").otherwise(""), (F.col("item_id") % 7).cast("string"))
+    lines = read(spark, d, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", line.alias("line")))).alias("l"))  # a list of ids is small
+    return id_list(lines.select(F.posexplode("l").alias("pos", "s")).select("pos", F.col("s.line").alias("line")))
+
+
+# Statistics
+@query(f"with {_LONG}, g as (select feature, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(x) filter (y = 1) as m1, avg(x) filter (y = 0) as m0, var_samp(x) filter (y = 1) as v1, var_samp(x) filter (y = 0) as v0 from lo group by 1) select feature, round(m1, 6) as m1, round(m0, 6) as m0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as t, round(pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)), 6) as df from g")
+def univariate_effects(spark, d):
+    t, df = stats.welch()
+    return stats.moments(stats.melt(_labelled(spark, d), "y", FEATURES)).select("feature", "m1", "m0", stats.cohen_d().alias("d"), t.alias("t"), df.alias("df"))
+
+
+@query(f"with {_LONG}, g as (select feature, x, count(*) as c, sum(y) as p from lo group by 1, 2), r as (select *, sum(c) over (partition by feature order by x) - c + (c + 1) / 2.0 as mr from g), s as (select feature, sum(p * mr) as r1, sum(p) as n1, sum(c) as n, sum(c::double * c * c - c) as ties from r group by 1), u as (select feature, n1, n, ties, r1 - n1 * (n1 + 1) / 2.0 as u1 from s) select feature, round(u1::double, 6) as u1, round((u1 / (n1 * (n - n1)))::double, 6) as auc, round((greatest(abs(u1 - n1 * (n - n1) / 2.0) - 0.5, 0.0) / sqrt(n1 * (n - n1) / 12.0 * ((n + 1) - ties / (n * (n - 1)::double))))::double, 6) as z from u")
+def auc_rank(spark, d):
+    return stats.rank_statistics(stats.melt(_labelled(spark, d), "y", FEATURES))
+
+
+@query()
+def univariate_battery(spark, d):
+    return stats.univariate(_labelled(spark, d), "y", FEATURES)
+
+
+@query("with p as (select cast(o_orderkey as bigint) as k, (o_orderkey * 7919 % 1000 + 1) / 1000000.0::double as p from orders where o_orderkey <= 400), r as (select k, p, p * count(*) over () / row_number() over (order by p, k) as s, row_number() over (order by p, k) as rn from p) select k, round(p, 6) as p, round(least(1.0, min(s) over (order by rn rows between current row and unbounded following)), 6) as p_adjusted from r")
+def bh_adjust(spark, d):
+    x = read(spark, d, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").cast("long").alias("k"), ((F.col("o_orderkey") * 7919 % 1000 + 1) / 1000000.0).alias("p"))
+    return stats.benjamini_hochberg(x, "p")
+
+
+@query(f"with {_STYLE} select lang, count(*) as n, round(avg(word_count), 6) as mean_word_count, round(avg(avg_word_length), 6) as mean_avg_word_length, round(avg(ttr), 6) as mean_ttr from st join documents using (doc_id) where lang is not null group by 1")
+def group_profile(spark, d):
+    return stats.group_profile(_style(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id"), "lang", FEATURES)
+
+
+def _predicted(spark: SparkSession, d: str) -> DataFrame:
+    return _labelled(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id").withColumn("pred", (F.col("ttr") >= 0.7).cast("int"))
+
+
+_PREDICTED = f"{_LABELLED}, pd as (select lb.*, lang, case when ttr >= 0.7 then 1 else 0 end as pred from lb join documents using (doc_id))"
+
+
+@query(f"with {_PREDICTED} select lang, count(*) as n, cast(sum(case when y <> pred then 1 else 0 end) as bigint) as errors, round(avg(case when y <> pred then 1.0 else 0.0 end), 6) as error_rate from pd group by 1")
+def error_by_group(spark, d):
+    return stats.error_by_group(_predicted(spark, d), "lang", "y", "pred")
+
+
+@query(f"with {_PREDICTED} select y, count(*) filter (pred = 0) as pred_0, count(*) filter (pred = 1) as pred_1 from pd group by 1")
+def confusion(spark, d):
+    return stats.confusion(_predicted(spark, d), "y", "pred")
+
+
+@query(f"with {_LABELLED} select doc_id, round(ttr, 6) as ttr from lb where y = 0 order by lb.ttr desc, doc_id limit 25")
+def boundary_topk(spark, d):
+    return _labelled(spark, d).where("y = 0").orderBy(F.desc("ttr"), "doc_id").limit(25).select("doc_id", "ttr")
+
+
+@query(f"with {_LABELLED} select doc_id, round(ttr, 6) as ttr from lb where y = 1 order by lb.ttr, doc_id limit 25")
+def boundary_bottomk(spark, d):
+    return _labelled(spark, d).where("y = 1").orderBy("ttr", "doc_id").limit(25).select("doc_id", "ttr")
+
+
+@query(f"with {_STYLE} select a, b, round(r, 6) as r from (select 'word_count' as a, 'avg_word_length' as b, corr(word_count, avg_word_length) as r from st union all select 'word_count', 'ttr', corr(word_count, ttr) from st union all select 'avg_word_length', 'ttr', corr(avg_word_length, ttr) from st)")
+def corr_matrix(spark, d):
+    return stats.correlations(_style(spark, d), FEATURES)
+
+
+@query(f"with {_STYLE} select round(corr(word_count, n_chars), 6) as r_words, round(abs(corr(ttr, n_chars)), 6) as r_ttr from st join documents using (doc_id)")
+def length_confound(spark, d):
+    x = _style(spark, d).join(_docs(spark, d).select("doc_id", "n_chars"), "doc_id")
+    return x.agg(F.corr("word_count", "n_chars").alias("r_words"), F.abs(F.corr("ttr", "n_chars")).alias("r_ttr"))
+
+
+@query(f"with {_LABELLED}, g as (select word_count as threshold, sum(y) as p, count(*) as c from lb group by 1) select threshold, round((sum(c - p) over (order by threshold desc) / (select sum(c - p) from g))::double, 6) as fpr, round((sum(p) over (order by threshold desc) / (select sum(p) from g))::double, 6) as tpr from g")
+def roc_points(spark, d):
+    return stats.roc_points(_labelled(spark, d), "y", "word_count")
+
+
+# Curves
+@query("select cast(i - 1 as integer) as pos, round(avg(cast(embedding[i] as double)), 6) as m from embeddings, range(1, 65) t(i) group by 1")
+def global_centroid(spark, d):
+    return arcs.centroid(read(spark, d, "embeddings")).select(F.posexplode("centroid").alias("pos", "m"))
+
+
+@query(f"with {_ARCS} select label, vec_id, round(dist, 6) as dist from di")
+def chunk_distance(spark, d):
+    return arcs.chunk_distances(read(spark, d, "embeddings"), "label", "vec_id")
+
+
+@query(f"with {_ARCS} select label, cast(n as bigint) as n_chunks, cast(i - 1 as integer) as point, round(arc[i], 6) as value from ar, range(1, 101) t(i)")
+def arc_100(spark, d):
+    return _arcs(spark, d).select("label", "n_chunks", F.posexplode("arc").alias("point", "value"))
+
+
+@query(f"with {_ARCS} select label, cast(i - 1 as integer) as point, round(arc[i] - list_sum(arc) / 100, 6) as value from ar, range(1, 101) t(i)")
+def arc_centered(spark, d):
+    return arcs.centred_arcs(_arcs(spark, d)).select("label", F.posexplode("arc").alias("point", "value"))
+
+
+@query(f"with {_CLUSTERS}, {_MEANS} select cluster, cast(i - 1 as integer) as point, round(m, 6) as mean, round(sd, 6) as std from mp")
+def cluster_mean_std(spark, d):
+    return arcs.cluster_curves(_clusters(spark, d))
+
+
+@query(f"with {_CLUSTERS}, {_MEANS}, dd as (select cl.cluster, book, {_DIST.format('arc', 'mean')} as gap from cl join mn using (cluster)), wi as (select cluster, count(*) as n, sum(gap * gap) as within_, avg(gap) as scatter from dd group by 1), gm as (select list(m order by i) as grand from (select i, avg(arc[i]) as m from cl, range(1, 101) t(i) group by 1)), b as (select sum(n * pow({_DIST.format('mean', 'grand')}, 2)) as between_, sum(within_) as w, sum(n) as n, count(*) as k from wi join mn using (cluster), gm) select round(between_ * (n - k) / (w * (k - 1)), 6) as calinski_harabasz from b")
+def calinski_harabasz(spark, d):
+    return arcs.calinski_harabasz(_clusters(spark, d))
+
+
+@query(f"with {_CLUSTERS}, {_MEANS}, dd as (select cl.cluster, {_DIST.format('arc', 'mean')} as gap from cl join mn using (cluster)), wi as (select cluster, avg(gap) as scatter, any_value(mean) as mean from dd join mn using (cluster) group by 1), r as (select a.cluster, max((a.scatter + b.scatter) / {_DIST.format('a.mean', 'b.mean')}) as r from wi a join wi b on a.cluster <> b.cluster group by 1) select round(avg(r), 6) as davies_bouldin from r")
+def davies_bouldin(spark, d):
+    return arcs.davies_bouldin(_clusters(spark, d))
+
+
+@query(f"with {_CLUSTERS}, pr as (select a.book as i, a.cluster as ci, b.cluster as cj, avg({_DIST.format('a.arc', 'b.arc')}) as d from cl a join cl b on a.book <> b.book group by 1, 2, 3), s as (select i, min(case when ci = cj then d end) as own, min(case when ci <> cj then d end) as other from pr group by 1) select round(avg(coalesce((other - own) / greatest(own, other), 0.0)), 6) as silhouette from s")
+def silhouette(spark, d):
+    return arcs.silhouette(_clusters(spark, d), "book")
+
+
+@query()
+def representatives(spark, d):
+    return arcs.representatives(_clusters(spark, d), "book")
+
+
+@query()
+def svd_archetypes(spark, d):
+    return arcs.archetypes(_arcs(spark, d), "label").select("label", "cluster")
+
+
+@query()
+def permutation_test(spark, d):
+    return arcs.permutation_test(_arcs(spark, d), rounds=200)
+
+
+@query()
+def ward_merges(spark, d):
+    return arcs.ward_merges(_arcs(spark, d), "label")
+
+
+# Models
+@query()
+def oof_scores(spark, d):
+    return models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=3)
+
+
+@query()
+def cv_ablation(spark, d):
+    return models.ablation(_labelled(spark, d), "doc_id", "y", {"length": ["word_count"], "all": FEATURES}, k=3)
+
+
+@query()
+def forest_ceiling(spark, d):
+    return models.cv_summary(models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=2, forest=50))
+
+
+@query()
+def pca_components(spark, d):
+    return models.principal(_style(spark, d), "doc_id", FEATURES)[0]
+
+
+@query()
+def axis_bootstrap(spark, d):
+    x = _labelled(spark, d).withColumn("long", (F.col("word_count") > 200).cast("int"))
+    return models.bootstrap_angles(x, "y", "long", ["avg_word_length", "ttr"], rounds=3)
+
+
+@query("with o as (select doc_id, y, row_number() over (partition by y order by md5(cast(doc_id as varchar) || '|42'), doc_id) as r from (select doc_id, max(quality) as y from labels group by 1)) select doc_id, y, cast((r - 1) % 10 as integer) as fold from o")
+def stratified_folds(spark, d):
+    return models.folds(read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id", "y")
+
+
+# Beyond the reference: windows over time, rollup, set operations
+@query("select date_trunc('day', ts) as start, event_type, count(*) as n, round(sum(value), 6) as total from events group by 1, 2")
+def event_windows(spark, d):
+    return incremental.windowed_counts(read(spark, d, "events"))
+
+
+@query("select lang, source, count(*) as n, cast(sum(n_chars) as bigint) as chars from documents group by rollup (lang, source)")
+def rollup_profile(spark, d):
+    return _docs(spark, d).rollup("lang", "source").agg(F.count("*").alias("n"), F.sum("n_chars").alias("chars"))
+
+
+@query("(select doc_id from documents intersect select doc_id from labels) except select item_id from benchmark")
+def set_operations(spark, d):
+    return _docs(spark, d).select("doc_id").intersect(read(spark, d, "labels").select("doc_id")).exceptAll(read(spark, d, "benchmark").select(F.col("item_id").alias("doc_id")))
