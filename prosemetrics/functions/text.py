@@ -24,7 +24,7 @@ def words(text: Column) -> Column:
 
 
 def sentences(text: Column) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), F.trim)
+    found = F.transform(F.regexp_extract_all(text, F.lit(r"[^.!?]+[.!?]*"), F.lit(0)), lambda s: F.trim(s))
     return F.filter(found, lambda s: F.length(s) >= LEAST_SENTENCE)
 
 

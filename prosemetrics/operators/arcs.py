@@ -162,7 +162,7 @@ def ward_merges(rows: DataFrame, book: str) -> DataFrame:
             names[i], sizes[i] = len(x) + step, a + b
         return pd.DataFrame(out, columns=["step", "left", "right", "height", "size"])
 
-    return rows.select(book, "arc").groupBy(F.lit(0)).applyInPandas(run, "step long, left long, right long, height double, size long")
+    return rows.select(book, "arc", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "step long, left long, right long, height double, size long")
 
 
 def search(books: DataFrame, book: str, title: str, ids: list[str] = (), titles: list[str] = (), literal: bool = False) -> DataFrame:

@@ -10,6 +10,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import clean_text, sentences, style, words
 
 
@@ -24,7 +25,7 @@ class CountModel:
 def token_rows(docs: DataFrame) -> DataFrame:
     """doc_id, pos (from 0), w, v (the word before, null for the first)."""
     text = words(F.lower(clean_text(F.col("text"))))
-    pairs = F.transform(text, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), F.get(text, i - 1).alias("v")))
+    pairs = let(text, lambda t: F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), F.get(t, i - 1).alias("v"))))
     return docs.select("doc_id", F.inline(pairs))
 
 

@@ -65,7 +65,7 @@ def ablation(rows: DataFrame, key: str, label: str, blocks: dict[str, list[str]]
 
 def axis(rows: DataFrame, label: str, features: list[str]) -> list[float]:
     marked = rows.where(F.col(label).isin(0, 1)).withColumn("y", F.col(label).cast("double"))
-    return list(logistic(marked.count()).fit(_scaled(marked, marked, features)).coefficients)
+    return [float(c) for c in logistic(marked.count()).fit(_scaled(marked, marked, features)).coefficients]
 
 
 def angle(a: list[float], b: list[float]) -> tuple[float, float]:
