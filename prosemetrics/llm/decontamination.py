@@ -71,6 +71,11 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> tuple[Data
     return windows, written(each.join(one, "content").select("cls", "item"), "benchmark-items")
 
 
+def _runs(words: Column, n: int) -> Column:
+    """Every n neighbouring words as one text."""
+    return let(words, lambda w: F.transform(_upto(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+
+
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     """Rows doc, pos, length, cls: an occurrence of a window in the words of docs(doc, text)."""
     long, short = windows.where(F.col("length") == SPAN), windows.where(F.col("length") < SPAN)
@@ -84,8 +89,7 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     hits = spans.join(_few(long), "content").select("doc", "pos", "length", "cls")
     for (n,) in short.select("length").distinct().sort("length").collect():  # at most SPAN - 1 lengths
         exact = written(short.where(F.col("length") == n), f"benchmark-short-{n}")
-        every = let(word_array(F.col("text")), lambda w, n=n: F.transform(_upto(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
-        hits = hits.unionByName(docs.select("doc", F.posexplode(every).alias("pos", "content")).join(_few(exact), "content").select("doc", "pos", "length", "cls"))
+        hits = hits.unionByName(docs.select("doc", F.posexplode(_runs(word_array(F.col("text")), n)).alias("pos", "content")).join(_few(exact), "content").select("doc", "pos", "length", "cls"))
     return hits
 
 

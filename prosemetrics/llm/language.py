@@ -52,10 +52,8 @@ def grams(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     data = _FOLD[data].astype(np.uint32)
     one, two = np.full(len(data) + 2, 32, np.uint32), np.full(len(data) + 2, 32, np.uint32)
     one[: len(data)], two[: len(data)] = data, data
-    one[offsets[1:-1]] = 32  # a text's first byte doesn't end the one before
-    two[offsets[1:-1]] = 32
-    last = offsets[1:][np.diff(offsets) > 0] - 1
-    two[last + 1] = 32
+    inner = offsets[1:-1]  # what follows the last two bytes of a text is not the next text
+    one[inner], two[inner], two[inner + 1] = 32, 32, 32
     key = data << np.uint32(16) | one[1 : len(data) + 1] << np.uint32(8) | two[2 : len(data) + 2]
     return (key * np.uint32(0x9E3779B1)) >> np.uint32(17), offsets
 
@@ -93,7 +91,7 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 total[lang] = total.get(lang, 0) + np.bincount(key[owner == k], minlength=FEATURES)
     for lang, counts in total.items():
         at = np.flatnonzero(counts)
-        yield pa.RecordBatch.from_arrays([pa.array([lang] * len(at)), pa.array(at.astype(np.int32)), pa.array(counts[at])], ["lang", "feature", "n"])
+        yield pa.RecordBatch.from_arrays([pa.array([str(lang)] * len(at), pa.string()), pa.array(at.astype(np.int32)), pa.array(counts[at], pa.int64())], ["lang", "feature", "n"])
 
 
 def fit(docs: DataFrame) -> Model:

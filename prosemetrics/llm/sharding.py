@@ -18,7 +18,7 @@ from .common import table, written
 #: Bins of one histogram.
 BINS = 2048
 #: A cut may miss its share by this part of a shard to leave equal rows together.
-TOLERANCE = 0.1
+TOLERANCE = 0.04
 
 
 @dataclass

@@ -86,13 +86,18 @@ def boundary() -> int:
 
 
 def subset_keys(shingles: np.ndarray, most: int) -> np.ndarray:
-    """Keys of the subsets of a small set, one for each size of a partner of at most ``most``."""
+    """Keys of the subsets of a small set, for each size of a partner of at most ``most``.
+
+    Bit 1 tells that the partner has the same size: then all that share the key are links. Otherwise only sets of
+    different sizes are. Bit 0 is set in all.
+    """
     s, keys = len(shingles), []
     for t in partners(s):
         n = overlap(s, t)
         if t <= most and n <= min(s, t):
             for chosen in combinations(range(s), n):
-                keys.append(mix((mix(shingles[list(chosen)]) * np.uint64(3)).sum(keepdims=True) + np.uint64(min(s, t) * 1009 + max(s, t)))[0])
+                key = int(mix(mix(shingles[list(chosen)]).sum(keepdims=True) + np.uint64(min(s, t) * 1009 + max(s, t)))[0])
+                keys.append(key & ~3 | 2 * (s == t) | 1)
     return np.array(keys, np.uint64)
 
 
@@ -159,7 +164,7 @@ def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
             found, owners = [], []
             for key, x, last in zip(keys, sets, late, strict=True):
                 if len(x) <= most:
-                    found.append(subset_keys(x, most) | np.uint64(1))
+                    found.append(subset_keys(x, most))
                     owners.append(np.full(len(found[-1]), key, np.int64))
                 if 100 * len(x) >= PERCENT * most:  # it may have a partner beyond the boundary
                     found.append(np.unique(np.concatenate([x[~last], x[last]])[: prefix(len(x))] & even))
@@ -208,6 +213,15 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _subset_links(subsets: DataFrame) -> DataFrame:
+    """a, b: a few links of each subset key that join all that it links."""
+    ends = written(subsets.groupBy("key").agg(F.min(F.struct("size", "class")).alias("lo"), F.min(F.struct((-F.col("size")).alias("minus"), "class")).alias("hi")), "subset-ends")
+    x = subsets.join(ends, "key")
+    other = F.when(F.col("key").bitwiseAND(F.lit(2)) == 2, F.col("lo.class")).when(F.col("size") == F.col("lo.size"), F.col("hi.class")).otherwise(F.col("lo.class"))
+    fit = (F.col("key").bitwiseAND(F.lit(2)) == 2) | (F.col("lo.size") != -F.col("hi.minus"))
+    return x.where(fit).select(F.col("class").alias("a"), other.alias("b")).where("a <> b").distinct()
+
+
 def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     """class, root for every class that has a link; ``sizes``: class, size. No pair that can be a link goes unseen."""
     keys = postings(docs, find_heavy(docs))
@@ -221,8 +235,7 @@ def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
         alive = lists.select("key", "class").join(kept, "class")
         lists = written(alive.join(alive.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
     sets = written(arrays(docs, written(lists.select("class").distinct(), "involved")), "sets")
-    same = subsets.join(subsets.groupBy("key").agg(F.min("class").alias("b")), "key").where(F.col("class") != F.col("b")).select(F.col("class").alias("a"), "b").distinct()
-    links, roots, turn = same, None, 0
+    links, roots, turn = _subset_links(subsets.join(sizes, "class")), None, 0
     placed = lists.withColumn("root", F.col("class"))
     while True:
         # of each list, one set is the centre that the others are compared with: first the one that shares most of
