@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 #: Bytes of text that one NumPy step holds; temporaries take some 60 times that.
-SLICE_BYTES = 1 << 20
+SLICE_BYTES = 1 << 18
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -35,6 +35,7 @@ def ascii_lower(text: Column) -> Column:
 
 
 _shipped: set[str] = set()
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def ship(spark: SparkSession) -> None:
@@ -43,6 +44,8 @@ def ship(spark: SparkSession) -> None:
     if context.applicationId in _shipped:
         return
     _shipped.add(context.applicationId)
+    if spark.conf.get(BATCH_ROWS, "10000") == "10000":  # texts are long: Spark's own setting would hold tens of megabytes
+        spark.conf.set(BATCH_ROWS, "1000")
     top = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
     folder = tempfile.mkdtemp()  # the driver's file server reads it as long as the application runs
     atexit.register(shutil.rmtree, folder, ignore_errors=True)

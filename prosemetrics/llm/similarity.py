@@ -17,10 +17,11 @@ from math import comb
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, map_arrow, mix, slices, span_hash, table, utf8, words, written
+from .common import Lookup, map_arrow, mix, ship, slices, span_hash, table, utf8, words, written
 
 #: Words of a shingle; similarity in hundredths.
 K, PERCENT = 5, 80
@@ -30,8 +31,9 @@ LIST_COST = 16
 HEAVY, MOST_HEAVY = 16, 1_000_000
 #: One element in so many of a set must be shared within the prefixes, and each prefix is longer by that.
 SHARE = 20
-#: Rounds of stars before the pairs that are left are compared.
-MOST_TURNS = 8
+#: Sets in a list whose pairs are enumerated at most; members of longer lists are compared in blocks of so many
+#: sets, over so many shingles at a time.
+LONG, BLOCK, COLUMNS = 32, 1_024, 2_048
 #: Classes whose keys are broadcast at most (8 MB); more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _WEIGHTS = mix(np.arange(11, 11 + K, dtype=np.uint64)) | np.uint64(1)
@@ -231,35 +233,66 @@ def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     need = lambda size: F.greatest(F.lit(1), F.floor(size / SHARE))
     least = F.ceil(F.col("size") * PERCENT / 100)  # of a partner, which may need fewer
     for _ in range(2):  # a set with too few shared keys has no partner; without it, others have fewer
-        kept = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= need(least)).select("class", "size", (F.col("n") / F.col("size")).alias("core"))
+        kept = lists.groupBy("class").agg(F.count("*").alias("n")).join(sizes, "class").where(F.col("n") >= need(least)).select("class", "size")
         alive = lists.select("key", "class").join(kept, "class")
         lists = written(alive.join(alive.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"), "key", "left_semi"), "lists")
-    sets = written(arrays(docs, written(lists.select("class").distinct(), "involved")), "sets")
-    links, roots, turn = _subset_links(subsets.join(sizes, "class")), None, 0
-    placed = lists.withColumn("root", F.col("class"))
-    while True:
-        # of each list, one set is the centre that the others are compared with: first the one that shares most of
-        # itself, then others by a hash; lists within one component are done
-        rank = F.struct(F.col("core").alias("x"), "class", "root") if not turn else F.struct(F.xxhash64("class", F.lit(turn)).alias("x"), "class", "root")
-        centre = placed.groupBy("key").agg(F.max(rank).alias("c")).select("key", F.col("c.class").alias("b"), F.col("c.root").alias("other"))
-        stars = placed.join(centre, "key").where(F.col("root") != F.col("other")).select(F.col("class").alias("a"), "b").distinct()
-        links = written(links.union(verify(stars, sets)), "links")
-        roots = components(links)
-        placed = placed.drop("root").join(roots.toDF("class", "root"), "class", "left").select("key", "class", "size", "core", F.coalesce("root", "class").alias("root"))
-        split = placed.groupBy("key").agg(F.min("root").alias("lo"), F.max("root").alias("hi"), F.count("*").alias("n")).where("lo < hi").select("key", "n")
-        placed = written(placed.join(split.select("key"), "key", "left_semi"), "split-lists")
-        turn += 1
-        left = placed.groupBy("key").agg(F.count("*").alias("n")).agg(F.sum("n").alias("rows"), F.sum(F.col("n") * (F.col("n") - 1) / 2).alias("pairs")).first()
-        if turn == MOST_TURNS or (left["pairs"] or 0) <= 4 * (left["rows"] or 0):
-            break
-    # then every pair of a list that the stars left in different components
-    one, two = placed.select("key", F.col("class").alias("a"), F.col("size").alias("s"), F.col("root").alias("ra")), placed.select("key", F.col("class").alias("b"), F.col("size").alias("t"), F.col("root").alias("rb"))
-    close = (F.col("a") < F.col("b")) & (F.col("ra") != F.col("rb")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))
-    pairs = one.join(two, "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
-    more = written(verify(pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b"), sets), "more-links")
-    if not more.limit(1).count():
-        return roots.toDF("class", "root")
-    return components(links.union(more)).toDF("class", "root")
+    held = written(arrays(docs, written(lists.select("class").distinct(), "involved")), "sets")
+    links = _subset_links(subsets.join(sizes, "class")).select("a", "b")
+    counted = written(lists.join(lists.groupBy("key").agg(F.count("*").alias("n")), "key"), "counted-lists")
+    # short lists: all pairs, of which those with enough keys in common are compared
+    short = counted.where(F.col("n") <= LONG).select("key", "class", "size")
+    close = (F.col("a") < F.col("b")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))
+    pairs = short.toDF("key", "a", "s").join(short.toDF("key", "b", "t"), "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
+    found = verify(written(pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b"), "pairs"), held)
+    links = written(links.union(found).union(_crowds(counted.where(F.col("n") > LONG).select("key", "class"), held)), "links")
+    return components(links).toDF("class", "root")
+
+
+def _crowds(lists: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join what long lists link. Sets that long lists lead to are compared block by block, each
+    pair of blocks in a task that counts overlaps over its inverted lists and gives a forest of its links alone."""
+    if not lists.limit(1).count():
+        return lists.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
+    first = lists.groupBy("key").agg(F.min("class").alias("b"))
+    crowd = components(written(lists.join(first, "key").select(F.col("class").alias("a"), "b").distinct(), "crowd-edges"))
+    count = crowd.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = crowd.join(count, "root").select("root", F.col("node").alias("class"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
+    placed = placed.select("root", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    placed = written(placed.select("root", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "crowds")
+
+    def run(group: pa.Table) -> pa.Table:
+        shingles = group.column("shingles").combine_chunks()
+        n, classes = len(shingles), group.column("class").to_numpy()
+        sizes = pa.compute.list_value_length(shingles).to_numpy().astype(np.float32)
+        _, at, counts = np.unique(shingles.flatten().to_numpy(), return_inverse=True, return_counts=True)
+        owner = np.repeat(np.arange(n), sizes.astype(np.int64))
+        keep = counts[at] > 1
+        at, owner = (np.cumsum(counts > 1) - 1)[at[keep]], owner[keep]
+        order = np.argsort(at, kind="stable")
+        at, owner = at[order], owner[order]
+        both = np.zeros((n, n), np.float32)
+        for lo in range(0, int(at[-1]) + 1 if len(at) else 0, COLUMNS):
+            a, b = np.searchsorted(at, (lo, lo + COLUMNS))
+            m = np.zeros((n, COLUMNS), np.float32)
+            m[owner[a:b], at[a:b] - lo] = 1
+            both += m @ m.T
+        linked = 100 * both >= PERCENT * (sizes[:, None] + sizes[None] - both)
+        ends: list[tuple[int, int]] = []
+        left = np.ones(n, bool)
+        for k in range(n):
+            stack = [k] if left[k] else []
+            left[k] = False
+            while stack:
+                u = stack.pop()
+                new = np.flatnonzero(linked[u] & left)
+                left[new] = False
+                stack += new.tolist()
+                ends += [(u, v) for v in new.tolist()]
+        e = np.array(ends, np.int64).reshape(-1, 2)
+        return pa.table({"a": pa.array(classes[e[:, 0]], pa.int64()), "b": pa.array(classes[e[:, 1]], pa.int64())})
+
+    ship(sets.sparkSession)
+    return placed.join(sets, "class").groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:
