@@ -12,12 +12,15 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import END, SPACE, BLANK, Counter, char_classes, pieces, vocabulary
 from .common import map_arrow, slices, span_hash, sums, table, utf8
 
+#: Bytes of text at a time: pieces are looked up once in each such slice.
+SLICE = 1 << 20
 #: Pieces whose result a worker remembers at most.
 MOST_KNOWN = 600_000
 _known: dict[tuple, dict] = {}
@@ -75,7 +78,7 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
         counter = _known.setdefault(("counter",), {}).setdefault(path, Counter(vocab))
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 own, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
                 special = _specials(own, bounds, list(vocab.special)) if vocab.special else []
                 first, last, at = _spans(own, bounds, True, [x[1:] for x in special])
@@ -120,7 +123,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         special = re.compile("(" + "|".join(map(re.escape, vocab.special)) + ")") if vocab.special else None
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 part = batch.slice(a, b - a)
                 texts, fixed, owner = [], [], []  # stretches between special strings, in order
                 for k, text in enumerate(part.column("text").to_pylist()):
@@ -166,10 +169,17 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab = vocabulary(path)
         known = vocab.strings | {k: x for x, k in vocab.special.items()}
+        strings = np.full(max(known) + 1, None, object)
+        strings[list(known)] = list(known.values())
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                texts = [None if ids is None else " ".join([known[t] for t in ids]) for ids in part.column("ids").to_pylist()]
+                column = part.column("ids")
+                ids = column.flatten().to_numpy()
+                if len(ids) and not (0 <= ids.min() and ids.max() < len(strings)):
+                    raise KeyError("an id is not in the vocabulary")
+                words, ends = strings[ids], np.cumsum([0, *(n or 0 for n in pa.compute.list_value_length(column).to_pylist())])
+                texts = [" ".join(words[a:b].tolist()) if good else None for a, b, good in zip(ends[:-1], ends[1:], column.is_valid().to_pylist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], [*part.schema.names, "decoded"])
 
     kept = rows.drop("decoded")

@@ -242,7 +242,10 @@ def components(data):
     return Counter((i, len(s[k]), least.get(top(k))) for k, i in enumerate(ids))
 
 
-def test_similarity(spark):
+@pytest.mark.parametrize(("long", "block"), [(32, 1024), (2, 5)])
+def test_similarity(spark, monkeypatch, long, block):
+    monkeypatch.setattr(similarity, "LONG", long)  # the second time, nearly all lists go block by block
+    monkeypatch.setattr(similarity, "BLOCK", block)
     r = np.random.default_rng(6)
     data = rows()
     for size in range(1, 22):  # every size around the boundary, with edits
