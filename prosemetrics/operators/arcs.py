@@ -62,13 +62,15 @@ def modes(rows: DataFrame, m: int) -> tuple[np.ndarray, np.ndarray]:
 
 
 def archetypes(rows: DataFrame, book: str, k: int = 6) -> DataFrame:
-    """book, weights, cluster: 2 * strongest mode + (negative weight); an odd k is raised to the next even one."""
+    """book, weights, cluster, cluster_name: 2 * strongest mode + (negative weight); an odd k is raised to the next even one."""
     x = centred_arcs(rows)
     _, v = modes(x, (k + k % 2) // 2)
     w = F.array(*[dot(F.col("arc"), F.array(*[F.lit(float(a)) for a in mode])) for mode in v])
     x = x.select(book, "arc", w.alias("weights"))
     strongest = F.array_position(F.transform("weights", F.abs), F.array_max(F.transform("weights", F.abs))) - 1
-    return x.withColumn("cluster", (2 * strongest + (F.element_at("weights", (strongest + 1).cast("int")) < 0).cast("int")).cast("int"))
+    x = x.withColumn("cluster", (2 * strongest + (F.element_at("weights", (strongest + 1).cast("int")) < 0).cast("int")).cast("int"))
+    names = F.array(*[F.lit(name) for place, mode in enumerate(v) for name in mode_labels(mode, place)])
+    return x.withColumn("cluster_name", F.get(names, F.col("cluster")))
 
 
 def cluster_curves(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
@@ -173,15 +175,18 @@ def search(books: DataFrame, book: str, title: str, ids: list[str] = (), titles:
     return books.where(found).distinct()
 
 
-def total_of(arc: Column, first: int, last: int) -> Column:
-    """The mean of points first to last, from 1."""
-    return total(F.slice(arc, first, last - first + 1)) / (last - first + 1)
+# The archetypes of the first three modes, as their weight is positive or negative.
+ARCHETYPES = (("1. Rags to Riches", "2. Riches to Rags"), ("3. Man in a Hole", "4. Icarus"), ("5. Cinderella", "6. Oedipus"))
 
 
-def mode_name(arc: Column, mode: int) -> Column:
-    """A name for the shape of a mode: rise or fall; hill or valley; early or late."""
-    if mode == 0:
-        return F.when(total_of(arc, 76, 100) > total_of(arc, 1, 25), "rise").otherwise("fall")
-    if mode == 1:
-        return F.when(total_of(arc, 26, 75) > (total_of(arc, 1, 25) + total_of(arc, 76, 100)) / 2, "hill").otherwise("valley")
-    return F.when(total_of(arc, 1, 50) > total_of(arc, 51, 100), "early").otherwise("late")
+def mode_labels(mode: np.ndarray, place: int) -> tuple[str, str]:
+    """The names of a mode's two clusters: by its rise, by its middle against its ends, by its halves."""
+    if place >= len(ARCHETYPES):
+        return f"Mode {place + 1} (+)", f"Mode {place + 1} (-)"
+    quarter, half = len(mode) // 4, len(mode) // 2
+    first = (
+        lambda: mode[-1] > mode[0],
+        lambda: mode[quarter:-quarter].mean() < (mode[:quarter].mean() + mode[-quarter:].mean()) / 2,
+        lambda: mode[:half].mean() > mode[half:].mean(),
+    )[place]()
+    return ARCHETYPES[place] if first else ARCHETYPES[place][::-1]

@@ -143,7 +143,7 @@ def chunk_greedy(spark, d):
 
 @query()
 def boilerplate_strip(spark, d):
-    book = F.concat(F.lit("Header\n*** START OF THE BOOK ***\n\nProduced by someone\n\n"), "text", F.lit("\n*** END OF THE BOOK ***\nLicence"))
+    book = F.concat(F.lit("Header\n*** START OF THE PROJECT GUTENBERG EBOOK ***\n\nProduced by someone\n\n"), "text", F.lit("\n*** END OF THE PROJECT GUTENBERG EBOOK ***\nLicence"))
     return _docs(spark, d).select("doc_id", T.strip_boilerplate(book).alias("body"))
 
 
@@ -429,7 +429,7 @@ def representatives(spark, d):
 
 @query()
 def svd_archetypes(spark, d):
-    return arcs.archetypes(_arcs(spark, d), "label").select("label", "cluster")
+    return arcs.archetypes(_arcs(spark, d), "label").select("label", "cluster", "cluster_name")
 
 
 @query()

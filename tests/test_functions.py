@@ -81,7 +81,7 @@ def test_auc_is_the_share_of_pairs(spark):
 
 
 def test_strip_boilerplate(spark):
-    book = "﻿Title\r\n*** START OF THE BOOK ***\r\n\r\nProduced by X\r\n\r\nBody one.\n\n\n\n\nBody two.\n" + "x " * 60 + "\n*** END OF THE BOOK ***\nLicence"
+    book = "﻿Title\r\n*** START OF THE PROJECT GUTENBERG EBOOK ***\r\n\r\nProduced by X\r\n\r\nBody one.\n\n\n\n\nBody two.\n" + "x " * 60 + "\n*** END OF THE PROJECT GUTENBERG EBOOK ***\nLicence"
     assert value(spark, T.strip_boilerplate(F.lit(book))) == "Body one.\n\n\nBody two.\n" + ("x " * 60).strip() + "\n"
 
 
@@ -98,3 +98,26 @@ def test_increment_resumes(spark, tmp_path):
 def test_coerce_and_finite(spark):
     rows = spark.createDataFrame([("1.5",), ("x",), (None,), ("NaN",)], "x string")
     assert [r["x"] for r in relational.finite(relational.coerce(rows, "x"), ["x"]).collect()] == [1.5]
+
+
+def test_master_table(spark):
+    from prosemetrics.operators import feature_tables as f
+
+    ids = ["Café 1", "b_2", "c-3", "d", "e", "g"]
+    meta = spark.createDataFrame([(i, " FIC " if k % 2 else "NON", "PW", 1000, *[str(float(k + 1) * (1000 if c == "volume" and k == 5 else 1)) for c in f.META]) for k, i in enumerate(ids)], "ID string, Category string, Genre string, token_count int, " + ", ".join(f"{c} string" for c in f.META))
+    counts = spark.createDataFrame([(i + ".", *[k + j for j in range(10)]) for k, i in enumerate(ids[:-1])], "file_name string, " + ", ".join(f"`{c}` int" for c in f.EMBODIED + f.ABSTRACT))
+    m = f.metadata(meta)
+    assert {r["volume"] for r in m.collect()} == {1, 2, 3, 4, 5, 6} and {r["genre_label"] for r in m.collect()} == {"Prizewinners"}
+    rates = f.category_rates(counts, m)
+    other = m.select("_k").withColumn("lex", F.lit(1.0))
+    out = f.master_table(m, rates, other.withColumnRenamed("lex", "share"), other)
+    assert out.count() == 5 and abs(out.agg(F.sum("poetic")).first()[0]) < 1e-9
+
+
+def test_archetypes(spark):
+    from prosemetrics.operators import arcs
+
+    up, hill = np.linspace(-1, 1, 100), -np.cos(np.linspace(0, 2 * np.pi, 100))
+    rows = spark.createDataFrame([(k, [float(v) for v in (up * s if k < 4 else hill * s * 0.5)]) for k, s in enumerate((3, 2.5, -3, 2, 1, 1.2, -1))], "label int, arc array<double>")
+    got = {r["label"]: r["cluster_name"] for r in arcs.archetypes(rows, "label", 4).collect()}
+    assert got[0] == got[1] == got[3] == "1. Rags to Riches" and got[2] == "2. Riches to Rags" and got[4] == got[5] != got[6]
