@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
-from ..operators import arcs, lexical, lm, models, relational, stats
+from ..operators import arcs, figures, lexical, lm, models, relational, stats
 from ..streaming import incremental
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -381,6 +381,30 @@ def roc_points(spark, d):
     return stats.roc_points(_labelled(spark, d), "y", "word_count")
 
 
+@query(f"with {_LABELLED}, g as (select lang, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(ttr) filter (y = 1) as m1, avg(ttr) filter (y = 0) as m0, var_samp(ttr) filter (y = 1) as v1, var_samp(ttr) filter (y = 0) as v0 from lb join documents using (doc_id) group by 1) select lang as feature, round(m1, 6) as m1, round(m0, 6) as m0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / nullif(n1 + n0 - 2, 0)), 6) as d from g")
+def effects_within_groups(spark, d):
+    x = _labelled(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id").select(F.col("lang").alias("feature"), F.col("ttr").alias("x"), "y")
+    return stats.moments(x).select("feature", "m1", "m0", stats.cohen_d().alias("d"))
+
+
+@query("with v as (select log10(n_chars) as x from documents where n_chars is not null), e as (select min(x) as lo, max(x) as hi, count(*) as total from v), b as (select least(19, floor((x - lo) / ((hi - lo) / 20)))::integer as bin, lo, hi, total from v, e) select bin, round(lo + bin * ((hi - lo) / 20), 6) as low, round(lo + (bin + 1) * ((hi - lo) / 20), 6) as high, count(*) as n, round(count(*) / (total * ((hi - lo) / 20)), 6) as density from b group by bin, lo, hi, total")
+def histogram_log(spark, d):
+    return figures.histogram(_docs(spark, d), "n_chars", 20, log=True)
+
+
+@query("with q as (select lang, quantile_cont(n_chars, 0.25) as q1, quantile_cont(n_chars, 0.5) as median, quantile_cont(n_chars, 0.75) as q3 from documents group by 1) select lang, min(n_chars) as low, round(any_value(q1), 6) as q1, round(any_value(median), 6) as median, round(any_value(q3), 6) as q3, max(n_chars) as high from documents join q using (lang) where n_chars between q1 - 1.5 * (q3 - q1) and q3 + 1.5 * (q3 - q1) group by 1")
+def box_summary(spark, d):
+    return figures.box_summary(_docs(spark, d), "lang", "n_chars")
+
+
+@query("select conv_id, turn, round(avg(length(text)) over (partition by conv_id order by turn rows between 49 preceding and current row), 6) as rolling, lag(role) over (partition by conv_id order by turn) as before from conversations")
+def turns_in_context(spark, d):
+    from pyspark.sql import Window
+
+    x = read(spark, d, "conversations").withColumns({"size": F.length("text"), "before": F.lag("role").over(Window.partitionBy("conv_id").orderBy("turn"))})
+    return lm.rolling_mean(x, "conv_id", "turn", "size").select("conv_id", "turn", "rolling", "before")
+
+
 # Curves
 @query("select cast(i - 1 as integer) as pos, round(avg(cast(embedding[i] as double)), 6) as m from embeddings, range(1, 65) t(i) group by 1")
 def global_centroid(spark, d):
