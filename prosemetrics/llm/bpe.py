@@ -226,7 +226,7 @@ class Vocabulary:
                     i += 1
                 else:
                     j += 1
-            if len(self._fit) > 2_000_000:
+            if len(self._fit) > 400_000:
                 self._fit.clear()
             self._fit[key] = known
         return known
@@ -262,7 +262,7 @@ class Counter:
     it and the tokens since. States and transitions are compiled as texts ask for them, and forgotten beyond a bound.
     """
 
-    def __init__(self, vocab: Vocabulary, most: int = 300_000):
+    def __init__(self, vocab: Vocabulary, most: int = 200_000):
         self.vocab, self.most = vocab, most
         self._reset()
 

@@ -22,7 +22,7 @@ from .common import map_arrow, slices, span_hash, sums, table, utf8
 #: Bytes of text at a time: pieces are looked up once in each such slice.
 SLICE = 1 << 20
 #: Pieces whose result a worker remembers at most.
-MOST_KNOWN = 600_000
+MOST_KNOWN = 400_000
 _known: dict[tuple, dict] = {}
 
 
