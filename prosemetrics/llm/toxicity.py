@@ -73,24 +73,27 @@ def _extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column("toxic")[a:b], found, votes], ["toxic", "places", "votes"])
 
 
-def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def label_model(votes: np.ndarray, anchor: np.ndarray, rounds: int = 30, rate: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Posterior of label 1 for each row of votes (1, 0 or -1 for none), the voters' accuracies, and correlations.
 
     Expectation-maximization over P(vote | label), from the anchor (labels or guesses in [0, 1]) on. A voter's
     evidence is divided by one plus its positive correlations with others given the label, so that voters that
-    say the same thing count once.
+    say the same thing count once. A row stands for ``rate`` rows, or for itself.
     """
+    rate = np.ones(len(votes)) if rate is None else rate
     seen = np.stack([votes == -1, votes == 0, votes == 1], 2).astype(float)
     post = np.clip(anchor.astype(float), 0.02, 0.98)
     corr = np.eye(votes.shape[1])
     for _ in range(rounds):
-        prior = np.clip(post.mean(), 1e-3, 1 - 1e-3)
-        one = (np.einsum("i,ijv->jv", post, seen) + 0.5) / (post.sum() + 1.5)
-        zero = (np.einsum("i,ijv->jv", 1 - post, seen) + 0.5) / ((1 - post).sum() + 1.5)
+        ones, zeros = rate * post, rate * (1 - post)
+        prior = np.clip(ones.sum() / rate.sum(), 1e-3, 1 - 1e-3)
+        one = (np.einsum("i,ijv->jv", ones, seen) + 0.5) / (ones.sum() + 1.5)
+        zero = (np.einsum("i,ijv->jv", zeros, seen) + 0.5) / (zeros.sum() + 1.5)
         voted = seen[:, :, 2] - seen[:, :, 1]
         rest = voted - (post[:, None] * (one[:, 2] - one[:, 1]) + (1 - post[:, None]) * (zero[:, 2] - zero[:, 1]))
-        rest = rest / np.maximum(1e-9, rest.std(0))
-        corr = rest.T @ rest / max(1, len(rest))
+        mean = rate @ rest / rate.sum()
+        rest = rest / np.maximum(1e-9, np.sqrt(rate @ (rest - mean) ** 2 / rate.sum()))
+        corr = (rate[:, None] * rest).T @ rest / rate.sum()
         damp = 1 + np.maximum(0, corr - np.diag(np.diag(corr))).sum(1)
         odds = np.log(prior / (1 - prior)) + ((np.log(one) - np.log(zero))[None] * seen).sum(2) @ (1 / damp)
         new = 1 / (1 + np.exp(-np.clip(odds, -30, 30)))
@@ -139,7 +142,8 @@ def _apart(cols: np.ndarray, bounds: np.ndarray, hashes: int = 6) -> np.ndarray:
 
 def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, target: np.ndarray, weight: np.ndarray, width: int, rounds: int = 1500, l2: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression of soft targets on binary features (row, column pairs), by Adam over all rows."""
-    w, b = np.zeros(width), float(np.log(np.clip(target.mean(), 1e-3, 1 - 1e-3) / np.clip(1 - target.mean(), 1e-3, 1)))
+    mean = np.average(target, weights=weight)
+    w, b = np.zeros(width), float(np.log(np.clip(mean, 1e-3, 1 - 1e-3) / np.clip(1 - mean, 1e-3, 1)))
     m, v = np.zeros(width + 1), np.zeros(width + 1)
     for t in range(1, rounds + 1):
         p = 1 / (1 + np.exp(-np.clip(np.bincount(rows, w[cols], n) + b, -30, 30)))
@@ -154,28 +158,36 @@ def _logistic(rows: np.ndarray, cols: np.ndarray, n: int, target: np.ndarray, we
 def fit(docs: DataFrame, labels: DataFrame) -> Model:
     """Learns from the texts of ``docs`` whose doc_id has a toxic label of 0 or 1; of several labels, the largest.
 
-    Fits on at most MOST_TOXIC and MOST_CLEAN rows. Without labels, or with one class only, the score is the
+    Fits on at most MOST_TOXIC and MOST_CLEAN rows, each of which counts for the labelled rows of its class that it
+    stands for, so that the fit sees the classes' true shares. Without labels, or with one class only, the score is the
     smoothed share of toxic labels for every text.
     """
     marked = labels.where("doc_id is not null and toxic in (0, 1)").groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    total = {r["toxic"]: r["count"] for r in marked.groupBy("toxic").count().collect()}  # two at most
     first = lambda v, n: marked.where(F.col("toxic") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(n)
     chosen = F.broadcast(first(1, MOST_TOXIC).unionByName(first(0, MOST_CLEAN)))  # at most 10,000 pairs of numbers
     rows = docs.where("text is not null").select("doc_id", "text").join(chosen, "doc_id").select("text", "toxic")
     got = map_arrow(rows, _extract, "toxic int, places array<int>, votes array<int>").toArrow()
     y = np.array(got.column("toxic").to_pylist(), float)
+    rate = np.where(y == 1, max(1, total.get(1, 0) / MOST_TOXIC), max(1, total.get(0, 0) / MOST_CLEAN))
     if len(set(y)) < 2:
-        share = (y.sum() + 0.5) / (len(y) + 1)
+        share = ((rate * y).sum() + 0.5) / (rate.sum() + 1)
         return Model(np.zeros(0, np.int64), np.zeros(0), float(np.log(share / (1 - share))), np.zeros(0))
     places = got.column("places").combine_chunks()
     cols, bounds = places.flatten().to_numpy(), np.concatenate([[0], np.cumsum(pa.compute.list_value_length(places).to_numpy())])
     owner = np.repeat(np.arange(len(y)), np.diff(bounds))
     # lexicon: features that labelled toxic rows have far more often than others
-    weight = _apart(cols, bounds)
+    apart = _apart(cols, bounds)
+    weight = apart * rate
     yes, no = np.bincount(cols, (weight * y)[owner], 1 << BITS), np.bincount(cols, (weight * (1 - y))[owner], 1 << BITS)
-    base, both = (weight * y).sum() / weight.sum(), yes + no
-    share = np.clip(yes / np.maximum(1, both), 1e-12, 1 - 1e-12)
-    evidence = 2 * (yes * np.log(share / base) + no * np.log((1 - share) / (1 - base)))  # likelihood ratio against the base rate
-    strong = np.flatnonzero((share > PURE) & (yes >= 3) & (evidence > 2 * np.log(max(2, (both > 1).sum()))))  # beyond what chance gives the best of so many
+    both = yes + no
+    share = yes / np.maximum(1, both)
+    # whether that is chance is told from the sampled rows, counted as they are: a row that stands for many is one observation
+    hit, miss = np.bincount(cols, (apart * y)[owner], 1 << BITS), np.bincount(cols, (apart * (1 - y))[owner], 1 << BITS)
+    base, drawn = (apart * y).sum() / apart.sum(), hit + miss
+    part = np.clip(hit / np.maximum(1, drawn), 1e-12, 1 - 1e-12)
+    evidence = 2 * (hit * np.log(part / base) + miss * np.log((1 - part) / (1 - base)))  # likelihood ratio against the base rate
+    strong = np.flatnonzero((share > PURE) & (hit >= 3) & (evidence > 2 * np.log(max(2, (drawn > 1).sum()))))  # beyond what chance gives the best of so many
     votes = np.full((len(y), LEXICONS), -1, np.int8)
     for k in range(LEXICONS):
         mine = np.zeros(1 << BITS, bool)
@@ -183,7 +195,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
         hits = np.bincount(owner, mine[cols], len(y))
         votes[:, k] = np.where(hits > 0, 1, 0)
     flat = np.array(got.column("votes").to_pylist(), np.int8)
-    post, accuracies, _ = label_model(np.concatenate([votes, flat], 1), y)
+    post, accuracies, _ = label_model(np.concatenate([votes, flat], 1), y, rate=rate)
     # classifier on the posteriors, over the lexicon's features
     used = strong
     at = np.full(1 << BITS, -1)

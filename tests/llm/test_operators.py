@@ -203,6 +203,24 @@ def test_toxicity(spark):
     assert toxicity.score_texts(empty(spark), model).count() == 0
 
 
+def test_toxicity_above_the_caps_fits_the_true_shares(spark, monkeypatch):
+    """``mild`` is in 250 texts, 100 of them toxic; 300 of 3,000 texts are toxic. Capped classes change neither."""
+    word = lambda k: "rotter" if k < 200 else "mild"
+    data = [(k, prose(k, 20) + (f" {word(k)}" if k < 450 else ""), "en", "a") for k in range(3000)]
+    docs, labels = documents(spark, data), spark.createDataFrame([(k, int(k < 300)) for k in range(3000)], "doc_id long, toxic int")
+    asked = documents(spark, [(1, "rotter", "en", "a"), (2, "mild", "en", "a"), (3, "", "en", "a")])
+
+    def scores():
+        return [r["toxicity"] for r in toxicity.score_texts(asked, toxicity.fit(docs, labels)).orderBy("doc_id").collect()]
+
+    whole = scores()
+    monkeypatch.setattr(toxicity, "MOST_TOXIC", 240)
+    monkeypatch.setattr(toxicity, "MOST_CLEAN", 200)
+    capped = scores()
+    assert whole[0] > 0.5 > whole[1] and capped[0] > 0.5 > capped[1]
+    assert max(abs(a - b) for a, b in zip(whole, capped, strict=True)) < 0.1
+
+
 def test_label_model_finds_good_and_bad_voters():
     rng = np.random.default_rng(4)
     y = rng.integers(0, 2, 4000)
