@@ -77,10 +77,16 @@ def p_normal(z: pd.Series) -> pd.Series:
 
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str] | None = None, name: str = "p_adjusted") -> DataFrame:
+    """``rows`` with p adjusted for all tests of their group; ranks by distinct p. Without a p there is no test."""
+    keys = [*(by or []), p]
     up = Window.partitionBy(*(by or [])).orderBy(p)
-    m = F.count(p).over(Window.partitionBy(*(by or [])))
-    scaled = F.col(p) * m / F.row_number().over(up)
-    return rows.withColumn("scaled", scaled).withColumn(name, F.least(F.lit(1.0), F.min("scaled").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing)))).drop("scaled")
+    g = rows.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys).agg(F.count("*").alias("c"))
+    m = F.sum("c").over(Window.partitionBy(*(by or [])))
+    rank = F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
+    g = g.withColumn("scaled", F.col(p) * m / rank).withColumn("adjusted", F.least(F.lit(1.0), F.min("scaled").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
+    g = g.select(*[F.col(c).alias(f"bh_{k}") for k, c in enumerate(keys)], F.col("adjusted").alias("bh_adjusted"))
+    same = [rows[c].eqNullSafe(g[f"bh_{k}"]) for k, c in enumerate(keys)]
+    return rows.join(g, same, "left").withColumn(name, F.col("bh_adjusted")).drop(*g.columns)
 
 
 def univariate(rows: DataFrame, label: str, features: list[str], layer: str = "all") -> DataFrame:

@@ -4,7 +4,9 @@ import math
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
+from prosemetrics.operators import stats
 from prosemetrics.plans import catalogue
 
 SLOW = {"adaptation_curve", "cv_ablation", "forest_ceiling", "axis_bootstrap", "oof_scores"}
@@ -34,3 +36,22 @@ def test_query(spark, small, name):
     columns = expected.columns
     assert sorted(columns) == sorted(df.columns)
     assert table(rows, columns) == table([dict(zip(columns, r, strict=True)) for r in expected.fetchall()], columns)
+
+
+def test_bh_over_all_orders(spark, small):
+    """As the SQL of bh_adjust without its filter; only distinct values of p are ordered."""
+    x = spark.read.parquet(f"{small}/orders.parquet").select(F.col("o_orderkey").cast("long").alias("k"), ((F.col("o_orderkey") * 7919 % 1000 + 1) / 1000000.0).alias("p"))
+    got = stats.benjamini_hochberg(x, "p")
+    sql = catalogue.ORACLES["bh_adjust"].replace(" where o_orderkey <= 400", "")
+    expected = duckdb.connect().sql(sql.replace("from orders", f"from '{small}/orders.parquet'")).fetchall()
+    assert len(expected) == x.count() > 400
+    assert table(got.collect(), ["k", "p", "p_adjusted"]) == table([dict(zip(("k", "p", "p_adjusted"), r, strict=True)) for r in expected], ["k", "p", "p_adjusted"])
+    plan = got._jdf.queryExecution().optimizedPlan().toString().split("Window")[-1]
+    assert "Aggregate" in plan
+
+
+def test_bh_without_a_p(spark):
+    """Rows without a p are no tests: they move no rank and get no value."""
+    x = spark.createDataFrame([(1, None, "a"), (2, 0.01, "a"), (3, 0.02, "a"), (4, 0.02, "a"), (5, float("nan"), None), (6, 0.5, None)], "k int, p double, layer string")
+    got = {r["k"]: r["q"] for r in stats.benjamini_hochberg(x, "p", ["layer"], "q").collect()}
+    assert got == pytest.approx({1: None, 2: 0.02, 3: 0.02, 4: 0.02, 5: None, 6: 0.5})
