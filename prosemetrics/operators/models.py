@@ -87,6 +87,12 @@ def bootstrap_angles(rows: DataFrame, one: str, two: str, features: list[str], r
     return rows.sparkSession.createDataFrame(got, "round long, cosine double, degrees double")
 
 
+def with_interval(angles: DataFrame) -> DataFrame:
+    """``angles`` with low and high, the percentiles 2.5 and 97.5 of the cosine over all rounds, interpolated."""
+    ends = angles.agg(F.percentile("cosine", F.array(F.lit(0.025), F.lit(0.975))).alias("ends"))
+    return angles.crossJoin(F.broadcast(ends)).select(*angles.columns, F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
+
+
 def principal(rows: DataFrame, key: str, features: list[str], k: int = 3) -> tuple[DataFrame, list[float], list[list[float]]]:
     """Scores key, pc1 .. pck; explained shares; loadings, each with a positive largest entry."""
     x = _scaled(rows, rows, features)
@@ -98,4 +104,4 @@ def principal(rows: DataFrame, key: str, features: list[str], k: int = 3) -> tup
     return scores, list(model.explainedVariance), [list(v * s) for v, s in zip(loadings, signs, strict=True)]
 
 
-__all__ = ["ablation", "angle", "axis", "bootstrap_angles", "cv_summary", "folds", "melt", "out_of_fold", "principal"]
+__all__ = ["ablation", "angle", "axis", "bootstrap_angles", "cv_summary", "folds", "melt", "out_of_fold", "principal", "with_interval"]

@@ -458,7 +458,7 @@ def svd_archetypes(spark, d):
 
 @query()
 def permutation_test(spark, d):
-    return arcs.permutation_test(_arcs(spark, d), rounds=200)
+    return arcs.permutation_test(_arcs(spark, d), rounds=1000)
 
 
 @query()
@@ -469,17 +469,17 @@ def ward_merges(spark, d):
 # Models
 @query()
 def oof_scores(spark, d):
-    return models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=3)
+    return models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10)
 
 
 @query()
 def cv_ablation(spark, d):
-    return models.ablation(_labelled(spark, d), "doc_id", "y", {"length": ["word_count"], "all": FEATURES}, k=3)
+    return models.ablation(_labelled(spark, d), "doc_id", "y", {"length": ["word_count"], "all": FEATURES}, k=10)
 
 
 @query()
 def forest_ceiling(spark, d):
-    return models.cv_summary(models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=2, forest=50))
+    return models.cv_summary(models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10, forest=500))
 
 
 @query()
@@ -490,7 +490,7 @@ def pca_components(spark, d):
 @query()
 def axis_bootstrap(spark, d):
     x = _labelled(spark, d).withColumn("long", (F.col("word_count") > 200).cast("int"))
-    return models.bootstrap_angles(x, "y", "long", ["avg_word_length", "ttr"], rounds=3)
+    return models.with_interval(models.bootstrap_angles(x, "y", "long", ["avg_word_length", "ttr"], rounds=200))
 
 
 @query("with o as (select doc_id, y, row_number() over (partition by y order by md5(cast(doc_id as varchar) || '|42'), doc_id) as r from (select doc_id, max(quality) as y from labels group by 1)) select doc_id, y, cast((r - 1) % 10 as integer) as fold from o")

@@ -3,10 +3,11 @@
 import math
 
 import duckdb
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from prosemetrics.operators import stats
+from prosemetrics.operators import arcs, models, stats
 from prosemetrics.plans import catalogue
 
 SLOW = {"adaptation_curve", "cv_ablation", "forest_ceiling", "axis_bootstrap", "oof_scores"}
@@ -55,3 +56,21 @@ def test_bh_without_a_p(spark):
     x = spark.createDataFrame([(1, None, "a"), (2, 0.01, "a"), (3, 0.02, "a"), (4, 0.02, "a"), (5, float("nan"), None), (6, 0.5, None)], "k int, p double, layer string")
     got = {r["k"]: r["q"] for r in stats.benjamini_hochberg(x, "p", ["layer"], "q").collect()}
     assert got == pytest.approx({1: None, 2: 0.02, 3: 0.02, 4: 0.02, 5: None, 6: 0.5})
+
+
+def test_registered_with_the_rounds_trees_and_folds_of_the_reference(spark, small, monkeypatch):
+    asked = []
+    for module, name in ((models, "out_of_fold"), (models, "ablation"), (models, "bootstrap_angles"), (arcs, "permutation_test")):
+        monkeypatch.setattr(module, name, lambda *a, **k: asked.append(k) or spark.range(1))
+    for name in ("cv_summary", "with_interval"):
+        monkeypatch.setattr(models, name, lambda x: x, raising=False)
+    for name in ("oof_scores", "cv_ablation", "forest_ceiling", "axis_bootstrap", "permutation_test"):
+        catalogue.QUERIES[name](spark, small)
+    assert asked == [{"k": 10}, {"k": 10}, {"k": 10, "forest": 500}, {"rounds": 200}, {"rounds": 1000}]
+
+
+def test_percentile_interval(spark):
+    cosines = np.random.default_rng(3).uniform(-1, 1, 200)
+    got = models.with_interval(spark.createDataFrame([(k, float(c)) for k, c in enumerate(cosines)], "round long, cosine double")).collect()
+    assert len(got) == 200
+    assert all((r["low"], r["high"]) == pytest.approx(tuple(np.percentile(cosines, [2.5, 97.5]))) for r in got)
