@@ -18,9 +18,6 @@ QUERIES = {
     "op10_output_codes": language.op10_output_codes,
 }
 ORACLES: dict[str, str] = {
-    "op2_context_tree": context_tree.op2_context_tree,
-    "op3_one_bit_codes": neighbours.op3_one_bit_codes,
-    "op4_prefix_encoding": tokens.op4_prefix_encoding,
     "op3_one_bit_codes": neighbours.ORACLE,
     "op5_winnowing": decontamination.ORACLE,
     "op8_warc_transactions": warc.ORACLE,

@@ -13,7 +13,8 @@ import pytest
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from prosemetrics.llm import bpe, context_tree, decontamination, language, neighbours, sharding, similarity, tokens, toxicity, warc
+import __spark_entry__
+from prosemetrics.llm import bpe, context_tree, decontamination, language, neighbours, registry, sharding, similarity, tokens, toxicity, warc
 
 from .cases import documents, empty, prose, rows
 
@@ -364,3 +365,10 @@ def test_utf8_of_sliced_columns():
 
     data, offsets = utf8(pa.array(["aa", None, "é", "zz"])[1:3])
     assert data.tobytes().decode() == "é" and offsets.tolist() == [0, 0, 2]
+
+
+def test_oracles_are_sql():
+    """SQL does not express operators 2 and 4, whose brute force is above."""
+    sql = __spark_entry__.oracle_sql()
+    assert all(isinstance(x, str) for x in sql.values())
+    assert set(sql) & set(registry.QUERIES) == {"op3_one_bit_codes", "op5_winnowing", "op8_warc_transactions"}
