@@ -7,7 +7,11 @@ buffer with NumPy, a bounded slice of documents at a time, and never build a Pyt
 from __future__ import annotations
 
 import atexit
+import ctypes
+import gc
+import hashlib
 import os
+import re
 import shutil
 import tempfile
 import uuid
@@ -58,31 +62,74 @@ def ship(spark: SparkSession) -> None:
     context.addPyFile(path)
 
 
+def release() -> None:
+    """Gives memory that a task no longer needs back: workers live on from one task and stage to the next."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        return
+
+
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors."""
+    """``mapInArrow`` with this package at hand on the executors, whose workers are left small."""
     ship(df.sparkSession)
-    return df.mapInArrow(function, schema)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(batches)
+        release()
+
+    return df.mapInArrow(run, schema)
 
 
 _made: list[tuple[SparkSession, str]] = []
 
 
-def _clean() -> None:
-    for spark, path in _made:
+_held: list = []
+
+
+def forget(since: int = 0, but: int = 0) -> None:
+    """Deletes the scratch folders made after the first ``since``, but not the last ``but``: their readers have ended."""
+    until = len(_made) - but
+    for spark, path in _made[since:until]:
         try:
             hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
         except Exception:  # the session has ended; the folder then stays for the cluster's own cleaning
-            return
+            break
+    del _made[since:until]
+
+
+def made() -> int:
+    """How many scratch folders there are now."""
+    return len(_made)
+
 
+def broadcast(spark: SparkSession, value):
+    """A broadcast that ``drop_broadcasts`` takes back."""
+    _held.append(spark.sparkContext.broadcast(value))
+    return _held[-1]
 
-atexit.register(_clean)
+
+def drop_broadcasts() -> None:
+    """Frees the executors' copies of what was broadcast here; a plan that is run again fetches them anew."""
+    while _held:
+        try:
+            _held.pop().unpersist()
+        except Exception:  # its session has ended
+            _held.clear()
+
+
+atexit.register(forget)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder under ``spark.checkpoint.dir``; under a temporary one only where that is not set."""
+    """A new folder under ``spark.checkpoint.dir``. In local mode only, a temporary one stands in where that is not set."""
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         base = f"file://{tempfile.gettempdir()}/prosemetrics"
         spark.conf.set("spark.checkpoint.dir", base)
     path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
@@ -128,10 +175,6 @@ _FOLD[65:91] += 32
 MARKS = np.ones(256, bool)
 MARKS[[*range(0x30, 0x3A), *range(0x61, 0x7B), *range(0x80, 0x100)]] = False
 
-_P = np.uint64(0x9E3779B97F4A7C15)
-_INV = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A 64-bit finalizer (splitmix)."""
     x = x.astype(np.uint64, copy=True)
@@ -143,26 +186,60 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
-_BYTE = mix(np.arange(1, 257, dtype=np.uint64))
-_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+#: Masks that keep the first 0 to 8 bytes of a little-endian block.
+_KEEP = np.array([(1 << 8 * k) - 1 for k in range(9)], np.uint64)
+#: Spans of more bytes are hashed one by one.
+LONG_SPAN = 512
 
 
-def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
-    if len(_powers[0]) < n:
-        with np.errstate(over="ignore"):
-            for k, base in enumerate((_P, _INV)):
-                x = np.full(max(n, SLICE_BYTES + 1), base, np.uint64)
-                x[0] = 1
-                _powers[k] = np.cumprod(x, dtype=np.uint64)
-    return _powers[0], _powers[1]
+def _blocks(data: np.ndarray) -> np.ndarray:
+    """The eight bytes from each place on, zeros beyond the end."""
+    padded = np.concatenate([data, np.zeros(8, np.uint8)])
+    return np.ndarray((len(data) + 1,), "<u8", padded, strides=(1,))
 
 
 def span_hash(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
-    """A 64-bit hash of each data[start:end], equal for equal bytes wherever they stand."""
-    up, down = _power(len(data) + 1)
-    total = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum(_BYTE[data] * up[: len(data)], out=total[1:])
-    return mix((total[end] - total[start]) * down[start] ^ (end - start).astype(np.uint64) * np.uint64(0xD6E8FEB86659FD93))
+    """A 64-bit hash of each data[start:end], equal for equal bytes wherever they stand.
+
+    Blocks of eight bytes go through ``mix`` one after another; long spans have a digest of their own.
+    """
+    size = end - start
+    blocks, out = _blocks(data), mix(size.astype(np.uint64) + np.uint64(0xD6E8FEB86659FD93))
+    out = mix(out ^ (blocks[start] & _KEEP[np.clip(size, 0, 8)]))
+    at = np.flatnonzero((size > 8) & (size <= LONG_SPAN))
+    for k in range(8, LONG_SPAN, 8):
+        if not len(at):
+            break
+        out[at] = mix(out[at] ^ (blocks[start[at] + k] & _KEEP[np.minimum(size[at] - k, 8)]))
+        at = at[size[at] > k + 8]
+    for k in np.flatnonzero(size > LONG_SPAN):
+        out[k] = int.from_bytes(hashlib.blake2b(data[start[k] : end[k]].tobytes(), digest_size=8).digest(), "little")
+    return out
+
+
+def _same(data: np.ndarray, start: np.ndarray, end: np.ndarray, other: np.ndarray) -> bool:
+    """Whether each span holds the bytes of that at its place ``other``."""
+    size = end - start
+    if (size != size[other]).any():
+        return False
+    at, blocks = np.flatnonzero((other != np.arange(len(other))) & (size > 0)), _blocks(data)
+    for k in range(0, LONG_SPAN, 8):
+        if not len(at):
+            return True
+        if (((blocks[start[at] + k] ^ blocks[start[other[at]] + k]) & _KEEP[np.clip(size[at] - k, 0, 8)]) != 0).any():
+            return False
+        at = at[size[at] > k + 8]
+    return all((data[start[k] : end[k]] == data[start[other[k]] : end[other[k]]]).all() for k in at)
+
+
+def distinct(data: np.ndarray, start: np.ndarray, end: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The place of one span for each distinct content, and which of those each span has. Bytes decide, not hashes."""
+    _, where, back = np.unique(span_hash(data, start, end), return_index=True, return_inverse=True)
+    if _same(data, start, end, where[back]):
+        return where, back
+    found: dict[bytes, int] = {}
+    back = np.array([found.setdefault(data[a:b].tobytes(), len(found)) for a, b in zip(start, end, strict=True)], np.int64)
+    return np.unique(back, return_index=True)[1], back
 
 
 def words(data: np.ndarray, offsets: np.ndarray, space: np.ndarray = _SPACE) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -229,6 +306,12 @@ class Lookup:
         return out
 
 
+def row_key(doc_id: Column, text: Column) -> Column:
+    """Sixteen bytes that tell rows of other ids or texts apart; a null id and a null text have keys of their own."""
+    part = lambda c: F.coalesce(F.concat(F.lit("="), c), F.lit("null"))
+    return F.unhex(F.substring(F.sha2(F.concat_ws("|", part(doc_id.cast("string")), part(text)).cast("binary"), 256), 1, 32))
+
+
 def remainder(doc_id: Column, of: int) -> Column:
     """CRC-32 of the id as text, modulo ``of``; a null id counts as empty text."""
     return F.pmod(F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")), F.lit(of))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, map_arrow, remainder, slices, span_hash, sums, table, utf8, words, written
+from .common import broadcast, Lookup, map_arrow, remainder, slices, span_hash, sums, table, utf8, words, written
 
 #: Bytes of context. DEPTH + 1 bytes are one event.
 DEPTH = 6
@@ -225,7 +225,7 @@ def score_types(types: DataFrame, events: DataFrame) -> DataFrame:
     """h, n, logp of the types: the sum over their events, whose scores are broadcast if they are few."""
     if events.limit(EVENTS_HELD + 1).count() <= EVENTS_HELD:
         got = events.toArrow()
-        sent = types.sparkSession.sparkContext.broadcast((got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy()))
+        sent = broadcast(types.sparkSession, (got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy()))
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             keys, logp = sent.value
@@ -267,7 +267,7 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     stop = scored.where(F.col("key") == start_event(STOP)).first()["logp"]
     known = written(score_types(types, scored), "type-scores")
     top = known.orderBy(F.desc("n"), "h").limit(TYPES_HELD).toArrow()
-    held = spark.sparkContext.broadcast((top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("logp").to_numpy()))
+    held = broadcast(spark, (top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("logp").to_numpy()))
     floor = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, table, written
+from .common import ascii_lower, row_key, table, written
 
 #: Words of a benchmark window; K-gram length; K-grams in a window of them.
 SPAN, K = 10, 5
@@ -94,7 +94,7 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """Every row of ``docs`` with n_words, n_hit, n_items, items (sorted ids as strings) and hit positions' spans.
+    """Every row of ``docs`` as doc_id, row (its ``row_key``), n_words, n_hit, first_hit (a position), items (sorted ids).
 
     Words are runs of characters other than ASCII punctuation and controls, A-Z in lower case. A word is hit if
     it lies in an occurrence of any window of the benchmark. Rows that repeat a doc_id and text get equal results;
@@ -102,8 +102,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     and an empty ``docs`` gives no rows.
     """
     windows, items = benchmark_windows(benchmark)
-    key = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("null")), F.coalesce(F.col("text"), F.lit(""))).cast("binary"), 256)
-    keyed = docs.select("doc_id", F.unhex(F.substring(key, 1, 32)).alias("doc"), "text")
+    keyed = docs.select("doc_id", row_key(F.col("doc_id"), F.col("text")).alias("doc"), "text")
     hits = written(find_hits(keyed.select("doc", "text"), windows).distinct(), "document-hits")
     # positions: distinct words in the union of the spans; runs of starts are merged, one document at a time
     starts = F.array_sort(F.collect_set(F.struct("pos", "length")))
@@ -112,7 +111,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     named = hits.select("doc", "cls").distinct().join(_few(items), "cls").groupBy("doc").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("null")))).alias("items"))
     marks = written(counts.join(named, "doc"), "document-marks")
     rows = keyed.select("doc_id", "doc", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
-    return rows.join(_few(marks, F.size("items") + 1), "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).drop("doc")
+    return rows.join(_few(marks, F.size("items") + 1), "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).withColumnRenamed("doc", "row")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:

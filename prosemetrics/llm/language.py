@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import _FOLD, map_arrow, remainder, slices, sums, table, utf8
+from .common import broadcast, _FOLD, map_arrow, remainder, slices, sums, table, utf8
 
 #: Byte trigrams are hashed to so many features.
 FEATURES = 1 << 15
@@ -124,7 +124,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     A null text, one without a letter, and every text if nothing was learned get ``und`` with the score 0 and are
     not ambiguous. All bytes of a text count. Repeated rows get equal results; no column but text is an input.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model = sent.value

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import map_arrow, scratch, table, written
+from .common import broadcast, map_arrow, scratch, table, written
 
 #: Rows that the centre and the common length are taken from, the first by a hash of their id.
 SAMPLE = 10_000
@@ -123,7 +123,7 @@ def nearest(index: DataFrame, queries: DataFrame, centre: np.ndarray, dims: int,
     for block in range(blocks):
         got = asked.where(F.pmod(F.xxhash64("vec_id"), F.lit(blocks)) == block).toArrow().combine_chunks()
         ids = got.column("vec_id").to_numpy()
-        sent = spark.sparkContext.broadcast((ids, _matrix(got.column("embedding").combine_chunks(), dims) if len(ids) else np.zeros((0, dims)), centre))
+        sent = broadcast(spark, (ids, _matrix(got.column("embedding").combine_chunks(), dims) if len(ids) else np.zeros((0, dims)), centre))
 
         def run(batches: Iterator[pa.RecordBatch], sent=sent) -> Iterator[pa.RecordBatch]:
             search = Search(*sent.value, k)

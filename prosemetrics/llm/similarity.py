@@ -21,7 +21,7 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import Lookup, map_arrow, mix, ship, slices, span_hash, table, utf8, words, written
+from .common import broadcast, Lookup, map_arrow, mix, ship, slices, span_hash, table, utf8, words, written
 
 #: Words of a shingle; similarity in hundredths.
 K, PERCENT = 5, 80
@@ -154,7 +154,7 @@ def find_heavy(docs: DataFrame) -> np.ndarray:
 
 def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
     """Rows key, class: the keys of every set. Subset keys are odd, keys of inverted lists even."""
-    sent = docs.sparkSession.sparkContext.broadcast(heavy)
+    sent = broadcast(docs.sparkSession, heavy)
     most, even = boundary(), np.uint64(0xFFFFFFFFFFFFFFFE)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -179,7 +179,7 @@ def postings(docs: DataFrame, heavy: np.ndarray) -> DataFrame:
 def arrays(docs: DataFrame, classes: DataFrame) -> DataFrame:
     """class, shingles of the classes given, one row each."""
     few = classes.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
-    wanted = docs.sparkSession.sparkContext.broadcast(classes.toArrow().column(0).to_numpy().view(np.uint64)) if few else None
+    wanted = broadcast(docs.sparkSession, classes.toArrow().column(0).to_numpy().view(np.uint64)) if few else None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Lookup(wanted.value) if few else None

@@ -5,9 +5,11 @@ The tokenizer file is a parameter; it is read where the work is done and must li
 
 from __future__ import annotations
 
+import json
 import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import public_tokenizers
@@ -16,21 +18,38 @@ import pyarrow.compute
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .bpe import END, SPACE, BLANK, Counter, char_classes, pieces, vocabulary
-from .common import map_arrow, slices, span_hash, sums, table, utf8
+from .bpe import BLANK, END, SPACE, Counter, char_classes, pieces, vocabulary
+from .common import distinct, map_arrow, slices, sums, table, utf8
 
 #: Bytes of text at a time: pieces are looked up once in each such slice.
 SLICE = 1 << 20
-#: Pieces whose result a worker remembers at most.
-MOST_KNOWN = 400_000
-_known: dict[tuple, dict] = {}
+#: Bytes of pieces and ids that a worker remembers at most, as they are counted here; memory takes some twice that.
+MOST_KNOWN = 12 << 20
 
 
-def _remembered(name: tuple) -> dict:
-    known = _known.setdefault(name, {})
-    if len(known) > MOST_KNOWN:
-        known.clear()
-    return known
+class Known:
+    """Ids by the bytes of a piece; all are forgotten when they outgrow the bound."""
+
+    def __init__(self) -> None:
+        self.ids, self.size = {}, 0
+
+    def add(self, piece: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
+        self.size += 120 + len(piece) + 8 * len(ids)
+        if self.size > MOST_KNOWN:
+            self.ids, self.size = {}, 120 + len(piece) + 8 * len(ids)
+        if self.size <= MOST_KNOWN:
+            self.ids[piece] = ids
+        return ids
+
+
+@lru_cache(1)
+def _known(path: str) -> Known:
+    return Known()
+
+
+@lru_cache(1)
+def _counter(path: str) -> Counter:
+    return Counter(vocabulary(path))
 
 
 def _spans(own: np.ndarray, bounds: np.ndarray, joined: bool, cut: list[tuple[int, int]] = ()) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -54,46 +73,40 @@ def _spans(own: np.ndarray, bounds: np.ndarray, joined: bool, cut: list[tuple[in
     return first[real], last[real], np.searchsorted(owner, np.arange(len(bounds)))
 
 
-def _specials(own: np.ndarray, bounds: np.ndarray, contents: list[str]) -> list[tuple[int, int, int]]:
+def _pattern(contents: Iterable[str]) -> re.Pattern | None:
+    return re.compile(b"(" + b"|".join(re.escape(x.encode()) for x in sorted(contents, key=len, reverse=True)) + b")") if contents else None
+
+
+def _specials(own: np.ndarray, bounds: np.ndarray, pattern: re.Pattern | None) -> list[tuple[int, int, int]]:
     """Text, first and last byte of each special string that lies within one text."""
-    pattern = re.compile(b"|".join(re.escape(x.encode()) for x in sorted(contents, key=len, reverse=True)))
-    out = []
-    for k in range(len(bounds) - 1):
-        part = own[bounds[k] : bounds[k + 1]]
-        if (part == 124).any():  # a bar, which all of them hold; without one the search is spared
-            out += [(k, int(bounds[k]) + m.start(), int(bounds[k]) + m.end()) for m in pattern.finditer(part.tobytes())]
-    return out
+    if pattern is None or not pattern.search(own.tobytes()):
+        return []
+    return [(k, int(bounds[k]) + m.start(), int(bounds[k]) + m.end()) for k in range(len(bounds) - 1) for m in pattern.finditer(own[bounds[k] : bounds[k + 1]].tobytes())]
 
 
 def count_tokens(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with n_bytes and n_tokens of each whole text under a byte-level vocabulary.
+    """``docs`` with n_bytes and n_tokens of each whole text under a byte-level vocabulary; columns of these names are replaced.
 
     Special strings in a text are one token each, as the library has them by default. A null text is empty: 0 and
-    0. Repeated rows get equal results; an empty table gives no rows.
+    0. A text of any length is handled whole, its pieces a bounded stretch at a time. Repeated rows get equal
+    results; an empty table gives no rows. Raises ValueError for a file of another kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        known = _remembered(("count", path))
-        counter = _known.setdefault(("counter",), {}).setdefault(path, Counter(vocab))
+        vocab, counter = vocabulary(path), _counter(path)
+        if not vocab.joined:
+            raise ValueError("the vocabulary is not byte-level")
+        pattern = _pattern(vocab.special)
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets, SLICE):
                 own, bounds = data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
-                special = _specials(own, bounds, list(vocab.special)) if vocab.special else []
+                special = _specials(own, bounds, pattern)
                 first, last, at = _spans(own, bounds, True, [x[1:] for x in special])
-                each, where, back = np.unique(span_hash(own, first, last), return_index=True, return_inverse=True)
-                found, raw = np.empty(len(each), np.int64), own.tobytes()
-                for k, (key, w) in enumerate(zip(each.tolist(), where.tolist(), strict=True)):
-                    n = known.get(key)
-                    if n is None:
-                        n = known[key] = counter.count(raw[first[w] : last[w]])
-                    found[k] = n
-                total = sums(found[back], at) + np.bincount([x[0] for x in special], minlength=b - a).astype(np.int64)
+                where, back = distinct(own, first, last)
+                total = sums(counter.count_all(own, first[where], last[where])[back], at) + np.bincount([x[0] for x in special], minlength=b - a).astype(np.int64)
                 part = batch.slice(a, b - a)
                 yield pa.RecordBatch.from_arrays([*part.columns, pa.array(np.diff(bounds)), pa.array(total)], [*part.schema.names, "n_bytes", "n_tokens"])
-            if len(known) > MOST_KNOWN:
-                known.clear()
 
     kept = docs.drop("n_bytes", "n_tokens")
     return map_arrow(kept, run, _schema(kept) + ", n_bytes long, n_tokens long")
@@ -111,38 +124,39 @@ def normalized(text: str) -> str:
 
 
 def encode(docs: DataFrame, path: str) -> DataFrame:
-    """``docs`` with ids, the tokens of each whole text under a lower-casing vocabulary with word ends.
+    """``docs`` with ids, the tokens of each whole text under a lower-casing vocabulary with word ends; a column ids is replaced.
 
-    Special strings in a text are their own tokens. A null text is empty and has no ids. Repeated rows get equal
-    results; an empty table gives no rows.
+    Special strings in a text are their own tokens. A null text is empty and has no ids. A text of any length is
+    handled whole. Repeated rows get equal results; an empty table gives no rows. Raises ValueError for a file of
+    another kind.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        known = _remembered(("encode", path))
-        special = re.compile("(" + "|".join(map(re.escape, vocab.special)) + ")") if vocab.special else None
+        vocab, known = vocabulary(path), _known(path)
+        if vocab.joined:
+            raise ValueError("the vocabulary does not part words")
+        special = re.compile("(" + "|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets, SLICE):
                 part = batch.slice(a, b - a)
                 texts, fixed, owner = [], [], []  # stretches between special strings, in order
                 for k, text in enumerate(part.column("text").to_pylist()):
-                    for x in special.split(text) if text and special and "|" in text else (text or "",):
+                    for x in special.split(text) if text and special else (text or "",):
                         fixed.append(vocab.special.get(x, -1))
                         texts.append(b"" if fixed[-1] >= 0 else normalized(x).encode())
                         owner.append(k)
                 raw = b"".join(texts)
                 own, bounds = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
                 first, last, at = _spans(own, bounds, False)
-                each, where, back = np.unique(span_hash(own, first, last), return_index=True, return_inverse=True)
+                where, back = distinct(own, first, last)
                 found: list = []
-                for key, w in zip(each.tolist(), where.tolist(), strict=True):
-                    ids = known.get(key)
-                    if ids is None:
-                        ids = known[key] = tuple(vocab.encode(raw[first[w] : last[w]]))
-                    found.append(ids)
+                for x, y in zip(first[where].tolist(), last[where].tolist(), strict=True):
+                    piece = raw[x:y]
+                    ids = known.ids.get(piece)
+                    found.append(known.add(piece, tuple(vocab.encode(piece))) if ids is None else ids)
                 lengths = np.array([len(x) for x in found], np.int64)
-                flat, begin = np.array([t for x in found for t in x], np.int32), np.cumsum(lengths) - lengths
+                flat, begin = np.fromiter((t for x in found for t in x), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths
                 n = lengths[back]
                 place = np.cumsum(n) - n
                 ids = flat[np.repeat(begin[back] - place, n) + np.arange(int(n.sum()))]
@@ -153,24 +167,33 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 per = np.bincount(owner, np.diff(ends) + (fixed >= 0), b - a).astype(np.int64)
                 column = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], np.cumsum(per)]).astype(np.int32)), pa.array(ids.astype(np.int32)))
                 yield pa.RecordBatch.from_arrays([*part.columns, column], [*part.schema.names, "ids"])
-            if len(known) > MOST_KNOWN:
-                known.clear()
 
     kept = docs.drop("ids")
     return map_arrow(kept, run, _schema(kept) + ", ids array<int>")
 
 
+@lru_cache(1)
+def _strings(path: str) -> np.ndarray:
+    """The strings of all ids; None for ids that there are not."""
+    with open(path, encoding="utf-8") as f:
+        spec = json.load(f)
+    if spec["decoder"]:
+        raise ValueError("files with a decoder are not decoded here")
+    known = {k: x for x, k in spec["model"]["vocab"].items()} | {x["id"]: x["content"] for x in spec["added_tokens"]}
+    out = np.full(max(known) + 1, None, object)
+    out[list(known)] = list(known.values())
+    return out
+
+
 def decode(rows: DataFrame, path: str) -> DataFrame:
     """``rows`` with decoded: the tokens' strings, joined by blanks, as the library decodes a file without a decoder.
 
-    Null ids decode to a null, none to the empty string. Raises KeyError for an id that the vocabulary lacks.
+    A column decoded is replaced. Null ids decode to a null, none to the empty string. Raises KeyError for an id
+    that the vocabulary lacks, ValueError for a file with a decoder.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab = vocabulary(path)
-        known = vocab.strings | {k: x for x, k in vocab.special.items()}
-        strings = np.full(max(known) + 1, None, object)
-        strings[list(known)] = list(known.values())
+        strings = _strings(path)
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
@@ -187,12 +210,14 @@ def decode(rows: DataFrame, path: str) -> DataFrame:
 
 
 def op9_transducer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_bytes, n_tokens, over_limit of every whole text of documents; a null text has 0 bytes and tokens."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     out = count_tokens(docs, public_tokenizers.path("byte_bpe_50k.json"))
     return out.select("doc_id", "n_bytes", "n_tokens", (F.col("n_tokens") > 512).alias("over_limit"))
 
 
 def op4_prefix_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 of every whole text of documents; a null text is encoded as an empty one."""
     path = public_tokenizers.path("word_bpe_49k.json")
     out = decode(encode(table(spark, sf_dir, "documents").select("doc_id", "text"), path).drop("text"), path)
     digest = lambda x: F.sha2(x.cast("binary"), 256)

@@ -16,7 +16,7 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import MARKS, map_arrow, mix, remainder, slices, span_hash, sums, table, utf8, words
+from .common import broadcast, map_arrow, MARKS, mix, remainder, slices, span_hash, sums, table, utf8, words
 
 #: Features are hashed to so many places.
 BITS = 20
@@ -213,7 +213,7 @@ def score_texts(docs: DataFrame, model: Model) -> DataFrame:
 
     Repeated rows get equal scores; no column but text is an input; an empty table gives no rows.
     """
-    sent = docs.sparkSession.sparkContext.broadcast(model)
+    sent = broadcast(docs.sparkSession, model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

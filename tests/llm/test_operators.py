@@ -151,13 +151,81 @@ def test_split_and_merge_odd_texts():
     vocab, tk = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json")), Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
     tk.encode_special_tokens = True
     counter = bpe.Counter(vocab, most=50)  # states are forgotten again and again
+    counter.AT_ONCE = 500
     data, offsets = np.frombuffer("".join(texts).encode(), np.uint8), np.cumsum([0, *(len(t.encode()) for t in texts)])
     first, last, at = tokens._spans(data, offsets, True)
     raw = data.tobytes()
     for k, t in enumerate(texts):
         spans = [raw[a:b] for a, b in zip(first[at[k] : at[k + 1]], last[at[k] : at[k + 1]], strict=True)]
         ids = tk.encode(t, add_special_tokens=False).ids
-        assert sum(map(counter.count, spans)) == len(ids) and [i for s in spans for i in vocab.encode(s)] == ids
+        assert counter.count_all(data, first[at[k] : at[k + 1]], last[at[k] : at[k + 1]]).sum() == len(ids) and [i for s in spans for i in vocab.encode(s)] == ids
+
+
+@pytest.mark.parametrize("at_once", [1 << 18, 300])
+def test_chunk_maps_of_long_pieces(at_once):
+    """Unbroken pieces of many chunks: maps that meet soon, late or never."""
+    import random
+
+    r = random.Random(8)
+    vocab = bpe.vocabulary(public_tokenizers.path("byte_bpe_50k.json"))
+    counter = bpe.Counter(vocab, most=20)
+    counter.AT_ONCE = at_once
+    pieces = ["".join(r.choice(x) for _ in range(n)) for n in (1, 63, 64, 65, 129, 1000, 4000) for x in ("a", "ab", "etaoin", "abcdefghijklmnopqrstuvwxyz", "é中😀")]
+    data, ends = np.frombuffer("".join(pieces).encode(), np.uint8), np.cumsum([0, *(len(p.encode()) for p in pieces)])
+    assert counter.count_all(data, ends[:-1], ends[1:]).tolist() == [len(vocab.encode(p.encode())) for p in pieces]
+
+
+def test_words_that_a_polynomial_hash_confuses(spark):
+    """A Thue-Morse word and its complement: sums of bytes times powers modulo 2^64 are equal."""
+    from prosemetrics.llm.common import distinct, span_hash
+
+    one = "".join("ab"[bin(k).count("1") & 1] for k in range(2048))
+    two = one.translate(str.maketrans("ab", "ba"))
+    data, at = np.frombuffer((one + two).encode(), np.uint8), np.array([0, 2048, 4096])
+    assert len(set(span_hash(data, at[:-1], at[1:]).tolist())) == 2
+    assert len(distinct(data, at[:-1], at[1:])[0]) == 2
+    docs = documents(spark, [(1, one, "en", "a"), (2, two, "en", "a"), (3, one, "en", "a")])
+    tk = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    for r in tokens.encode(docs, public_tokenizers.path("word_bpe_49k.json")).collect():
+        assert list(r["ids"]) == tk.encode(r["text"], add_special_tokens=False).ids
+    assert {r["doc_id"]: r["component_id"] for r in similarity.join_similar(docs).collect()} == {1: 1, 2: 2, 3: 1}
+
+
+def test_bytes_decide_where_hashes_meet(monkeypatch):
+    from prosemetrics.llm import common
+
+    monkeypatch.setattr(common, "span_hash", lambda data, start, end: np.zeros(len(start), np.uint64))
+    data, at = np.frombuffer(b"abcabdabc", np.uint8), np.array([0, 3, 6, 9])
+    where, back = common.distinct(data, at[:-1], at[1:])
+    assert [bytes(data[at[w] : at[w + 1]]) for w in where[back]] == [b"abc", b"abd", b"abc"]
+
+
+@pytest.mark.parametrize("change", [{"model": {"dropout": 0.1}}, {"added": {"lstrip": True}}, {"normalizer": {"type": "NFKC"}}, {"pre_tokenizer": None}])
+def test_tokenizer_files_of_other_kinds_are_refused(tmp_path, change):
+    import json
+
+    spec = json.loads(open(public_tokenizers.path("word_bpe_49k.json"), encoding="utf-8").read())
+    spec["model"] |= change.pop("model", {})
+    spec["added_tokens"][0] |= change.pop("added", {})
+    (tmp_path / "t.json").write_text(json.dumps(spec | change))
+    with pytest.raises(ValueError):
+        bpe.Vocabulary(str(tmp_path / "t.json"))
+
+
+def test_special_strings_of_another_file(spark, tmp_path):
+    """Special strings need not hold a bar."""
+    import json
+
+    for name, column in (("word_bpe_49k.json", "ids"), ("byte_bpe_50k.json", "n_tokens")):
+        spec = json.loads(open(public_tokenizers.path(name), encoding="utf-8").read())
+        spec["added_tokens"][0]["content"] = "[END]"
+        path = str(tmp_path / name)
+        (tmp_path / name).write_text(json.dumps(spec))
+        tk, docs = Tokenizer.from_file(path), documents(spark, [(1, "one [END] two[END]", "en", "a"), (2, "[END", "en", "a")])
+        out = tokens.encode(docs, path) if column == "ids" else tokens.count_tokens(docs, path)
+        for r in out.collect():
+            ids = tk.encode(r["text"], add_special_tokens=False).ids
+            assert (list(r["ids"]) if column == "ids" else r["n_tokens"]) == (ids if column == "ids" else len(ids))
 
 
 # 5
