@@ -299,11 +299,11 @@ def vocabulary(path: str) -> Vocabulary:
 
 
 class Table:
-    """Numbers by 64-bit keys, open addressing in arrays; found and added many at once."""
+    """Numbers by keys of 0 or more, open addressing in arrays; found and added many at once."""
 
-    def __init__(self, bits: int = 12):
+    def __init__(self, bits: int = 12, width: int = 2, kind: type = np.int32):
         self.bits, self.n = bits, 0
-        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros((1 << bits, 2), np.int32)
+        self.keys, self.values = np.full(1 << bits, -1, np.int64), np.zeros((1 << bits, width), kind)
 
     def _slot(self, keys: np.ndarray) -> np.ndarray:
         return ((keys.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - self.bits)).astype(np.int64)
@@ -329,7 +329,7 @@ class Table:
         if 2 * (self.n + len(keys)) > len(self.keys):
             old = self.keys >= 0
             keys, values = np.concatenate([self.keys[old], keys]), np.concatenate([self.values[old], values])
-            self.__init__(int(np.ceil(np.log2(4 * len(keys)))))
+            self.__init__(int(np.ceil(np.log2(4 * len(keys)))), self.values.shape[1], self.values.dtype)
         self.n += len(keys)
         slot, left = self._slot(keys), np.arange(len(keys))
         while len(left):

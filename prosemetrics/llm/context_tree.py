@@ -1,10 +1,14 @@
 """Language-model scores by context-tree weighting over bytes.
 
-The text is its lower-case words, each followed by a blank, then an end. Each byte is coded as eight binary
-decisions. A decision's contexts are the 0 to DEPTH bytes before it in its word; each node has a
-Krichevsky-Trofimov estimate (mixed with those of decisions that never vary), and a node's weighted probability mixes its own with its children's. The trained
-tree is frozen and mixes predictions by the same weights along the path, so that the probabilities of all texts
-sum to one. As contexts end at a word's beginning, a text's code length is a sum over its words' types.
+The running text is the lower-case words, each followed by a blank, then an end. Each byte is coded as eight binary
+decisions, whose contexts are the 0 to DEPTH bytes before it, across words; before the text there are ends. Each node
+has a Krichevsky-Trofimov estimate, and a node's weighted probability is half its own and half its children's product.
+The trained tree is frozen and mixes the depths' predictions by the weights that training gives them along the path,
+so that the probabilities of all texts sum to one.
+
+An event is DEPTH context bytes and the byte that follows. Events are counted, which is all that the tree needs; the
+tree below each context of SPLIT bytes is built by itself, many of them in a task, and the few nodes above are
+aggregates of its tops, level by level, so that no task and no driver holds the tree.
 """
 
 from __future__ import annotations
@@ -17,17 +21,20 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import broadcast, Lookup, map_arrow, remainder, slices, span_hash, sums, table, utf8, words, written
+from .bpe import Table
+from .common import Lookup, broadcast, distinct, map_arrow, remainder, ship, slices, span_hash, sums, table, utf8, words, written
 
-#: Bytes of context. DEPTH + 1 bytes are one event.
-DEPTH = 6
+#: Bytes of context; DEPTH + 1 bytes are one event, 7 at most. Bytes of context below which trees are built apart.
+DEPTH, SPLIT = 6, 3
 BLANK, STOP = 0x20, 0x0A
-#: Types whose scores each worker holds, the most frequent ones (24 MB); the others' tokens are joined by a shuffle.
-TYPES_HELD = 1 << 20
-#: Events that are broadcast at most (64 MB); more of them are joined by a shuffle.
-EVENTS_HELD = 4_000_000
-#: Types that a task holds before it hands counts on.
-TYPES_COUNTED = 400_000
+#: Types and events whose values each worker holds (16 and 50 MB), the most frequent ones; the others are joined by a shuffle.
+TYPES_HELD, EVENTS_HELD = 1 << 19, 2_000_000
+#: Types, and events, that a task holds before it hands counts on.
+TYPES_COUNTED, EVENTS_COUNTED = 400_000, 1_500_000
+#: Events in one bucket of trees.
+BUCKET = 50_000
+#: Bytes of text whose words are looked at at once.
+SLICE = 1 << 20
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -35,24 +42,23 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[int, list] = {}
+    held: dict[bytes, list] = {}
 
     def out() -> pa.RecordBatch:
-        keys = np.fromiter(held, np.uint64, len(held))
-        return pa.RecordBatch.from_arrays([_signed(keys), pa.array([x[0] for x in held.values()], pa.binary()), pa.array([x[1] for x in held.values()], pa.int64())], ["h", "word", "n"])
+        return pa.RecordBatch.from_arrays([_signed(np.array([x[0] for x in held.values()], np.uint64)), pa.array(list(held), pa.binary()), pa.array([x[1] for x in held.values()], pa.int64())], ["h", "word", "n"])
 
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, SLICE):
             own, start, end, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            counts = np.repeat(learned[a:b], np.diff(at))
-            each, where, back = np.unique(span_hash(own, start, end), return_index=True, return_inverse=True)
-            n, raw = np.bincount(back, counts, len(each)).astype(np.int64), own.tobytes()
-            for key, first, last, more in zip(each.tolist(), start[where].tolist(), end[where].tolist(), n.tolist(), strict=True):
-                known = held.get(key)
+            where, back = distinct(own, start, end)
+            n, raw = np.bincount(back, np.repeat(learned[a:b], np.diff(at)), len(where)).astype(np.int64), own.tobytes()
+            first, last = start[where], end[where]
+            for key, x, y, more in zip(span_hash(own, first, last).tolist(), first.tolist(), last.tolist(), n.tolist(), strict=True):
+                known = held.get(raw[x:y])
                 if known is None:
-                    held[key] = [raw[first:last], more]
+                    held[raw[x:y]] = [key, more]
                 else:
                     known[1] += more
             if len(held) > TYPES_COUNTED:
@@ -67,33 +73,66 @@ def count_types(docs: DataFrame) -> DataFrame:
     return map_arrow(docs.select("text", "learned"), _count_types, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
 
 
-def event_keys(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The events of words data[offsets[i]:offsets[i+1]] and the blank after each: the next byte is the lowest, the
-    nearest context byte the highest of DEPTH + 1; and their bounds."""
-    n = len(offsets) - 1
-    at = offsets + np.arange(n + 1) * (DEPTH + 1)  # DEPTH blanks before each word, one after
-    stream = np.full(int(at[-1]), BLANK, np.uint64)
-    stream[np.arange(len(data)) + np.repeat(at[:-1] - offsets[:-1], np.diff(offsets)) + DEPTH] = data
-    keys = np.zeros(len(stream), np.uint64)
-    keys[DEPTH:] = stream[DEPTH:]
-    for j in range(1, DEPTH + 1):
-        keys[DEPTH:] |= stream[DEPTH - j : len(stream) - j] << np.uint64(8 * (DEPTH + 1 - j))
+def event_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The events of each text's words (as ``words`` gives them), blanks and end, and the texts' bounds among them.
+
+    The next byte is the lowest of an event's DEPTH + 1, the nearest context byte the highest.
+    """
+    size, n = end - start, len(at) - 1
+    before = np.concatenate([[0], np.cumsum(size + 1)])
+    length = before[at[1:]] - before[at[:-1]] + 1
+    begin = np.cumsum(length + DEPTH) - length  # of each text, after DEPTH ends
+    stream = np.full(int((length + DEPTH).sum()), BLANK, np.uint8)
     real = np.ones(len(stream), bool)
-    real[(at[:-1][:, None] + np.arange(DEPTH)).ravel()] = False
-    return keys[real], offsets + np.arange(n + 1)
+    pad = (begin[:, None] - 1 - np.arange(DEPTH)).ravel()
+    stream[pad], real[pad], stream[begin + length - 1] = STOP, False, STOP
+    place = before[:-1] + np.repeat(begin - before[at[:-1]], np.diff(at))
+    inner = np.cumsum(size) - size
+    byte = np.arange(int(size.sum()))
+    stream[byte + np.repeat(place - inner, size)] = data[byte + np.repeat(start - inner, size)]
+    wide = stream.astype(np.uint64)
+    keys = wide[DEPTH:].copy()
+    for j in range(1, DEPTH + 1):
+        keys |= wide[DEPTH - j : len(wide) - j] << np.uint64(8 * (DEPTH + 1 - j))
+    return keys[real[DEPTH:]], np.concatenate([[0], np.cumsum(length)])
+
 
+def _merged(held: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of counts by key."""
+    keys, n = np.concatenate([x[0] for x in held]), np.concatenate([x[1] for x in held])
+    order = np.argsort(keys, kind="stable")
+    keys, n = keys[order], n[order]
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1]))
+    return keys[first], np.add.reduceat(n, first)
 
-def start_event(byte: int) -> int:
-    return int.from_bytes(bytes([BLANK] * DEPTH + [byte]), "big")
 
+def _count_events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    held: list[tuple[np.ndarray, np.ndarray]] = []
+
+    def out() -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([_signed(held[0][0]), pa.array(held[0][1])], ["key", "n"])
 
-def _events(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        data, offsets = utf8(batch.column("word"))
-        keys, bounds = event_keys(data, offsets)
-        each, back = np.unique(keys, return_inverse=True)
-        n = np.bincount(back, np.repeat(batch.column("n").to_numpy(), np.diff(bounds)), len(each))
-        yield pa.RecordBatch.from_arrays([_signed(each), pa.array(n.astype(np.int64))], ["key", "n"])
+        data, offsets = utf8(batch.column("text"))
+        learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(np.uint64)
+        for a, b in slices(offsets, SLICE):
+            keys, bounds = event_keys(*words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]))
+            marked = np.sort(keys << np.uint64(1) | np.repeat(learned[a:b], np.diff(bounds)))  # learned or not is the last bit
+            first = np.flatnonzero(np.append(True, marked[1:] != marked[:-1]))
+            held.append((marked[first] >> np.uint64(1), np.diff(np.append(first, len(marked))) * (marked[first] & np.uint64(1)).astype(np.int64)))
+            if sum(len(x[0]) for x in held) > 2 * EVENTS_COUNTED:
+                held = [_merged(held)]
+                if len(held[0][0]) > EVENTS_COUNTED:
+                    yield out()
+                    held = []
+    if held:
+        held = [_merged(held)]
+        yield out()
+
+
+def count_events(docs: DataFrame) -> DataFrame:
+    """key, n: every event of docs(text, learned) with its count in learned texts, 0 for those only in others."""
+    return map_arrow(docs.select("text", "learned"), _count_events, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
 
 
 _tables = np.cumsum(np.log(np.arange(4096) + 0.5)), np.cumsum(np.log(np.arange(1, 8193)))
@@ -111,140 +150,140 @@ def log_kt(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return rising(a, _tables[0], 0.5) + rising(b, _tables[0], 0.5) - rising(a + b, _tables[1], 1.0)
 
 
-def log_estimate(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    """The logarithm of half a KT probability, plus a quarter each for always zero and always one, where they hold.
-
-    Most decisions of a byte never vary in their context; this estimator pays little for those.
-    """
-    half = log_kt(a, b) - np.log(2)
-    return np.where((a > 0) & (b > 0), half, np.where(a + b > 0, np.logaddexp(half, np.log(0.25)), 0.0))
-
-
-def predicted(same: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """The probability under that estimator of a decision seen ``same`` times against ``other`` times."""
-    n = same + other
-    kt = (same + 0.5) / (n + 1)
-    half = 0.5 * np.exp(log_kt(same, other))
-    varied = (same > 0) & (other > 0)
-    return np.where(varied | (n == 0), kt, np.where(other == 0, (half * kt + 0.25) / (half + 0.25), half * kt / (half + 0.25)))
+def _share(odds: np.ndarray) -> np.ndarray:
+    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
 
 
 class Tree:
-    """The nodes of all events below one nearest context byte, depth by depth and bit by bit."""
+    """The nodes of SPLIT to DEPTH context bytes of some events, depth by depth and bit by bit."""
 
     def __init__(self, keys: np.ndarray, n: np.ndarray):
-        self.keys = keys
-        self.nodes: dict[tuple[int, int], tuple] = {}
-        for d in range(1, DEPTH + 1):
+        self.keys, n = keys, n.astype(float)
+        self.nodes: dict[tuple[int, int], tuple] = {}  # first event, zeros, ones; and each event's node
+        for d in range(SPLIT, DEPTH + 1):
             own = keys >> np.uint64(8 * (DEPTH + 1 - d)) << np.uint64(8) | keys & np.uint64(255)
+            order = np.argsort(own, kind="stable")
+            own, m = own[order], n[order]
             for j in range(8):
-                at, back = np.unique(own >> np.uint64(8 - j), return_inverse=True)
-                one = (own >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-                self.nodes[d, j] = at, back, np.bincount(back[~one], n[~one], len(at)), np.bincount(back[one], n[one], len(at))
+                path = own >> np.uint64(8 - j)
+                first = np.append(True, path[1:] != path[:-1])
+                at, back = np.flatnonzero(first), np.empty(len(own), np.int32)
+                back[order] = np.cumsum(first) - 1
+                ones = np.add.reduceat(m * (own >> np.uint64(7 - j) & np.uint64(1)), at)
+                self.nodes[d, j] = order[at], np.add.reduceat(m, at) - ones, ones, back
         self.weighted: dict[tuple[int, int], np.ndarray] = {}
         self.odds: dict[tuple[int, int], np.ndarray] = {}  # of a node's own estimate against its children's
         for j in range(8):
-            for d in range(DEPTH, 0, -1):
-                at, _, a, b = self.nodes[d, j]
-                own = log_estimate(a, b)
+            for d in range(DEPTH, SPLIT - 1, -1):
+                _, a, b, back = self.nodes[d, j]
+                own = log_kt(a, b)
                 if d == DEPTH:
                     self.weighted[d, j] = own
                     continue
-                below = self.nodes[d + 1, j][0]
-                up = np.searchsorted(at, below >> np.uint64(8 + j) << np.uint64(j) | below & np.uint64((1 << j) - 1))
-                kids = np.bincount(up, self.weighted[d + 1, j], len(at))
+                kids = np.bincount(back[self.nodes[d + 1, j][0]], self.weighted[d + 1, j], len(a))
                 self.odds[d, j] = own - kids
                 self.weighted[d, j] = np.logaddexp(own, kids) - np.log(2)
 
-    def top(self) -> tuple[np.ndarray, np.ndarray]:
-        """Root node numbers (1 before the first bit, then the bits so far) and the weighted logarithms there."""
-        at = np.concatenate([self.nodes[1, j][0] & np.uint64((1 << j) - 1) | np.uint64(1 << j) for j in range(8)])
-        return at.astype(np.int64), np.concatenate([self.weighted[1, j] for j in range(8)])
+    def _names(self, j: int) -> tuple[np.ndarray, np.ndarray]:
+        """Context and number (1 before the first bit, then the bits so far) of the nodes of SPLIT bytes."""
+        some = self.keys[self.nodes[SPLIT, j][0]]
+        return (some >> np.uint64(8 * (DEPTH + 1 - SPLIT))).astype(np.int64), ((some & np.uint64(255)) >> np.uint64(8 - j) | np.uint64(1 << j)).astype(np.int64)
+
+    def top(self) -> pa.Table:
+        parts = [(*self._names(j), *self.nodes[SPLIT, j][1:3], self.weighted[SPLIT, j]) for j in range(8)]
+        return pa.table({name: pa.array(np.concatenate(x)) for name, x in zip(("ctx", "node", "a", "b", "w"), zip(*parts, strict=True), strict=True)})
 
-    def scores(self, root: np.ndarray) -> np.ndarray:
-        """log10 of each event's probability. root: zeros, ones, log odds of the root's own estimate, by number.
+    def scores(self, above: np.ndarray, mixed: np.ndarray) -> np.ndarray:
+        """log10 of each event's probability.
 
-        A context or decision that was never learned says what the one above it says.
+        above: sorted ctx * 256 + node of the nodes of SPLIT bytes; mixed: for each, what the shorter contexts say
+        of a zero and of a one, with their weights, and the weight that is left for it and those below. A context or
+        decision that was never learned says what the one above it says.
         """
         total = np.zeros(len(self.keys))
         for j in range(8):
             one = (self.keys >> np.uint64(7 - j) & np.uint64(1)).astype(bool)
-            prefix = ((self.keys & np.uint64(255)) >> np.uint64(8 - j) | np.uint64(1 << j)).astype(np.int64)
-            a, b, _ = root[:, prefix]
-            estimate = [predicted(np.where(one, b, a), np.where(one, a, b))]
-            shares, seen = [_share(root[2, prefix])], [np.ones(len(one), bool)]
-            for d in range(1, DEPTH + 1):
-                _, back, a, b = self.nodes[d, j]
-                a, b = a[back], b[back]
-                estimate.append(predicted(np.where(one, b, a), np.where(one, a, b)))
-                seen.append(a + b > 0)
-                shares.append(_share(self.odds[d, j])[back] if d < DEPTH else np.ones(len(one)))
-            p = estimate[DEPTH]
-            for d in range(DEPTH - 1, -1, -1):
-                p = np.where(seen[d + 1], shares[d] * estimate[d] + (1 - shares[d]) * p, estimate[d])
+            ctx, node = self._names(j)
+            zero, ones, left = mixed[:, np.searchsorted(above, ctx << 8 | node)][:, self.nodes[SPLIT, j][3]]
+            p = np.where(one, ones, zero)
+            for d in range(SPLIT, DEPTH + 1):
+                _, a, b, back = self.nodes[d, j]
+                n = a + b
+                said = np.where(one, ((b + 0.5) / (n + 1))[back], ((a + 0.5) / (n + 1))[back])
+                share = np.ones(len(one))
+                if d < DEPTH:
+                    _, c, e, below = self.nodes[d + 1, j]
+                    share = np.where((c + e)[below] > 0, _share(self.odds[d, j])[back], 1.0)
+                p += left * share * said
+                left = left * (1 - share)
             total += np.log10(p)
         return total
 
 
-def _share(odds: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-np.clip(odds, -700, 700)))
+def _estimated(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The weighted logarithm and the own estimate's share, of nodes with zeros, ones and their children's logarithm."""
+    for batch in batches:
+        own, kids = log_kt(batch.column("a").to_numpy(), batch.column("b").to_numpy()), batch.column("kids").to_numpy()
+        yield pa.RecordBatch.from_arrays([*batch.columns[:4], pa.array(np.logaddexp(own, kids) - np.log(2)), pa.array(_share(own - kids))], ["ctx", "node", "a", "b", "w", "share"])
 
 
-def _near(key: Column) -> Column:
-    return F.shiftrightunsigned(key, 8 * DEPTH)
+def _mixed_above(tops: DataFrame) -> DataFrame:
+    """ctx, node, zero, one, left of the nodes of SPLIT bytes: the shorter contexts' part of the mixture.
+
+    Levels are aggregated upwards and joined downwards; each has fewer nodes than the one below.
+    """
+    levels = [tops]
+    for _ in range(SPLIT):
+        up = levels[-1].groupBy(F.shiftright("ctx", 8).alias("ctx"), "node").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum("w").alias("kids"))
+        levels.append(written(map_arrow(up, _estimated, "ctx long, node long, a double, b double, w double, share double"), "tree-level"))
+    above = levels[SPLIT].select("ctx", "node", "a", "b", "share", F.lit(0.0).alias("zero"), F.lit(0.0).alias("one"), F.lit(1.0).alias("left"))
+    for d in range(1, SPLIT + 1):
+        kid = levels[SPLIT - d].select("ctx", "node", "a", "b", F.lit(1.0).alias("share") if d == SPLIT else "share", F.shiftright("ctx", 8).alias("up"))
+        more = above.select(F.col("ctx").alias("up"), "node", (F.col("a") + F.col("b")).alias("n"), F.col("a").alias("za"), F.col("b").alias("zb"), F.col("share").alias("s"), "zero", "one", "left")
+        s = F.when(F.col("a") + F.col("b") > 0, F.col("s")).otherwise(1.0)
+        said = lambda c, had: F.col(had) + F.col("left") * s * (F.col(c) + 0.5) / (F.col("n") + 1)
+        above = kid.join(more, ["up", "node"]).select("ctx", "node", "a", "b", "share", said("za", "zero").alias("zero"), said("zb", "one").alias("one"), (F.col("left") * (1 - s)).alias("left"))
+    return above.select("ctx", "node", "zero", "one", "left")
 
 
 def score_events(events: DataFrame) -> DataFrame:
-    """key, logp of the written events key, n. A task holds the events of one nearest context byte."""
+    """key, n, logp of the written events key, n. A task holds a bucket's trees, some BUCKET events and more."""
+    buckets = max(1, -(-events.count() // BUCKET))
+    in_bucket = lambda ctx: F.pmod(F.xxhash64(ctx), F.lit(buckets)).alias("bucket")
+    marked = events.select(in_bucket(F.shiftrightunsigned("key", 8 * (DEPTH + 1 - SPLIT))), "key", "n")
 
-    def arrays(group: pa.Table) -> Tree:
+    def arrays(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
         keys = group.column("key").to_numpy().view(np.uint64)
         order = np.argsort(keys)
-        return Tree(keys[order], group.column("n").to_numpy()[order].astype(float))
+        return keys[order], group.column("n").to_numpy()[order]
 
     def tops(group: pa.Table) -> pa.Table:
-        node, value = arrays(group).top()
-        each, back = np.unique(node, return_inverse=True)
-        return pa.table({"node": pa.array(each), "value": pa.array(np.bincount(back, value, len(each)))})
-
-    below = {r["node"]: r["value"] for r in events.groupBy(_near(F.col("key"))).applyInArrow(tops, "node long, value double").groupBy("node").agg(F.sum("value").alias("value")).collect()}  # at most 255
-    root = np.zeros((3, 256))
-    for r in events.groupBy((F.col("key").bitwiseAND(F.lit(255))).alias("byte")).agg(F.sum("n").alias("n")).collect():  # at most 256
-        for j in range(8):
-            root[(r["byte"] >> (7 - j)) & 1, (1 << j) | (r["byte"] >> (8 - j))] += r["n"]
-    root[2] = log_estimate(root[0], root[1]) - np.array([below.get(k, 0.0) for k in range(256)])
-
-    def scored(group: pa.Table) -> pa.Table:
-        tree = arrays(group)
-        return pa.table({"key": _signed(tree.keys), "logp": pa.array(tree.scores(root))})
-
-    return events.groupBy(_near(F.col("key"))).applyInArrow(scored, "key long, logp double")
-
-
-def score_types(types: DataFrame, events: DataFrame) -> DataFrame:
-    """h, n, logp of the types: the sum over their events, whose scores are broadcast if they are few."""
-    if events.limit(EVENTS_HELD + 1).count() <= EVENTS_HELD:
-        got = events.toArrow()
-        sent = broadcast(types.sparkSession, (got.column("key").to_numpy().view(np.uint64), got.column("logp").to_numpy()))
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            keys, logp = sent.value
-            known = Lookup(keys)
-            for batch in batches:
-                data, offsets = utf8(batch.column("word"))
-                each, bounds = event_keys(data, offsets)
-                yield pa.RecordBatch.from_arrays([batch.column("h"), batch.column("n"), pa.array(sums(logp[known.find(each)], bounds))], ["h", "n", "logp"])
-
-        return map_arrow(types, run, "h long, n long, logp double")
-
-    def spread(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            data, offsets = utf8(batch.column("word"))
-            each, bounds = event_keys(data, offsets)
-            owner = np.repeat(np.arange(len(offsets) - 1), np.diff(bounds))
-            yield pa.RecordBatch.from_arrays([batch.column("h").take(pa.array(owner)), batch.column("n").take(pa.array(owner)), _signed(each)], ["h", "n", "key"])
-
-    return map_arrow(types, spread, "h long, n long, key long").join(events, "key").groupBy("h", "n").agg(F.sum("logp").alias("logp"))
+        return Tree(*arrays(group)).top()
+
+    def scored(group: pa.Table, above: pa.Table) -> pa.Table:
+        keys, n = arrays(group)
+        name = above.column("ctx").to_numpy() << 8 | above.column("node").to_numpy()
+        order = np.argsort(name)
+        mixed = np.stack([above.column(c).to_numpy()[order] for c in ("zero", "one", "left")])
+        logp = Tree(keys, n).scores(name[order], mixed) if len(keys) else np.zeros(0)
+        return pa.table({"key": _signed(keys), "n": pa.array(n), "logp": pa.array(logp)})
+
+    ship(events.sparkSession)
+    above = _mixed_above(written(marked.groupBy("bucket").applyInArrow(tops, "ctx long, node long, a double, b double, w double"), "tree-tops"))
+    above = above.select(in_bucket(F.col("ctx")), "*")
+    return marked.groupBy("bucket").cogroup(above.groupBy("bucket")).applyInArrow(scored, "key long, n long, logp double")
+
+
+def _frequent(rows: DataFrame, most: int) -> int:
+    """The least count n such that no more than ``most`` rows have it or a greater one."""
+    steps = rows.groupBy(F.floor(F.log2(F.col("n") + 1) * 16).alias("step")).agg(F.count("*").alias("rows"), F.min("n").alias("n")).sort(F.desc("step")).collect()  # at most 16 for each doubling
+    total, least = 0, (1 << 62)
+    for r in steps:
+        total += r["rows"]
+        if total > most:
+            break
+        least = r["n"]
+    return least
 
 
 def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
@@ -252,57 +291,54 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
 
     The model learns from the rows where ``learned``. Words are runs of characters other than blank and tab to
     carriage return, A-Z in lower case; the end of a text is one more token. A null text is empty: one token. With
-    no rows learned, all is unknown, and every decision has probability one half. Repeated rows get equal
-    results; an empty table gives no rows. Types are told apart by 64-bit hashes of their bytes.
+    no rows learned, all is unknown, and every decision has probability one half. Texts of any length are scored
+    whole. Repeated rows get equal results; an empty table gives no rows. Types are told apart by 64-bit hashes of
+    their bytes, events by their bytes.
     """
-    rows = docs.select("doc_id", "text", learned.alias("learned"))
-    types = written(count_types(rows), "types")
-    ends = rows.where("learned").count()
     spark = docs.sparkSession
+    rows = docs.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("learned"))
+    types = written(count_types(rows).select("h", "n"), "types")
+    ends = rows.where("learned").count()
     totals = types.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    first = spark.createDataFrame([(start_event(STOP), ends)], "key long, n long")
-    events = written(map_arrow(types.select("word", "n"), _events, "key long, n long").union(first).groupBy("key").agg(F.sum("n").alias("n")), "events")
-    scored = written(score_events(events), "event-scores")
-    stop = scored.where(F.col("key") == start_event(STOP)).first()["logp"]
-    known = written(score_types(types, scored), "type-scores")
-    top = known.orderBy(F.desc("n"), "h").limit(TYPES_HELD).toArrow()
-    held = broadcast(spark, (top.column("h").to_numpy().view(np.uint64), top.column("n").to_numpy(), top.column("logp").to_numpy()))
+    scored = written(score_events(written(count_events(rows), "events")), "event-scores")
+    known = types.where(F.col("n") >= _frequent(types, TYPES_HELD)).toArrow()
+    likely = scored.where(F.col("n") >= _frequent(scored, EVENTS_HELD)).select("key", "logp").toArrow()
+    events = Table(width=1, kind=np.float64)
+    events.add(likely.column("key").to_numpy(), likely.column("logp").to_numpy()[:, None])
+    held = broadcast(spark, (Lookup(known.column("h").to_numpy().view(np.uint64)), known.column("n").to_numpy().astype(np.float64), events))
     floor = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, counts, logp = held.value
-        lookup, base = Lookup(keys), np.log10(counts + 1.0) - floor
-        seen = (counts > 0).astype(np.int64)
+        lookup, counts, events = held.value
+        base, seen = np.append(np.log10(counts + 1.0) - floor, 0.0), np.append(counts > 0, False).astype(np.int64)  # the last: not held
         uid = int.from_bytes(os.urandom(7), "little")  # rows of one attempt; only one attempt's are kept
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, SLICE):
                 own, start, end, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
                 hashes = span_hash(own, start, end)
                 place = lookup.find(hashes)
-                hit = place >= 0
-                pick = np.where(hit, place, 0)
-                tokens = np.diff(at)
-                part = [np.zeros(b - a)] * 2 + [np.zeros(b - a, np.int64)]
-                if len(keys):
-                    part = [sums(np.where(hit, base[pick], 0.0), at), sums(np.where(hit, logp[pick], 0.0), at), sums(np.where(hit, seen[pick], 0), at)]
-                ids = np.arange(uid, uid + b - a)
-                uid += b - a
-                nil = lambda kind, m: pa.nulls(m, kind)
-                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id")[a:b], pa.array(tokens + 1), pa.array(part[2] + (ends > 0)), pa.array(part[0] + np.log10(ends + 1.0) - floor), pa.array(part[1] + stop), nil(pa.int64(), b - a)], names)
-                rest = np.flatnonzero(~hit)
-                if len(rest):
-                    owner = np.repeat(ids, tokens)[rest]
-                    m = len(rest)
-                    yield pa.RecordBatch.from_arrays([pa.array(owner), nil(batch.column("doc_id").type, m), nil(pa.int64(), m), nil(pa.int64(), m), nil(pa.float64(), m), nil(pa.float64(), m), _signed(hashes[rest])], names)
-
-    names = ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "h"]
-    out = written(map_arrow(rows.select("doc_id", "text"), run, f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, h long"), "text-scores")
-    rare = out.where("h is not null").select("uid", "h").join(known, "h")
-    rare = rare.groupBy("uid").agg(F.count_if(F.col("n") > 0).alias("k"), F.sum(F.log10(F.col("n") + 1.0) - floor).alias("base"), F.sum("logp").alias("more"))
-    zero = lambda c: F.coalesce(F.col(c), F.lit(0))
-    return out.where("h is null").join(rare, "uid", "left").select("doc_id", "n_tokens", (F.col("n_known") + zero("k")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), (F.col("base_score") + zero("base")).alias("base_score"), (F.col("score") + zero("more")).alias("score"))
+                keys, bounds = event_keys(own, start, end, at)
+                keys = keys.view(np.int64)
+                slot = events.find(keys)
+                logp = np.where(slot >= 0, events.values[slot, 0], 0.0)
+                ids, m = np.arange(uid, uid + b - a), b - a
+                uid += m
+                nil = lambda kind, size: pa.nulls(size, kind)
+                yield pa.RecordBatch.from_arrays([pa.array(ids), batch.column("doc_id")[a:b], pa.array(np.diff(at) + 1), pa.array(sums(seen[place], at) + (ends > 0)), pa.array(sums(base[place], at) + np.log10(ends + 1.0) - floor), pa.array(sums(logp, bounds)), nil(pa.int64(), m), nil(pa.int64(), m)], names)
+                for column, missing, owner in (("h", hashes[place < 0].view(np.int64), np.repeat(ids, np.diff(at))[place < 0]), ("key", keys[slot < 0], np.repeat(ids, np.diff(bounds))[slot < 0])):
+                    if m := len(missing):
+                        rest = {"h": nil(pa.int64(), m), "key": nil(pa.int64(), m), column: pa.array(missing)}
+                        yield pa.RecordBatch.from_arrays([pa.array(owner), nil(batch.column("doc_id").type, m), nil(pa.int64(), m), nil(pa.int64(), m), nil(pa.float64(), m), nil(pa.float64(), m), rest["h"], rest["key"]], names)
+
+    names = ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "h", "key"]
+    out = written(map_arrow(rows.select("doc_id", "text"), run, f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, h long, key long"), "text-scores")
+    rare = out.where("h is not null").select("uid", "h").join(types, "h").select("uid", (F.col("n") > 0).cast("long").alias("k"), (F.log10(F.col("n") + 1.0) - floor).alias("base"), F.lit(0.0).alias("more"))
+    rare = rare.unionByName(out.where("key is not null").select("uid", "key").join(scored, "key").select("uid", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.col("logp").alias("more")))
+    rare = rare.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("k", "base", "more")])
+    plus = lambda c, more: (F.col(c) + F.coalesce(F.col(more), F.lit(0))).alias(c)
+    return out.where("h is null and key is null").join(rare, "uid", "left").select("doc_id", "n_tokens", plus("n_known", "k"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "more"))
 
 
 def held_out(doc_id: Column) -> Column:
@@ -310,5 +346,6 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op2_context_tree(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every whole text of documents."""
     out = score_texts(table(spark, sf_dir, "documents"), ~held_out(F.col("doc_id")))
     return out.withColumn("held_out", held_out(F.col("doc_id")))

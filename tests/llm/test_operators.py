@@ -76,22 +76,70 @@ def test_scores(spark, monkeypatch):
     assert context_tree.score_texts(empty(spark), F.lit(True)).count() == 0
 
 
+def brute_tree(learned: list[str], asked: list[str]) -> list[float]:
+    """Context-tree weighting as its definition has it: one dictionary of nodes, recursion from the root."""
+    depth = context_tree.DEPTH
+    node: dict[tuple, list[int]] = {}
+
+    def decisions(text):
+        stream = b"\n" * depth + b"".join(w.encode() + b" " for w in blank_words(text)) + b"\n"
+        for k in range(depth, len(stream)):
+            for j in range(8):
+                yield [(bytes(stream[k - d : k]), d, (1 << j) | stream[k] >> (8 - j)) for d in range(depth + 1)], stream[k] >> (7 - j) & 1
+
+    kids: dict[tuple, set] = {}
+    for t in learned:
+        for path, bit in decisions(t):
+            for d, x in enumerate(path):
+                node.setdefault(x, [0, 0])[bit] += 1
+                if d:
+                    kids.setdefault(path[d - 1], set()).add(x)
+    kt = lambda a, b: math.lgamma(a + 0.5) + math.lgamma(b + 0.5) - math.lgamma(a + b + 1) - math.log(math.pi)
+    weighted: dict[tuple, tuple[float, float]] = {}  # logarithm, and odds of the own estimate
+    for x in sorted(node, key=lambda x: -x[1]):
+        own, below = kt(*node[x]), sum(weighted[y][0] for y in kids.get(x, ()))
+        weighted[x] = (own, 1e9) if x[1] == depth else (np.logaddexp(own, below) - math.log(2), own - below)
+
+    def said(path, bit, d=0):
+        a, b = node.get(path[d], (0, 0))
+        p = ((b if bit else a) + 0.5) / (a + b + 1)
+        if d == depth or path[d + 1] not in node:
+            return p
+        share = 1 / (1 + math.exp(-max(-700, min(700, weighted[path[d]][1]))))
+        return share * p + (1 - share) * said(path, bit, d + 1)
+
+    return [sum(math.log10(said(path, bit)) for path, bit in decisions(t)) for t in asked]
+
+
+def test_scores_are_those_of_the_whole_tree(spark, monkeypatch):
+    data = [(k, prose(k % 5, 8 + k), "en", "a") for k in range(12)] + [(12, None, "en", "a"), (13, "", "en", "a"), (14, "é😀 zz", "en", "a")]
+    expected = brute_tree([t for i, t, *_ in data if i % 3], [t for _, t, *_ in data])
+    for bucket, held in ((50_000, 2_000_000), (40, 30)):
+        monkeypatch.setattr(context_tree, "BUCKET", bucket)
+        monkeypatch.setattr(context_tree, "EVENTS_HELD", held)
+        got = {r["doc_id"]: r["score"] for r in context_tree.score_texts(documents(spark, data), F.col("doc_id") % 3 != 0).collect()}
+        assert [got[k] for k in range(15)] == pytest.approx(expected, rel=1e-9)
+
+
+def test_order_of_words_matters(spark):
+    data = [(k, "one two three four five six", "en", "a") for k in range(1, 6)] + [(6, "six two four one five three", "en", "a")]
+    got = {r["doc_id"]: r["score"] for r in context_tree.score_texts(documents(spark, data), F.col("doc_id") < 6).collect()}
+    assert got[1] > got[6] + 1
+
+
 def test_tree_probabilities_sum_to_one():
     """Over all next bytes in a context, learned or not."""
     rng = np.random.default_rng(0)
-    seen = np.unique(np.array([int.from_bytes(bytes([97] * (context_tree.DEPTH - 2)) + bytes(rng.integers(97, 102, 2)) + bytes([99]) + bytes(rng.integers(97, 105, 1)), "big") & ((1 << 8 * (context_tree.DEPTH + 1)) - 1) for _ in range(300)], np.uint64))
-    context = seen[0] >> np.uint64(8)
-    keys = np.unique(np.concatenate([seen, context << np.uint64(8) | np.arange(256, dtype=np.uint64)]))
-    near = keys >> np.uint64(8 * context_tree.DEPTH)
-    keys = keys[near == near[0]]
-    n = np.where(np.isin(keys, seen), 3.0, 0.0)
-    tree = context_tree.Tree(keys, n)
-    root = np.zeros((3, 256))
-    for k, c in zip(keys, n, strict=True):
-        for j in range(8):
-            root[int(k) >> (7 - j) & 1, 1 << j | (int(k) & 255) >> (8 - j)] += c
-    p = 10 ** tree.scores(root)
-    assert abs(p[keys >> np.uint64(8) == context].sum() - 1) < 1e-9
+    shift = np.uint64(8)
+    draw = lambda lo, hi, n: bytes(rng.integers(lo, hi, n).astype(np.uint8))
+    seen = np.unique(np.array([int.from_bytes(bytes([97] * (context_tree.DEPTH - 2)) + draw(97, 102, 2) + draw(97, 105, 1), "big") for _ in range(300)], np.uint64))
+    context = seen[0] >> shift
+    keys = np.unique(np.concatenate([seen, context << shift | np.arange(256, dtype=np.uint64)]))
+    tree = context_tree.Tree(keys, np.where(np.isin(keys, seen), 3, 0))
+    names = [tree._names(j) for j in range(8)]
+    above = np.unique(np.concatenate([c << 8 | n for c, n in names]))
+    p = 10 ** tree.scores(above, np.stack([np.full(len(above), 0.1), np.full(len(above), 0.2), np.full(len(above), 0.7)]))  # shorter contexts: a third, two thirds
+    assert abs(p[keys >> shift == context].sum() - 1) < 1e-9
 
 
 def test_kt_is_the_sequential_product():
