@@ -101,6 +101,12 @@ def forget(since: int = 0, but: int = 0) -> None:
     del _made[since:until]
 
 
+def tidy(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of plans that no one holds any more; it waits for a collection to do so."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def made() -> int:
     """How many scratch folders there are now."""
     return len(_made)

@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Table
-from .common import Lookup, broadcast, distinct, map_arrow, remainder, ship, slices, span_hash, sums, table, utf8, words, written
+from .common import Lookup, broadcast, forget, made, map_arrow, remainder, ship, slices, span_hash, sums, table, tidy, utf8, words, written
 
 #: Bytes of context; DEPTH + 1 bytes are one event, 7 at most. Bytes of context below which trees are built apart.
 DEPTH, SPLIT = 6, 3
@@ -42,25 +42,20 @@ def _signed(x: np.ndarray) -> pa.Array:
 
 
 def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    held: dict[bytes, list] = {}
+    held: dict[int, int] = {}
 
     def out() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([_signed(np.array([x[0] for x in held.values()], np.uint64)), pa.array(list(held), pa.binary()), pa.array([x[1] for x in held.values()], pa.int64())], ["h", "word", "n"])
+        return pa.RecordBatch.from_arrays([_signed(np.fromiter(held, np.uint64, len(held))), pa.array(list(held.values()), pa.int64())], ["h", "n"])
 
     for batch in batches:
         data, offsets = utf8(batch.column("text"))
         learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
         for a, b in slices(offsets, SLICE):
             own, start, end, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            where, back = distinct(own, start, end)
-            n, raw = np.bincount(back, np.repeat(learned[a:b], np.diff(at)), len(where)).astype(np.int64), own.tobytes()
-            first, last = start[where], end[where]
-            for key, x, y, more in zip(span_hash(own, first, last).tolist(), first.tolist(), last.tolist(), n.tolist(), strict=True):
-                known = held.get(raw[x:y])
-                if known is None:
-                    held[raw[x:y]] = [key, more]
-                else:
-                    known[1] += more
+            each, back = np.unique(span_hash(own, start, end), return_inverse=True)
+            n = np.bincount(back, np.repeat(learned[a:b], np.diff(at)), len(each)).astype(np.int64)
+            for key, more in zip(each.tolist(), n.tolist(), strict=True):
+                held[key] = held.get(key, 0) + more
             if len(held) > TYPES_COUNTED:
                 yield out()
                 held.clear()
@@ -69,8 +64,8 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def count_types(docs: DataFrame) -> DataFrame:
-    """h, word, n: every type of docs(text, learned) with its count in learned texts, 0 for those only in others."""
-    return map_arrow(docs.select("text", "learned"), _count_types, "h long, word binary, n long").groupBy("h", "word").agg(F.sum("n").alias("n"))
+    """h, n: every type of docs(text, learned) with its count in learned texts, 0 for those only in others."""
+    return map_arrow(docs.select("text", "learned"), _count_types, "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
 
 
 def event_keys(data: np.ndarray, start: np.ndarray, end: np.ndarray, at: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -249,7 +244,7 @@ def _mixed_above(tops: DataFrame) -> DataFrame:
 def score_events(events: DataFrame) -> DataFrame:
     """key, n, logp of the written events key, n. A task holds a bucket's trees, some BUCKET events and more."""
     buckets = max(1, -(-events.count() // BUCKET))
-    in_bucket = lambda ctx: F.pmod(F.xxhash64(ctx), F.lit(buckets)).alias("bucket")
+    in_bucket = lambda ctx: F.pmod(F.xxhash64(ctx), F.lit(buckets)).cast("int").alias("bucket")
     marked = events.select(in_bucket(F.shiftrightunsigned("key", 8 * (DEPTH + 1 - SPLIT))), "key", "n")
 
     def arrays(group: pa.Table) -> tuple[np.ndarray, np.ndarray]:
@@ -297,13 +292,19 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     """
     spark = docs.sparkSession
     rows = docs.select("doc_id", "text", F.coalesce(learned, F.lit(False)).alias("learned"))
-    types = written(count_types(rows).select("h", "n"), "types")
+    types = written(count_types(rows), "types")
     ends = rows.where("learned").count()
     totals = types.agg(F.sum("n").alias("n"), F.count_if(F.col("n") > 0).alias("v")).first()
     n, v = (totals["n"] or 0) + ends, totals["v"] + (ends > 0)
-    scored = written(score_events(written(count_events(rows), "events")), "event-scores")
+    since = made()
+    events = written(count_events(rows), "events")
+    tidy(spark)
+    scored = written(score_events(events), "event-scores")
+    forget(since, but=1)
+    tidy(spark)
     known = types.where(F.col("n") >= _frequent(types, TYPES_HELD)).toArrow()
-    likely = scored.where(F.col("n") >= _frequent(scored, EVENTS_HELD)).select("key", "logp").toArrow()
+    least = _frequent(scored, EVENTS_HELD)
+    likely = scored.where(F.col("n") >= least).select("key", "logp").toArrow()
     events = Table(width=1, kind=np.float64)
     events.add(likely.column("key").to_numpy(), likely.column("logp").to_numpy()[:, None])
     held = broadcast(spark, (Lookup(known.column("h").to_numpy().view(np.uint64)), known.column("n").to_numpy().astype(np.float64), events))
@@ -335,7 +336,7 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     names = ["uid", "doc_id", "n_tokens", "n_known", "base_score", "score", "h", "key"]
     out = written(map_arrow(rows.select("doc_id", "text"), run, f"uid long, doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_tokens long, n_known long, base_score double, score double, h long, key long"), "text-scores")
     rare = out.where("h is not null").select("uid", "h").join(types, "h").select("uid", (F.col("n") > 0).cast("long").alias("k"), (F.log10(F.col("n") + 1.0) - floor).alias("base"), F.lit(0.0).alias("more"))
-    rare = rare.unionByName(out.where("key is not null").select("uid", "key").join(scored, "key").select("uid", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.col("logp").alias("more")))
+    rare = rare.unionByName(out.where("key is not null").select("uid", "key").join(scored.where(F.col("n") < least), "key").select("uid", F.lit(0).cast("long").alias("k"), F.lit(0.0).alias("base"), F.col("logp").alias("more")))
     rare = rare.groupBy("uid").agg(*[F.sum(c).alias(c) for c in ("k", "base", "more")])
     plus = lambda c, more: (F.col(c) + F.coalesce(F.col(more), F.lit(0))).alias(c)
     return out.where("h is null and key is null").join(rare, "uid", "left").select("doc_id", "n_tokens", plus("n_known", "k"), F.lit(n).cast("long").alias("train_tokens"), plus("base_score", "base"), plus("score", "more"))
