@@ -14,6 +14,8 @@ aggregates of its tops, level by level, so that no task and no driver holds the
 from __future__ import annotations
 
 import os
+import uuid
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -22,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Table
-from .common import Lookup, broadcast, forget, made, map_arrow, remainder, ship, slices, span_hash, sums, table, tidy, utf8, words, written
+from .common import broadcast, forget, made, map_arrow, remainder, ship, slices, span_hash, sums, table, tidy, utf8, words, written
 
 #: Bytes of context; DEPTH + 1 bytes are one event, 7 at most. Bytes of context below which trees are built apart.
 DEPTH, SPLIT = 6, 3
@@ -52,7 +54,7 @@ def _count_types(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         learned = batch.column("learned").to_numpy(zero_copy_only=False).astype(bool)
         for a, b in slices(offsets, SLICE):
             own, start, end, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            each, back = np.unique(span_hash(own, start, end), return_inverse=True)
+            each, back = np.unique(span_hash(own, start, end) >> np.uint64(1), return_inverse=True)
             n = np.bincount(back, np.repeat(learned[a:b], np.diff(at)), len(each)).astype(np.int64)
             for key, more in zip(each.tolist(), n.tolist(), strict=True):
                 held[key] = held.get(key, 0) + more
@@ -281,13 +283,36 @@ def _frequent(rows: DataFrame, most: int) -> int:
     return least
 
 
+def _packed(keys: np.ndarray, values: np.ndarray) -> tuple[bytes, np.ndarray]:
+    """Distinct keys in order, as compressed planes of their differences' bytes, and their values."""
+    order = np.argsort(keys)
+    gaps = np.diff(keys[order].view(np.uint64), prepend=np.uint64(0))
+    return zlib.compress(gaps.view(np.uint8).reshape(-1, 8).T.tobytes(), 1), values[order]
+
+
+_built: dict[str, tuple[Table, np.ndarray, Table]] = {}
+
+
+def _unpacked(held) -> tuple[Table, np.ndarray, Table]:
+    """Places of types, their counts, and the logarithms of events; made once in a worker."""
+    name, *parts = held.value
+    if name not in _built:
+        _built.clear()
+        keys = [np.cumsum(np.frombuffer(zlib.decompress(x), np.uint8).reshape(8, -1).T.copy().view(np.uint64).ravel()).view(np.int64) for x, _ in parts]
+        types, events = Table(kind=np.int32, width=1), Table(kind=np.float64, width=1)
+        types.add(keys[0], np.arange(len(keys[0]), dtype=np.int32)[:, None])
+        events.add(keys[1], parts[1][1][:, None])
+        _built[name] = types, parts[0][1].astype(np.float64), events
+    return _built[name]
+
+
 def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     """Every row of ``docs`` as doc_id, n_tokens, n_known, train_tokens, base_score and score.
 
     The model learns from the rows where ``learned``. Words are runs of characters other than blank and tab to
     carriage return, A-Z in lower case; the end of a text is one more token. A null text is empty: one token. With
     no rows learned, all is unknown, and every decision has probability one half. Texts of any length are scored
-    whole. Repeated rows get equal results; an empty table gives no rows. Types are told apart by 64-bit hashes of
+    whole. Repeated rows get equal results; an empty table gives no rows. Types are told apart by 63-bit hashes of
     their bytes, events by their bytes.
     """
     spark = docs.sparkSession
@@ -302,24 +327,24 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     scored = written(score_events(events), "event-scores")
     forget(since, but=1)
     tidy(spark)
+    # executors keep what is broadcast in files: it goes packed, and each worker builds its tables once
     known = types.where(F.col("n") >= _frequent(types, TYPES_HELD)).toArrow()
     least = _frequent(scored, EVENTS_HELD)
     likely = scored.where(F.col("n") >= least).select("key", "logp").toArrow()
-    events = Table(width=1, kind=np.float64)
-    events.add(likely.column("key").to_numpy(), likely.column("logp").to_numpy()[:, None])
-    held = broadcast(spark, (Lookup(known.column("h").to_numpy().view(np.uint64)), known.column("n").to_numpy().astype(np.float64), events))
+    held = broadcast(spark, (uuid.uuid4().hex, *[_packed(x.column(c).to_numpy(), x.column(v).to_numpy()) for x, c, v in ((known, "h", "n"), (likely, "key", "logp"))]))
     floor = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lookup, counts, events = held.value
+        types, counts, events = _unpacked(held)
         base, seen = np.append(np.log10(counts + 1.0) - floor, 0.0), np.append(counts > 0, False).astype(np.int64)  # the last: not held
         uid = int.from_bytes(os.urandom(7), "little")  # rows of one attempt; only one attempt's are kept
         for batch in batches:
             data, offsets = utf8(batch.column("text"))
             for a, b in slices(offsets, SLICE):
                 own, start, end, at = words(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-                hashes = span_hash(own, start, end)
-                place = lookup.find(hashes)
+                hashes = span_hash(own, start, end) >> np.uint64(1)
+                place = types.find(hashes.view(np.int64))
+                place = np.where(place >= 0, types.values[place, 0], -1)
                 keys, bounds = event_keys(own, start, end, at)
                 keys = keys.view(np.int64)
                 slot = events.find(keys)
