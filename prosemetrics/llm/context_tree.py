@@ -24,19 +24,19 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bpe import Table
-from .common import broadcast, forget, made, map_arrow, remainder, ship, slices, span_hash, sums, table, tidy, utf8, words, written
+from .common import broadcast, forget, made, map_arrow, release, remainder, ship, slices, span_hash, sums, table, tidy, utf8, words, written
 
 #: Bytes of context; DEPTH + 1 bytes are one event, 7 at most. Bytes of context below which trees are built apart.
 DEPTH, SPLIT = 6, 3
 BLANK, STOP = 0x20, 0x0A
-#: Types and events whose values each worker holds (16 and 50 MB), the most frequent ones; the others are joined by a shuffle.
-TYPES_HELD, EVENTS_HELD = 1 << 19, 2_000_000
+#: Types and events whose values each worker holds (8 and 32 MB), the most frequent ones; the others are joined by a shuffle.
+TYPES_HELD, EVENTS_HELD = 1 << 18, 1_000_000
 #: Types, and events, that a task holds before it hands counts on.
-TYPES_COUNTED, EVENTS_COUNTED = 400_000, 1_500_000
+TYPES_COUNTED, EVENTS_COUNTED = 400_000, 1_000_000
 #: Events in one bucket of trees.
 BUCKET = 50_000
 #: Bytes of text whose words are looked at at once.
-SLICE = 1 << 20
+SLICE = 1 << 19
 
 
 def _signed(x: np.ndarray) -> pa.Array:
@@ -332,6 +332,8 @@ def score_texts(docs: DataFrame, learned: Column) -> DataFrame:
     least = _frequent(scored, EVENTS_HELD)
     likely = scored.where(F.col("n") >= least).select("key", "logp").toArrow()
     held = broadcast(spark, (uuid.uuid4().hex, *[_packed(x.column(c).to_numpy(), x.column(v).to_numpy()) for x, c, v in ((known, "h", "n"), (likely, "key", "logp"))]))
+    del known, likely
+    release()
     floor = float(np.log10(n + v + 1))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
