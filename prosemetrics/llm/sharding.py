@@ -3,7 +3,8 @@
 A node is split at the distributed weighted median of its widest dimension, weighted by bytes, until each leaf
 has one shard's share. The medians come from histograms: each round is one aggregation over the compact
 metadata table, whose result is at most nodes x BINS rows, and narrows the cut to one bin, until that bin holds
-one value. Where many rows hold the value at the cut, the later dimensions go on dividing them.
+one value. Where the rows of the value at the cut are to be divided, a hash of the text divides them: equal texts
+have equal coordinates and stay together, unless they are more than a shard holds.
 """
 
 from __future__ import annotations
@@ -17,8 +18,10 @@ from .common import table, written
 
 #: Bins of one histogram.
 BINS = 2048
-#: A cut may miss its share by this part of a shard to leave equal rows together.
-TOLERANCE = 0.04
+#: Parts of a shard that a group of equal texts larger than a shard is divided into.
+PARTS = 32
+#: Groups of equal texts that are broadcast at most (some 40 MB); more of them are joined by a shuffle.
+MOST_BROADCAST = 500_000
 
 
 @dataclass
@@ -44,9 +47,9 @@ def leaf(node: Node) -> Column:
     return F.when(_left(node.cut), leaf(node.kids[0])).otherwise(leaf(node.kids[1])) if node.kids else F.lit(node.first)
 
 
-def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, shards: int) -> Node:
-    """The tree over ``rows``. All of ``dims`` and ``ties`` are non-null longs; ``ties`` order the rows of one value."""
-    every = [*dims, *(t for t in ties if t not in dims)]
+def kd_tree(rows: DataFrame, dims: list[str], tie: str, weight: str, shards: int) -> Node:
+    """The tree over ``rows``. All of ``dims`` and ``tie`` are non-null longs; ``tie`` orders the rows of one value."""
+    every = [*dims, tie]
 
     def boxes(by: Column) -> dict:
         ends = [f(d).alias(f"{n}_{d}") for d in every for n, f in (("lo", F.min), ("hi", F.max))]
@@ -60,8 +63,7 @@ def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, shar
         order = {}
         for n in level:
             wide = [(hi - lo) / s for (lo, hi), s in zip(n.box, spread, strict=False)]
-            widest = dims[max(range(len(dims)), key=lambda i: (wide[i], -i))]
-            order[n.first] = [widest, *(t for t in ties if t != widest)]
+            order[n.first] = [dims[max(range(len(dims)), key=lambda i: (wide[i], -i))], tie]
         _cut(rows.withColumn("node", leaf(root)), every, order, weight, level)
         for n in level:
             half = n.shards // 2
@@ -75,7 +77,6 @@ def kd_tree(rows: DataFrame, dims: list[str], ties: list[str], weight: str, shar
 
 def _cut(marked: DataFrame, every: list[str], order: dict[int, list[str]], weight: str, level: list[Node]) -> None:
     share = {n.first: n.weight * (n.shards // 2) / n.shards for n in level}
-    slack = {n.first: TOLERANCE * n.weight / n.shards for n in level}
     box = {n.first: dict(zip(every, n.box, strict=False)) for n in level}
     node = {n.first: n for n in level}
     span, below = {k: (box[k][order[k][0]][0], box[k][order[k][0]][1] + 1) for k in node}, dict.fromkeys(node, 0)
@@ -107,7 +108,7 @@ def _cut(marked: DataFrame, every: list[str], order: dict[int, list[str]], weigh
                 span[k] = (lo + b * step, min(hi, lo + (b + 1) * step))
                 continue
             before, after = share[k] - at, at + w - share[k]
-            if min(before, after) > slack[k] and len(node[k].cut) + 1 < len(dims):
+            if min(before, after) > 0 and len(node[k].cut) + 1 < len(dims):
                 node[k].cut.append((dims[len(node[k].cut)], lo + b))
                 span[k] = (box[k][dims[len(node[k].cut)]][0], box[k][dims[len(node[k].cut)]][1] + 1)
             else:
@@ -115,21 +116,42 @@ def _cut(marked: DataFrame, every: list[str], order: dict[int, list[str]], weigh
                 open_.discard(k)
 
 
-def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
-    """All rows of ``docs`` in shards of nearly equal bytes, by a k-d tree over what the text determines.
+def coordinates(docs: DataFrame, shards: int, by: list[str]) -> DataFrame:
+    """doc_id, size, text_crc32, uid, the dimensions of the tree, and tie, as a written table.
 
-    Dimensions are the size on a logarithmic scale and the CRC-32 of the text, so that equal texts share a shard;
-    a row number divides those that would put a cut off by more than TOLERANCE of a shard. Returns doc_id, size
-    (UTF-8 bytes plus 16), text_crc32, shard and slot, gapless from 0 in each shard.
-
-    Every row counts, repeated ones and those with a null doc_id too. A null text counts as empty: size 16. An
-    empty table gives no rows, and fewer rows than shards leave some shards empty. Columns of ``docs`` other than
-    doc_id and text are not read.
+    Dimensions: the columns ``by`` (as hashes of BINS values, which need no order) and the number of characters on a
+    logarithmic scale. A group of equal texts takes the least values of its members. Groups are known by 96 bits.
     """
     text = F.coalesce(F.col("text"), F.lit(""))
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.monotonically_increasing_id().alias("uid"))
-    rows = written(rows.withColumn("scale", (F.log2("size") * 4096).cast("long")), "kd-metadata")
-    tree = kd_tree(rows, ["scale", "text_crc32"], ["text_crc32", "uid"], "size", shards)
+    code = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(BINS)).alias(f"by_{c}")
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("uid"), *[code(c) for c in by], (F.log2(F.length(text) + 1) * 4096).cast("long").alias("scale"))
+    rows = written(rows, "kd-rows")
+    share = (rows.agg(F.sum("size")).first()[0] or 0) / shards
+    group = ["same", "text_crc32"]
+    groups = rows.groupBy(*group).agg(F.sum("size").alias("total"), F.count("*").alias("copies"), *[F.min(f"by_{c}").alias(f"least_{c}") for c in by]).where("copies > 1").drop("copies")
+    groups = written(groups, "kd-groups")
+    few = groups.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
+    rows = rows.join(F.broadcast(groups) if few else groups, group, "left")
+    parts = F.when(F.col("total") > share, F.ceil(F.col("total") / max(1.0, share) * PARTS)).otherwise(1)
+    part = F.pmod(F.xxhash64("uid"), F.coalesce(parts, F.lit(1)))
+    tie = F.pmod(F.xxhash64(*group, part), F.lit(1 << 33)).alias("tie")
+    return written(rows.select("doc_id", "size", "text_crc32", "uid", *[F.coalesce(f"least_{c}", f"by_{c}").alias(f"by_{c}") for c in by], "scale", tie), "kd-metadata")
+
+
+def shard_documents(docs: DataFrame, shards: int = 40, by: list[str] | None = None) -> DataFrame:
+    """All rows of ``docs`` in shards of nearly equal bytes, by a k-d tree over metadata.
+
+    Dimensions are the columns ``by`` (lang and source, where there are such) and the number of characters. Equal
+    texts share a shard, unless together they are larger than one. Returns doc_id, size (UTF-8 bytes plus 16),
+    text_crc32, shard and slot, gapless from 0 in each shard.
+
+    Every row counts, repeated ones and those with a null doc_id too. A null text counts as empty: size 16. A null
+    in ``by`` is a value like others. A text of any length lies in one shard, which is larger if it is. An empty
+    table gives no rows, and fewer groups than shards leave some shards empty. Other columns are not read.
+    """
+    by = [c for c in ("lang", "source") if c in docs.columns] if by is None else by
+    rows = coordinates(docs, shards, by)
+    tree = kd_tree(rows, [*[f"by_{c}" for c in by], "scale"], "tie", "size", shards)
     # slots: runs of row numbers are counted first, so that no task holds a whole shard
     placed = rows.withColumns({"shard": leaf(tree).cast("int"), "run": F.shiftright("uid", 14)})
     before = Window.partitionBy("shard").orderBy("run").rowsBetween(Window.unboundedPreceding, -1)
@@ -139,5 +161,6 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
 
 
 def op1_kd_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 40 shards under the law ``bytes``: doc_id, size, text_crc32, law, shard, slot, grown_shard (null)."""
     out = shard_documents(table(spark, sf_dir, "documents"), shards=40)
     return out.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"))

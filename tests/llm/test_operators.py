@@ -50,6 +50,49 @@ def test_a_group_larger_than_a_shard_is_divided(spark):
     assert len(size) == 8 and size.max() < 1.06 * size.mean()
 
 
+def brute_shards(atoms, dims, shards):
+    """Shards of atoms {(coordinates..., tie): weight}, by sorting each node's atoms."""
+    spread = [max(1, max(a[i] for a in atoms) - min(a[i] for a in atoms)) for i in range(dims)]
+
+    def split(mine, first, n):
+        if n == 1 or not mine:
+            return dict.fromkeys(mine, first)
+        wide = [(max(a[i] for a in mine) - min(a[i] for a in mine)) / spread[i] for i in range(dims)]
+        dim = max(range(dims), key=lambda i: (wide[i], -i))
+        order = sorted(mine, key=lambda a: (a[dim], a[-1]))
+        share, total, left = sum(atoms[a] for a in mine) * (n // 2) / n, 0, set()
+        for a in order:
+            if total + atoms[a] > share:
+                if total + atoms[a] - share < share - total:
+                    left.add(a)
+                break
+            total += atoms[a]
+            left.add(a)
+        return split([a for a in mine if a in left], first, n // 2) | split([a for a in mine if a not in left], first + n // 2, n - n // 2)
+
+    return split(list(atoms), 0, shards)
+
+
+@pytest.mark.parametrize(("copies", "shards"), [(1, 7), (30, 8), (400, 10)])
+def test_shards_are_those_of_the_sorted_tree(spark, copies, shards):
+    """With small groups, and with one larger than a shard, which alone is divided."""
+    data = [(k, prose(k % 150 if k >= copies else 9999, 5 + k % 40 if k >= copies else 30), ("en", "fr", None)[k % 3], "ab"[k % 2]) for k in range(600)]
+    docs = documents(spark, data)
+    rows = sharding.coordinates(docs, shards, ["lang", "source"]).toPandas()
+    atoms: dict = {}
+    for r in rows.itertuples():
+        key = (r.by_lang, r.by_source, r.scale, r.tie)
+        atoms[key] = atoms.get(key, 0) + r.size
+    expected = brute_shards(atoms, 3, shards)
+    got = sharding.shard_documents(docs, shards).toPandas()
+    want = {r.doc_id: expected[r.by_lang, r.by_source, r.scale, r.tie] for r in rows.itertuples()}
+    assert dict(zip(got["doc_id"], got["shard"], strict=True)) == want
+    whole = got.groupby("text_crc32").agg(shards=("shard", "nunique"), bytes=("size", "sum"))
+    assert (whole["shards"][whole["bytes"] <= got["size"].sum() / shards] == 1).all()
+    size = got.groupby("shard")["size"].sum()
+    assert len(size) == shards and size.max() - size.mean() < 2 * max(atoms.values())
+
+
 # 2
 def test_scores(spark, monkeypatch):
     def check():
