@@ -381,6 +381,39 @@ def test_toxicity_above_the_caps_fits_the_true_shares(spark, monkeypatch):
     assert max(abs(a - b) for a, b in zip(whole, capped, strict=True)) < 0.1
 
 
+def test_toxicity_against_brute_force(spark):
+    """Entries and patterns found word by word; the model teaches itself from votes, so unlabelled rows move it."""
+    from prosemetrics.llm.common import span_hash
+
+    data = [(k, prose(k, 30) + (" rotter scoundrel" if k % 4 == 0 else ""), "en", "a") for k in range(300)]
+    docs, labels = documents(spark, data), spark.createDataFrame([(k, int(k % 4 == 0)) for k in range(200)], "doc_id long, toxic int")
+    model = toxicity.fit(docs, labels)
+    asked = data[250:] + [(1000, "ROTTER scoundrel!!!!", "en", "a"), (1001, "SHOUTING ONLY", "en", "a"), (1002, "", "en", "a"), (1003, None, "en", "a")]
+    weight = dict(zip(model.lexicons.places.tolist(), model.weights.tolist(), strict=False))
+
+    def places(text):
+        for word in set(re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", low(text))):
+            raw = word.encode()
+            for family, n in enumerate(toxicity.FAMILIES):
+                if len(raw) >= n:
+                    part = raw[:n] if n else raw
+                    h = span_hash(np.frombuffer(part, np.uint8), np.array([0]), np.array([len(part)]))[0]
+                    yield int(h >> np.uint64(64 - toxicity.BITS)) | family << toxicity.BITS
+
+    def score(text):
+        raw = (text or "").encode()
+        shown = [sum(65 <= c <= 90 for c in raw) > sum(97 <= c <= 122 for c in raw), raw.count(b"!") > 0.02 * max(1, len(raw)), sum(raw.count(c) for c in (b"*", b"#", b"$")) > 0.01 * max(1, len(raw)), sum(a == b == c for a, b, c in zip(raw, raw[1:], raw[2:], strict=False)) > 0.01 * max(1, len(raw))]
+        z = model.bias + sum(weight.get(x, 0.0) for x in set(places(text or ""))) + sum(w for w, on in zip(model.weights[len(weight) :], shown, strict=True) if on)
+        return 1 / (1 + math.exp(-max(-30, min(30, z))))
+
+    got = {r["doc_id"]: r["toxicity"] for r in toxicity.score_texts(documents(spark, asked), model).collect()}
+    assert got == pytest.approx({i: score(t) for i, t, *_ in asked})
+    assert got[1000] > 0.5 > got[1002] == got[1003]
+    assert len(model.accuracies) == toxicity.LEXICONS + len(toxicity.PATTERNS) == len(model.correlations)
+    more = documents(spark, data + [(5000 + k, "rotter", "en", "a") for k in range(3000)])  # without labels
+    assert abs(toxicity.fit(more, labels).accuracies - model.accuracies).max() > 1e-6
+
+
 def test_label_model_finds_good_and_bad_voters():
     rng = np.random.default_rng(4)
     y = rng.integers(0, 2, 4000)
