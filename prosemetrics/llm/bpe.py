@@ -272,20 +272,33 @@ class Vocabulary:
 
     def encode(self, word: bytes) -> list[int]:
         """Token ids of one piece, by the unique last token of each prefix and back-pointers."""
-        last, node, end = array("i", [-1]) * (len(word) + 1), 0, len(word)
+        end = len(word)
+        last, node = [-1] * (end + 1) if end < 1000 else array("i", [-1]) * (end + 1), 0
+        found, ends, fail, length, goto, fits, own = self.found, self.ends, self.fail, self.length, self.next, self._fit, self._own
         for i, b in enumerate(word, 1):
-            node = self.step(node, b + 256 if self.suffix and i == end else b)
-            for t in self.ending(node):
-                before = i - self.length[t]
-                if (before == 0 or last[before] >= 0 and self.compatible(last[before], t)) and self.own(t):
-                    last[i] = t
-                    break
+            symbol = b + 256 if self.suffix and i == end else b
+            node = goto.get(node << 9 | symbol) or self.step(node, symbol)
+            k = found[node]
+            while k:
+                t = ends[k]
+                before = i - length[t]
+                if own[t] == 2 or not own[t] and self.own(t):
+                    if not before:
+                        last[i] = t
+                        break
+                    a = last[before]
+                    if a >= 0:
+                        fit = fits.get(a << 20 | t)
+                        if fit or fit is None and self.compatible(a, t):
+                            last[i] = t
+                            break
+                k = found[fail[k]]
         out, i = [], end
         while i:
             if last[i] < 0:
                 raise ValueError("a byte has no token")
             out.append(last[i])
-            i -= self.length[last[i]]
+            i -= length[last[i]]
         return out[::-1]
 
 

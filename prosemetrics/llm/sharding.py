@@ -124,7 +124,7 @@ def coordinates(docs: DataFrame, shards: int, by: list[str]) -> DataFrame:
     """
     text = F.coalesce(F.col("text"), F.lit(""))
     code = lambda c: F.pmod(F.crc32(F.coalesce(F.col(c).cast("string"), F.lit("")).cast("binary")), F.lit(BINS)).alias(f"by_{c}")
-    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("uid"), *[code(c) for c in by], (F.log2(F.length(text) + 1) * 4096).cast("long").alias("scale"))
+    rows = docs.select("doc_id", (F.octet_length(text) + 16).cast("long").alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), F.xxhash64(text).alias("same"), F.monotonically_increasing_id().alias("uid"), *[code(c) for c in by], (F.log2(F.length(text) + 1) * 64).cast("long").alias("scale"))
     rows = written(rows, "kd-rows")
     share = (rows.agg(F.sum("size")).first()[0] or 0) / shards
     group = ["same", "text_crc32"]
@@ -134,7 +134,7 @@ def coordinates(docs: DataFrame, shards: int, by: list[str]) -> DataFrame:
     rows = rows.join(F.broadcast(groups) if few else groups, group, "left")
     parts = F.when(F.col("total") > share, F.ceil(F.col("total") / max(1.0, share) * PARTS)).otherwise(1)
     part = F.pmod(F.xxhash64("uid"), F.coalesce(parts, F.lit(1)))
-    tie = F.pmod(F.xxhash64(*group, part), F.lit(1 << 33)).alias("tie")
+    tie = F.pmod(F.xxhash64(*group, part), F.lit(BINS * BINS)).alias("tie")
     return written(rows.select("doc_id", "size", "text_crc32", "uid", *[F.coalesce(f"least_{c}", f"by_{c}").alias(f"by_{c}") for c in by], "scale", tie), "kd-metadata")
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 import json
 import re
 import unicodedata
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -23,23 +24,25 @@ from .common import distinct, map_arrow, slices, sums, table, utf8
 
 #: Bytes of text at a time: pieces are looked up once in each such slice.
 SLICE = 1 << 20
-#: Bytes of pieces and ids that a worker remembers at most, as they are counted here; memory takes some twice that.
-MOST_KNOWN = 12 << 20
+#: Bytes that pieces and their ids take in a worker's memory at most, as they are counted here.
+MOST_KNOWN = 48 << 20
 
 
 class Known:
-    """Ids by the bytes of a piece; all are forgotten when they outgrow the bound."""
+    """Ids, as bytes of 32-bit numbers, by the bytes of a piece; all are forgotten when they outgrow the bound."""
 
     def __init__(self) -> None:
         self.ids, self.size = {}, 0
 
-    def add(self, piece: bytes, ids: tuple[int, ...]) -> tuple[int, ...]:
-        self.size += 120 + len(piece) + 8 * len(ids)
-        if self.size > MOST_KNOWN:
-            self.ids, self.size = {}, 120 + len(piece) + 8 * len(ids)
-        if self.size <= MOST_KNOWN:
-            self.ids[piece] = ids
-        return ids
+    def add(self, piece: bytes, ids: list[int]) -> bytes:
+        held = array("i", ids).tobytes()
+        size = 180 + len(piece) + len(held)
+        if self.size + size > MOST_KNOWN:
+            self.ids, self.size = {}, 0
+        if size <= MOST_KNOWN:
+            self.ids[piece] = held
+            self.size += size
+        return held
 
 
 @lru_cache(1)
@@ -150,13 +153,13 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
                 own, bounds = np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)])
                 first, last, at = _spans(own, bounds, False)
                 where, back = distinct(own, first, last)
-                found: list = []
+                found: list[bytes] = []
                 for x, y in zip(first[where].tolist(), last[where].tolist(), strict=True):
                     piece = raw[x:y]
                     ids = known.ids.get(piece)
-                    found.append(known.add(piece, tuple(vocab.encode(piece))) if ids is None else ids)
-                lengths = np.array([len(x) for x in found], np.int64)
-                flat, begin = np.fromiter((t for x in found for t in x), np.int32, int(lengths.sum())), np.cumsum(lengths) - lengths
+                    found.append(known.add(piece, vocab.encode(piece)) if ids is None else ids)
+                lengths = np.array([len(x) for x in found], np.int64) // 4
+                flat, begin = np.frombuffer(b"".join(found), np.int32), np.cumsum(lengths) - lengths
                 n = lengths[back]
                 place = np.cumsum(n) - n
                 ids = flat[np.repeat(begin[back] - place, n) + np.arange(int(n.sum()))]
