@@ -4,10 +4,12 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import centred, cosine, distance, dot, moving_average, resample, standard, total
+from ..sources.scratch import stored
 
 #: Books that the Ward merge is computed for at most; it needs all of their distances at once.
 MOST_MERGED = 2_000
@@ -120,23 +122,38 @@ def explained(rows: DataFrame, m: int = 3) -> float:
     return float((s[:m] ** 2).sum() / max(1e-300, (s**2).sum()))
 
 
-def permutation_test(rows: DataFrame, m: int = 3, rounds: int = 1000, seed: int = 42) -> DataFrame:
-    """real, null_mean, p: explained variance against arcs whose points are shuffled, a round for each row of a range."""
-    x = np.array([r["arc"] for r in centred_arcs(rows).select("arc").limit(MOST_MERGED + 1).collect()])
-    if len(x) > MOST_MERGED:
-        raise ValueError(f"more than {MOST_MERGED} arcs")
-    sent = rows.sparkSession.sparkContext.broadcast(x)
-    real = explained(rows, m)
+#: Arcs that one task shuffles and multiplies.
+BLOCK = 4_096
 
-    def run(batches):
-        for batch in batches:
-            out = []
-            for k in batch["id"]:
-                s = np.linalg.svd(np.random.default_rng([seed, k]).permuted(sent.value, axis=1), compute_uv=False) ** 2
-                out.append(s[:m].sum() / max(1e-300, s.sum()))
-            yield pd.DataFrame({"null": out})
 
-    nulls = rows.sparkSession.range(rounds).mapInPandas(run, "null double")
+def permutation_test(rows: DataFrame, book: str, m: int = 3, rounds: int = 1000, seed: int = 42) -> DataFrame:
+    """real, null_mean, p: explained variance against arcs whose points are shuffled, row by row, ``rounds`` times.
+
+    Blocks of arcs, told by a hash of the book, give the product matrix of each round; these add up by round, as a
+    decomposition needs no more. Equal arcs are arcs each; a book is to name one row.
+    """
+    x = stored(centred_arcs(rows).select(book, "arc"))
+    blocks = max(1, -(-x.count() // BLOCK))
+    real = explained(x, m)
+
+    def products(group: pa.Table) -> pa.Table:
+        order = np.argsort(np.array([str(k) for k in group.column(book).to_pylist()]), kind="stable")
+        arc = np.array(group.column("arc").to_pylist())[order]
+        block = int(group.column("block")[0].as_py())
+        grams = []
+        for k in range(rounds):
+            shuffled = np.random.default_rng([seed, block, k]).permuted(arc, axis=1)
+            grams.append((shuffled.T @ shuffled).tobytes())
+        return pa.table({"round": pa.array(range(rounds), pa.int64()), "gram": pa.array(grams, pa.binary())})
+
+    def shares(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(g.as_py()) for g in group.column("gram"))
+        n = int(round(len(total) ** 0.5))
+        values = np.sort(np.maximum(0, np.linalg.eigvalsh(total.reshape(n, n))))[::-1]
+        return pa.table({"null": pa.array([values[:m].sum() / max(1e-300, values.sum())])})
+
+    marked = x.withColumn("block", F.pmod(F.xxhash64(F.col(book).cast("string")), F.lit(blocks)))
+    nulls = marked.groupBy("block").applyInArrow(products, "round long, gram binary").groupBy("round").applyInArrow(shares, "null double")
     return nulls.agg(F.lit(real).alias("real"), F.avg("null").alias("null_mean"), ((F.count_if(F.col("null") >= real) + 1) / (F.count("*") + 1)).alias("p"))
 
 
@@ -147,8 +164,8 @@ def ward_merges(rows: DataFrame, book: str) -> DataFrame:
         if len(group) > MOST_MERGED:
             raise ValueError(f"more than {MOST_MERGED} arcs")
         x = np.stack(group.sort_values(book)["arc"].map(np.asarray).to_list())
-        own = np.abs(x[:, None] - x[None]).sum(2)
-        d = np.sqrt(((own[:, None] - own[None]) ** 2).sum(2))
+        own = np.stack([np.abs(x - row).sum(1) for row in x])
+        d = np.stack([np.sqrt(((own - row) ** 2).sum(1)) for row in own])  # row by row: memory for the square only
         np.fill_diagonal(d, np.inf)
         names, sizes, out = list(range(len(x))), [1] * len(x), []
         for step in range(len(x) - 1):

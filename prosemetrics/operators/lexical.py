@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, words
+from ..sources.scratch import stored
 
 FLOOR = 1e-12
 
@@ -19,50 +20,59 @@ def term_counts(docs: DataFrame) -> DataFrame:
 
 
 def corpus_frequency(counts: DataFrame) -> DataFrame:
-    """term, c, q: counts over all documents and shares of the whole."""
-    c = counts.groupBy("term").agg(F.sum("cnt").alias("c"))
-    whole = counts.agg(F.sum("cnt").alias("whole"))
-    return c.crossJoin(F.broadcast(whole)).select("term", "c", (F.col("c") / F.col("whole")).alias("q"))  # one row
+    """term, c: counts over all documents."""
+    return counts.groupBy("term").agg(F.sum("cnt").alias("c"))
 
 
-def rare_terms(frequency: DataFrame, share: float = 0.5) -> DataFrame:
-    """Terms of the rarer part of the vocabulary, ties by the term.
+def rare_terms(frequency: DataFrame, share: float = 0.5) -> Column:
+    """Whether a term c, term belongs to the rarer part of the vocabulary, ties by the term.
 
-    Ranks count terms of a smaller frequency first, so that no task orders the vocabulary.
+    Terms of a smaller count come first, so only those of one count are cut; of these, only the ones with the
+    beginning that the cut falls in are ordered. No task orders the vocabulary.
     """
-    by = frequency.groupBy("c").agg(F.count("*").alias("terms"))
-    before = Window.orderBy("c").rowsBetween(Window.unboundedPreceding, -1)  # over distinct frequencies
-    starts = by.select("c", F.coalesce(F.sum("terms").over(before), F.lit(0)).alias("start"), F.sum("terms").over(Window.partitionBy()).alias("vocabulary"))
-    limit = F.floor(F.col("vocabulary") * share)
-    whole = frequency.join(F.broadcast(starts), "c")  # as many rows as distinct counts
-    inside = whole.where(F.col("start") < limit)
-    rank = F.col("start") + F.row_number().over(Window.partitionBy("c").orderBy("term"))
-    full = inside.join(F.broadcast(by), "c").where(F.col("start") + F.col("terms") <= limit).select("term")
-    cut = inside.join(F.broadcast(by), "c").where(F.col("start") + F.col("terms") > limit).withColumn("rank", rank).where(F.col("rank") <= limit).select("term")
-    return full.unionByName(cut)
+
+    def cut(rows: DataFrame, key: str, limit: int) -> tuple:
+        """The first value of ``key`` by which ``limit`` rows are reached, and the rows still wanted there."""
+        by = rows.groupBy(key).agg(F.count("*").alias("n")).withColumn("upto", F.sum("n").over(Window.orderBy(key).rowsBetween(Window.unboundedPreceding, 0)))  # over distinct values
+        r = by.where(F.col("upto") >= limit).orderBy(key).select(key, (limit - F.col("upto") + F.col("n")).alias("rest")).first()
+        return r[0], r[1]
+
+    limit = int(frequency.count() * share)
+    if not limit:
+        return F.lit(False)
+    c, rest = cut(frequency, "c", limit)
+    same = frequency.where(F.col("c") == c).withColumn("start", F.left("term", F.lit(4)))
+    start, rest = cut(same, "start", rest)
+    last = same.where(F.col("start") == start).orderBy("term").limit(rest).agg(F.max("term")).first()[0]
+    return (F.col("c") < c) | ((F.col("c") == c) & (F.col("term") <= last))
+
+
+def exact_sum(x: Column) -> Column:
+    """A sum of doubles below 1,000 at fifteen places, which the order of rows does not change."""
+    return F.sum(x.cast("decimal(18,15)")).cast("double")
 
 
 def foregrounding(docs: DataFrame) -> DataFrame:
     """doc_id, n_tokens, lex_rarity, types_used_rate, hapax_rate, rare_tail_share, work_entropy, kl_from_corpus."""
-    counts = term_counts(docs)
-    q = corpus_frequency(counts)
-    tail = rare_terms(q).withColumn("rare", F.lit(1))
-    x = counts.join(q, "term").join(tail, "term", "left").withColumn("p", F.col("cnt") / F.col("n"))
+    counts = stored(term_counts(docs))
+    frequency = stored(corpus_frequency(counts))
+    whole = frequency.agg(F.sum("c")).first()[0] or 1
+    x = counts.join(frequency.withColumn("rare", rare_terms(frequency)), "term").withColumns({"p": F.col("cnt") / F.col("n"), "q": F.col("c") / F.lit(whole)})
     ln = lambda c: F.log(F.col(c) + FLOOR)
     return x.groupBy("doc_id").agg(
         F.max("n").alias("n_tokens"),
-        F.sum(-F.col("p") * ln("q")).alias("lex_rarity"),
+        exact_sum(-F.col("p") * ln("q")).alias("lex_rarity"),
         (F.count("*") / F.max("n")).alias("types_used_rate"),
         (F.count_if(F.col("cnt") == 1) / F.max("n")).alias("hapax_rate"),
-        F.sum(F.when(F.col("rare") == 1, F.col("p")).otherwise(0.0)).alias("rare_tail_share"),
-        F.sum(-F.col("p") * ln("p")).alias("work_entropy"),
-        F.sum(F.col("p") * (ln("p") - ln("q"))).alias("kl_from_corpus"),
+        (F.coalesce(F.sum(F.when(F.col("rare"), F.col("cnt"))), F.lit(0)) / F.max("n")).alias("rare_tail_share"),
+        exact_sum(-F.col("p") * ln("p")).alias("work_entropy"),
+        exact_sum(F.col("p") * (ln("p") - ln("q"))).alias("kl_from_corpus"),
     )
 
 
 def kl_from_class(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, kl_own: divergence from the mean distribution of the document's class; no label counts as class 0."""
-    counts = term_counts(docs).withColumn("p", F.col("cnt") / F.col("n"))
+    counts = stored(term_counts(docs)).withColumn("p", F.col("cnt") / F.col("n"))
     own = labels.groupBy("doc_id").agg(F.max(label).alias("label"))
     x = counts.join(own, "doc_id", "left").withColumn("cls", F.coalesce("label", F.lit(0)))
     mass = x.groupBy("cls").agg(F.sum("p").alias("mass"))
@@ -78,6 +88,7 @@ def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 
 def foregrounding_index(measures: DataFrame) -> DataFrame:
+    measures = stored(measures)
     four = ["lex_rarity", "types_used_rate", "hapax_rate", "rare_tail_share"]
     z = standardised(measures.select("doc_id", *four), four)
     return z.select("doc_id", ((F.col("z_lex_rarity") + F.col("z_types_used_rate") + F.col("z_hapax_rate") + F.col("z_rare_tail_share")) / 4).alias("foregrounding_index"))

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import clean_text, sentences, style, words
+from ..sources.scratch import stored
 
 
 @dataclass
@@ -22,33 +23,48 @@ class CountModel:
     lam: float
 
 
-def token_rows(docs: DataFrame) -> DataFrame:
-    """doc_id, pos (from 0), w, v (the word before, null for the first)."""
+def token_pairs() -> Column:
+    """Structs pos (from 0), w, v (the word before, null for the first) of the column text."""
     text = words(F.lower(clean_text(F.col("text"))))
-    pairs = let(text, lambda t: F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), F.get(t, i - 1).alias("v"))))
-    return docs.select("doc_id", F.inline(pairs))
+    return let(text, lambda t: F.transform(t, lambda w, i: F.struct(i.alias("pos"), w.alias("w"), F.get(t, i - 1).alias("v"))))
+
+
+def token_rows(docs: DataFrame) -> DataFrame:
+    return docs.select("doc_id", F.inline(token_pairs()))
 
 
 def fit(baseline: DataFrame, lam: float = 0.5) -> CountModel:
-    rows = token_rows(baseline)
-    unigrams = rows.groupBy("w").agg(F.count("*").alias("cw"))
-    bigrams = rows.where("v is not null").groupBy("v", "w").agg(F.count("*").alias("cvw"))
+    """The counts are stored: every score that is asked of the model reads them again."""
+    pairs = stored(token_rows(baseline).groupBy("v", "w").agg(F.count("*").alias("cvw")))
+    unigrams = stored(pairs.groupBy("w").agg(F.sum("cvw").alias("cw")))
     totals = unigrams.agg(F.sum("cw").alias("n"), F.count("*").alias("types"))
-    return CountModel(unigrams, bigrams, totals, lam)
+    return CountModel(unigrams, pairs.where("v is not null"), totals, lam)
 
 
-def token_nll(docs: DataFrame, model: CountModel) -> DataFrame:
-    """doc_id, pos, w, nll of every token but each text's first."""
-    rows = token_rows(docs).where("v is not null")
+def pair_nll(pairs: DataFrame, model: CountModel) -> DataFrame:
+    """v, w, nll of each distinct pair of ``pairs``: scored once, however often and wherever it stands."""
     heads = model.unigrams.toDF("v", "cv")
-    x = rows.join(model.bigrams, ["v", "w"], "left").join(model.unigrams, "w", "left").join(heads, "v", "left").crossJoin(F.broadcast(model.totals))
-    back = (F.coalesce("cw", F.lit(0)) + 1) / (F.col("n") + F.col("types") + 1)
+    x = pairs.select("v", "w").distinct().join(model.bigrams, ["v", "w"], "left").join(model.unigrams, "w", "left").join(heads, "v", "left").crossJoin(F.broadcast(model.totals))
+    back = (F.coalesce("cw", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + F.col("types") + 1)
     p = model.lam * F.coalesce(F.coalesce("cvw", F.lit(0)) / F.col("cv"), F.lit(0.0)) + (1 - model.lam) * back
-    return x.select("doc_id", "pos", "w", (-F.log(p)).alias("nll"))
+    return x.select("v", "w", (-F.log(p)).alias("nll"))
+
+
+def token_nll(docs: DataFrame, model: CountModel) -> DataFrame:
+    """doc_id, pos, w, nll of every token but each text's first."""
+    rows = stored(token_rows(docs).where("v is not null"))
+    return rows.join(pair_nll(rows, model), ["v", "w"]).select("doc_id", "pos", "w", "nll")
+
+
+def mean_nll(docs: DataFrame, model: CountModel, by: str) -> DataFrame:
+    """by, mean_nll, n_scored over tokens: pairs are counted by group before they meet their scores."""
+    counts = stored(docs.select(by, F.inline(token_pairs())).where("v is not null").groupBy(by, "v", "w").agg(F.count("*").alias("times")))
+    x = counts.join(pair_nll(counts, model), ["v", "w"])
+    return x.groupBy(by).agg((F.sum(F.col("times") * F.col("nll")) / F.sum("times")).alias("mean_nll"), F.sum("times").alias("n_scored"))
 
 
 def document_nll(docs: DataFrame, model: CountModel) -> DataFrame:
-    return token_nll(docs, model).groupBy("doc_id").agg(F.avg("nll").alias("mean_nll"), F.count("*").alias("n_scored"))
+    return mean_nll(docs, model, "doc_id")
 
 
 def perplexity(mean_nll: Column) -> Column:
@@ -57,23 +73,23 @@ def perplexity(mean_nll: Column) -> Column:
 
 def corpus_gap(docs: DataFrame, model: CountModel, corpus: str, baseline: Column) -> DataFrame:
     """corpus, mean_nll, perplexity, gap to the baseline's perplexity. Tokens weigh alike, batches do not matter."""
-    x = token_nll(docs, model).join(docs.select("doc_id", corpus), "doc_id").groupBy(corpus).agg(F.avg("nll").alias("mean_nll"))
-    x = x.withColumn("ppl", perplexity(F.col("mean_nll")))
-    base = x.where(baseline).select(F.col("ppl").alias("base"))
-    return x.crossJoin(F.broadcast(base)).select(corpus, "mean_nll", "ppl", (F.col("ppl") - F.col("base")).alias("gap"))
+    x = mean_nll(docs, model, corpus).withColumn("ppl", perplexity(F.col("mean_nll")))
+    base = F.max(F.when(baseline, F.col("ppl"))).over(Window.partitionBy())  # a row for each corpus
+    return x.select(corpus, "mean_nll", "ppl", (F.col("ppl") - base).alias("gap"))
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_number (from 1, before any is dropped), text, and the style features."""
     x = docs.select("doc_id", F.posexplode(sentences(clean_text(F.col("text")))).alias("pos", "sentence"))
-    return x.select("doc_id", (F.col("pos") + 1).alias("sentence_number"), "sentence", *[c.alias(n) for n, c in style(words(F.col("sentence"))).items()])
+    x = x.select("doc_id", (F.col("pos") + 1).alias("sentence_number"), "sentence", words(F.col("sentence")).alias("tokens"))
+    return x.select("doc_id", "sentence_number", "sentence", *[c.alias(n) for n, c in style(F.col("tokens")).items()])
 
 
 def sentence_scores(docs: DataFrame, model: CountModel) -> DataFrame:
     """sentence_rows with mean_nll; a sentence of one word has none."""
-    rows = sentence_rows(docs)
-    each = rows.select(F.struct("doc_id", "sentence_number").alias("doc_id"), F.col("sentence").alias("text"))
-    scores = token_nll(each, model).groupBy("doc_id").agg(F.avg("nll").alias("mean_nll")).select("doc_id.*", "mean_nll")
+    rows = stored(sentence_rows(docs))
+    each = rows.select(F.struct("doc_id", "sentence_number").alias("at"), F.col("sentence").alias("text"))
+    scores = mean_nll(each, model, "at").select("at.*", "mean_nll")
     return rows.join(scores, ["doc_id", "sentence_number"], "left")
 
 

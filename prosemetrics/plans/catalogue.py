@@ -46,11 +46,12 @@ _COUNTS = f"""{_TOKENS}, tc as (select doc_id, w as term, count(*) as cnt from t
 dn as (select doc_id, sum(cnt) as n from tc group by 1),
 x as (select tc.doc_id, term, cnt, n, cnt / n::double as p from tc join dn using (doc_id)),
 cf as (select term, sum(cnt) as c, sum(cnt) / (select sum(cnt) from tc)::double as q from tc group by 1)"""
+_SUM = "cast(sum(cast({0} as decimal(18,15))) as double)"
 _MEASURES = f"""{_COUNTS}, rk as (select term, row_number() over (order by c, term) as r from cf),
 tail as (select term from rk where r <= floor((select count(*) from cf) * 0.5)),
-m as (select doc_id, cast(max(n) as bigint) as n_tokens, sum(-p * ln(q + 1e-12)) as lex_rarity, count(*) / max(n)::double as types_used_rate,
- count(*) filter (cnt = 1) / max(n)::double as hapax_rate, sum(case when tail.term is not null then p else 0.0 end) as rare_tail_share,
- sum(-p * ln(p + 1e-12)) as work_entropy, sum(p * (ln(p + 1e-12) - ln(q + 1e-12))) as kl_from_corpus
+m as (select doc_id, cast(max(n) as bigint) as n_tokens, {_SUM.format('-p * ln(q + 1e-12)')} as lex_rarity, count(*) / max(n)::double as types_used_rate,
+ count(*) filter (cnt = 1) / max(n)::double as hapax_rate, coalesce(sum(cnt) filter (tail.term is not null), 0) / max(n)::double as rare_tail_share,
+ {_SUM.format('-p * ln(p + 1e-12)')} as work_entropy, {_SUM.format('p * (ln(p + 1e-12) - ln(q + 1e-12))')} as kl_from_corpus
  from x join cf using (term) left join tail using (term) group by 1)"""
 _SENTENCES = rf"sen as (select doc_id, cast(unnest(range(1, len(s) + 1)) as integer) as sentence_number, unnest(s) as sentence from (select doc_id, list_filter(list_transform(regexp_extract_all({_CLEAN}, '[^.!?]+[.!?]*'), lambda v: trim(v)), lambda v: length(v) >= 6) as s from documents))"
 _MODEL = f"""{_TOKENS}, pr as (select doc_id, pos, w, lag(w) over (partition by doc_id order by pos) as v from tok),
@@ -74,6 +75,7 @@ _CATEGORY = f"ct as (select doc_id, cast(len(ws) as bigint) as tokens, {_CATS} f
 _STYLE = f"st as (select doc_id, cast(len(ws) as bigint) as word_count, case when len(ws) > 0 then list_sum(list_transform(ws, lambda w: length(w))) / len(ws)::double else 0.0 end as avg_word_length, case when len(ws) > 0 then len(list_distinct(ws)) / len(ws)::double else 0.0 end as ttr from (select doc_id, {_WORDS.format(_CLEAN)} as ws from documents))"
 _LABELLED = f"{_STYLE}, lb as (select st.*, y from st join (select doc_id, max(quality) as y from labels group by 1) l using (doc_id))"
 _LONG = f"{_LABELLED}, lo as (select 'word_count' as feature, word_count::double as x, y from lb union all select 'avg_word_length', avg_word_length, y from lb union all select 'ttr', ttr, y from lb)"
+_SIX = ("lex_rarity", "types_used_rate", "hapax_rate", "rare_tail_share", "work_entropy", "kl_from_corpus")
 FEATURES = ["word_count", "avg_word_length", "ttr"]
 
 
@@ -86,7 +88,8 @@ def _model(spark: SparkSession, d: str) -> lm.CountModel:
 
 
 def _style(spark: SparkSession, d: str) -> DataFrame:
-    return _docs(spark, d).select("doc_id", *[c.alias(n) for n, c in T.style(T.words(T.clean_text(F.col("text")))).items()])
+    x = _docs(spark, d).select("doc_id", T.words(T.clean_text(F.col("text"))).alias("tokens"))
+    return x.select("doc_id", *[c.alias(n) for n, c in T.style(F.col("tokens")).items()])
 
 
 def _labelled(spark: SparkSession, d: str) -> DataFrame:
@@ -147,7 +150,7 @@ def boilerplate_strip(spark, d):
     return _docs(spark, d).select("doc_id", T.strip_boilerplate(book).alias("body"))
 
 
-@query()
+@query("select doc_id, regexp_replace(lower(strip_accents(source || '_Café No. ' || cast(doc_id as varchar) || '.txt')), '[^a-z0-9]', '', 'g') as k from documents")
 def keynorm(spark, d):
     return _docs(spark, d).select("doc_id", T.keynorm(F.concat("source", F.lit("_Café No. "), F.col("doc_id").cast("string"), F.lit(".txt"))).alias("k"))
 
@@ -220,7 +223,7 @@ def adaptation_curve(spark, d):
 
 
 # Lexical
-@query(f"with {_MEASURES} select doc_id, n_tokens, round(lex_rarity, 6) as lex_rarity, round(types_used_rate, 6) as types_used_rate, round(hapax_rate, 6) as hapax_rate, round(rare_tail_share, 6) as rare_tail_share, round(work_entropy, 6) as work_entropy, round(kl_from_corpus, 6) as kl_from_corpus from m")
+@query(f"with {_MEASURES} select doc_id, n_tokens, {', '.join(f'cast(round(cast({c} as decimal(18,14)), 6) as double) as {c}' for c in _SIX)} from m")
 def foregrounding(spark, d):
     return lexical.foregrounding(_docs(spark, d))
 
@@ -458,7 +461,7 @@ def svd_archetypes(spark, d):
 
 @query()
 def permutation_test(spark, d):
-    return arcs.permutation_test(_arcs(spark, d), rounds=1000)
+    return arcs.permutation_test(_arcs(spark, d), "label", rounds=1000)
 
 
 @query()
