@@ -153,3 +153,18 @@ def safe_name(name: Column) -> Column:
 
 def stem(path: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(path, r"([^/]+)$", 1), r"\.[^.]*$", "")
+
+
+def without(name: Column, part: str) -> Column:
+    """``name`` with every ``part`` taken out, inner ones too."""
+    return F.replace(name, F.lit(part), F.lit(""))
+
+
+def overlay_name(titles: Column, most: int = 3) -> Column:
+    """A file name for several titles: the first word of each of the first ones, letters and digits, at most 15; then how many more there are is hinted."""
+    first = F.transform(F.slice(titles, 1, most), lambda t: F.left(F.regexp_replace(F.element_at(F.split(F.trim(t), r"\s+"), 1), "[^A-Za-z0-9]", ""), F.lit(15)))
+    return F.concat(F.array_join(first, "_"), F.when(F.size(titles) > most, F.lit("_and_others")).otherwise(F.lit("")))
+
+
+def today() -> Column:
+    return F.date_format(F.current_date(), "yyyy-MM-dd")

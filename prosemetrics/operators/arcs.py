@@ -207,3 +207,15 @@ def mode_labels(mode: np.ndarray, place: int) -> tuple[str, str]:
         lambda: mode[:half].mean() > mode[half:].mean(),
     )[place]()
     return ARCHETYPES[place] if first else ARCHETYPES[place][::-1]
+
+
+def with_metadata(rows: DataFrame, meta: DataFrame, book: str, order: list[str]) -> DataFrame:
+    """Every arc, one a book, with its book's first metadata row by ``order``, or nulls."""
+    first = Window.partitionBy(book).orderBy(*order)
+    one = meta.withColumn("_place", F.row_number().over(first)).where("_place = 1").drop("_place")
+    return rows.dropDuplicates([book]).join(one, book, "left")
+
+
+def title_or(title: Column, other: Column) -> Column:
+    """The title unless it is null, blank or the text of a missing number."""
+    return F.when(title.isNull() | F.trim(title).isin("", "nan"), other).otherwise(title)

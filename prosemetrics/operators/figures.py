@@ -25,6 +25,6 @@ def box_summary(rows: DataFrame, by: str, column: str) -> DataFrame:
     return q.join(ends, by).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 
-def annotated(rolling: DataFrame, marks: DataFrame, keys: list[str], value: str = "rolling") -> DataFrame:
+def annotated(rolling: DataFrame, marks: DataFrame, keys: list[str], value: str = "rolling", keep: list[str] | None = None) -> DataFrame:
     """The points of a curve that a small table of marks(keys..., label) names."""
-    return rolling.join(F.broadcast(marks), keys).select(*keys, "label", value)
+    return rolling.join(F.broadcast(marks), keys).select(*(keep or []), *keys, "label", value)

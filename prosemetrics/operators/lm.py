@@ -119,3 +119,14 @@ def milestones(rows: DataFrame, markers: list[str]) -> DataFrame:
     named = rows.sparkSession.createDataFrame([(m,) for m in markers], "marker string")
     hits = rows.join(F.broadcast(named), F.contains(F.lower("sentence"), F.col("marker"))).groupBy("doc_id", "marker").agg(F.min("sentence_number").alias("sentence_number"))
     return rows.select("doc_id").distinct().crossJoin(F.broadcast(named)).join(hits, ["doc_id", "marker"], "left")
+
+
+def envelope(rows: DataFrame, by: str, value: str) -> DataFrame:
+    """The limits of a curve: its least and greatest value."""
+    return rows.groupBy(by).agg(F.min(value).alias("low"), F.max(value).alias("high"))
+
+
+def largest(rows: DataFrame, by: str, value: str, order: str, n: int) -> DataFrame:
+    """The n rows of each group with the greatest value, first ones first among equals."""
+    best = Window.partitionBy(by).orderBy(F.desc(value), order)
+    return rows.where(F.col(value).isNotNull()).withColumn("place", F.row_number().over(best)).where(F.col("place") <= n).drop("place")

@@ -10,6 +10,7 @@ from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.scratch import stored
 from .stats import melt, rank_statistics
 
 
@@ -35,7 +36,8 @@ def logistic(n: int) -> LogisticRegression:
 
 def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5, forest: int = 0) -> DataFrame:
     """key, y, fold, score, probability: each row scored by a model of the other folds."""
-    marked = folds(rows.where(F.col(label).isin(0, 1)).withColumn("y", F.col(label).cast("double")), key, label, k).cache()
+    marked = folds(rows.where(F.col(label).isin(0, 1)).withColumn("y", F.col(label).cast("double")), key, label, k)
+    marked = stored(marked)
     parts = []
     for fold in range(k):
         train, test = marked.where(F.col("fold") != fold), marked.where(F.col("fold") == fold)
@@ -48,6 +50,33 @@ def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: i
     return out
 
 
+def mixed_scores(rows: DataFrame, key: str, label: str, features: list[str], k: int = 10) -> DataFrame:
+    """key, score, source: out-of-fold scores where the label is 0 or 1, those of a model of all such rows elsewhere."""
+    own, other = rows.where(F.col(label).isin(0, 1)), rows.where(F.col(label).isNull() | ~F.col(label).isin(0, 1))
+    marked = own.withColumn("y", F.col(label).cast("double"))
+    model = logistic(marked.count()).fit(_scaled(marked, marked, features))
+    rest = model.transform(_scaled(marked, other, features)).select(key, vector_to_array("rawPrediction")[1].alias("score"), F.lit("full fit").alias("source"))
+    return out_of_fold(own, key, label, features, k).select(key, "score", F.lit("out of fold").alias("source")).unionByName(rest)
+
+
+def loadings(rows: DataFrame, key: str, label: str, features: list[str], k: int = 3) -> DataFrame:
+    """component, explained, auc, feature, loading: what each component is made of and how it parts the classes."""
+    scores, explained, weights = principal(rows, key, features, k)
+    names = [f"pc{i + 1}" for i in range(len(weights))]
+    auc = {r["feature"]: r["auc"] for r in rank_statistics(melt(scores.join(rows.select(key, label), key), label, names)).collect()}  # a row for each component
+    out = [(n, float(explained[i]), auc.get(n), f, float(w)) for i, n in enumerate(names) for f, w in zip(features, weights[i], strict=True)]
+    return rows.sparkSession.createDataFrame(out, "component string, explained double, auc double, feature string, loading double")
+
+
+def save(model, path: str) -> None:
+    """A fitted model of ``pyspark.ml``, in place of one that is there."""
+    model.write().overwrite().save(path)
+
+
+def load(kind: type, path: str):
+    return kind.load(path)
+
+
 def cv_summary(scored: DataFrame) -> DataFrame:
     """mean and population deviation over folds of AUC and accuracy."""
     long = scored.select(F.col("fold").cast("string").alias("feature"), F.col("probability").alias("x"), F.col("y").cast("int").alias("y"))
@@ -104,4 +133,4 @@ def principal(rows: DataFrame, key: str, features: list[str], k: int = 3) -> tup
     return scores, list(model.explainedVariance), [list(v * s) for v, s in zip(loadings, signs, strict=True)]
 
 
-__all__ = ["ablation", "angle", "axis", "bootstrap_angles", "cv_summary", "folds", "melt", "out_of_fold", "principal", "with_interval"]
+__all__ = ["ablation", "angle", "axis", "bootstrap_angles", "cv_summary", "folds", "load", "loadings", "melt", "mixed_scores", "out_of_fold", "principal", "save", "with_interval"]

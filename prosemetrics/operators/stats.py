@@ -137,3 +137,22 @@ def iqr_repair(rows: DataFrame, columns: list[str], fence: float = 6.0, divisor:
         return F.when(bad, F.col(c) / divisor).otherwise(F.col(c))
 
     return x.select(*[c for c in rows.columns if c not in columns], *[fixed(c).alias(c) for c in columns])
+
+
+def two_groups(rows: DataFrame, label: str, features: list[str]) -> DataFrame:
+    """feature, m1, m0, d, t, auc of each feature between the two classes."""
+    long = melt(rows, label, features)
+    x = moments(long).select("feature", "m1", "m0", cohen_d().alias("d"), welch()[0].alias("t"))
+    return x.join(rank_statistics(long).select("feature", "auc"), "feature")
+
+
+def significant(tests: DataFrame, by: str, p: str, effect: str, level: float = 0.05, large: float = 0.8) -> DataFrame:
+    """How many tests of each group are significant, and how many effects large."""
+    return tests.groupBy(by).agg(F.count("*").alias("n"), F.count_if(F.col(p) < level).alias("significant"), F.count_if(F.abs(effect) > large).alias("large"))
+
+
+def first_and_last(rows: DataFrame, by: str, order: list[str], value: str) -> DataFrame:
+    """The first and last value of each group and the change between; groups without a value give no row."""
+    at, x = F.struct(*order), rows.where(F.col(value).isNotNull())
+    x = x.groupBy(by).agg(F.min_by(value, at).alias("first"), F.max_by(value, at).alias("last"))
+    return x.withColumn("change", F.col("last") - F.col("first"))

@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..functions.arrays import total as _total
 from ..operators import arcs, figures, lexical, lm, models, relational, stats
 from ..streaming import incremental
 
@@ -139,9 +140,19 @@ def char_prefix(spark, d):
 
 @query()
 def chunk_greedy(spark, d):
-    lengths = F.transform(T.sentences(T.clean_text(F.col("text"))), lambda s: F.size(T.words(s)))
-    x = _docs(spark, d).select("doc_id", F.posexplode(T.greedy_chunks(lengths, 200)).alias("chunk", "words"))
-    return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), F.col("words").cast("long").alias("words"))
+    x = _docs(spark, d).select("doc_id", F.posexplode(T.chunk_texts(T.sentences(T.clean_text(F.col("text"))), 200)).alias("chunk", "text"))
+    return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text", F.size(T.words(F.col("text"))).cast("long").alias("words"))
+
+
+@query(f"with {_SENTENCES} select doc_id, sentence_number, sentence from sen where sentence_number <= 5")
+def first_sentences(spark, d):
+    return lm.sentence_rows(_docs(spark, d)).where("sentence_number <= 5").select("doc_id", "sentence_number", "sentence")
+
+
+@query("select replace(lang || '_n_rate_n', '_n', '') as feature, regexp_replace(source, '^src', 'Source ') as label, count(*) as n from documents where not starts_with(source, 'src1') group by 1, 2")
+def figure_labels(spark, d):
+    x = _docs(spark, d).where(~F.startswith("source", F.lit("src1")))
+    return x.groupBy(T.without(F.concat("lang", F.lit("_n_rate_n")), "_n").alias("feature"), F.regexp_replace("source", "^src", "Source ").alias("label")).agg(F.count("*").alias("n"))
 
 
 @query()
@@ -222,6 +233,31 @@ def adaptation_curve(spark, d):
     return out.select("step", "lang", "mean_nll", F.round("ppl", 2).alias("ppl"), F.round("gap", 2).alias("gap"))
 
 
+@query(f"with {_SENTENCES}, ro as (select doc_id, avg(length(sentence)) over (partition by doc_id order by sentence_number rows between 49 preceding and current row) as rolling from sen) select doc_id, round(min(rolling), 6) as low, round(max(rolling), 6) as high from ro group by 1")
+def rolling_envelope(spark, d):
+    x = lm.sentence_rows(_docs(spark, d)).withColumn("size", F.length("sentence"))
+    return lm.envelope(lm.rolling_mean(x, "doc_id", "sentence_number", "size"), "doc_id", "rolling")
+
+
+@query(f"with {_SENTENCES}, k as (select *, row_number() over (partition by doc_id order by length(sentence) desc, sentence_number) as place from sen) select doc_id, sentence_number, sentence[1:40] as label from k where place <= 4")
+def moment_annotations(spark, d):
+    x = lm.sentence_rows(_docs(spark, d)).withColumn("size", F.length("sentence"))
+    return lm.largest(x, "doc_id", "size", "sentence_number", 4).select("doc_id", "sentence_number", F.left("sentence", F.lit(40)).alias("label"))
+
+
+@query(f"with {_SENTENCES}, ml as (select * from (values (1, 'opening'), (3, 'third'), (10, 'tenth')) t(sentence_number, label)), ro as (select doc_id, sentence_number, avg(length(sentence)) over (partition by doc_id order by sentence_number rows between 49 preceding and current row) as rolling from sen) select doc_id, sentence_number, label, round(rolling, 6) as rolling from ro join ml using (sentence_number)")
+def milestones_ordinal(spark, d):
+    x = lm.sentence_rows(_docs(spark, d)).withColumn("size", F.length("sentence"))
+    marks = spark.createDataFrame([(1, "opening"), (3, "third"), (10, "tenth")], "sentence_number int, label string")
+    rolling = lm.rolling_mean(x, "doc_id", "sentence_number", "size")
+    return figures.annotated(rolling, marks, ["sentence_number"], keep=["doc_id"])
+
+
+@query("select user_id, round(arg_min(value, (ts, event_id)), 6) as first, round(arg_max(value, (ts, event_id)), 6) as last, round(arg_max(value, (ts, event_id)) - arg_min(value, (ts, event_id)), 6) as change from events where value is not null group by 1")
+def first_and_last(spark, d):
+    return stats.first_and_last(read(spark, d, "events"), "user_id", ["ts", "event_id"], "value")
+
+
 # Lexical
 @query(f"with {_MEASURES} select doc_id, n_tokens, {', '.join(f'cast(round(cast({c} as decimal(18,14)), 6) as double) as {c}' for c in _SIX)} from m")
 def foregrounding(spark, d):
@@ -330,9 +366,9 @@ def univariate_battery(spark, d):
     return stats.univariate(_labelled(spark, d), "y", FEATURES)
 
 
-@query("with p as (select cast(o_orderkey as bigint) as k, (o_orderkey * 7919 % 1000 + 1) / 1000000.0::double as p from orders where o_orderkey <= 400), r as (select k, p, p * count(*) over () / row_number() over (order by p, k) as s, row_number() over (order by p, k) as rn from p) select k, round(p, 6) as p, round(least(1.0, min(s) over (order by rn rows between current row and unbounded following)), 6) as p_adjusted from r")
+@query("with p as (select cast(o_orderkey as bigint) as k, (o_orderkey * 7919 % 1000 + 1) / 1000000.0::double as p from orders), r as (select k, p, p * count(*) over () / row_number() over (order by p, k) as s, row_number() over (order by p, k) as rn from p) select k, round(p, 6) as p, round(least(1.0, min(s) over (order by rn rows between current row and unbounded following)), 6) as p_adjusted from r")
 def bh_adjust(spark, d):
-    x = read(spark, d, "orders").where("o_orderkey <= 400").select(F.col("o_orderkey").cast("long").alias("k"), ((F.col("o_orderkey") * 7919 % 1000 + 1) / 1000000.0).alias("p"))
+    x = read(spark, d, "orders").select(F.col("o_orderkey").cast("long").alias("k"), ((F.col("o_orderkey") * 7919 % 1000 + 1) / 1000000.0).alias("p"))
     return stats.benjamini_hochberg(x, "p")
 
 
@@ -408,6 +444,52 @@ def turns_in_context(spark, d):
     return lm.rolling_mean(x, "conv_id", "turn", "size").select("conv_id", "turn", "rolling", "before")
 
 
+@query(f"with {_LONG}, g as (select feature, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(x) filter (y = 1) as m1, avg(x) filter (y = 0) as m0, var_samp(x) filter (y = 1) as v1, var_samp(x) filter (y = 0) as v0 from lo group by 1) select feature, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d from g order by abs((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2))) desc limit 30")
+def largest_effects(spark, d):
+    x = stats.moments(stats.melt(_labelled(spark, d), "y", FEATURES)).select("feature", stats.cohen_d().alias("d"))
+    return x.orderBy(F.desc(F.abs("d"))).limit(30)
+
+
+@query(f"with {_STYLE}, r as (select 'word_count' as a, 'avg_word_length' as b, corr(word_count, avg_word_length) as r from st union all select 'word_count', 'ttr', corr(word_count, ttr) from st union all select 'avg_word_length', 'ttr', corr(avg_word_length, ttr) from st) select case when 'word_count' in (a, b) then 'length' else 'style' end as layer, round(avg(abs(r)), 6) as mean_r, round(max(abs(r)), 6) as max_r from r group by 1")
+def correlation_layers(spark, d):
+    layer = F.when((F.col("a") == "word_count") | (F.col("b") == "word_count"), "length").otherwise("style").alias("layer")
+    return stats.correlations(_style(spark, d), FEATURES).groupBy(layer).agg(F.avg(F.abs("r")).alias("mean_r"), F.max(F.abs("r")).alias("max_r"))
+
+
+@query("with p as (select o_orderstatus as layer, o_orderkey as k, (o_orderkey * 7919 % 1000 + 1) / 100000.0::double as p, (o_orderkey * 31 % 200 - 100) / 60.0::double as d from orders), r as (select *, p * count(*) over (partition by layer) / row_number() over (partition by layer order by p, k) as s, row_number() over (partition by layer order by p, k) as rn from p), q as (select *, least(1.0, min(s) over (partition by layer order by rn rows between current row and unbounded following)) as q from r) select layer, count(*) as n, count(*) filter (q < 0.009) as significant, count(*) filter (abs(d) > 0.8) as large from q group by 1")
+def significant_counts(spark, d):
+    k = F.col("o_orderkey").cast("long")
+    x = read(spark, d, "orders").select(F.col("o_orderstatus").alias("layer"), ((k * 7919 % 1000 + 1) / 100000.0).alias("p"), ((k * 31 % 200 - 100) / 60.0).alias("d"))
+    return stats.significant(stats.benjamini_hochberg(x, "p", ["layer"], "q"), "layer", "q", "d", level=0.009)
+
+
+_PRESTIGE = f"{_LONG}, ls as (select 'word_count' as feature, word_count::double as x, y from lb join documents using (doc_id) where lang in ('en', 'fr', 'de') union all select 'ttr', ttr, y from lb join documents using (doc_id) where lang in ('en', 'fr', 'de'))"
+_RANKED = "g as (select feature, x, count(*) as c, sum(y) as p from {0} group by 1, 2), ra as (select *, sum(c) over (partition by feature order by x) - c + (c + 1) / 2.0 as mr from g), s as (select feature, sum(p * mr) as r1, sum(p) as n1, sum(c) as n from ra group by 1), au as (select feature, ((r1 - n1 * (n1 + 1) / 2.0) / (n1 * (n - n1)))::double as auc from s), mo as (select feature, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(x) filter (y = 1) as m1, avg(x) filter (y = 0) as m0, var_samp(x) filter (y = 1) as v1, var_samp(x) filter (y = 0) as v0 from {0} group by 1)"
+
+
+@query(f"with {_PRESTIGE}, {_RANKED.format('ls')} select feature, round(m1, 6) as m1, round(m0, 6) as m0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as t, round(auc, 6) as auc from mo join au using (feature)")
+def prestige_test(spark, d):
+    """One class against the other within chosen groups: means, effect, Welch's t, AUC."""
+    x = _labelled(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id").where(F.col("lang").isin("en", "fr", "de"))
+    return stats.two_groups(x, "y", ["word_count", "ttr"])
+
+
+_INDICES = f"{_CATEGORY}, r as (select doc_id, {', '.join(f'{k} * 1000.0::double / nullif(tokens, 0) as {k}_n' for k in relational.CATEGORIES)} from ct), ix as (select doc_id, ({_z('article_n', 'r')} + {_z('preposition_n', 'r')}) / 2 as embodied, ({_z('pronoun_n', 'r')} + {_z('verb_n', 'r')}) / 2 as abstract from r), iy as (select ix.*, embodied - abstract as poetic, q as y from ix join (select doc_id, max(quality) as q from labels group by 1) l using (doc_id)), il as (select 'embodied' as feature, embodied as x, y from iy union all select 'abstract', abstract, y from iy union all select 'poetic', poetic, y from iy)"
+
+
+@query(f"with {_INDICES}, {_RANKED.format('(select * from il where x is not null)')} select feature, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d from mo join au using (feature)")
+def index_summary(spark, d):
+    x = relational.per_thousand(relational.category_counts(_docs(spark, d)), list(relational.CATEGORIES), "tokens")
+    x = relational.composite(relational.composite(x, "embodied", ["article_n", "preposition_n"]), "abstract", ["pronoun_n", "verb_n"])
+    x = x.withColumn("poetic", F.col("embodied") - F.col("abstract")).join(read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id")
+    return stats.two_groups(x, "y", ["embodied", "abstract", "poetic"]).select("feature", "d")  # their ranks hang on the last bit of z-scores
+
+
+@query("select * from (values ('Document', 'gap', 'distance from the baseline'), ('Sentence', 'top moments', 'most surprising sentences'), ('Token', 'surprisal', 'most surprising words')) t(level, finding, reading)")
+def findings(spark, d):
+    return spark.createDataFrame([("Document", "gap", "distance from the baseline"), ("Sentence", "top moments", "most surprising sentences"), ("Token", "surprisal", "most surprising words")], "level string, finding string, reading string")
+
+
 # Curves
 @query("select cast(i - 1 as integer) as pos, round(avg(cast(embedding[i] as double)), 6) as m from embeddings, range(1, 65) t(i) group by 1")
 def global_centroid(spark, d):
@@ -424,6 +506,31 @@ def arc_100(spark, d):
     return _arcs(spark, d).select("label", "n_chunks", F.posexplode("arc").alias("point", "value"))
 
 
+_META = "me as (select doc_id as label, lang, case when doc_id % 3 = 0 then 'nan' when doc_id % 3 = 1 then trim(regexp_replace(text[1:40], '[^A-Za-z ]', '', 'g')) end as title from documents)"
+
+
+def _meta(spark: SparkSession, d: str) -> DataFrame:
+    title = F.when(F.col("doc_id") % 3 == 0, "nan").when(F.col("doc_id") % 3 == 1, F.trim(F.regexp_replace(F.left("text", F.lit(40)), "[^A-Za-z ]", "")))
+    return _docs(spark, d).select(F.col("doc_id").alias("label"), "lang", title.alias("title"))
+
+
+@query(f"with {_ARCS}, {_META}, one as (select label, lang, title from me qualify row_number() over (partition by label order by lang, title) = 1) select ar.label, cast(n as bigint) as n_chunks, case when title is null or trim(title) in ('', 'nan') then 'Unknown Title' else title end as title from ar left join one on ar.label = one.label")
+def arcs_with_titles(spark, d):
+    return arcs.with_metadata(_arcs(spark, d), _meta(spark, d), "label", ["lang", "title"]).select("label", "n_chunks", arcs.title_or(F.col("title"), F.lit("Unknown Title")).alias("title"))
+
+
+@query(f"with {_ARCS}, {_META} select ar.label, lang, round(list_sum(arc) / 100, 6) as level from ar join me on ar.label = me.label")
+def arcs_of_metadata(spark, d):
+    x = _meta(spark, d).join(_arcs(spark, d).dropDuplicates(["label"]), "label")
+    return x.select("label", "lang", (_total(F.col("arc")) / F.size("arc")).alias("level"))
+
+
+@query(f"with {_ARCS}, {_META} select ar.label, cast(i - 1 as integer) as point, round(arc[i], 6) as value from ar join (select distinct label, lang from me where cast(label as varchar) in ('3', '5') or regexp_matches(lang, '(?i)EN$')) f on ar.label = f.label, range(1, 101) t(i)")
+def search_overlay(spark, d):
+    found = arcs.search(_meta(spark, d).select("label", "lang"), "label", "lang", ids=["3", "5"], titles=["EN$"])
+    return _arcs(spark, d).join(found, "label").select("label", F.posexplode("arc").alias("point", "value"))
+
+
 @query(f"with {_ARCS} select label, cast(i - 1 as integer) as point, round(arc[i] - list_sum(arc) / 100, 6) as value from ar, range(1, 101) t(i)")
 def arc_centered(spark, d):
     return arcs.centred_arcs(_arcs(spark, d)).select("label", F.posexplode("arc").alias("point", "value"))
@@ -485,6 +592,19 @@ def forest_ceiling(spark, d):
     return models.cv_summary(models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10, forest=500))
 
 
+@query()
+def mixed_scores(spark, d):
+    """Out of fold within the labelled rows, by the model of all of these elsewhere."""
+    own = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y"))
+    return models.mixed_scores(_style(spark, d).join(own, "doc_id", "left"), "doc_id", "y", FEATURES)
+
+
+@query()
+def pca_loadings(spark, d):
+    x = _labelled(spark, d)
+    return models.loadings(x, "doc_id", "y", FEATURES)
+
+
 @query()
 def pca_components(spark, d):
     return models.principal(_style(spark, d), "doc_id", FEATURES)[0]

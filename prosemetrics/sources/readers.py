@@ -72,5 +72,29 @@ def side_car(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.json(path, multiLine=True)
 
 
-def table_or_csv(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.csv(path, header=True, inferSchema=True) if path.endswith(".csv") else spark.read.parquet(path)
+def exists(spark: SparkSession, path: str) -> bool:
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place)
+
+
+def table_or_csv(spark: SparkSession, path: str, other: str | None = None) -> DataFrame:
+    """The Parquet table at ``path`` if there is one, else the CSV table ``other`` (by default ``path`` with that ending)."""
+    if not path.endswith(".csv") and exists(spark, path):
+        return spark.read.parquet(path)
+    return spark.read.csv(other or (path if path.endswith(".csv") else path.removesuffix(".parquet") + ".csv"), header=True, inferSchema=True)
+
+
+def any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    """A CSV table whose files are UTF-8 or, those that are not, Latin-1; a file is decoded whole."""
+    lines = decoded_texts(spark, path).select(F.explode(F.split("text", r"\r\n|\r|\n")).alias("value")).where("value <> ''")
+    header = lines.limit(1).first()
+    names = [x.strip().split()[0] for x in schema.split(",")]
+    rows = lines.select(F.from_csv("value", F.lit(schema)).alias("r")) if header else lines.limit(0).select(F.from_csv("value", F.lit(schema)).alias("r"))
+    return rows.where(F.col("value") != ",".join(names)).select("r.*") if header else rows.select("r.*")
+
+
+def newest(spark: SparkSession, pattern: str) -> str | None:
+    """The last path, in lexicographic order, of those that match; result files carry their date in the name."""
+    place = spark._jvm.org.apache.hadoop.fs.Path(pattern)
+    found = place.getFileSystem(spark._jsc.hadoopConfiguration()).globStatus(place)
+    return max((str(x.getPath()) for x in found or []), default=None)

@@ -41,3 +41,14 @@ def workbook(sheets: dict[str, DataFrame], path: str) -> None:
 
 def texts(rows: DataFrame, path: str) -> None:
     rows.select(F.col("text").alias("value")).write.mode("overwrite").text(path)
+
+
+def failures(items: DataFrame, done: DataFrame, key: str, path: str) -> None:
+    """The keys that have no result, in order, as a text file in a folder."""
+    missing = items.select(F.col(key).cast("string").alias("value")).distinct().join(done.select(F.col(key).cast("string").alias("value")), "value", "left_anti")
+    missing.orderBy("value").coalesce(1).write.mode("overwrite").text(path)
+
+
+def arrays(rows: DataFrame, path: str) -> None:
+    """A table of name, row, embedding as Parquet parted by name, which ``parquet`` readers and ``.npy`` tools find by folder."""
+    rows.repartition("name").sortWithinPartitions("name", "row").write.mode("overwrite").partitionBy("name").parquet(path)
