@@ -72,8 +72,8 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> tuple[Data
 
 
 def _runs(words: Column, n: int) -> Column:
-    """Every n neighbouring words as one text."""
-    return let(words, lambda w: F.transform(_upto(F.size(w) - (n - 1)), lambda i: F.array_join(F.slice(w, i + 1, n), " ")))
+    """Structs pos, content, length of every n neighbouring words as one text."""
+    return F.transform(_upto(F.size(words) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, n), " ").alias("content"), F.lit(n).alias("length")))
 
 
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -87,9 +87,10 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     near = docs.join(_few(found, F.size("at") + 1), "doc").select("doc", word_array(F.col("text")).alias("w"), "at").select("doc", "w", F.explode("at").alias("at"))
     spans = near.select("doc", "w", F.explode(F.sequence("at.first", "at.last")).alias("pos")).select("doc", "pos", F.array_join(F.slice("w", F.col("pos") + 1, SPAN), " ").alias("content"))
     hits = spans.join(_few(long), "content").select("doc", "pos", "length", "cls")
-    for (n,) in short.select("length").distinct().sort("length").collect():  # at most SPAN - 1 lengths
-        exact = written(short.where(F.col("length") == n), f"benchmark-short-{n}")
-        hits = hits.unionByName(docs.select("doc", F.posexplode(_runs(word_array(F.col("text")), n)).alias("pos", "content")).join(_few(exact), "content").select("doc", "pos", "length", "cls"))
+    lengths = [n for (n,) in short.select("length").distinct().sort("length").collect()]  # at most SPAN - 1
+    if lengths:
+        runs = let(word_array(F.col("text")), lambda w: F.flatten(F.array(*[_runs(w, n) for n in lengths])))
+        hits = hits.unionByName(docs.select("doc", F.explode(runs).alias("r")).select("doc", "r.*").join(_few(written(short, "benchmark-short")), ["content", "length"]).select("doc", "pos", "length", "cls"))
     return hits
 
 
@@ -108,13 +109,18 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     starts = F.array_sort(F.collect_set(F.struct("pos", "length")))
     covered = F.aggregate(starts, F.struct(F.lit(0).alias("n"), F.lit(0).alias("end")), lambda s, x: F.struct((s["n"] + F.greatest(F.lit(0), x["pos"] + x["length"] - F.greatest(x["pos"], s["end"]))).alias("n"), F.greatest(s["end"], x["pos"] + x["length"]).alias("end")), lambda s: s["n"])
     counts = hits.groupBy("doc").agg(covered.cast("long").alias("n_hit"), F.min("pos").alias("first_hit"))
-    named = hits.select("doc", "cls").distinct().join(_few(items), "cls").groupBy("doc").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("null")))).alias("items"))
+    # documents with the same classes have the same items: each set of classes meets its items once, not once a document
+    held = written(hits.groupBy("doc").agg(F.array_sort(F.collect_set("cls")).alias("classes")).withColumn("set", F.xxhash64("classes")), "document-classes")
+    sets = held.groupBy("set", "classes").agg(F.count("*").alias("docs")).select("set", F.col("classes").alias("of"), F.explode("classes").alias("cls"))
+    named = sets.join(_few(items), "cls").groupBy("set", "of").agg(F.array_sort(F.collect_set(F.coalesce("item", F.lit("null")))).alias("items"))
+    named = held.join(named, (held["set"] == named["set"]) & (F.col("classes") == F.col("of"))).select("doc", "items")
     marks = written(counts.join(named, "doc"), "document-marks")
     rows = keyed.select("doc_id", "doc", F.size(word_array(F.col("text"))).cast("long").alias("n_words"))
     return rows.join(_few(marks, F.size("items") + 1), "doc", "left").withColumns({"n_hit": F.coalesce("n_hit", F.lit(0).cast("long")), "items": F.coalesce("items", F.array().cast("array<string>"))}).withColumnRenamed("doc", "row")
 
 
 def op5_winnowing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_words, n_hit, n_items, items_sha256, contaminated of every whole document; a null item_id counts as the item null."""
     out = decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
     return out.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"), F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"))
 

@@ -155,6 +155,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def op10_output_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, held_out, lang_pred, score, ambiguous of every whole document; held-out rows teach nothing."""
     docs = table(spark, sf_dir, "documents")
     model = fit(docs.where(~held_out(F.col("doc_id"))))
     out = identify(docs.select("doc_id", "text"), model)

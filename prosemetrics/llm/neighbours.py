@@ -143,6 +143,7 @@ def nearest(index: DataFrame, queries: DataFrame, centre: np.ndarray, dims: int,
 
 
 def op3_one_bit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """query_id, rank, vec_id, score: the 10 nearest of every usable row whose vec_id is divisible by 100."""
     index, centre, dims = build_index(table(spark, sf_dir, "embeddings").select("vec_id", "embedding"))
     return nearest(index, index.where("vec_id % 100 = 0").select("vec_id", "embedding"), centre, dims, k=10)
 

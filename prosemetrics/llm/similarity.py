@@ -314,4 +314,5 @@ def join_similar(docs: DataFrame) -> DataFrame:
 
 
 def op7_size_aware_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """doc_id, n_shingles, component_id of every whole document."""
     return join_similar(table(spark, sf_dir, "documents"))

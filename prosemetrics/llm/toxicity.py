@@ -241,7 +241,7 @@ def fit(docs: DataFrame, labels: DataFrame) -> Model:
     got = map_arrow(rows, _extract, "toxic int, part int, places array<int>, votes array<int>").toArrow()
     y, part = (np.array(got.column(c).to_pylist(), float) for c in ("toxic", "part"))
     rate = np.where(y == 1, max(1, total.get(1, 0) / MOST_TOXIC), max(1, total.get(0, 0) / MOST_CLEAN))
-    share = ((rate * y).sum() + 0.5) / (rate.sum() + 1)
+    share = ((rate * y).sum() + 0.5) / (rate.sum() + 2)  # no labels at all: under one half
     if len(set(y)) < 2:
         nothing = Lexicons(np.zeros(0, np.int64), np.zeros(0, np.int64), uuid.uuid4().hex)
         return Model(nothing, np.zeros(len(PATTERNS)), float(np.log(share / (1 - share))), np.zeros(0), np.zeros((0, 0)))

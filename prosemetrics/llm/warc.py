@@ -22,8 +22,8 @@ from .common import map_arrow, scratch, table, written
 LEAST_BYTES = 100
 #: Groups of equal payloads that are broadcast at most, some 10 MB; more of them are joined by a shuffle.
 MOST_BROADCAST = 100_000
-#: Transactions in one file at most; a file is parsed by one task.
-PER_FILE = 2_000
+#: Transactions in one file at most, and bytes of payload that their mean size makes of them; a file is parsed by one task.
+PER_FILE, FILE_BYTES = 2_000, 64 << 20
 
 REVISIT_PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 RECORD = "file string, kind string, record_id string, concurrent_to string, target_uri string, declared_digest string, payload_digest string, payload_bytes long, http_head string, payload binary, fields string"
@@ -49,6 +49,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     """
     html = F.coalesce(F.col("html"), F.lit(""))
     rows = pages.select(F.col("page_id").cast("string").alias("page"), "page_id", "url", html.alias("html"), F.sha2(html.cast("binary"), 256).alias("digest"), F.octet_length(html).alias("n"), F.monotonically_increasing_id().alias("uid"))
+    mean = rows.agg(F.avg("n")).first()[0] or 0
     firsts = rows.where(F.col("n") >= LEAST_BYTES).groupBy("digest").agg(F.min("page_id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     firsts = written(firsts, "warc-firsts")
     few = firsts.limit(MOST_BROADCAST + 1).count() <= MOST_BROADCAST
@@ -65,7 +66,7 @@ def write_warc(pages: DataFrame, path: str) -> None:
     answer = _record(F.when(again, "revisit").otherwise("response"), main, uri, F.lit("application/http;msgtype=response"), F.when(again, head).otherwise(F.concat(head, "html")), ("WARC-Payload-Digest", digest), ("WARC-Profile", F.when(again, F.lit(REVISIT_PROFILE))))
     about = _record(F.lit("metadata"), ident("metadata"), uri, F.lit("application/json"), F.to_json(F.struct("page_id", "url")), ("WARC-Concurrent-To", main))
     # the sink adds the last end of record
-    rows.select(F.concat_ws("\r\n\r\n", request, answer, about).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", PER_FILE).option("compression", "gzip").text(path)
+    rows.select(F.concat_ws("\r\n\r\n", request, answer, about).alias("value")).write.option("lineSep", "\r\n\r\n").option("maxRecordsPerFile", max(1, min(PER_FILE, int(FILE_BYTES // (mean + 1000))))).option("compression", "gzip").text(path)
 
 
 def parse_warc(data: bytes) -> Iterator[tuple[dict[str, str], memoryview]]:
@@ -146,6 +147,7 @@ def resolve(captures: DataFrame) -> DataFrame:
 
 
 def op8_warc_transactions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """page_id, payload_bytes, payload_digest, record_type, refers_to of every page, read back from the archives written."""
     path = scratch(spark, "warc")
     write_warc(table(spark, sf_dir, "pages"), path)
     records = written(read_records(spark, path).withColumn("payload", F.lit(None).cast("binary")), "warc-records")  # no payloads there: their digests and sizes are known
