@@ -73,10 +73,11 @@ def release() -> None:
 
 
 def map_arrow(df: DataFrame, function: Callable, schema: str) -> DataFrame:
-    """``mapInArrow`` with this package at hand on the executors, whose workers are left small."""
+    """``mapInArrow`` with this package at hand on the executors, whose workers are taken over and left small."""
     ship(df.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        release()  # what grouped functions of an earlier stage left in this worker
         yield from function(batches)
         release()
 

@@ -22,10 +22,10 @@ from pyspark.sql import functions as F
 from .bpe import BLANK, END, SPACE, Counter, char_classes, pieces, vocabulary
 from .common import distinct, map_arrow, slices, sums, table, utf8
 
-#: Bytes of text at a time: pieces are looked up once in each such slice.
+#: Bytes of text that are counted at a time: pieces are looked up once in each such slice.
 SLICE = 1 << 20
 #: Bytes that pieces and their ids take in a worker's memory at most, as they are counted here.
-MOST_KNOWN = 48 << 20
+MOST_KNOWN = 24 << 20
 
 
 class Known:
@@ -141,7 +141,7 @@ def encode(docs: DataFrame, path: str) -> DataFrame:
         special = re.compile("(" + "|".join(map(re.escape, sorted(vocab.special, key=len, reverse=True))) + ")") if vocab.special else None
         for batch in batches:
             _, offsets = utf8(batch.column("text"))
-            for a, b in slices(offsets, SLICE):
+            for a, b in slices(offsets):
                 part = batch.slice(a, b - a)
                 texts, fixed, owner = [], [], []  # stretches between special strings, in order
                 for k, text in enumerate(part.column("text").to_pylist()):
