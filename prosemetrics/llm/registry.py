@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import context_tree, decontamination, language, neighbours, similarity, tokens, toxicity, warc
+from . import context_tree, decontamination, filters, language, neighbours, packing, similarity, tokens, toxicity, warc, whitening
 from .sharding import op1_kd_shards
 
 QUERIES = {
@@ -16,9 +16,13 @@ QUERIES = {
     "op8_warc_transactions": warc.op8_warc_transactions,
     "op9_transducer_counts": tokens.op9_transducer_counts,
     "op10_output_codes": language.op10_output_codes,
+    "op11_tiled_whitening": whitening.op11_tiled_whitening,
+    "op12_filter_audit": filters.op12_filter_audit,
+    "op13_vector_packing": packing.op13_vector_packing,
 }
 ORACLES: dict[str, str] = {
     "op3_one_bit_codes": neighbours.ORACLE,
     "op5_winnowing": decontamination.ORACLE,
     "op8_warc_transactions": warc.ORACLE,
+    "op12_filter_audit": filters.ORACLE,
 }
