@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .ordering import quantiles, same
+
 
 def histogram(rows: DataFrame, column: str, bins: int, log: bool = False) -> DataFrame:
     """bin (from 0), low, high, n, density over equal steps from the smallest to the largest value."""
@@ -17,12 +19,12 @@ def histogram(rows: DataFrame, column: str, bins: int, log: bool = False) -> Dat
 
 
 def box_summary(rows: DataFrame, by: str, column: str) -> DataFrame:
-    """Five numbers by group; whiskers reach the last value within 1.5 interquartile ranges."""
-    q = rows.groupBy(by).agg(F.percentile(column, F.array(*[F.lit(v) for v in (0.25, 0.5, 0.75)])).alias("q"))
-    x = rows.join(F.broadcast(q), by).withColumn("reach", 1.5 * (F.col("q")[2] - F.col("q")[0]))
+    """Five numbers by group, null among them; whiskers reach the last value within 1.5 interquartile ranges."""
+    q = quantiles(rows, [by], [column], [0.25, 0.5, 0.75]).select(by, "q", (1.5 * (F.col("q")[2] - F.col("q")[0])).alias("reach"))
+    x = same(rows.select(by, column), q, [by])
     inside = (F.col(column) >= F.col("q")[0] - F.col("reach")) & (F.col(column) <= F.col("q")[2] + F.col("reach"))
-    ends = x.where(inside).groupBy(by).agg(F.min(column).alias("low"), F.max(column).alias("high"))
-    return q.join(ends, by).select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
+    ends = x.where(inside).groupBy(by, "q").agg(F.min(column).alias("low"), F.max(column).alias("high"))
+    return ends.select(by, "low", F.col("q")[0].alias("q1"), F.col("q")[1].alias("median"), F.col("q")[2].alias("q3"), "high")
 
 
 def annotated(rolling: DataFrame, marks: DataFrame, keys: list[str], value: str = "rolling", keep: list[str] | None = None) -> DataFrame:

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 from ..functions.arrays import let
 from ..functions.text import clean_text, sentences, style, words
 from ..sources.scratch import stored
+from .ordering import quantiles, same
 
 
 @dataclass
@@ -95,7 +96,10 @@ def sentence_scores(docs: DataFrame, model: CountModel) -> DataFrame:
 
 def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
     """Mean, median, sample deviation, 95th percentile (interpolated) and maximum by group."""
-    return rows.groupBy(by).agg(F.avg(value).alias("mean"), F.median(value).alias("median"), F.stddev_samp(value).alias("std_dev"), F.percentile(value, F.lit(0.95)).alias("pct_95"), F.max(value).alias("max"))
+    rows = stored(rows.select(by, value))
+    q = quantiles(rows, [by], [value], [0.5, 0.95])
+    x = rows.groupBy(by).agg(F.avg(value).alias("mean"), F.stddev_samp(value).alias("std_dev"), F.max(value).alias("max"))
+    return same(x, q, [by], "left").select(by, "mean", F.col("q")[0].alias("median"), "std_dev", F.col("q")[1].alias("pct_95"), "max")
 
 
 def top_moments(scored: DataFrame, n: int = 10) -> DataFrame:

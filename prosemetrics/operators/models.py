@@ -3,47 +3,69 @@
 from __future__ import annotations
 
 import math
-
-from pyspark.ml.classification import LogisticRegression, RandomForestClassifier
-from pyspark.ml.feature import PCA, VectorAssembler
-from pyspark.ml.functions import vector_to_array
-from pyspark.sql import DataFrame, Window
+from concurrent.futures import ThreadPoolExecutor
+
+import numpy as np
+from pyspark import inheritable_thread_target
+from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.feature import PCA
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
+from . import fitting
+from .ordering import placed, running
 from .stats import melt, rank_statistics
 
+#: Folds of a forest whose jobs run side by side.
+AT_ONCE = 4
+
 
 def folds(rows: DataFrame, key: str, label: str, k: int = 10, seed: int = 42) -> DataFrame:
     """fold 0 .. k-1, shares of each class alike, by a hash of the key."""
-    order = Window.partitionBy(label).orderBy(F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))), key)
-    return rows.withColumn("fold", ((F.row_number().over(order) - 1) % k).cast("int"))
+    marked = rows.withColumn("_order", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
+    x = running(placed(marked, [label], ["_order", key]), [label], ["_order", key], {"_place": F.lit(1)})
+    return x.select(*rows.columns, ((F.col("_place") - 1) % k).cast("int").alias("fold"))
+
 
+def _labelled_design(rows: DataFrame, key: str, label: str, features: list[str], k: int) -> DataFrame:
+    """The design of all rows; those whose label is 0 or 1 have a fold, the others fold -1."""
+    own = folds(rows.where(F.col(label).isin(0, 1)), key, label, k)
+    rest = rows.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).withColumn("fold", F.lit(-1))
+    return fitting.design(own.unionByName(rest), key, [label], features, "fold")
 
-def _scaled(train: DataFrame, rows: DataFrame, features: list[str]) -> DataFrame:
-    """Medians and population deviations of the training rows, applied to ``rows`` as a vector column."""
-    medians = train.agg(*[F.median(f).alias(f) for f in features]).first()
-    filled = {f: F.coalesce(F.col(f).cast("double"), F.lit(float(medians[f] or 0.0))) for f in features}
-    stats = train.agg(*[x for f in features for x in (F.avg(filled[f]).alias(f"m_{f}"), F.stddev_pop(filled[f]).alias(f"s_{f}"))]).first()
-    z = {f: (filled[f] - F.lit(float(stats[f"m_{f}"] or 0.0))) / F.lit(float(stats[f"s_{f}"] or 1.0) or 1.0) for f in features}
-    return VectorAssembler(inputCols=[f"z_{f}" for f in features], outputCol="vector").transform(rows.withColumns({f"z_{f}": z[f] for f in features}))
 
+def block_scores(rows: DataFrame, key: str, label: str, blocks: dict[str, list[str]], k: int = 10) -> DataFrame:
+    """key, y, fold, block, score, probability: each row scored, block by block, by a model of the other folds.
 
-def logistic(n: int) -> LogisticRegression:
-    """L2 with C = 1 for n rows; the intercept is free."""
-    return LogisticRegression(featuresCol="vector", labelCol="y", regParam=1.0 / max(1, n), elasticNetParam=0.0, standardization=False, tol=1e-10, maxIter=500)
+    The models of all blocks and folds are fitted together, in one pass over the rows for each step.
+    """
+    features = list(dict.fromkeys(f for names in blocks.values() for f in names))
+    table = _labelled_design(rows.where(F.col(label).isin(0, 1)), key, label, features, k)
+    specs = [fitting.Spec(f"{b}|{fold}", tuple(features.index(f) for f in names), fitting.Draw(fold=fold)) for b, names in blocks.items() for fold in range(k)]
+    out = fitting.scored(table, fitting.fit(table, specs), list(blocks), lambda b, fold: f"{b}|{fold}", lambda y, fold: fold >= 0)
+    return out.withColumnsRenamed({"key": key, "model": "block"})
 
 
 def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5, forest: int = 0) -> DataFrame:
     """key, y, fold, score, probability: each row scored by a model of the other folds."""
-    marked = folds(rows.where(F.col(label).isin(0, 1)).withColumn("y", F.col(label).cast("double")), key, label, k)
-    marked = stored(marked)
-    parts = []
-    for fold in range(k):
-        train, test = marked.where(F.col("fold") != fold), marked.where(F.col("fold") == fold)
-        fitted = _scaled(train, train, features)
-        model = (RandomForestClassifier(featuresCol="vector", labelCol="y", numTrees=forest, seed=42) if forest else logistic(train.count())).fit(fitted)
-        parts.append(model.transform(_scaled(train, test, features)).select(key, "y", "fold", vector_to_array("rawPrediction")[1].alias("score"), vector_to_array("probability")[1].alias("probability")))
+    if not forest:
+        return block_scores(rows, key, label, {"all": features}, k).drop("block")
+    table = _labelled_design(rows.where(F.col(label).isin(0, 1)), key, label, features, k)
+    draws = [fitting.Draw(fold=fold) for fold in range(k)]
+    scales = fitting.scales(table, draws)
+    y = F.col("y")[0]
+
+    def one(fold: int) -> DataFrame:
+        scale = scales[draws[fold]]
+        z = [(F.coalesce(F.col("x")[i], F.lit(float(scale.median[i]))) - float(scale.mean[i])) / float(scale.deviation[i]) for i in range(len(features))]
+        x = table.select("key", y.alias("y"), "fold", array_to_vector(F.array(*z)).alias("vector"))
+        model = RandomForestClassifier(featuresCol="vector", labelCol="y", numTrees=forest, seed=42).fit(x.where(F.col("fold") != fold))
+        return model.transform(x.where(F.col("fold") == fold)).select(F.col("key").alias(key), "y", "fold", vector_to_array("rawPrediction")[1].alias("score"), vector_to_array("probability")[1].alias("probability"))
+
+    with ThreadPoolExecutor(min(k, AT_ONCE)) as pool:  # the jobs of several folds run side by side
+        parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(k)))
     out = parts[0]
     for p in parts[1:]:
         out = out.unionByName(p)
@@ -52,14 +74,13 @@ def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: i
 
 def mixed_scores(rows: DataFrame, key: str, label: str, features: list[str], k: int = 10) -> DataFrame:
     """key, score, source: out-of-fold scores where the label is 0 or 1, those of a model of all such rows elsewhere."""
-    own, other = rows.where(F.col(label).isin(0, 1)), rows.where(F.col(label).isNull() | ~F.col(label).isin(0, 1))
-    marked = own.withColumn("y", F.col(label).cast("double"))
-    model = logistic(marked.count()).fit(_scaled(marked, marked, features))
-    rest = model.transform(_scaled(marked, other, features)).select(key, vector_to_array("rawPrediction")[1].alias("score"), F.lit("full fit").alias("source"))
-    return out_of_fold(own, key, label, features, k).select(key, "score", F.lit("out of fold").alias("source")).unionByName(rest)
+    table, every = _labelled_design(rows, key, label, features, k), tuple(range(len(features)))
+    specs = [fitting.Spec("full fit", every), *[fitting.Spec(f"{fold}", every, fitting.Draw(fold=fold)) for fold in range(k)]]
+    out = fitting.scored(table, fitting.fit(table, specs), [""], lambda _, fold: f"{fold}" if fold >= 0 else "full fit", lambda y, fold: np.ones(len(fold), bool))
+    return out.select(F.col("key").alias(key), "score", F.when(F.col("fold") >= 0, "out of fold").otherwise("full fit").alias("source"))
 
 
-def loadings(rows: DataFrame, key: str, label: str, features: list[str], k: int = 3) -> DataFrame:
+def loadings(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5) -> DataFrame:
     """component, explained, auc, feature, loading: what each component is made of and how it parts the classes."""
     scores, explained, weights = principal(rows, key, features, k)
     names = [f"pc{i + 1}" for i in range(len(weights))]
@@ -77,24 +98,25 @@ def load(kind: type, path: str):
     return kind.load(path)
 
 
-def cv_summary(scored: DataFrame) -> DataFrame:
-    """mean and population deviation over folds of AUC and accuracy."""
-    long = scored.select(F.col("fold").cast("string").alias("feature"), F.col("probability").alias("x"), F.col("y").cast("int").alias("y"))
-    acc = scored.groupBy(F.col("fold").cast("string").alias("feature")).agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("acc"))
-    return rank_statistics(long).join(acc, "feature").agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_sd"), F.avg("acc").alias("acc_mean"), F.stddev_pop("acc").alias("acc_sd"))
+def cv_summary(scored: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """mean and population deviation over folds of AUC and accuracy, for each group of ``by``."""
+    by = by or []
+    scored = stored(scored.select("fold", "y", "probability", F.to_json(F.struct("fold", *by)).alias("feature"), *by))
+    acc = scored.groupBy("feature", *by).agg(F.avg(((F.col("probability") >= 0.5).cast("int") == F.col("y")).cast("int")).alias("acc"))
+    auc = rank_statistics(scored.select("feature", F.col("probability").alias("x"), F.col("y").cast("int").alias("y")))
+    return auc.join(acc, "feature").groupBy(*by).agg(F.avg("auc").alias("auc_mean"), F.stddev_pop("auc").alias("auc_sd"), F.avg("acc").alias("acc_mean"), F.stddev_pop("acc").alias("acc_sd"))
 
 
 def ablation(rows: DataFrame, key: str, label: str, blocks: dict[str, list[str]], k: int = 3) -> DataFrame:
-    out = None
-    for name, features in blocks.items():
-        one = cv_summary(out_of_fold(rows, key, label, features, k)).withColumn("block", F.lit(name))
-        out = one if out is None else out.unionByName(one)
-    return out
+    """block, features and the summary over folds of each block of features."""
+    sizes = F.create_map(*[F.lit(v) for b, names in blocks.items() for v in (b, len(names))])
+    return cv_summary(block_scores(rows, key, label, blocks, k), ["block"]).withColumn("features", sizes[F.col("block")])
 
 
-def axis(rows: DataFrame, label: str, features: list[str]) -> list[float]:
-    marked = rows.where(F.col(label).isin(0, 1)).withColumn("y", F.col(label).cast("double"))
-    return [float(c) for c in logistic(marked.count()).fit(_scaled(marked, marked, features)).coefficients]
+def axis(rows: DataFrame, key: str, label: str, features: list[str]) -> list[float]:
+    """The coefficients of a model of all rows with the label, over standardised features."""
+    table = fitting.design(rows, key, [label], features)
+    return fitting.fit(table, [fitting.Spec("axis", tuple(range(len(features))))])["axis"].beta[1:].tolist()
 
 
 def angle(a: list[float], b: list[float]) -> tuple[float, float]:
@@ -105,14 +127,15 @@ def angle(a: list[float], b: list[float]) -> tuple[float, float]:
     return c, math.degrees(math.acos(c))
 
 
-def bootstrap_angles(rows: DataFrame, one: str, two: str, features: list[str], rounds: int = 20, seed: int = 42) -> DataFrame:
-    """round, cosine, degrees over resamples with replacement; draws of one class are passed over."""
-    got = []
-    for k in range(rounds):
-        drawn = rows.sample(True, 1.0, seed + k).cache()
-        if all(drawn.where(F.col(c).isin(0, 1)).select(c).distinct().count() == 2 for c in (one, two)):
-            got.append((k, *angle(axis(drawn, one, features), axis(drawn, two, features))))
-        drawn.unpersist()
+def bootstrap_angles(rows: DataFrame, key: str, one: str, two: str, features: list[str], rounds: int = 20) -> DataFrame:
+    """round, cosine, degrees over resamples, each axis with its own; draws of one class are passed over.
+
+    Rows whose label is not 0 or 1 are not drawn for that axis. A resample gives each row a Poisson weight of mean 1 by
+    a hash of its key, the round and the axis. All rounds are fitted together.
+    """
+    table, every = fitting.design(rows, key, [one, two], features), tuple(range(len(features)))
+    fitted = fitting.fit(table, [fitting.Spec(f"{label}|{r}", every, fitting.Draw(label, round=r)) for r in range(rounds) for label in (0, 1)])
+    got = [(r, *angle(*[fitted[f"{label}|{r}"].beta[1:].tolist() for label in (0, 1)])) for r in range(rounds) if f"0|{r}" in fitted and f"1|{r}" in fitted]
     return rows.sparkSession.createDataFrame(got, "round long, cosine double, degrees double")
 
 
@@ -122,15 +145,18 @@ def with_interval(angles: DataFrame) -> DataFrame:
     return angles.crossJoin(F.broadcast(ends)).select(*angles.columns, F.col("ends")[0].alias("low"), F.col("ends")[1].alias("high"))
 
 
-def principal(rows: DataFrame, key: str, features: list[str], k: int = 3) -> tuple[DataFrame, list[float], list[list[float]]]:
-    """Scores key, pc1 .. pck; explained shares; loadings, each with a positive largest entry."""
-    x = _scaled(rows, rows, features)
+def principal(rows: DataFrame, key: str, features: list[str], k: int = 5) -> tuple[DataFrame, list[float], list[list[float]]]:
+    """Scores key, pc1 .. pck; explained shares; loadings, each with a positive largest entry. Up to one a feature."""
+    table = fitting.design(rows.withColumn("_all", F.lit(0)), key, ["_all"], features)
+    scale = fitting.scales(table, [fitting.Draw()])[fitting.Draw()]
+    z = [(F.coalesce(F.col("x")[i], F.lit(float(scale.median[i]))) - float(scale.mean[i])) / float(scale.deviation[i]) for i in range(len(features))]
+    x = table.select("key", array_to_vector(F.array(*z)).alias("vector"))
     model = PCA(k=min(k, len(features)), inputCol="vector", outputCol="pcs").fit(x)
     loadings = model.pc.toArray().T
     signs = [1.0 if v[abs(v).argmax()] >= 0 else -1.0 for v in loadings]
     pcs = vector_to_array("pcs")
-    scores = model.transform(x).select(key, *[(pcs[i] * signs[i]).alias(f"pc{i + 1}") for i in range(len(signs))])
+    scores = model.transform(x).select(F.col("key").alias(key), *[(pcs[i] * signs[i]).alias(f"pc{i + 1}") for i in range(len(signs))])
     return scores, list(model.explainedVariance), [list(v * s) for v, s in zip(loadings, signs, strict=True)]
 
 
-__all__ = ["ablation", "angle", "axis", "bootstrap_angles", "cv_summary", "folds", "load", "loadings", "melt", "mixed_scores", "out_of_fold", "principal", "save", "with_interval"]
+__all__ = ["ablation", "angle", "axis", "block_scores", "bootstrap_angles", "cv_summary", "folds", "load", "loadings", "melt", "mixed_scores", "out_of_fold", "principal", "save", "with_interval"]

@@ -5,10 +5,12 @@ from __future__ import annotations
 import math
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
+from .ordering import least_from, placed, quantiles, running, same
+
 
 def melt(rows: DataFrame, label: str, features: list[str]) -> DataFrame:
     pairs = F.array(*[F.struct(F.lit(f).alias("feature"), F.col(f).cast("double").alias("x")) for f in features])
@@ -32,9 +34,8 @@ def welch() -> tuple[Column, Column]:
 
 def rank_statistics(long: DataFrame) -> DataFrame:
     """feature, u1, auc, z: mid-ranks by distinct value, so that equal values meet before any ordering."""
-    g = long.groupBy("feature", "x").agg(F.count("*").alias("c"), F.sum("y").alias("p"))
-    below = Window.partitionBy("feature").orderBy("x").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    g = g.withColumn("mid", F.sum("c").over(below) - F.col("c") + (F.col("c") + 1) / 2.0)
+    g = placed(long.groupBy("feature", "x").agg(F.count("*").alias("c"), F.sum("y").alias("p")), ["feature"], ["x"])
+    g = running(g, ["feature"], ["x"], {"upto": F.col("c")}).withColumn("mid", F.col("upto") - F.col("c") + (F.col("c") + 1) / 2.0)
     s = g.groupBy("feature").agg(F.sum(F.col("p") * F.col("mid")).alias("r1"), F.sum("p").alias("n1"), F.sum("c").alias("n"), F.sum(F.col("c") * F.col("c") * F.col("c") - F.col("c")).alias("ties"))
     n0 = F.col("n") - F.col("n1")
     u = F.col("r1") - F.col("n1") * (F.col("n1") + 1) / 2.0
@@ -78,15 +79,11 @@ def p_normal(z: pd.Series) -> pd.Series:
 
 def benjamini_hochberg(rows: DataFrame, p: str, by: list[str] | None = None, name: str = "p_adjusted") -> DataFrame:
     """``rows`` with p adjusted for all tests of their group; ranks by distinct p. Without a p there is no test."""
-    keys = [*(by or []), p]
-    up = Window.partitionBy(*(by or [])).orderBy(p)
-    g = rows.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys).agg(F.count("*").alias("c"))
-    m = F.sum("c").over(Window.partitionBy(*(by or [])))
-    rank = F.sum("c").over(up.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    g = g.withColumn("scaled", F.col(p) * m / rank).withColumn("adjusted", F.least(F.lit(1.0), F.min("scaled").over(up.rowsBetween(Window.currentRow, Window.unboundedFollowing))))
-    g = g.select(*[F.col(c).alias(f"bh_{k}") for k, c in enumerate(keys)], F.col("adjusted").alias("bh_adjusted"))
-    same = [rows[c].eqNullSafe(g[f"bh_{k}"]) for k, c in enumerate(keys)]
-    return rows.join(g, same, "left").withColumn(name, F.col("bh_adjusted")).drop(*g.columns)
+    by, keys = by or [], [*(by or []), p]
+    g = placed(rows.where(F.col(p).isNotNull() & ~F.isnan(p)).groupBy(*keys).agg(F.count("*").alias("bh_c")), by, [p])
+    g = running(g, by, [p], {"bh_rank": F.col("bh_c")}).withColumn("bh_scaled", F.col(p) * F.col("all_bh_rank") / F.col("bh_rank"))
+    g = least_from(g, by, [p], "bh_scaled", "bh_least")
+    return same(rows, g.select(*keys, F.least(F.lit(1.0), F.col("bh_least")).alias("bh_adjusted")), keys, "left").withColumn(name, F.col("bh_adjusted")).drop("bh_adjusted")
 
 
 def univariate(rows: DataFrame, label: str, features: list[str], layer: str = "all") -> DataFrame:
@@ -113,11 +110,10 @@ def error_by_group(rows: DataFrame, by: str, truth: str, prediction: str) -> Dat
 
 def roc_points(rows: DataFrame, label: str, score: str) -> DataFrame:
     """threshold, fpr, tpr at every distinct score."""
-    g = rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count("*").alias("c"))
-    down = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, Window.currentRow)  # over distinct scores
-    whole = Window.partitionBy()
-    tp, cum = F.sum("p").over(down), F.sum("c").over(down)
-    return g.select("threshold", F.try_divide(cum - tp, F.sum("c").over(whole) - F.sum("p").over(whole)).alias("fpr"), F.try_divide(tp, F.sum("p").over(whole)).alias("tpr"))
+    g = placed(rows.groupBy(F.col(score).alias("threshold")).agg(F.sum(label).alias("p"), F.count("*").alias("c")), [], ["threshold"])
+    g = running(g, [], ["threshold"], {"tp": F.col("p"), "seen": F.col("c")})
+    tp, seen = (F.col(f"all_{n}") - F.col(n) + F.col(c) for n, c in (("tp", "p"), ("seen", "c")))  # at the threshold or above
+    return g.select("threshold", F.try_divide(seen - tp, F.col("all_seen") - F.col("all_tp")).alias("fpr"), F.try_divide(tp, F.col("all_tp")).alias("tpr"))
 
 
 def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
@@ -128,15 +124,16 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def iqr_repair(rows: DataFrame, columns: list[str], fence: float = 6.0, divisor: float = 1000.0) -> DataFrame:
     """Values beyond ``fence`` interquartile ranges of the quartiles lost a decimal point: they are divided."""
-    q = rows.agg(*[F.percentile(c, F.array(F.lit(0.25), F.lit(0.75))).alias(f"q_{c}") for c in columns])
-    x = rows.crossJoin(F.broadcast(q))
+    ends = {r["feature"]: r["q"] for r in quantiles(rows, [], columns, [0.25, 0.75]).collect()}  # a row for each column
 
     def fixed(c: str) -> Column:
-        lo, hi = F.col(f"q_{c}")[0], F.col(f"q_{c}")[1]
-        bad = (F.col(c) < lo - fence * (hi - lo)) | (F.col(c) > hi + fence * (hi - lo))
-        return F.when(bad, F.col(c) / divisor).otherwise(F.col(c))
+        lo, hi = ends.get(c, (None, None))
+        if lo is None:
+            return F.col(c)
+        reach = fence * (hi - lo)
+        return F.when((F.col(c) < lo - reach) | (F.col(c) > hi + reach), F.col(c) / divisor).otherwise(F.col(c))
 
-    return x.select(*[c for c in rows.columns if c not in columns], *[fixed(c).alias(c) for c in columns])
+    return rows.select(*[c for c in rows.columns if c not in columns], *[fixed(c).alias(c) for c in columns])
 
 
 def two_groups(rows: DataFrame, label: str, features: list[str]) -> DataFrame:

@@ -78,6 +78,7 @@ _LABELLED = f"{_STYLE}, lb as (select st.*, y from st join (select doc_id, max(q
 _LONG = f"{_LABELLED}, lo as (select 'word_count' as feature, word_count::double as x, y from lb union all select 'avg_word_length', avg_word_length, y from lb union all select 'ttr', ttr, y from lb)"
 _SIX = ("lex_rarity", "types_used_rate", "hapax_rate", "rare_tail_share", "work_entropy", "kl_from_corpus")
 FEATURES = ["word_count", "avg_word_length", "ttr"]
+_NORMED = [f"{c}_n" for c in relational.CATEGORIES]
 
 
 def _docs(spark: SparkSession, d: str) -> DataFrame:
@@ -582,9 +583,25 @@ def oof_scores(spark, d):
     return models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10)
 
 
+#: Ten blocks of features: single ones, layers, and their unions.
+BLOCKS = {
+    "A. length": ["word_count"], "B. style": FEATURES, "C. types": ["types_used_rate", "hapax_rate", "rare_tail_share"], "D. surface": ["n_chars", *FEATURES],
+    "E. categories": _NORMED, "F. divergence": ["lex_rarity", "work_entropy", "kl_from_corpus"], "G. foregrounding": list(_SIX),
+    "H. surface and categories": ["n_chars", *FEATURES, *_NORMED], "I. surface, categories, divergence": ["n_chars", *FEATURES, *_NORMED, "lex_rarity", "work_entropy", "kl_from_corpus"], "J. all": ["n_chars", *FEATURES, *_NORMED, *_SIX],
+}
+
+
+def _features(spark: SparkSession, d: str) -> DataFrame:
+    """A row for each labelled document with the features of all blocks."""
+    docs = _docs(spark, d)
+    counts = relational.per_thousand(relational.category_counts(docs), list(relational.CATEGORIES), "tokens").select("doc_id", *_NORMED)
+    return relational.master("doc_id", _labelled(spark, d), docs.select("doc_id", "n_chars"), counts, lexical.foregrounding(docs).select("doc_id", *_SIX))
+
+
 @query()
 def cv_ablation(spark, d):
-    return models.ablation(_labelled(spark, d), "doc_id", "y", {"length": ["word_count"], "all": FEATURES}, k=10)
+    """Ten blocks in ten folds: a hundred models, fitted together."""
+    return models.ablation(_features(spark, d), "doc_id", "y", BLOCKS, k=10)
 
 
 @query()
@@ -601,19 +618,20 @@ def mixed_scores(spark, d):
 
 @query()
 def pca_loadings(spark, d):
-    x = _labelled(spark, d)
-    return models.loadings(x, "doc_id", "y", FEATURES)
+    return models.loadings(_features(spark, d), "doc_id", "y", BLOCKS["J. all"])
 
 
 @query()
 def pca_components(spark, d):
-    return models.principal(_style(spark, d), "doc_id", FEATURES)[0]
+    docs = _docs(spark, d)
+    x = relational.master("doc_id", _style(spark, d), docs.select("doc_id", "n_chars"), lexical.foregrounding(docs).select("doc_id", *_SIX))
+    return models.principal(x, "doc_id", ["n_chars", *FEATURES, *_SIX])[0]
 
 
 @query()
 def axis_bootstrap(spark, d):
     x = _labelled(spark, d).withColumn("long", (F.col("word_count") > 200).cast("int"))
-    return models.with_interval(models.bootstrap_angles(x, "y", "long", ["avg_word_length", "ttr"], rounds=200))
+    return models.with_interval(models.bootstrap_angles(x, "doc_id", "y", "long", ["avg_word_length", "ttr"], rounds=200))
 
 
 @query("with o as (select doc_id, y, row_number() over (partition by y order by md5(cast(doc_id as varchar) || '|42'), doc_id) as r from (select doc_id, max(quality) as y from labels group by 1)) select doc_id, y, cast((r - 1) % 10 as integer) as fold from o")

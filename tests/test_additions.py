@@ -3,7 +3,8 @@
 import datetime
 
 import numpy as np
-from pyspark.ml.classification import LogisticRegressionModel
+from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
+from pyspark.ml.feature import VectorAssembler
 from pyspark.sql import functions as F
 
 from prosemetrics.functions import sql
@@ -93,9 +94,8 @@ def test_models(spark, tmp_path):
     assert models.cv_summary(models.out_of_fold(rows, "k", "y", ["a", "b"], k=2, forest=5)).first()["auc_mean"] > 0.7
     parts = models.loadings(rows, "k", "y", ["a", "b"], k=2).collect()
     assert len(parts) == 4 and abs(sum({r["component"]: r["explained"] for r in parts}.values()) - 1) < 1e-9
-    angles = models.bootstrap_angles(rows.withColumn("z", (F.col("b") > 0).cast("int")), "y", "z", ["a", "b"], rounds=3)
-    assert all(-1 <= r["cosine"] <= 1 for r in angles.collect())
-    fitted = models.logistic(96).fit(models._scaled(rows, rows, ["a", "b"]).where("y is not null").withColumn("y", F.col("y").cast("double")))
+    vectors = VectorAssembler(inputCols=["a", "b"], outputCol="features").transform(rows.where("y is not null"))
+    fitted = LogisticRegression(labelCol="y").fit(vectors)
     models.save(fitted, str(tmp_path / "m"))
     assert models.load(LogisticRegressionModel, str(tmp_path / "m")).coefficients == fitted.coefficients
 
