@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import centred, cosine, distance, dot, moving_average, resample, standard, total
 from ..sources.scratch import stored
+from ..sources.shipping import map_arrow, ship
+from .ordering import placed, running
 
-#: Books that the Ward merge is computed for at most; it needs all of their distances at once.
-MOST_MERGED = 2_000
+#: Books that the Ward merge is computed for at most: their arcs are broadcast, 16 MB with 100 points.
+MOST_MERGED = 20_000
 
 
 def centroid(chunks: DataFrame) -> DataFrame:
@@ -27,15 +30,15 @@ def mean_vectors(rows: DataFrame, by: list[str], vector: str) -> DataFrame:
     return lists.select(*by, F.transform("l", lambda s: s["m"]).alias("mean"))
 
 
-def chunk_distances(chunks: DataFrame, book: str, order: str) -> DataFrame:
-    """book, order, dist: 1 - cosine to the centroid, which is one broadcast row."""
-    x = chunks.crossJoin(F.broadcast(centroid(chunks)))
+def chunk_distances(chunks: DataFrame, book: str, order: str, centre: DataFrame | None = None) -> DataFrame:
+    """book, order, dist: 1 - cosine to the centroid, which is one broadcast row; ``centre``, or that of the chunks."""
+    x = chunks.crossJoin(F.broadcast(centroid(chunks) if centre is None else centre))
     return x.select(book, order, (1 - cosine(F.transform("embedding", lambda v: v.cast("double")), F.col("centroid"))).alias("dist"))
 
 
-def arcs(chunks: DataFrame, book: str, order: str, points: int = 100) -> DataFrame:
+def arcs(chunks: DataFrame, book: str, order: str, points: int = 100, centre: DataFrame | None = None) -> DataFrame:
     """book, n_chunks, arc: distances in order, smoothed and resampled; books of under two chunks have none."""
-    d = chunk_distances(chunks, book, order).groupBy(book).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "dist"))), lambda s: s["dist"]).alias("d"))
+    d = chunk_distances(chunks, book, order, centre).groupBy(book).agg(F.transform(F.array_sort(F.collect_list(F.struct(order, "dist"))), lambda s: s["dist"]).alias("d"))
     return d.where(F.size("d") >= 2).select(book, F.size("d").cast("long").alias("n_chunks"), resample(moving_average(F.col("d")), points).alias("arc"))
 
 
@@ -108,11 +111,40 @@ def davies_bouldin(rows: DataFrame, cluster: str = "cluster") -> DataFrame:
     return worst.agg(F.avg("r").alias("davies_bouldin"))
 
 
+#: Arcs of a block; two blocks make a tile of distances, which is all that a task holds.
+TILE = 512
+
+
+def blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
+    """``rows`` with block, of up to ``size`` rows in the order of the key."""
+    x = running(placed(rows, [], [key]), [], [key], {"_place": F.lit(1)})
+    return x.select(*rows.columns, F.floor((F.col("_place") - 1) / size).cast("int").alias("block"))
+
+
 def silhouette(rows: DataFrame, book: str, cluster: str = "cluster") -> DataFrame:
-    """The mean silhouette over all pairs: quadratic, as its definition is; a lone member counts 0."""
-    a = rows.select(F.col(book).alias("i"), F.col(cluster).alias("ci"), F.col("arc").alias("x"))
-    b = rows.select(F.col(book).alias("j"), F.col(cluster).alias("cj"), F.col("arc").alias("y"))
-    means = a.join(b, F.col("i") != F.col("j")).groupBy("i", "ci", "cj").agg(F.avg(distance(F.col("x"), F.col("y"))).alias("d"))
+    """The mean silhouette over all pairs: quadratic, as its definition is; a lone member counts 0.
+
+    Blocks of arcs meet in tiles, each pair of blocks once; a tile gives the distances' sums by arc and other cluster.
+    """
+    x = stored(blocked(rows.where(F.col(cluster).isNotNull()).select(F.col(book).alias("i"), F.col(cluster).alias("c"), F.col("arc").alias("x")), "i", TILE))
+    blocks = (x.agg(F.max("block")).first()[0] or 0) + 1
+    other = F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("other")
+    meet = x.select("*", other).select("i", "c", "x", "block", F.least("block", "other").alias("a"), F.greatest("block", "other").alias("b"))
+
+    def tile(tables: pa.Table) -> pa.Table:
+        block, arc = tables.column("block").to_numpy(), np.array(tables.column("x").to_pylist())
+        kinds, kind = np.unique(tables.column("c").to_numpy(zero_copy_only=False), return_inverse=True)
+        first, second = np.flatnonzero(block == block.min()), np.flatnonzero(block == block.max())
+        gaps = np.stack([np.sqrt(((arc[second] - arc[k]) ** 2).sum(1)) for k in first])
+        sides = [(first, second, gaps)] + ([(second, first, gaps.T)] if block.min() < block.max() else [])
+        out = [(own[k], g, d[k, kind[others] == g].sum(), int((kind[others] == g).sum() - (block.min() == block.max() and kind[own[k]] == g))) for own, others, d in sides for k in range(len(own)) for g in np.unique(kind[others])]
+        at, to, total, n = zip(*out, strict=True)
+        return pa.table({"i": tables.column("i").take(pa.array(at)), "ci": tables.column("c").take(pa.array(at)), "cj": pa.array(kinds[list(to)], tables.schema.field("c").type), "d": pa.array(total, pa.float64()), "n": pa.array(n, pa.int64())})
+
+    i, c = dict(x.dtypes)["i"], dict(x.dtypes)["c"]
+    ship(rows.sparkSession)
+    sums = meet.groupBy("a", "b").applyInArrow(tile, f"i {i}, ci {c}, cj {c}, d double, n long")
+    means = sums.groupBy("i", "ci", "cj").agg(F.try_divide(F.sum("d"), F.sum("n")).alias("d"))
     each = means.groupBy("i").agg(F.min(F.when(F.col("ci") == F.col("cj"), F.col("d"))).alias("own"), F.min(F.when(F.col("ci") != F.col("cj"), F.col("d"))).alias("other"))
     return each.agg(F.avg(F.coalesce(F.try_divide(F.col("other") - F.col("own"), F.greatest("own", "other")), F.lit(0.0))).alias("silhouette"))
 
@@ -122,8 +154,8 @@ def explained(rows: DataFrame, m: int = 3) -> float:
     return float((s[:m] ** 2).sum() / max(1e-300, (s**2).sum()))
 
 
-#: Arcs that one task shuffles and multiplies.
-BLOCK = 4_096
+#: Arcs that one task shuffles and multiplies, and product matrices that one adds up.
+BLOCK, TOGETHER = 4_096, 64
 
 
 def permutation_test(rows: DataFrame, book: str, m: int = 3, rounds: int = 1000, seed: int = 42) -> DataFrame:
@@ -144,7 +176,11 @@ def permutation_test(rows: DataFrame, book: str, m: int = 3, rounds: int = 1000,
         for k in range(rounds):
             shuffled = np.random.default_rng([seed, block, k]).permuted(arc, axis=1)
             grams.append((shuffled.T @ shuffled).tobytes())
-        return pa.table({"round": pa.array(range(rounds), pa.int64()), "gram": pa.array(grams, pa.binary())})
+        return pa.table({"round": pa.array(range(rounds), pa.int64()), "block": pa.array([block] * rounds, pa.int64()), "gram": pa.array(grams, pa.binary())})
+
+    def added(group: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(g.as_py()) for g in group.column("gram"))
+        return pa.table({"round": group.column("round").slice(0, 1), "block": pa.array([group.column("block")[0].as_py() // TOGETHER], pa.int64()), "gram": pa.array([total.tobytes()], pa.binary())})
 
     def shares(group: pa.Table) -> pa.Table:
         total = sum(np.frombuffer(g.as_py()) for g in group.column("gram"))
@@ -153,35 +189,132 @@ def permutation_test(rows: DataFrame, book: str, m: int = 3, rounds: int = 1000,
         return pa.table({"null": pa.array([values[:m].sum() / max(1e-300, values.sum())])})
 
     marked = x.withColumn("block", F.pmod(F.xxhash64(F.col(book).cast("string")), F.lit(blocks)))
-    nulls = marked.groupBy("block").applyInArrow(products, "round long, gram binary").groupBy("round").applyInArrow(shares, "null double")
+    ship(rows.sparkSession)
+    schema = "round long, block long, gram binary"
+    grams = marked.groupBy("block").applyInArrow(products, schema)
+    while blocks > TOGETHER:  # sums in stages: a group never holds more matrices than that
+        grams, blocks = grams.groupBy("round", F.floor(F.col("block") / TOGETHER)).applyInArrow(added, schema), -(-blocks // TOGETHER)
+    nulls = grams.groupBy("round").applyInArrow(shares, "null double")
     return nulls.agg(F.lit(real).alias("real"), F.avg("null").alias("null_mean"), ((F.count_if(F.col("null") >= real) + 1) / (F.count("*") + 1)).alias("p"))
 
 
+def _joined(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray, n: np.ndarray, gap: np.ndarray) -> np.ndarray:
+    """Ward's distance of clusters of n arcs to the union of two, na and nb arcs large and ``gap`` apart."""
+    with np.errstate(invalid="ignore"):
+        return np.sqrt(np.maximum(0, ((na + n) * a * a + (nb + n) * b * b - n * gap * gap) / (na + nb + n)))
+
+
+def _nearest(row: np.ndarray) -> tuple[int, float]:
+    at = int(np.argmin(row))
+    return at, float(row[at])
+
+
+def _first_distances(rows: DataFrame, arc: np.ndarray, block: int) -> DataFrame:
+    """at, row, to, gap: the Euclidean distances between rows of the L1 distance matrix of all arcs, row by row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            mine = batch.column("id").to_numpy()
+            for k in range(0, len(mine), block):
+                at = mine[k : k + block]
+                own, square = np.stack([np.abs(arc - arc[i]).sum(1) for i in at]), np.empty((len(at), len(arc)))
+                for j in range(len(arc)):  # one row of the matrix at a time
+                    square[:, j] = ((own - np.abs(arc - arc[j]).sum(1)) ** 2).sum(1)
+                square[np.arange(len(at)), at] = np.inf
+                for i, row in zip(at.tolist(), np.sqrt(square), strict=True):
+                    yield _ward_row(i, row)
+
+    return map_arrow(rows, run, WARD)
+
+
+WARD = "at int, row binary, to int, gap double"
+
+
+def _ward_row(at: int, row: np.ndarray) -> pa.RecordBatch:
+    to, gap = _nearest(row)
+    return pa.RecordBatch.from_arrays([pa.array([at], pa.int32()), pa.array([row.tobytes()], pa.binary()), pa.array([to], pa.int32()), pa.array([gap], pa.float64())], ["at", "row", "to", "gap"])
+
+
 def ward_merges(rows: DataFrame, book: str) -> DataFrame:
-    """step, left, right, height, size: Ward's merges of the rows of the L1 distance matrix, nearest pair first."""
-
-    def run(group: pd.DataFrame) -> pd.DataFrame:
-        if len(group) > MOST_MERGED:
-            raise ValueError(f"more than {MOST_MERGED} arcs")
-        x = np.stack(group.sort_values(book)["arc"].map(np.asarray).to_list())
-        own = np.stack([np.abs(x - row).sum(1) for row in x])
-        d = np.stack([np.sqrt(((own - row) ** 2).sum(1)) for row in own])  # row by row: memory for the square only
-        np.fill_diagonal(d, np.inf)
-        names, sizes, out = list(range(len(x))), [1] * len(x), []
-        for step in range(len(x) - 1):
-            i, j = sorted(np.unravel_index(np.argmin(d), d.shape))
-            a, b, h = sizes[i], sizes[j], d[i, j]
-            out.append((step, names[i], names[j], h, a + b))
-            n = np.array(sizes)
-            with np.errstate(invalid="ignore"):
-                new = np.sqrt(np.maximum(0, ((a + n) * d[i] ** 2 + (b + n) * d[j] ** 2 - n * h * h) / (a + b + n)))
-            d[i], d[:, i] = new, new
-            d[i, i] = np.inf
-            d[j], d[:, j] = np.inf, np.inf
-            names[i], sizes[i] = len(x) + step, a + b
-        return pd.DataFrame(out, columns=["step", "left", "right", "height", "size"])
-
-    return rows.select(book, "arc", F.lit(0).alias("all")).groupBy("all").applyInPandas(run, "step long, left long, right long, height double, size long")
+    """step, left, right, height, size: Ward's merges of the rows of the L1 distance matrix, nearest pair first.
+
+    Clusters that are each other's nearest are merged together, round by round, which gives the tree that merging the
+    nearest pair alone would. Each cluster's distances are one row of a table; a round writes the rows of the clusters
+    that remain. What reaches the driver is a number and a distance for each arc, and the arcs themselves, once: so
+    there is a bound on them, MOST_MERGED, and an error beyond it. Arcs are numbered from 0 in the order of the book.
+    """
+    spark = rows.sparkSession
+    held = rows.select(F.col(book).alias("book"), "arc").limit(MOST_MERGED + 1).toArrow()
+    if held.num_rows > MOST_MERGED:
+        raise ValueError(f"more than {MOST_MERGED} arcs")
+    schema = "step long, left long, right long, height double, size long"
+    if held.num_rows < 2:
+        return spark.createDataFrame([], schema)
+    arc = np.array(held.sort_by("book").column("arc").to_pylist(), float)
+    count = len(arc)
+    parts = max(1, min(spark.sparkContext.defaultParallelism * 2, count // 16))
+    table = stored(_first_distances(spark.range(0, count, 1, parts), arc, 256))
+    sizes, names, merges = np.ones(count), np.arange(count), []
+    while len(sizes) > 1:
+        near = table.select("at", "to", "gap").toArrow()  # no row of distances is read for this
+        to, gap = np.empty(len(sizes), np.int64), np.empty(len(sizes))
+        to[near.column("at").to_numpy()], gap[near.column("at").to_numpy()] = near.column("to").to_numpy(), near.column("gap").to_numpy()
+        at = np.arange(len(sizes))
+        left = np.flatnonzero((to[to] == at) & (at < to))
+        if not len(left):  # rounding alone can leave none: then the nearest pair
+            left = np.array([np.lexsort((at, gap))[0]])
+        right = to[left]
+        left, right = np.minimum(left, right), np.maximum(left, right)
+        heights = gap[left]
+        merges += [(h, names[a], names[b], sizes[a] + sizes[b], count + len(merges) + k) for k, (h, a, b) in enumerate(zip(heights, left, right, strict=True))]
+        keep = np.setdiff1d(at, right)
+        place = np.empty(len(at), np.int64)  # the new place of each cluster
+        place[keep] = np.arange(len(keep))
+        place[right] = place[left]
+        names[left] = count + len(merges) - len(left) + np.arange(len(left))
+        before, heads, tails = sizes, left, right
+        sizes, names = np.bincount(place, before), names[keep]
+        if len(sizes) > 1:
+            table = stored(_merged(table, place, before, sizes, heads, tails, heights, keep))
+    tall: dict[int, float] = {}
+    for h, a, b, _, own in merges:  # no lower than its halves, as rounding may have it
+        tall[own] = max(float(h), tall.get(a, 0.0), tall.get(b, 0.0))
+    merges.sort(key=lambda m: (tall[m[4]], m[4]))
+    label = {m[4]: count + step for step, m in enumerate(merges)}
+    out = [(step, int(label.get(a, a)), int(label.get(b, b)), tall[own], int(n)) for step, (_, a, b, n, own) in enumerate(merges)]
+    return spark.createDataFrame(out, schema)
+
+
+def _merged(table: DataFrame, place: np.ndarray, before: np.ndarray, sizes: np.ndarray, heads: np.ndarray, tails: np.ndarray, heights: np.ndarray, keep: np.ndarray) -> DataFrame:
+    """The rows of the clusters that a round leaves: columns of merged clusters first, then their two rows."""
+    def new_places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array(place[batch.column("at").to_numpy()].astype(np.int32)), batch.column("at"), batch.column("row")], ["place", "at", "row"])
+
+    def columns(row: np.ndarray, n: float) -> np.ndarray:
+        row[heads] = _joined(row[heads], row[tails], before[heads], before[tails], n, heights)
+        return row[keep]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting = None  # place, old place and row of a cluster whose other half may follow
+        for batch in batches:
+            for p, at, raw in zip(batch.column("place").to_pylist(), batch.column("at").to_pylist(), batch.column("row").to_pylist(), strict=True):
+                row = columns(np.frombuffer(raw).copy(), before[at])
+                if waiting and waiting[0] == p:
+                    k = np.searchsorted(heads, waiting[1])
+                    both = _joined(waiting[2], row, before[waiting[1]], before[at], sizes, heights[k])
+                    both[p] = np.inf
+                    waiting = (p, at, both)
+                    continue
+                if waiting:
+                    yield _ward_row(waiting[0], waiting[2])
+                row[p] = np.inf
+                waiting = (p, at, row)
+        if waiting:
+            yield _ward_row(waiting[0], waiting[2])
+
+    named = map_arrow(table.select("at", "row"), new_places, "place int, at int, row binary")
+    return map_arrow(named.repartition("place").sortWithinPartitions("place", "at"), run, WARD)
 
 
 def search(books: DataFrame, book: str, title: str, ids: list[str] = (), titles: list[str] = (), literal: bool = False) -> DataFrame:

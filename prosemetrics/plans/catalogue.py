@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..functions.arrays import total as _total
 from ..operators import arcs, figures, lexical, lm, models, relational, stats
+from ..sources import scratch
 from ..streaming import incremental
+from ..streaming.arc_table import ArcTable
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -502,7 +504,18 @@ def chunk_distance(spark, d):
     return arcs.chunk_distances(read(spark, d, "embeddings"), "label", "vec_id")
 
 
-@query(f"with {_ARCS} select label, cast(n as bigint) as n_chunks, cast(i - 1 as integer) as point, round(arc[i], 6) as value from ar, range(1, 101) t(i)")
+_ARC_ROWS = f"with {_ARCS} select label, cast(n as bigint) as n_chunks, cast(i - 1 as integer) as point, round(arc[i], 6) as value from ar, range(1, 101) t(i)"
+
+
+@query(_ARC_ROWS)
+def arc_table(spark, d):
+    """The curves as the resumable table has them."""
+    table = ArcTable(spark, f"{d}/embeddings.parquet", scratch.folder(spark, "arc-table"), "vec_id long, embedding array<float>, label int", "label", "vec_id")
+    table.run()
+    return table.table().select("label", "n_chunks", F.posexplode("arc").alias("point", "value"))
+
+
+@query(_ARC_ROWS)
 def arc_100(spark, d):
     return _arcs(spark, d).select("label", "n_chunks", F.posexplode("arc").alias("point", "value"))
 

@@ -8,27 +8,31 @@ import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def stored(rows: DataFrame) -> DataFrame:
-    """``rows`` as a Parquet table under ``spark.checkpoint.dir``: what made it is not run again, nor lost with an executor.
+def folder(spark: SparkSession, name: str) -> str:
+    """A new place under ``spark.checkpoint.dir``, deleted as the process ends.
 
     In local mode a temporary folder stands in where the setting is missing; elsewhere that is an error.
     """
-    spark = rows.sparkSession
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
         if not re.match(r"local(\[|$)", spark.sparkContext.master):
             raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
-        folder = tempfile.mkdtemp(prefix="prosemetrics-")
-        atexit.register(shutil.rmtree, folder, ignore_errors=True)
-        base = f"file://{folder}"
-    path = f"{base.rstrip('/')}/stored-{uuid.uuid4().hex}"
+        own = tempfile.mkdtemp(prefix="prosemetrics-")
+        atexit.register(shutil.rmtree, own, ignore_errors=True)
+        return f"file://{own}/{name}"
+    path = f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    atexit.register(_delete, spark, path)
+    return path
+
+
+def stored(rows: DataFrame) -> DataFrame:
+    """``rows`` as a Parquet table in a ``folder``: what made it is not run again, nor lost with an executor."""
+    path = folder(rows.sparkSession, "stored")
     rows.write.parquet(path)
-    if not base.startswith("file:///tmp/prosemetrics-"):
-        atexit.register(_delete, spark, path)
-    return spark.read.schema(rows.schema).parquet(path)
+    return rows.sparkSession.read.schema(rows.schema).parquet(path)
 
 
 def _delete(spark, path: str) -> None:
