@@ -510,7 +510,8 @@ _ARC_ROWS = f"with {_ARCS} select label, cast(n as bigint) as n_chunks, cast(i -
 @query(_ARC_ROWS)
 def arc_table(spark, d):
     """The curves as the resumable table has them."""
-    table = ArcTable(spark, f"{d}/embeddings.parquet", scratch.folder(spark, "arc-table"), "vec_id long, embedding array<float>, label int", "label", "vec_id")
+    source = f"{d}/embedding[s].parquet"  # a pattern may name a file, which a stream's folder may not
+    table = ArcTable(spark, source, scratch.folder(spark, "arc-table"), "vec_id long, embedding array<float>, label int", "label", "vec_id")
     table.run()
     return table.table().select("label", "n_chunks", F.posexplode("arc").alias("point", "value"))
 
