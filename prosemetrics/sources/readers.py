@@ -2,14 +2,20 @@
 
 from __future__ import annotations
 
+import csv
 import io
+import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from ..functions.text import clean_text, stem
+from .shipping import map_arrow, map_pandas
 
 
 def texts(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
@@ -35,7 +41,7 @@ def decoded_texts(spark: SparkSession, path: str) -> DataFrame:
         for b in batches:
             yield pd.DataFrame({"path": b["path"], "text": b["content"].map(lambda x: _decode(bytes(x)))})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, text string")
+    rows = map_pandas(spark.read.format("binaryFile").load(path).select("path", "content"), run, "path string, text string")
     return rows.select(stem(F.col("path")).alias("name"), "text")
 
 
@@ -64,7 +70,7 @@ def arrays(spark: SparkSession, path: str) -> DataFrame:
                 if x.size:
                     yield pd.DataFrame({"path": p, "row": np.arange(len(x)), "embedding": list(x.astype(np.float32))})
 
-    rows = spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(run, "path string, row long, embedding array<float>")
+    rows = map_pandas(spark.read.format("binaryFile").load(path).select("path", "content"), run, "path string, row long, embedding array<float>")
     return rows.select(stem(F.col("path")).alias("name"), "row", "embedding")
 
 
@@ -85,12 +91,36 @@ def table_or_csv(spark: SparkSession, path: str, other: str | None = None) -> Da
 
 
 def any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """A CSV table whose files are UTF-8 or, those that are not, Latin-1; a file is decoded whole."""
-    lines = decoded_texts(spark, path).select(F.explode(F.split("text", r"\r\n|\r|\n")).alias("value")).where("value <> ''")
-    header = lines.limit(1).first()
-    names = [x.strip().split()[0] for x in schema.split(",")]
-    rows = lines.select(F.from_csv("value", F.lit(schema)).alias("r")) if header else lines.limit(0).select(F.from_csv("value", F.lit(schema)).alias("r"))
-    return rows.where(F.col("value") != ",".join(names)).select("r.*") if header else rows.select("r.*")
+    """A CSV table whose files are UTF-8 or, those that are not, Latin-1; each file is read as a whole by one task.
+
+    The first record of a file names its columns, in any order, case and between blanks; a column of ``schema`` that it
+    lacks is null, others are passed over. Quoted fields may hold commas, doubled quotes and line breaks. Values and
+    names are trimmed; an empty value, one that is no value of its column's type, and NaN are null. Blank records and
+    files without a record give no rows.
+    """
+    wanted = StructType.fromDDL(schema)
+    names = [f.name for f in wanted]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for content in batch.column("content"):
+                data = content.as_py()
+                try:
+                    text = data.decode("utf-8-sig")
+                except UnicodeDecodeError:
+                    text = data.decode("latin-1")
+                records = csv.reader(io.StringIO(text, newline=""))
+                header = [x.strip().lower() for x in next(records, [])]
+                places = [header.index(n.strip().lower()) if n.strip().lower() in header else None for n in names]
+                while rows := [r for r in itertools.islice(records, 4096)]:
+                    rows = [[x.strip() or None for x in r] for r in rows]
+                    rows = [r for r in rows if any(r)]
+                    yield pa.RecordBatch.from_arrays([pa.array([r[p] if p is not None and p < len(r) else None for r in rows], pa.string()) for p in places], [f"c{k}" for k in range(len(names))])
+
+    files = spark.read.format("binaryFile").load(path).select("content")
+    rows = map_arrow(files, run, ", ".join(f"c{k} string" for k in range(len(names))))
+    typed = [F.expr(f"try_cast(c{k} as {f.dataType.simpleString()})") for k, f in enumerate(wanted)]
+    return rows.select(*[(F.nanvl(c, F.lit(None)) if f.dataType.simpleString() in ("double", "float") else c).alias(f.name) for c, f in zip(typed, wanted, strict=True)])
 
 
 def newest(spark: SparkSession, pattern: str) -> str | None:

@@ -124,6 +124,6 @@ def test_readers_and_sinks(spark, tmp_path):
 
 
 def test_functions_for_sql(spark):
-    assert len(sql.register(spark)) == 7
+    assert len(sql.register(spark)) == 9
     r = spark.sql("select clean_text('  a —\\n b ') as a, title_label(repeat('x', 60)) as b, safe_name('a /b') as c, cosine_similarity_of(array(1D, 0D), array(1D, 1D)) as d, p_student(2D, 10D) as e").first()
     assert (r["a"], len(r["b"]), r["c"], round(r["d"], 6), round(r["e"], 6)) == ("a  b", 50, "a__b", 0.707107, 0.073388)

@@ -31,3 +31,23 @@ def test_sinks(spark, tmp_path):
     assert readers.table_or_csv(spark, str(tmp_path / "p")).count() == 4
     arc = spark.createDataFrame([([0.5, 1.5],)], "arc array<double>")
     assert sinks.wide_arcs(arc, 2).first().asDict() == {"point_0": 0.5, "point_1": 1.5}
+
+
+def test_csv_of_any_encoding(spark, tmp_path):
+    """Headers by name, quotes, line breaks within them, types with commas, and the encoding of each file."""
+    files = {
+        "quoted": b'"Name","n","price"\r\n"a, b",1,2.50\r\n"say ""hi""\nthere",2,3.005\r\n\r\n',
+        "capitals": "﻿ PRICE , NAME ,other\n1.25, café ,x\n".encode(),
+        "latin": "name;x,name,n\nzz,\xe9lan\x80,3\n".encode("latin-1"),
+        "short": b"name,n,price\nonly\n,,\nq,no number,nan\n",
+        "none": b"",
+        "header": b"name,n\n",
+    }
+    for k, v in files.items():
+        (tmp_path / f"{k}.csv").write_bytes(v)
+    got = readers.any_encoding(spark, str(tmp_path), "name string, n int, price decimal(10,2), ratio double")
+    assert got.dtypes == [("name", "string"), ("n", "int"), ("price", "decimal(10,2)"), ("ratio", "double")]
+    rows = {(r["name"], r["n"], None if r["price"] is None else str(r["price"]), r["ratio"]) for r in got.collect()}
+    assert rows == {("a, b", 1, "2.50", None), ('say "hi"\nthere', 2, "3.01", None), ("café", None, "1.25", None), ("\xe9lan\x80", 3, None, None), ("only", None, None, None), ("q", None, None, None)}
+    spread = readers.any_encoding(spark, str(tmp_path / "short.csv"), "price double, name string")
+    assert [tuple(r) for r in spread.collect()] == [(None, "only"), (None, "q")]
