@@ -6,14 +6,14 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_text, words
-from ..sources.scratch import stored
+from ..sources.scratch import spread, stored
 
 FLOOR = 1e-12
 
 
 def term_counts(docs: DataFrame) -> DataFrame:
     """doc_id, term, cnt, n (tokens of the document) of cleaned, lower-case texts."""
-    each = docs.select("doc_id", F.explode(words(F.lower(clean_text(F.col("text"))))).alias("term"))
+    each = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(words(F.lower(clean_text(F.col("text"))))).alias("term"))
     # the count is combined before it is shuffled; the total needs no second pass over tokens
     counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
     return counts.withColumn("n", F.sum("cnt").over(Window.partitionBy("doc_id")))

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions.arrays import let
 from ..functions.text import clean_text, sentences, style, words
-from ..sources.scratch import stored
+from ..sources.scratch import estimated, spread, stored
 from .ordering import quantiles, same
 
 
@@ -31,7 +31,7 @@ def token_pairs() -> Column:
 
 
 def token_rows(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", F.inline(token_pairs()))
+    return spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.inline(token_pairs()))
 
 
 def fit(baseline: DataFrame, lam: float = 0.5) -> CountModel:
@@ -42,30 +42,42 @@ def fit(baseline: DataFrame, lam: float = 0.5) -> CountModel:
     return CountModel(unigrams, pairs.where("v is not null"), totals, lam)
 
 
-def pair_nll(pairs: DataFrame, model: CountModel) -> DataFrame:
-    """v, w, nll of each distinct pair of ``pairs``: scored once, however often and wherever it stands."""
-    heads = model.unigrams.toDF("v", "cv")
-    x = pairs.select("v", "w").distinct().join(model.bigrams, ["v", "w"], "left").join(model.unigrams, "w", "left").join(heads, "v", "left").crossJoin(F.broadcast(model.totals))
+#: Bytes of the unigram table, as stored, up to which all tasks have it.
+MOST_SENT = 32 << 20
+
+
+def _looked_up(pairs: DataFrame, model: CountModel) -> DataFrame:
+    """``pairs`` with nll of w after v. The unigrams are broadcast where their stored size is within the bound."""
+    words = F.broadcast(model.unigrams) if estimated(model.unigrams) <= MOST_SENT else model.unigrams
+    heads = words.toDF("v", "cv")
+    x = pairs.join(model.bigrams, ["v", "w"], "left").join(words, "w", "left").join(heads, "v", "left").crossJoin(F.broadcast(model.totals))
     back = (F.coalesce("cw", F.lit(0)) + 1) / (F.coalesce("n", F.lit(0)) + F.col("types") + 1)
     p = model.lam * F.coalesce(F.coalesce("cvw", F.lit(0)) / F.col("cv"), F.lit(0.0)) + (1 - model.lam) * back
-    return x.select("v", "w", (-F.log(p)).alias("nll"))
+    return x.select(*pairs.columns, (-F.log(p)).alias("nll"))
+
+
+def with_nll(pairs: DataFrame, model: CountModel) -> DataFrame:
+    """``pairs`` with nll. With a small vocabulary each row looks its pair up; with a large one, whose frequent words
+    would meet in one task, each distinct pair does, however often and wherever it stands, and the rows meet those."""
+    if estimated(model.unigrams) <= MOST_SENT:
+        return _looked_up(pairs, model)
+    pairs = stored(pairs)
+    return pairs.join(_looked_up(pairs.select("v", "w").distinct(), model), ["v", "w"])
 
 
 def token_nll(docs: DataFrame, model: CountModel) -> DataFrame:
     """doc_id, pos, w, nll of every token but each text's first."""
-    rows = stored(token_rows(docs).where("v is not null"))
-    return rows.join(pair_nll(rows, model), ["v", "w"]).select("doc_id", "pos", "w", "nll")
+    return with_nll(token_rows(docs).where("v is not null"), model).select("doc_id", "pos", "w", "nll")
 
 
-def mean_nll(docs: DataFrame, model: CountModel, by: str) -> DataFrame:
+def mean_nll(docs: DataFrame, model: CountModel, *by: str) -> DataFrame:
     """by, mean_nll, n_scored over tokens: pairs are counted by group before they meet their scores."""
-    counts = stored(docs.select(by, F.inline(token_pairs())).where("v is not null").groupBy(by, "v", "w").agg(F.count("*").alias("times")))
-    x = counts.join(pair_nll(counts, model), ["v", "w"])
-    return x.groupBy(by).agg((F.sum(F.col("times") * F.col("nll")) / F.sum("times")).alias("mean_nll"), F.sum("times").alias("n_scored"))
+    counts = docs.select(*by, F.inline(token_pairs())).where("v is not null").groupBy(*by, "v", "w").agg(F.count("*").alias("times"))
+    return with_nll(counts, model).groupBy(*by).agg((F.sum(F.col("times") * F.col("nll")) / F.sum("times")).alias("mean_nll"), F.sum("times").alias("n_scored"))
 
 
 def document_nll(docs: DataFrame, model: CountModel) -> DataFrame:
-    return mean_nll(docs, model, "doc_id")
+    return mean_nll(spread(docs.select("doc_id", "text"), "doc_id"), model, "doc_id")
 
 
 def perplexity(mean_nll: Column) -> Column:
@@ -74,14 +86,14 @@ def perplexity(mean_nll: Column) -> Column:
 
 def corpus_gap(docs: DataFrame, model: CountModel, corpus: str, baseline: Column) -> DataFrame:
     """corpus, mean_nll, perplexity, gap to the baseline's perplexity. Tokens weigh alike, batches do not matter."""
-    x = mean_nll(docs, model, corpus).withColumn("ppl", perplexity(F.col("mean_nll")))
+    x = mean_nll(spread(docs.select("doc_id", corpus, "text"), "doc_id"), model, corpus).withColumn("ppl", perplexity(F.col("mean_nll")))
     base = F.max(F.when(baseline, F.col("ppl"))).over(Window.partitionBy())  # a row for each corpus
     return x.select(corpus, "mean_nll", "ppl", (F.col("ppl") - base).alias("gap"))
 
 
 def sentence_rows(docs: DataFrame) -> DataFrame:
     """doc_id, sentence_number (from 1, before any is dropped), text, and the style features."""
-    x = docs.select("doc_id", F.posexplode(sentences(clean_text(F.col("text")))).alias("pos", "sentence"))
+    x = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.posexplode(sentences(clean_text(F.col("text")))).alias("pos", "sentence"))
     x = x.select("doc_id", (F.col("pos") + 1).alias("sentence_number"), "sentence", words(F.col("sentence")).alias("tokens"))
     return x.select("doc_id", "sentence_number", "sentence", *[c.alias(n) for n, c in style(F.col("tokens")).items()])
 
@@ -89,9 +101,21 @@ def sentence_rows(docs: DataFrame) -> DataFrame:
 def sentence_scores(docs: DataFrame, model: CountModel) -> DataFrame:
     """sentence_rows with mean_nll; a sentence of one word has none."""
     rows = stored(sentence_rows(docs))
-    each = rows.select(F.struct("doc_id", "sentence_number").alias("at"), F.col("sentence").alias("text"))
-    scores = mean_nll(each, model, "at").select("at.*", "mean_nll")
-    return rows.join(scores, ["doc_id", "sentence_number"], "left")
+    scores = mean_nll(rows.select("doc_id", "sentence_number", F.col("sentence").alias("text")), model, "doc_id", "sentence_number")
+    return rows.join(scores.drop("n_scored"), ["doc_id", "sentence_number"], "left")
+
+
+def sentence_perplexity(rows: DataFrame, model: CountModel, keys: list[str], most: int | None = None) -> DataFrame:
+    """keys, perplexity of each text of ``rows``: infinite for a blank one, null for one word, else that of its words.
+
+    Of a longer text the first ``most`` words count. A value beyond the range of doubles is infinite; a null text is blank.
+    """
+    tokens = words(F.lower(clean_text(F.coalesce("text", F.lit("")))))
+    short = rows.select(*keys, (tokens if most is None else F.slice(tokens, 1, most)).alias("tokens"))
+    short = stored(short.select(*keys, F.size("tokens").alias("n"), F.array_join("tokens", " ").alias("text")))
+    scores = mean_nll(short.where("n > 1"), model, *keys)
+    x = same(short.drop("text"), scores, keys, "left")
+    return x.select(*keys, F.when(F.col("n") == 0, float("inf")).when(F.col("n") > 1, perplexity(F.col("mean_nll"))).alias("perplexity"))
 
 
 def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
@@ -103,13 +127,20 @@ def summary(rows: DataFrame, by: str, value: str) -> DataFrame:
 
 
 def top_moments(scored: DataFrame, n: int = 10) -> DataFrame:
-    """The n most surprising sentences of each document, first ones first among equals, with their neighbours."""
+    """The n most surprising sentences of each document, first ones first among equals, with their neighbours.
+
+    Places and neighbours are found over numbers alone; only the sentences that are chosen, and theirs, bring their text.
+    Values that are equal to nine places are equals.
+    """
+    scored = stored(scored.select("doc_id", "sentence_number", "sentence", "mean_nll"))
     order = Window.partitionBy("doc_id").orderBy("sentence_number")
-    best = Window.partitionBy("doc_id").orderBy(F.desc("mean_nll"), "sentence_number")
-    x = scored.withColumns({"before": F.coalesce(F.lag("sentence").over(order), F.lit("")), "after": F.coalesce(F.lead("sentence").over(order), F.lit(""))})
+    best = Window.partitionBy("doc_id").orderBy(F.desc(F.round("mean_nll", 9)), "sentence_number")
+    x = scored.select("doc_id", "sentence_number", "mean_nll").withColumns({"previous": F.lag("sentence_number").over(order), "next": F.lead("sentence_number").over(order)})
     x = x.where("mean_nll is not null").withColumn("place", F.row_number().over(best)).where(F.col("place") <= n)
+    asked = x.select("doc_id", "place", F.inline(F.array(*[F.struct(F.lit(k).alias("k"), F.col(c).alias("sentence_number")) for k, c in enumerate(("previous", "sentence_number", "next"))])))
+    texts = asked.join(scored.select("doc_id", "sentence_number", "sentence"), ["doc_id", "sentence_number"]).groupBy("doc_id", "place").agg(*[F.coalesce(F.max(F.when(F.col("k") == k, F.col("sentence"))), F.lit("")).alias(c) for k, c in enumerate(("before", "sentence", "after"))])
     context = F.concat(F.lit("..."), F.right("before", F.lit(50)), F.lit(" ["), F.left("sentence", F.lit(50)), F.lit("...] "), F.left("after", F.lit(50)), F.lit("..."))
-    return x.select("doc_id", "place", "sentence_number", "mean_nll", F.left("sentence", F.lit(100)).alias("excerpt"), context.alias("context"))
+    return x.join(texts, ["doc_id", "place"]).select("doc_id", "place", "sentence_number", "mean_nll", F.left("sentence", F.lit(100)).alias("excerpt"), context.alias("context"))
 
 
 def rolling_mean(rows: DataFrame, by: str, order: str, value: str, width: int = 50) -> DataFrame:

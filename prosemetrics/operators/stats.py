@@ -122,6 +122,20 @@ def correlations(rows: DataFrame, columns: list[str]) -> DataFrame:
     return one.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"`{a}|{b}`").alias("r")) for a, b in pairs])))
 
 
+def correlation_tests(rows: DataFrame, pairs: list[tuple[str, str]]) -> DataFrame:
+    """a, b, n, r, t, p of each pair: Pearson's r over rows that have both values, and its two-sided p.
+
+    Under three rows, or without variance, there is no test; values on a line have p = 0 and no finite t.
+    """
+    both = [F.col(a).isNotNull() & F.col(b).isNotNull() for a, b in pairs]
+    each = rows.agg(*[x.alias(f"{name}{k}") for k, ((a, b), own) in enumerate(zip(pairs, both, strict=True)) for name, x in (("r", F.corr(a, b)), ("n", F.count_if(own)))])
+    x = each.select(F.inline(F.array(*[F.struct(F.lit(a).alias("a"), F.lit(b).alias("b"), F.col(f"n{k}").alias("n"), F.nanvl(f"r{k}", F.lit(None)).alias("r")) for k, (a, b) in enumerate(pairs)])))
+    r = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), F.col("r")))
+    t = F.when(F.col("n") > 2, r * F.sqrt(F.try_divide(F.col("n") - 2, 1 - r * r)))
+    x = x.withColumn("t", t)
+    return x.withColumn("p", F.when((F.col("n") > 2) & (F.abs("r") >= 1), 0.0).otherwise(p_student("t", (F.col("n") - 2).cast("double"))))
+
+
 def iqr_repair(rows: DataFrame, columns: list[str], fence: float = 6.0, divisor: float = 1000.0) -> DataFrame:
     """Values beyond ``fence`` interquartile ranges of the quartiles lost a decimal point: they are divided."""
     ends = {r["feature"]: r["q"] for r in quantiles(rows, [], columns, [0.25, 0.75]).collect()}  # a row for each column

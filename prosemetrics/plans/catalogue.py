@@ -63,6 +63,22 @@ ug as (select w, count(*) as cw from base group by 1), bg as (select v, w, count
 tot as (select sum(cw) as n, count(*) as types from ug)"""
 _NLL = "-ln(0.5 * coalesce(coalesce(cvw, 0) / h.cw::double, 0.0) + 0.5 * (coalesce(ug.cw, 0) + 1) / (n + types + 1)::double)"
 _SCORED = f"{_MODEL}, nll as (select pr.doc_id, pos, pr.w, {_NLL} as nll from pr left join bg on bg.v = pr.v and bg.w = pr.w left join ug on ug.w = pr.w left join ug h on h.w = pr.v, tot where pr.v is not null)"
+_SENTENCE_NLL = f"""{_MODEL}, {_SENTENCES}, stk as (select doc_id, sentence_number, unnest(ws) as w, unnest(range(len(ws))) as pos from (select doc_id, sentence_number, {_WORDS.format('lower(sentence)')} as ws from sen)),
+spr as (select *, lag(w) over (partition by doc_id, sentence_number order by pos) as v from stk),
+sn as (select doc_id, sentence_number, avg({_NLL}) as mean_nll from spr left join bg on bg.v = spr.v and bg.w = spr.w left join ug on ug.w = spr.w left join ug h on h.w = spr.v, tot where spr.v is not null group by 1, 2),
+ss as (select sen.*, mean_nll from sen left join sn using (doc_id, sentence_number))"""
+_SIMPSON = "list_sum(list_transform(range(0, 2001), lambda i: (case when i in (0, 2000) then 1 when i % 2 = 1 then 4 else 2 end) * {0}))"
+
+
+def _p_student(t: str, df: str) -> str:
+    """The two-sided p of t, by Simpson's rule over the density."""
+    return f"greatest(0.0, 1 - abs({t}) / 3000 * exp(lgamma(({df} + 1) / 2) - lgamma({df} / 2)) / sqrt({df} * pi()) * {_SIMPSON.format(f'pow(1 + pow({t} * i / 2000, 2) / {df}, -({df} + 1) / 2)')})"
+
+
+def _p_normal(z: str) -> str:
+    return f"greatest(0.0, 1 - abs({z}) / 3000 / sqrt(2 * pi()) * {_SIMPSON.format(f'exp(-pow({z} * i / 2000, 2) / 2)')})"
+
+
 _DOT = "list_sum(list_transform(range(1, len({0}) + 1), lambda i: {0}[i] * {1}[i]))"
 _ARCS = f"""e as (select label, vec_id, cast(embedding as double[]) as v from embeddings),
 cp as (select i, avg(v[i]) as m from e, range(1, 65) t(i) group by 1), ce as (select list(m order by i) as c from cp),
@@ -141,7 +157,13 @@ def char_prefix(spark, d):
     return _docs(spark, d).select("doc_id", F.when(F.length("text") > 200, F.left("text", F.lit(200))).otherwise(F.col("text")).alias("prefix"))
 
 
-@query()
+@query(f"""with recursive {_SENTENCES}, se as (select doc_id, sentence_number as i, {_WORDS.format('sentence')} as ws from sen),
+go as (select doc_id, 0 as i, 0::bigint as open, 0::bigint as chunk, 0::bigint as first from (select distinct doc_id from se) union all
+ select se.doc_id, se.i, case when go.open + len(ws) <= 200 then go.open + len(ws) when len(ws) > 200 then 0 else len(ws) end,
+ case when go.open + len(ws) <= 200 then go.chunk when len(ws) > 200 then go.chunk + (go.open > 0)::int + (len(ws) + 199) // 200 else go.chunk + (go.open > 0)::int end,
+ case when go.open + len(ws) <= 200 then go.chunk else go.chunk + (go.open > 0)::int end from go join se on se.doc_id = go.doc_id and se.i = go.i + 1),
+wd as (select go.doc_id, go.i, first, unnest(ws) as w, unnest(range(len(ws))) as k from go join se using (doc_id, i)),
+ch as (select doc_id, cast(first + k // 200 as bigint) as chunk, string_agg(w, ' ' order by i, k) as text, count(*) as words from wd group by 1, 2) select * from ch""")
 def chunk_greedy(spark, d):
     x = _docs(spark, d).select("doc_id", F.posexplode(T.chunk_texts(T.sentences(T.clean_text(F.col("text"))), 200)).alias("chunk", "text"))
     return x.select("doc_id", F.col("chunk").cast("long").alias("chunk"), "text", F.size(T.words(F.col("text"))).cast("long").alias("words"))
@@ -199,17 +221,17 @@ def _scored(spark: SparkSession, d: str) -> DataFrame:
     return lm.sentence_scores(_docs(spark, d), _model(spark, d))
 
 
-@query()
+@query(f"with {_SENTENCE_NLL} select doc_id, sentence_number, round(mean_nll, 6) as mean_nll from ss")
 def lm_sentence_nll(spark, d):
     return _scored(spark, d).select("doc_id", "sentence_number", "mean_nll")
 
 
-@query()
+@query(f"with {_SENTENCE_NLL} select lang, round(avg(mean_nll), 6) as mean, round(quantile_cont(mean_nll, 0.5), 6) as median, round(stddev_samp(mean_nll), 6) as std_dev, round(quantile_cont(mean_nll, 0.95), 6) as pct_95, round(max(mean_nll), 6) as max from ss join documents using (doc_id) group by 1")
 def ppl_summary(spark, d):
     return lm.summary(_scored(spark, d).join(_docs(spark, d).select("doc_id", "lang"), "doc_id"), "lang", "mean_nll")
 
 
-@query()
+@query(f"with {_SENTENCE_NLL}, ne as (select *, coalesce(lag(sentence) over o, '') as before, coalesce(lead(sentence) over o, '') as after from ss window o as (partition by doc_id order by sentence_number)), pl as (select *, row_number() over (partition by doc_id order by round(mean_nll, 9) desc, sentence_number) as place from ne where mean_nll is not null) select doc_id, cast(place as integer) as place, sentence_number, round(mean_nll, 6) as mean_nll, sentence[1:100] as excerpt, '...' || right(before, 50) || ' [' || sentence[1:50] || '...] ' || after[1:50] || '...' as context from pl where place <= 10")
 def top_moments_context(spark, d):
     return lm.top_moments(_scored(spark, d))
 
@@ -220,17 +242,40 @@ def rolling_mean(spark, d):
     return lm.rolling_mean(x, "doc_id", "sentence_number", "size").select("doc_id", "sentence_number", "rolling")
 
 
+_TURN_WORDS = f"tw as (select conv_id, turn, ({_WORDS.format(f'lower({_CLEAN})')})[1:128] as ws from (select conv_id, turn, coalesce(text, '') as text from conversations))"
+
+
+@query(f"with {_MODEL}, {_TURN_WORDS}, tk as (select conv_id, turn, unnest(ws) as w, unnest(range(len(ws))) as pos from tw), tp as (select *, lag(w) over (partition by conv_id, turn order by pos) as v from tk), tn as (select conv_id, turn, avg({_NLL}) as m from tp left join bg on bg.v = tp.v and bg.w = tp.w left join ug on ug.w = tp.w left join ug h on h.w = tp.v, tot where tp.v is not null group by 1, 2) select tw.conv_id, tw.turn, case when len(ws) = 0 then 'infinity'::double when len(ws) > 1 then round(exp(m), 3) end as perplexity from tw left join tn using (conv_id, turn)", places=3)
+def sentence_perplexity(spark, d):
+    """Turns of conversations under the model: infinite for blank ones, null for one word, the first 128 words otherwise."""
+    rows = read(spark, d, "conversations").select("conv_id", "turn", "text")
+    return lm.sentence_perplexity(rows, _model(spark, d), ["conv_id", "turn"], 128)
+
+
 @query(f"with {_SENTENCES}, mk as (select unnest(['the', 'license', 'er', '2.0']) as marker) select s.doc_id, mk.marker, min(case when contains(lower(sentence), mk.marker) then sentence_number end) as sentence_number from sen s, mk group by 1, 2")
 def milestones_marker(spark, d):
     return lm.milestones(lm.sentence_rows(_docs(spark, d)), ["the", "license", "er", "2.0"]).select("doc_id", "marker", "sentence_number")
 
 
-@query()
+SHARES = (25, 50, 100)
+
+
+def _share_sql(k: int, share: int) -> str:
+    """The model of a share of the baseline, and each corpus under it, for step k."""
+    nll = _NLL.replace("ug.", f"ug{k}.").replace("n + types", f"tot{k}.n + tot{k}.types")
+    return f"""base{k} as (select pr.* from pr join documents d using (doc_id) where d.lang = 'en' and ('0x' || md5(cast(doc_id as varchar))[1:8])::bigint % 100 < {share}),
+ug{k} as (select w, count(*) as cw from base{k} group by 1), bg{k} as (select v, w, count(*) as cvw from base{k} where v is not null group by 1, 2), tot{k} as (select sum(cw) as n, count(*) as types from ug{k}),
+c{k} as (select lang, avg({nll}) as mean_nll from pr left join bg{k} on bg{k}.v = pr.v and bg{k}.w = pr.w left join ug{k} on ug{k}.w = pr.w left join ug{k} h on h.w = pr.v join documents d using (doc_id), tot{k} where pr.v is not null group by 1),
+s{k} as (select {k} as step, lang, round(mean_nll, 6) as mean_nll, round(exp(mean_nll), 2) as ppl, round(exp(mean_nll) - (select exp(mean_nll) from c{k} where lang = 'en'), 2) as gap from c{k})"""
+
+
+@query(f"with {_TOKENS}, pr as (select doc_id, pos, w, lag(w) over (partition by doc_id order by pos) as v from tok), {', '.join(_share_sql(k, share) for k, share in enumerate(SHARES))} {' union all '.join(f'select * from s{k}' for k in range(len(SHARES)))}")
 def adaptation_curve(spark, d):
     """The gap as the model learns from growing parts of the baseline: hashes choose them."""
     docs, out = _docs(spark, d), None
-    for step, share in enumerate((25, 50, 100)):
-        model = lm.fit(docs.where((F.col("lang") == "en") & (F.pmod(F.xxhash64("doc_id"), F.lit(100)) < share)))
+    place = F.conv(F.substring(F.md5(F.col("doc_id").cast("string")), 1, 8), 16, 10).cast("long") % 100
+    for step, share in enumerate(SHARES):
+        model = lm.fit(docs.where((F.col("lang") == "en") & (place < share)))
         one = lm.corpus_gap(docs, model, "lang", F.col("lang") == "en").withColumn("step", F.lit(step))
         out = one if out is None else out.unionByName(one)
     return out.select("step", "lang", "mean_nll", F.round("ppl", 2).alias("ppl"), F.round("gap", 2).alias("gap"))
@@ -364,7 +409,14 @@ def auc_rank(spark, d):
     return stats.rank_statistics(stats.melt(_labelled(spark, d), "y", FEATURES))
 
 
-@query()
+@query(f"""with {_LONG}, g as (select feature, x, count(*) as c, sum(y) as p from lo group by 1, 2), r as (select *, sum(c) over (partition by feature order by x) - c + (c + 1) / 2.0 as mr from g),
+s as (select feature, sum(p * mr)::double as r1, sum(p)::double as a, sum(c)::double as n, sum(c::double * c * c - c) as ties from r group by 1), u as (select feature, r1 - a * (a + 1) / 2 as u1, a * (n - a) as pairs, n, ties from s),
+k as (select feature, u1, u1 / pairs as auc, greatest(abs(u1 - pairs / 2) - 0.5, 0.0) / sqrt(pairs / 12 * ((n + 1) - ties / (n * (n - 1)))) as z from u),
+o as (select feature, count(*) filter (y = 1) as n1, count(*) filter (y = 0) as n0, avg(x) filter (y = 1) as m1, avg(x) filter (y = 0) as m0, var_samp(x) filter (y = 1) as v1, var_samp(x) filter (y = 0) as v0 from lo group by 1),
+q as (select *, (m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)) as d, (m1 - m0) / sqrt(v1 / n1 + v0 / n0) as t, pow(v1 / n1 + v0 / n0, 2) / (pow(v1 / n1, 2) / (n1 - 1) + pow(v0 / n0, 2) / (n0 - 1)) as df from o join k using (feature)),
+w as (select *, {_p_student('t', 'df')} as p_welch, {_p_normal('z')} as p_mw from q), h as (select *, p_mw * count(*) over () / row_number() over (order by p_mw, feature) as sc, row_number() over (order by p_mw, feature) as rn from w),
+b as (select *, least(1.0, min(sc) over (order by rn rows between current row and unbounded following)) as p_bh from h)
+select 'all' as layer, feature, n1, n0, case when d > 0 then 'one' else 'zero' end as direction, {', '.join(f'round({c}, 6) as {c}' for c in ('m1', 'm0', 'v1', 'v0', 'd', 't', 'df', 'u1', 'auc', 'z', 'p_welch', 'p_mw', 'p_bh'))}, round(greatest(auc, 1 - auc), 6) as auc_abs from b""")
 def univariate_battery(spark, d):
     return stats.univariate(_labelled(spark, d), "y", FEATURES)
 
@@ -480,12 +532,28 @@ def prestige_test(spark, d):
 _INDICES = f"{_CATEGORY}, r as (select doc_id, {', '.join(f'{k} * 1000.0::double / nullif(tokens, 0) as {k}_n' for k in relational.CATEGORIES)} from ct), ix as (select doc_id, ({_z('article_n', 'r')} + {_z('preposition_n', 'r')}) / 2 as embodied, ({_z('pronoun_n', 'r')} + {_z('verb_n', 'r')}) / 2 as abstract from r), iy as (select ix.*, embodied - abstract as poetic, q as y from ix join (select doc_id, max(quality) as q from labels group by 1) l using (doc_id)), il as (select 'embodied' as feature, embodied as x, y from iy union all select 'abstract', abstract, y from iy union all select 'poetic', poetic, y from iy)"
 
 
-@query(f"with {_INDICES}, {_RANKED.format('(select * from il where x is not null)')} select feature, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d from mo join au using (feature)")
+@query(f"with {_INDICES}, ir as (select feature, round(x, 9) as x, y from il where x is not null), {_RANKED.format('ir')} select feature, round(m1, 6) as m1, round(m0, 6) as m0, round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) as d, round((m1 - m0) / sqrt(v1 / n1 + v0 / n0), 6) as t, round(auc, 6) as auc from mo join au using (feature)")
 def index_summary(spark, d):
+    """Indices at nine places, so that equal ones rank alike whatever the order of their sums."""
     x = relational.per_thousand(relational.category_counts(_docs(spark, d)), list(relational.CATEGORIES), "tokens")
     x = relational.composite(relational.composite(x, "embodied", ["article_n", "preposition_n"]), "abstract", ["pronoun_n", "verb_n"])
     x = x.withColumn("poetic", F.col("embodied") - F.col("abstract")).join(read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y")), "doc_id")
-    return stats.two_groups(x, "y", ["embodied", "abstract", "poetic"]).select("feature", "d")  # their ranks hang on the last bit of z-scores
+    names = ["embodied", "abstract", "poetic"]
+    return stats.two_groups(x.withColumns({n: F.round(n, 9) for n in names}), "y", names)
+
+
+_R = [("word_count", "n_chars"), ("ttr", "n_chars"), ("avg_word_length", "ttr")]
+
+
+@query(f"with {_STYLE}, r as (select * from ({' union all '.join(f'select {a!r} as a, {b!r} as b, corr({a}, {b}) as r, count(*) as n from st join documents using (doc_id)' for a, b in _R)})), t as (select *, r * sqrt((n - 2) / (1 - r * r)) as t from r) select a, b, n, round(r, 6) as r, round(t, 6) as t, round({_p_student('t', '(n - 2)')}, 6) as p from t")
+def correlation_tests(spark, d):
+    return stats.correlation_tests(_style(spark, d).join(_docs(spark, d).select("doc_id", "n_chars"), "doc_id"), _R)
+
+
+@query("with v as (select lang, log10(n_chars) as v from documents where n_chars is not null), e as (select lang, min(v) as lo, max(v) as hi, count(*) as n, stddev_samp(v) * pow(count(*), -0.2) as h from v group by 1 having min(v) < max(v)), c as (select v.lang, lo, hi, n, h, least(511, floor((v - lo) / ((hi - lo) / 512))) as bin, count(*) as c from v join e on v.lang is not distinct from e.lang group by all), g as (select *, unnest(range(0, 200)) as k from c) select lang, cast(k as integer) as point, round(lo + k * (hi - lo) / 199, 6) as x, round(sum(c * exp(-0.5 * pow((lo + k * (hi - lo) / 199 - (lo + (bin + 0.5) * ((hi - lo) / 512))) / h, 2)) / (n * h * sqrt(2 * pi()))), 6) as density from g group by lang, k, lo, hi")
+def density_curves(spark, d):
+    """The densities of the documents' lengths by language, on a logarithmic scale."""
+    return figures.density(_docs(spark, d), "lang", "n_chars", log=True)
 
 
 @query("select * from (values ('Document', 'gap', 'distance from the baseline'), ('Sentence', 'top moments', 'most surprising sentences'), ('Token', 'surprisal', 'most surprising words')) t(level, finding, reading)")
@@ -571,7 +639,7 @@ def silhouette(spark, d):
     return arcs.silhouette(_clusters(spark, d), "book")
 
 
-@query()
+@query(f"with {_CLUSTERS}, {_MEANS}, z as (select cluster, book, list_transform(arc, lambda v: v - list_sum(arc) / 100) as a from cl), zm as (select cluster, list_transform(mean, lambda v: v - list_sum(mean) / 100) as a from mn), zz as (select cluster, book, list_transform(a, lambda v: v / (sqrt(list_sum(list_transform(a, lambda u: u * u)) / 100) + 1e-8)) as a from z), zn as (select cluster, list_transform(a, lambda v: v / (sqrt(list_sum(list_transform(a, lambda u: u * u)) / 100) + 1e-8)) as m from zm), r as (select cluster, book, {_DIST.format('a', 'm')} as dist from zz join zn using (cluster)), p as (select *, row_number() over (partition by cluster order by dist, book) as place from r) select cluster, book, round(dist, 6) as dist, cast(place as integer) as place from p where place <= 3")
 def representatives(spark, d):
     return arcs.representatives(_clusters(spark, d), "book")
 

@@ -41,3 +41,21 @@ def _delete(spark, path: str) -> None:
         place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
     except Exception:  # the session has ended; the folder then stays for the cluster's own cleaning
         return
+
+
+#: Bytes for each core below which a table counts as small.
+SMALL = 32 << 20
+
+
+def estimated(rows: DataFrame) -> int:
+    """Bytes of ``rows`` as Spark's optimizer estimates them; no job is run."""
+    return int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """``rows`` dealt out by their keys over all cores if they are few bytes, which may lie in a single row group.
+
+    A large table has row groups for all cores; its rows stay where they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    return rows.repartition(cores, *keys) if estimated(rows) < cores * SMALL else rows
