@@ -113,10 +113,11 @@ def ablation(rows: DataFrame, key: str, label: str, blocks: dict[str, list[str]]
     return cv_summary(block_scores(rows, key, label, blocks, k), ["block"]).withColumn("features", sizes[F.col("block")])
 
 
-def axis(rows: DataFrame, key: str, label: str, features: list[str]) -> list[float]:
-    """The coefficients of a model of all rows with the label, over standardised features."""
-    table = fitting.design(rows, key, [label], features)
-    return fitting.fit(table, [fitting.Spec("axis", tuple(range(len(features))))])["axis"].beta[1:].tolist()
+def axes(rows: DataFrame, key: str, labels: list[str], features: list[str]) -> list[list[float]]:
+    """For each label the coefficients, over standardised features, of a model of all rows that have it."""
+    table, every = fitting.design(rows, key, labels, features), tuple(range(len(features)))
+    fitted = fitting.fit(table, [fitting.Spec(f"{k}", every, fitting.Draw(k)) for k in range(len(labels))])
+    return [fitted[f"{k}"].beta[1:].tolist() for k in range(len(labels))]
 
 
 def angle(a: list[float], b: list[float]) -> tuple[float, float]:
@@ -159,4 +160,4 @@ def principal(rows: DataFrame, key: str, features: list[str], k: int = 5) -> tup
     return scores, list(model.explainedVariance), [list(v * s) for v, s in zip(loadings, signs, strict=True)]
 
 
-__all__ = ["ablation", "angle", "axis", "block_scores", "bootstrap_angles", "cv_summary", "folds", "load", "loadings", "melt", "mixed_scores", "out_of_fold", "principal", "save", "with_interval"]
+__all__ = ["ablation", "angle", "axes", "block_scores", "bootstrap_angles", "cv_summary", "folds", "load", "loadings", "melt", "mixed_scores", "out_of_fold", "principal", "save", "with_interval"]

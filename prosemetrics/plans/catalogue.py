@@ -660,11 +660,53 @@ def ward_merges(spark, d):
 
 
 # Models
-@query()
+def _newton_sql(n: int, steps: int = 18) -> str:
+    """Ridge logistic models by Newton's method, each step a table: from tr(m, y, z0 .. zn, with z0 = 1) to fit(m, a0 .. an).
+
+    A step solves its system by the factors L D L' of the Hessian.
+    """
+    at, pairs = range(n + 1), [(i, j) for i in range(n + 1) for j in range(i, n + 1)]
+    out = ["b0 as materialized (select distinct m, " + ", ".join(f"0.0::double as a{i}" for i in at) + " from tr)"]
+    score = " + ".join(f"a{i} * z{i}" for i in at)
+    solve = []
+    for j in at:
+        solve.append(f"h{j}{j}" + "".join(f" - l{j}{k} * l{j}{k} * d{k}" for k in range(j)) + f" as d{j}")
+        solve += [f"(h{j}{i}" + "".join(f" - l{i}{k} * l{j}{k} * d{k}" for k in range(j)) + f") / d{j} as l{i}{j}" for i in range(j + 1, n + 1)]
+    solve += [f"g{i}" + "".join(f" - l{i}{k} * u{k}" for k in range(i)) + f" as u{i}" for i in at]
+    solve += [f"u{i} / d{i}" + "".join(f" - l{k}{i} * s{k}" for k in range(i + 1, n + 1)) + f" as s{i}" for i in reversed(at)]
+    for k in range(steps):
+        sums = [f"sum((p - y) * z{i}) + {int(i > 0)} * any_value(a{i}) as g{i}" for i in at] + [f"sum(p * (1 - p) * z{i} * z{j}) + {int(i == j > 0)} as h{i}{j}" for i, j in pairs]
+        out.append(f"g{k} as (select m, {', '.join(f'any_value(a{i}) as a{i}' for i in at)}, {', '.join(sums)} from (select *, 1 / (1 + exp(-({score}))) as p from tr join b{k} using (m)) group by m)")
+        out.append(f"b{k + 1} as materialized (select m, {', '.join(f'a{i} - s{i} as a{i}' for i in at)} from (select *, {', '.join(solve)} from g{k}))")
+    return ", ".join(out) + f", fit as (select * from b{steps})"
+
+
+def _fold_sql(features: list[str], full: bool = False) -> str:
+    """all_(doc_id, y, fold, features), the standardised training rows of each fold's model, and its fit; model -1 sees all."""
+    n = len(features)
+    models_ = f"range({-1 if full else 0}, 10)"
+    moments = ", ".join(f"avg({f}) as c{i}, stddev_pop({f}) as e{i}" for i, f in enumerate(features, 1))
+    z = ", ".join(f"({f} - c{i}) / case when e{i} > 0 then e{i} else 1 end as z{i}" for i, f in enumerate(features, 1))
+    return f"""{_STYLE}, lc as (select doc_id, max(quality) as y from labels group by 1),
+fo as (select doc_id, y, (row_number() over (partition by y order by md5(cast(doc_id as varchar) || '|42'), doc_id) - 1) % 10 as fold from lc join st using (doc_id) where y in (0, 1)),
+all_ as (select st.*, y, coalesce(fold, -1) as fold from st left join fo using (doc_id)), own as (select m, all_.* from all_ , {models_} t(m) where fold >= 0 and (m = -1 or fold <> m)),
+sc as (select m, {moments} from own group by 1), tr as materialized (select m, y::double as y, 1.0::double as z0, {z} from own join sc using (m)), {_newton_sql(n)},
+ev as (select all_.doc_id, all_.y, all_.fold, a0 + {' + '.join(f'a{i} * z{i}' for i in range(1, n + 1))} as score from (select all_.*, m, {z} from all_ join sc on m = fold) all_ join fit using (m))"""
+
+
+@query(f"with {_fold_sql(FEATURES)} select doc_id, y::double as y, cast(fold as integer) as fold, round(score, 6) as score, round(1 / (1 + exp(-score)), 6) as probability from ev")
 def oof_scores(spark, d):
     return models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10)
 
 
+@query(f"""with {_fold_sql(FEATURES)}, pb as (select fold, y, 1 / (1 + exp(-score)) as p from ev), g as (select fold, p, count(*) as c, sum(y) as a from pb group by 1, 2),
+r as (select *, sum(c) over (partition by fold order by p) - c + (c + 1) / 2.0 as mr from g), u as (select fold, ((sum(a * mr) - sum(a) * (sum(a) + 1) / 2.0) / (sum(a) * (sum(c) - sum(a))))::double as auc from r group by 1),
+ac as (select fold, avg(((p >= 0.5)::int = y)::int) as acc from pb group by 1) select 'style' as block, 3::int as features, round(avg(auc), 6) as auc_mean, round(stddev_pop(auc), 6) as auc_sd, round(avg(acc), 6) as acc_mean, round(stddev_pop(acc), 6) as acc_sd from u join ac using (fold)""")
+def cv_style(spark, d):
+    """Ten folds of one block."""
+    return models.ablation(_labelled(spark, d), "doc_id", "y", {"style": FEATURES}, k=10)
+
+
 #: Ten blocks of features: single ones, layers, and their unions.
 BLOCKS = {
     "A. length": ["word_count"], "B. style": FEATURES, "C. types": ["types_used_rate", "hapax_rate", "rare_tail_share"], "D. surface": ["n_chars", *FEATURES],
@@ -691,7 +733,7 @@ def forest_ceiling(spark, d):
     return models.cv_summary(models.out_of_fold(_labelled(spark, d), "doc_id", "y", FEATURES, k=10, forest=500))
 
 
-@query()
+@query(f"with {_fold_sql(FEATURES, True)} select doc_id, round(score, 6) as score, case when fold >= 0 then 'out of fold' else 'full fit' end as source from ev")
 def mixed_scores(spark, d):
     """Out of fold within the labelled rows, by the model of all of these elsewhere."""
     own = read(spark, d, "labels").groupBy("doc_id").agg(F.max("quality").alias("y"))
@@ -710,10 +752,22 @@ def pca_components(spark, d):
     return models.principal(x, "doc_id", ["n_chars", *FEATURES, *_SIX])[0]
 
 
+_AXES = ["avg_word_length", "ttr"]
+
+
+@query(f"""with {_LABELLED}, lx as (select 0 as m, y, avg_word_length as f1, ttr as f2 from lb where y in (0, 1) union all select 1, (word_count > 200)::int, avg_word_length, ttr from lb),
+sc as (select m, avg(f1) as c1, stddev_pop(f1) as e1, avg(f2) as c2, stddev_pop(f2) as e2 from lx group by 1), tr as materialized (select m, y::double as y, 1.0::double as z0, (f1 - c1) / e1 as z1, (f2 - c2) / e2 as z2 from lx join sc using (m)), {_newton_sql(2)},
+co as (select (a.a1 * b.a1 + a.a2 * b.a2) / sqrt((a.a1 * a.a1 + a.a2 * a.a2) * (b.a1 * b.a1 + b.a2 * b.a2)) as c from fit a, fit b where a.m = 0 and b.m = 1) select round(c, 6) as cosine, round(degrees(acos(c)), 6) as degrees from co""")
+def axis_angle(spark, d):
+    """The angle between the axis of quality and that of length."""
+    x = _labelled(spark, d).withColumn("long", (F.col("word_count") > 200).cast("int"))
+    return spark.createDataFrame([models.angle(*models.axes(x, "doc_id", ["y", "long"], _AXES))], "cosine double, degrees double")
+
+
 @query()
 def axis_bootstrap(spark, d):
     x = _labelled(spark, d).withColumn("long", (F.col("word_count") > 200).cast("int"))
-    return models.with_interval(models.bootstrap_angles(x, "doc_id", "y", "long", ["avg_word_length", "ttr"], rounds=200))
+    return models.with_interval(models.bootstrap_angles(x, "doc_id", "y", "long", _AXES, rounds=200))
 
 
 @query("with o as (select doc_id, y, row_number() over (partition by y order by md5(cast(doc_id as varchar) || '|42'), doc_id) as r from (select doc_id, max(quality) as y from labels group by 1)) select doc_id, y, cast((r - 1) % 10 as integer) as fold from o")
