@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import keynorm
-from .relational import composite, master, per_thousand
+from .relational import composite, labelled, master, per_thousand
 from .stats import iqr_repair
 
 # Columns of the metadata and category tables, and labels of genres.
@@ -27,8 +27,7 @@ def metadata(rows: DataFrame) -> DataFrame:
         rows = rows.withColumn(c, F.nanvl(F.expr(f"try_cast(`{c}` as double)"), F.lit(None)))
     rows = rows.withColumns({"Category": F.trim("Category"), "Genre": F.trim("Genre")})
     rows = iqr_repair(rows, ARTIFACTS).withColumn("is_fic", (F.col("Category") == "FIC").cast("int"))
-    labels = F.create_map(*[F.lit(x) for pair in GENRES.items() for x in pair])
-    return keyed(rows.withColumn("genre_label", labels[F.col("Genre")]), "ID")
+    return keyed(labelled(rows, "Genre", GENRES, "genre_label"), "ID")
 
 
 def category_rates(counts: DataFrame, meta: DataFrame, name: str = "file_name") -> DataFrame:

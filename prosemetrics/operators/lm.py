@@ -7,7 +7,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.arrays import let
@@ -42,6 +42,19 @@ def fit(baseline: DataFrame, lam: float = 0.5) -> CountModel:
     return CountModel(unigrams, pairs.where("v is not null"), totals, lam)
 
 
+def save(model: CountModel, path: str) -> None:
+    """The model's two tables of counts and its weight, in place of what is there."""
+    model.unigrams.write.mode("overwrite").parquet(f"{path}/unigrams")
+    model.bigrams.write.mode("overwrite").parquet(f"{path}/bigrams")
+    model.unigrams.sparkSession.createDataFrame([(model.lam,)], "lam double").write.mode("overwrite").json(f"{path}/settings")
+
+
+def load(spark: SparkSession, path: str) -> CountModel:
+    unigrams = spark.read.parquet(f"{path}/unigrams")
+    totals = unigrams.agg(F.sum("cw").alias("n"), F.count("*").alias("types"))
+    return CountModel(unigrams, spark.read.parquet(f"{path}/bigrams"), totals, spark.read.schema("lam double").json(f"{path}/settings").first()["lam"])
+
+
 #: Bytes of the unigram table, as stored, up to which all tasks have it.
 MOST_SENT = 32 << 20
 

@@ -20,6 +20,18 @@ def finite(rows: DataFrame, columns: list[str]) -> DataFrame:
     return rows
 
 
+def without_infinity(rows: DataFrame, columns: list[str]) -> DataFrame:
+    """Infinite values and NaN become null."""
+    return rows.withColumns({c: F.when(F.abs(c) < float("inf"), F.col(c)) for c in columns})
+
+
+def labelled(rows: DataFrame, column: str, labels: dict[str, str], name: str, other: str | None = None) -> DataFrame:
+    """``rows`` with the label of a code; a code without one is null, or ``other`` and the code."""
+    names = F.create_map(*[F.lit(x) for pair in labels.items() for x in pair]) if labels else F.create_map().cast("map<string,string>")
+    found = names[F.col(column).cast("string")]
+    return rows.withColumn(name, found if other is None else F.coalesce(found, F.concat(F.lit(f"{other} "), F.col(column).cast("string"))))
+
+
 def keep_first(rows: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     return rows.withColumn("place", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where("place = 1").drop("place")
 

@@ -13,8 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import total as _total
-from ..operators import arcs, figures, lexical, lm, models, relational, stats
-from ..sources import scratch
+from ..operators import arcs, feature_tables, figures, lexical, lm, models, relational, stats
+from ..sources import readers, scratch, sinks
 from ..streaming import incremental
 from ..streaming.arc_table import ArcTable
 
@@ -659,6 +659,104 @@ def ward_merges(spark, d):
     return arcs.ward_merges(_arcs(spark, d), "label")
 
 
+# Tables written and read again
+_PLAIN = "select doc_id, lang, source, n_chars from documents"
+
+
+def _plain(spark: SparkSession, d: str) -> DataFrame:
+    return _docs(spark, d).select("doc_id", "lang", "source", "n_chars")
+
+
+@query(_PLAIN)
+def csv_table(spark, d):
+    """As CSV in UTF-8, with blanks about names and values that the reader trims."""
+    path = scratch.folder(spark, "csv")
+    sinks.csv(_plain(spark, d).select(F.col("doc_id").alias(" doc_id"), F.concat(F.lit(" "), "lang", F.lit("  ")).alias("lang "), "source", "n_chars"), path)
+    return readers.delimited(spark, path, "` doc_id` long, `lang ` string, source string, n_chars long")
+
+
+@query("select doc_id, source || ' é' as source from documents")
+def csv_windows(spark, d):
+    """Windows-1252, whose letters up to é are those of Latin-1, which Spark writes."""
+    path = scratch.folder(spark, "csv")
+    sinks.csv(_docs(spark, d).select("doc_id", F.concat("source", F.lit(" é")).alias("source")), path, encoding="ISO-8859-1")
+    return readers.delimited(spark, f"{path}/*.csv", "doc_id long, source string", "cp1252")
+
+
+@query("select item_id, text, text || ' é' as accented from benchmark")
+def csv_any_encoding(spark, d):
+    """Quotes and line breaks within fields; half of the files are Latin-1; columns in another order."""
+    path, x = scratch.folder(spark, "csv"), read(spark, d, "benchmark").select(F.concat("text", F.lit(" é")).alias("ACCENTED"), "text", "item_id")
+    for k, encoding in enumerate(("UTF-8", "ISO-8859-1")):
+        sinks.csv(x.where(F.col("item_id") % 2 == k), f"{path}/{k}", encoding=encoding)
+    return readers.any_encoding(spark, f"{path}/*/*.csv", "item_id long, text string, accented string")
+
+
+@query(_PLAIN)
+def json_lines(spark, d):
+    path = scratch.folder(spark, "json")
+    sinks.json(_plain(spark, d), path)
+    return readers.side_car(spark, path, lines=True).select("doc_id", "lang", "source", "n_chars")
+
+
+@query("select item_id, regexp_replace(trim(regexp_replace(text, '\\s+', ' ', 'g')), '[^\x00-\x7F]', '', 'g') as text from benchmark")
+def text_folder(spark, d):
+    """Each text a file of its own, found by name and cleaned."""
+    path = scratch.folder(spark, "texts")
+    sinks.named_texts(read(spark, d, "benchmark").select(F.col("item_id").alias("name"), "text"), path)
+    return readers.texts(spark, path).select(F.col("name").cast("long").alias("item_id"), "text")
+
+
+@query(f"{_PLAIN} where doc_id % 2 = 1")
+def newest_result(spark, d):
+    """Of two dated tables the later one, as Parquet is missing, from CSV."""
+    path, x = scratch.folder(spark, "results"), _plain(spark, d)
+    for k, day in enumerate(("2024-01-31", "2024-02-01")):
+        sinks.csv(x.where(F.col("doc_id") % 2 == k), f"{path}/scores_{day}.csv")
+    found = readers.newest(spark, f"{path}/scores_*.csv").removesuffix(".csv")
+    return readers.table_or_csv(spark, f"{found}.parquet").select(F.col("doc_id").cast("long").alias("doc_id"), "lang", "source", F.col("n_chars").cast("long").alias("n_chars"))
+
+
+@query(_PLAIN)
+def appended_table(spark, d):
+    path, x = scratch.folder(spark, "table"), _plain(spark, d)
+    for k in (0, 1):
+        sinks.parquet(x.where(F.col("doc_id") % 2 == k), path, append=k > 0)
+    return readers.table_or_csv(spark, path)
+
+
+@query(ORACLES["lm_document_nll"])
+def lm_saved_nll(spark, d):
+    """Scores of a model that was saved and loaded."""
+    path = scratch.folder(spark, "model")
+    lm.save(_model(spark, d), path)
+    return lm.document_nll(_docs(spark, d), lm.load(spark, path))
+
+
+@query(f"with p as ({ORACLES['sentence_perplexity']}) select conv_id, turn, trim(role) as role, perplexity from p join conversations using (conv_id, turn) where isfinite(perplexity)", places=3)
+def finite_perplexity(spark, d):
+    """The turns that have a finite value, as figures need them."""
+    turns = read(spark, d, "conversations")
+    x = relational.without_infinity(lm.sentence_perplexity(turns.select("conv_id", "turn", "text"), _model(spark, d), ["conv_id", "turn"], 128), ["perplexity"])
+    return relational.finite(x, ["perplexity"]).join(turns.select("conv_id", "turn", F.trim("role").alias("role")), ["conv_id", "turn"])
+
+
+@query("select doc_id, case lang when 'en' then 'English' when 'fr' then 'French' end as language, case lang when 'en' then 'English' when 'fr' then 'French' else 'Corpus ' || lang end as corpus from documents")
+def code_labels(spark, d):
+    names = {"en": "English", "fr": "French"}
+    x = relational.labelled(_docs(spark, d).select("doc_id", "lang"), "lang", names, "language")
+    return relational.labelled(x, "lang", names, "corpus", "Corpus").drop("lang")
+
+
+@query(f"with {_CATEGORY}, tk as (select doc_id, n_chars from documents where lang = 'en') select 'doc' || doc_id || 'txt' as _k, {', '.join(f'round({k} * 1000.0::double / nullif(n_chars, 0), 6) as {k}_n' for k in relational.CATEGORIES)} from ct left join tk using (doc_id)")
+def rates_by_lookup(spark, d):
+    """Counts over a size that another table has for some of the works, met by their normalised names."""
+    docs = _docs(spark, d)
+    counts = relational.category_counts(docs).select(F.concat(F.lit("Doc_"), F.col("doc_id").cast("string"), F.lit(".TXT")).alias("file_name"), *relational.CATEGORIES)
+    sizes = feature_tables.keyed(docs.where("lang = 'en'").select(F.concat(F.lit("dóc "), F.col("doc_id").cast("string"), F.lit(".txt")).alias("ID"), F.col("n_chars").alias("token_count")), "ID")
+    return feature_tables.category_rates(counts, sizes)
+
+
 # Models
 def _newton_sql(n: int, steps: int = 18) -> str:
     """Ridge logistic models by Newton's method, each step a table: from tr(m, y, z0 .. zn, with z0 = 1) to fit(m, a0 .. an).

@@ -19,19 +19,25 @@ from .shipping import map_arrow, map_pandas
 
 
 def texts(spark: SparkSession, path: str, clean: bool = True) -> DataFrame:
-    """name, text: a row per file of a folder or glob; unreadable files are passed over."""
+    """name, text: a row per file of a folder or glob, named by its stem or by a folder name=<name>; unreadable files are passed over."""
     rows = spark.read.option("ignoreCorruptFiles", True).text(path, wholetext=True)
     text = clean_text(F.col("value")) if clean else F.col("value")
-    return rows.select(stem(F.col("_metadata.file_path")).alias("name"), text.alias("text"))
+    name = F.col("name").cast("string") if "name" in rows.columns else stem(F.col("_metadata.file_path"))
+    return rows.select(name.alias("name"), text.alias("text"))
 
 
-def _decode(data: bytes) -> str:
-    for encoding in ("utf-8-sig", "cp1252"):
+def first_fit(data: bytes, encodings: tuple[str, ...]) -> str:
+    """The text in the first encoding that the bytes are valid in; the last one's error if there is none."""
+    for encoding in encodings[:-1]:
         try:
             return data.decode(encoding)
         except UnicodeDecodeError:
             continue
-    return data.decode("latin-1")
+    return data.decode(encodings[-1])
+
+
+def _decode(data: bytes) -> str:
+    return first_fit(data, ("utf-8-sig", "cp1252", "latin-1"))
 
 
 def decoded_texts(spark: SparkSession, path: str) -> DataFrame:
@@ -51,8 +57,17 @@ def id_list(lines: DataFrame) -> DataFrame:
     return lines.select("pos", line.alias("id")).where(F.col("id").rlike("^[0-9]+$")).groupBy("id").agg(F.min("pos").alias("pos"))
 
 
+#: Encodings that Spark reads itself.
+SPARKS_OWN = ("utf-8", "us-ascii", "iso-8859-1", "utf-16", "utf-16be", "utf-16le", "utf-32")
+
+
 def delimited(spark: SparkSession, path: str, schema: str, encoding: str = "UTF-8") -> DataFrame:
-    """A CSV table with a header; names and strings are trimmed, NaN becomes null."""
+    """A CSV table with a header; names and strings are trimmed, NaN becomes null.
+
+    Files in an encoding that Spark does not read are parsed one by one, as ``any_encoding`` does.
+    """
+    if encoding.lower() not in SPARKS_OWN:
+        return any_encoding(spark, path, schema, (encoding,))
     rows = spark.read.schema(schema).option("encoding", encoding).option("header", True).option("ignoreLeadingWhiteSpace", True).option("ignoreTrailingWhiteSpace", True).csv(path)
     return rows.select(*[F.nanvl(F.col(n), F.lit(None)).alias(n.strip()) if t in ("double", "float") else F.col(n).alias(n.strip()) for n, t in rows.dtypes])
 
@@ -74,8 +89,9 @@ def arrays(spark: SparkSession, path: str) -> DataFrame:
     return rows.select(stem(F.col("path")).alias("name"), "row", "embedding")
 
 
-def side_car(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.json(path, multiLine=True)
+def side_car(spark: SparkSession, path: str, lines: bool = False) -> DataFrame:
+    """A JSON file of one value or an array of them; with ``lines``, a value on each line, as the sink writes them."""
+    return spark.read.json(path, multiLine=not lines)
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -90,9 +106,11 @@ def table_or_csv(spark: SparkSession, path: str, other: str | None = None) -> Da
     return spark.read.csv(other or (path if path.endswith(".csv") else path.removesuffix(".parquet") + ".csv"), header=True, inferSchema=True)
 
 
-def any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
+def any_encoding(spark: SparkSession, path: str, schema: str, encodings: tuple[str, ...] = ("utf-8-sig", "latin-1")) -> DataFrame:
     """A CSV table whose files are UTF-8 or, those that are not, Latin-1; each file is read as a whole by one task.
 
+    ``encodings``: others to try, the first that fits a file; a file that none fits raises UnicodeDecodeError.
+
     The first record of a file names its columns, in any order, case and between blanks; a column of ``schema`` that it
     lacks is null, others are passed over. Quoted fields may hold commas, doubled quotes and line breaks. Values and
     names are trimmed; an empty value, one that is no value of its column's type, and NaN are null. Blank records and
@@ -104,12 +122,7 @@ def any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for content in batch.column("content"):
-                data = content.as_py()
-                try:
-                    text = data.decode("utf-8-sig")
-                except UnicodeDecodeError:
-                    text = data.decode("latin-1")
-                records = csv.reader(io.StringIO(text, newline=""))
+                records = csv.reader(io.StringIO(first_fit(content.as_py(), encodings), newline=""))
                 header = [x.strip().lower() for x in next(records, [])]
                 places = [header.index(n.strip().lower()) if n.strip().lower() in header else None for n in names]
                 while rows := [r for r in itertools.islice(records, 4096)]:
@@ -120,7 +133,7 @@ def any_encoding(spark: SparkSession, path: str, schema: str) -> DataFrame:
     files = spark.read.format("binaryFile").load(path).select("content")
     rows = map_arrow(files, run, ", ".join(f"c{k} string" for k in range(len(names))))
     typed = [F.expr(f"try_cast(c{k} as {f.dataType.simpleString()})") for k, f in enumerate(wanted)]
-    return rows.select(*[(F.nanvl(c, F.lit(None)) if f.dataType.simpleString() in ("double", "float") else c).alias(f.name) for c, f in zip(typed, wanted, strict=True)])
+    return rows.select(*[(F.nanvl(c, F.lit(None)) if f.dataType.simpleString() in ("double", "float") else c).alias(f.name.strip()) for c, f in zip(typed, wanted, strict=True)])
 
 
 def newest(spark: SparkSession, pattern: str) -> str | None:

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def csv(rows: DataFrame, path: str, by: list[str] = ()) -> None:
-    rows.write.mode("overwrite").partitionBy(*by).csv(path, header=True)
+def csv(rows: DataFrame, path: str, by: list[str] = (), encoding: str = "UTF-8") -> None:
+    """With a header; a quote within a field is doubled, line breaks stay within quotes."""
+    rows.write.mode("overwrite").partitionBy(*by).option("escape", '"').option("encoding", encoding).csv(path, header=True)
 
 
 def parquet(rows: DataFrame, path: str, append: bool = False) -> None:
@@ -43,6 +44,11 @@ def texts(rows: DataFrame, path: str) -> None:
     rows.select(F.col("text").alias("value")).write.mode("overwrite").text(path)
 
 
+def named_texts(rows: DataFrame, path: str) -> None:
+    """A folder name=<name> for each row of name and text, with the text and a line break in one file; names are to differ."""
+    rows.select("name", F.col("text").alias("value")).repartition("name").write.mode("overwrite").partitionBy("name").text(path)
+
+
 def failures(items: DataFrame, done: DataFrame, key: str, path: str) -> None:
     """The keys that have no result, in order, as a text file in a folder."""
     missing = items.select(F.col(key).cast("string").alias("value")).distinct().join(done.select(F.col(key).cast("string").alias("value")), "value", "left_anti")

@@ -1,5 +1,6 @@
 import numpy as np
 
+from prosemetrics.operators import lm, relational
 from prosemetrics.sources import readers, sinks
 
 
@@ -51,3 +52,39 @@ def test_csv_of_any_encoding(spark, tmp_path):
     assert rows == {("a, b", 1, "2.50", None), ('say "hi"\nthere', 2, "3.01", None), ("café", None, "1.25", None), ("\xe9lan\x80", 3, None, None), ("only", None, None, None), ("q", None, None, None)}
     spread = readers.any_encoding(spark, str(tmp_path / "short.csv"), "price double, name string")
     assert [tuple(r) for r in spread.collect()] == [(None, "only"), (None, "q")]
+
+
+def test_csv_of_windows(spark, tmp_path):
+    (tmp_path / "w.csv").write_bytes(" Name ,x\n\u201cquoted\u201d \u20ac,1.5\n".encode("cp1252"))
+    assert [tuple(r) for r in readers.delimited(spark, str(tmp_path / "w.csv"), "Name string, x double", "cp1252").collect()] == [("\u201cquoted\u201d \u20ac", 1.5)]
+
+
+def test_saved_model_scores_alike(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "one two three two"), (2, "two one")], "doc_id long, text string")
+    model = lm.fit(docs, 0.7)
+    lm.save(model, str(tmp_path / "m"))
+    assert lm.document_nll(docs, lm.load(spark, str(tmp_path / "m"))).orderBy("doc_id").collect() == lm.document_nll(docs, model).orderBy("doc_id").collect()
+
+
+def test_scores_without_broadcast(spark, monkeypatch):
+    """A large vocabulary is met pair by pair; the scores are the same."""
+    docs = spark.createDataFrame([(k, " ".join(f"w{(k * j) % 7}" for j in range(9))) for k in range(6)], "doc_id long, text string")
+    model = lm.fit(docs.where("doc_id < 3"))
+    want = {r["doc_id"]: (round(r["mean_nll"], 9), r["n_scored"]) for r in lm.document_nll(docs, model).collect()}
+    monkeypatch.setattr(lm, "MOST_SENT", -1)
+    assert {r["doc_id"]: (round(r["mean_nll"], 9), r["n_scored"]) for r in lm.document_nll(docs, model).collect()} == want and len(want) == 6
+
+
+def test_sentence_perplexity(spark):
+    rows = spark.createDataFrame([(1, None), (2, " \n"), (3, "one"), (4, "a b a b"), (5, "a b zz zz zz"), (None, "b a")], "k int, text string")
+    model = lm.fit(spark.createDataFrame([(1, "a b a b a")], "doc_id long, text string"))
+    got = {r["k"]: r["perplexity"] for r in lm.sentence_perplexity(rows, model, ["k"], 2).collect()}
+    assert got[1] == got[2] == float("inf") and got[3] is None and got[4] == got[5] < got[None] * 2 and len(got) == 6
+    longer = {r["k"]: r["perplexity"] for r in lm.sentence_perplexity(rows, model, ["k"]).collect()}
+    assert longer[5] > got[5]
+
+
+def test_labels_and_infinities(spark):
+    rows = spark.createDataFrame([("a", 1.0), ("b", float("inf")), (None, float("nan"))], "code string, x double")
+    got = relational.labelled(relational.labelled(relational.without_infinity(rows, ["x"]), "code", {"a": "A"}, "name"), "code", {"a": "A"}, "other", "Cluster").collect()
+    assert [tuple(r) for r in got] == [("a", 1.0, "A", "A"), ("b", None, None, "Cluster b"), (None, None, None, None)]
