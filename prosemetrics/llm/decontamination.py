@@ -18,6 +18,8 @@ WINDOW = SPAN - K + 1
 BETWEEN = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: Fingerprints or windows of a benchmark that are broadcast at most (some 50 MB); more of them are joined by a shuffle.
 MOST_BROADCAST = 500_000
+#: Positions of a text that one row has, where windows of under SPAN words are looked for.
+STRETCH = 4_096
 
 
 def word_array(text: Column) -> Column:
@@ -71,9 +73,42 @@ def benchmark_windows(benchmark: DataFrame, item: str = "item_id") -> tuple[Data
     return windows, written(each.join(one, "content").select("cls", "item"), "benchmark-items")
 
 
-def _runs(words: Column, n: int) -> Column:
-    """Structs pos, content, length of every n neighbouring words as one text."""
-    return F.transform(_upto(F.size(words) - (n - 1)), lambda i: F.struct(i.alias("pos"), F.array_join(F.slice(words, i + 1, n), " ").alias("content"), F.lit(n).alias("length")))
+def _stretches(words: Column, beyond: int) -> Column:
+    """Structs at, w: STRETCH words from the place at on, and ``beyond`` more, so that a row stays small however long a text is."""
+    at = F.when(F.size(words) > 0, F.sequence(F.lit(0), F.size(words) - 1, F.lit(STRETCH))).otherwise(F.array().cast("array<int>"))
+    return F.transform(at, lambda i: F.struct(i.alias("at"), F.slice(words, i + 1, STRETCH + beyond).alias("w")))
+
+
+def _run_hashes(hashes: Column, lengths: list[int], body) -> Column:
+    """``body`` of one array for each of ``lengths``: the hash of so many neighbours from each place on.
+
+    The hash of n is that of n - 1 and the next one, so that each length costs one step a place.
+    """
+
+    def grow(n: int, own: Column, found: list[Column]) -> Column:
+        found = [*found, own] if n in lengths else found
+        if n == max(lengths):
+            return body(found)
+        longer = F.transform(_upto(F.size(own) - 1), lambda i: F.xxhash64(F.get(own, i), F.get(hashes, i + n)))
+        return let(longer, lambda x: grow(n + 1, x, found))
+
+    return grow(1, hashes, [])
+
+
+def _short_hits(docs: DataFrame, short: DataFrame, lengths: list[int]) -> DataFrame:
+    """Rows doc, pos, length, cls of the windows of these lengths: found by hash, position by position, and compared as text."""
+    word_hashes = lambda w: F.transform(w, lambda x: F.xxhash64(x))
+    parts = docs.select("doc", F.explode(let(word_array(F.col("text")), lambda w: _stretches(w, max(lengths) - 1))).alias("c")).select("doc", "c.at", "c.w")
+    each = lambda n, g: F.transform(F.slice(g, 1, STRETCH), lambda x, i: F.struct(i.alias("i"), F.lit(n).alias("length"), x.alias("hash")))
+    every = lambda h: _run_hashes(h, lengths, lambda found: F.flatten(F.array(*[each(n, g) for n, g in zip(lengths, found, strict=True)])))
+    grams = parts.select("doc", "at", F.explode(let(word_hashes(F.col("w")), every)).alias("g")).select("doc", "at", "g.*")
+    own = let(word_hashes(F.split("content", " ")), lambda h: _run_hashes(h, lengths, lambda found: F.coalesce(*[F.when(F.size(h) == n, F.get(g, F.lit(0))) for n, g in zip(lengths, found, strict=True)])))
+    marks = written(short.select("length", own.alias("hash")).distinct(), "benchmark-short-marks")
+    found = grams.join(_few(marks), ["length", "hash"], "left_semi").groupBy("doc", "at").agg(F.collect_set(F.struct("i", "length")).alias("hits"))  # no more than a stretch has
+    found = written(found, "document-short-candidates")
+    near = parts.join(_few(found, F.size("hits") + 1), ["doc", "at"]).select("doc", "at", "w", F.explode("hits").alias("x"))
+    spans = near.select("doc", (F.col("at") + F.col("x.i")).alias("pos"), "x.length", F.array_join(F.slice("w", F.col("x.i") + 1, F.col("x.length")), " ").alias("content"))
+    return spans.join(_few(short), ["content", "length"]).select("doc", "pos", "length", "cls")
 
 
 def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
@@ -89,8 +124,7 @@ def find_hits(docs: DataFrame, windows: DataFrame) -> DataFrame:
     hits = spans.join(_few(long), "content").select("doc", "pos", "length", "cls")
     lengths = [n for (n,) in short.select("length").distinct().sort("length").collect()]  # at most SPAN - 1
     if lengths:
-        runs = let(word_array(F.col("text")), lambda w: F.flatten(F.array(*[_runs(w, n) for n in lengths])))
-        hits = hits.unionByName(docs.select("doc", F.explode(runs).alias("r")).select("doc", "r.*").join(_few(written(short, "benchmark-short")), ["content", "length"]).select("doc", "pos", "length", "cls"))
+        hits = hits.unionByName(_short_hits(docs, written(short, "benchmark-short"), lengths))
     return hits
 
 

@@ -320,9 +320,10 @@ def test_special_strings_of_another_file(spark, tmp_path):
 
 
 # 5
-@pytest.mark.parametrize("most", [500_000, 0])
-def test_decontamination(spark, monkeypatch, most):
+@pytest.mark.parametrize(("most", "stretch"), [(500_000, 4_096), (0, 7)])
+def test_decontamination(spark, monkeypatch, most, stretch):
     monkeypatch.setattr(decontamination, "MOST_BROADCAST", most)
+    monkeypatch.setattr(decontamination, "STRETCH", stretch)
     passage = prose(1, 120).split()
     items = [(1, " ".join(passage[20:45])), (2, " ".join(passage[20:45]).upper()), (3, "two three"), (4, None), (5, ""), (6, prose(99, 30)), (None, " ".join(passage[50:61])), (7, "the the the the the the the the the the the the"), (3, "two three")]
     data = rows() + [(200, "the " * 40, "en", "a"), (201, "x " + " ".join(passage[20:30]) + " y", "en", "a"), (202, " ".join(passage[20:29]), "en", "a")]
@@ -346,6 +347,17 @@ def test_decontamination(spark, monkeypatch, most):
     assert decontamination.decontaminate(empty(spark), bench).count() == 0
 
 
+def test_short_items_in_a_very_long_text(spark):
+    """Items of one to nine words in 400,000 words: no row holds them all."""
+    words = [f"w{(k * 7919) % 5003}" for k in range(400_000)]
+    bench = spark.createDataFrame([(n, " ".join(f"only{n}x{j}" for j in range(n))) for n in range(1, 10)] + [(20, " ".join(words[9:12]))], "item_id long, text string")
+    for n in range(1, 10):
+        words[40_000 * n : 40_000 * n + n] = [f"only{n}x{j}" for j in range(n)]
+    want = sum(words[k : k + 3] == words[9:12] for k in range(len(words) - 2))
+    got = decontamination.decontaminate(spark.createDataFrame([(1, " ".join(words))], "doc_id long, text string"), bench).first()
+    assert got["n_hit"] == 45 + 3 * want and got["items"] == sorted([*map(str, range(1, 10)), "20"]) and want > 10
+
+
 # 6
 def test_toxicity(spark):
     bad = ["scoundrel", "rotter", "vilka", "vilken", "vilkor"]
