@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..functions.arrays import total as _total
-from ..operators import arcs, feature_tables, figures, lexical, lm, models, relational, stats
+from ..operators import arcs, feature_tables, figures, lexical, lm, models, ordering, relational, stats
 from ..sources import readers, scratch, sinks
 from ..streaming import incremental
 from ..streaming.arc_table import ArcTable
@@ -390,11 +390,10 @@ def value_counts(spark, d):
 
 @query("select id, cast(min(pos) as integer) as pos from (select trim(w) as id, pos from (select unnest(string_split(string_agg(case when item_id % 3 = 0 then '#' else '' end || cast(item_id % 7 as varchar), ',' order by item_id), ',')) as w, unnest(range(count(*))) as pos from benchmark)) where regexp_matches(id, '^[0-9]+$') group by 1")
 def id_reader(spark, d):
-    from ..sources.readers import id_list
-
     line = F.concat(F.when(F.col("item_id") % 3 == 0, "#").otherwise(""), (F.col("item_id") % 7).cast("string"))
-    lines = read(spark, d, "benchmark").agg(F.array_sort(F.collect_list(F.struct("item_id", line.alias("line")))).alias("l"))  # a list of ids is small
-    return id_list(lines.select(F.posexplode("l").alias("pos", "s")).select("pos", F.col("s.line").alias("line")))
+    x = read(spark, d, "benchmark").select("item_id", line.alias("line"))
+    numbered = ordering.running(ordering.placed(x, [], ["item_id"]), [], ["item_id"], {"place": F.lit(1)})
+    return readers.id_list(numbered.select((F.col("place") - 1).cast("int").alias("pos"), "line"))
 
 
 # Statistics
