@@ -31,9 +31,12 @@ LIST_COST = 16
 HEAVY, MOST_HEAVY = 16, 1_000_000
 #: One element in so many of a set must be shared within the prefixes, and each prefix is longer by that.
 SHARE = 20
-#: Sets in a list whose pairs are enumerated at most; members of longer lists are compared in blocks of so many
-#: sets, over so many shingles at a time.
-LONG, BLOCK, COLUMNS = 32, 1_024, 2_048
+#: Sets in a list whose pairs are enumerated at most; what representatives leave apart of longer lists is compared
+#: in blocks of so many sets, over so many shingles at a time, and blocks have about so many shingles at most.
+LONG, BLOCK, COLUMNS, ELEMENTS = 32, 1_024, 2_048, 1_000_000
+#: Sizes are told apart in bands, each so many times the one before; links lie in one band or in two neighbours,
+#: as it is more than 100 / PERCENT.
+BAND = 1.3
 #: Classes whose keys are broadcast at most (8 MB); more of them are joined by a shuffle.
 MOST_BROADCAST = 1_000_000
 _WEIGHTS = mix(np.arange(11, 11 + K, dtype=np.uint64)) | np.uint64(1)
@@ -195,10 +198,14 @@ def arrays(docs: DataFrame, classes: DataFrame) -> DataFrame:
 
 
 def verify(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Those of the distinct pairs a, b that are links."""
-    left, right = sets.toDF("a", "x"), sets.toDF("b", "y")
+    """Those of the written, distinct pairs a, b that are links. A set that is b of many pairs is sent out once for
+    every BLOCK of them."""
+    parts = pairs.groupBy("b").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("parts"))
+    left = sets.toDF("a", "x")
+    right = sets.toDF("b", "y").join(parts, "b").select("b", "y", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    dealt = pairs.join(parts, "b").select("a", "b", F.pmod(F.xxhash64("a"), F.col("parts")).cast("int").alias("part"))
     both = F.size(F.array_intersect("x", "y"))
-    return pairs.join(left, "a").join(right, "b").where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
+    return dealt.join(left, "a").join(right, ["b", "part"]).where(100 * both >= PERCENT * (F.size("x") + F.size("y") - both)).select("a", "b")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -241,24 +248,54 @@ def link_classes(docs: DataFrame, sizes: DataFrame) -> DataFrame:
     counted = written(lists.join(lists.groupBy("key").agg(F.count("*").alias("n")), "key"), "counted-lists")
     # short lists: all pairs, of which those with enough keys in common are compared
     short = counted.where(F.col("n") <= LONG).select("key", "class", "size")
-    close = (F.col("a") < F.col("b")) & (100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t"))
-    pairs = short.toDF("key", "a", "s").join(short.toDF("key", "b", "t"), "key").where(close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
-    found = verify(written(pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b"), "pairs"), held)
-    links = written(links.union(found).union(_crowds(counted.where(F.col("n") > LONG).select("key", "class"), held)), "links")
-    return components(links).toDF("class", "root")
-
-
-def _crowds(lists: DataFrame, sets: DataFrame) -> DataFrame:
-    """a, b: links that join what long lists link. Sets that long lists lead to are compared block by block, each
-    pair of blocks in a task that counts overlaps over its inverted lists and gives a forest of its links alone."""
-    if not lists.limit(1).count():
-        return lists.select(F.col("class").alias("a"), F.col("class").alias("b")).limit(0)
-    first = lists.groupBy("key").agg(F.min("class").alias("b"))
-    crowd = components(written(lists.join(first, "key").select(F.col("class").alias("a"), "b").distinct(), "crowd-edges"))
-    count = crowd.groupBy("root").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = crowd.join(count, "root").select("root", F.col("node").alias("class"), "blocks", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int").alias("block"))
-    placed = placed.select("root", "class", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    placed = written(placed.select("root", "class", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "crowds")
+    close = 100 * F.least("s", "t") >= PERCENT * F.greatest("s", "t")
+    pairs = short.toDF("key", "a", "s").join(short.toDF("key", "b", "t"), "key").where((F.col("a") < F.col("b")) & close).groupBy("a", "b", F.least("s", "t").alias("size")).agg(F.count("*").alias("n"))
+    pairs = pairs.where(F.col("n") >= need(F.col("size"))).select("a", "b")
+    # long lists, once for the sizes of every two neighbouring bands: each member with a representative
+    band = F.floor(F.log(BAND, F.col("size"))).cast("int")
+    long = counted.where(F.col("n") > LONG).select("key", "class", "size", F.explode(F.array(band, band - 1)).alias("band"))
+    heads = long.groupBy("key", "band").agg(F.min(F.struct(F.xxhash64("class").alias("order"), F.col("class").alias("b"), F.col("size").alias("t"))).alias("head")).select("key", "band", "head.b", "head.t")
+    stars = long.select("key", "band", F.col("class").alias("a"), F.col("size").alias("s")).join(heads, ["key", "band"]).where((F.col("a") != F.col("b")) & close).select("a", "b")
+    links = written(links.union(verify(written(pairs.union(stars).distinct(), "pairs"), held)), "links")
+    roots = components(links)
+    apart = written(_apart(long, roots), "apart")
+    if not apart.limit(1).count():
+        return roots.toDF("class", "root")
+    return components(written(roots.toDF("a", "b").union(_crowds(apart, held)), "links")).toDF("class", "root")
+
+
+def _apart(lists: DataFrame, roots: DataFrame) -> DataFrame:
+    """The members of those lists (key, band) whose sets are not all joined yet, with the root of each."""
+    named = lists.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+    several = named.groupBy("key", "band").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high")
+    return named.join(several.select("key", "band"), ["key", "band"], "left_semi")
+
+
+def _blocks(apart: DataFrame) -> DataFrame:
+    """class, crowd, i, j: a set and two blocks of its crowd that are to be compared, of which it is in one.
+
+    A crowd is what lists lead to. Its largest group of joined sets is the main one, in blocks of its own: two of
+    those are never compared, nor are blocks of sizes that no link has.
+    """
+    first = apart.groupBy("key", "band").agg(F.min("class").alias("b"))
+    crowd = components(written(apart.join(first, ["key", "band"]).select(F.col("class").alias("a"), "b").distinct(), "crowd-edges")).toDF("class", "crowd")
+    sets = written(apart.select("class", "size", "root").distinct().join(crowd, "class"), "crowd-sets")
+    main = sets.groupBy("crowd", "root").agg(F.count("*").alias("n")).groupBy("crowd").agg(F.max(F.struct("n", "root")).alias("most")).select("crowd", F.col("most.root").alias("main"))
+    sets = sets.join(main, "crowd").select("crowd", "class", "size", F.floor(F.log(BAND, F.col("size"))).cast("int").alias("band"), (F.col("root") != F.col("main")).alias("rest"))
+    count = sets.groupBy("crowd", "band", "rest").agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("size") / ELEMENTS)).cast("int").alias("blocks"))
+    block = F.struct("band", "rest", "block")
+    units = written(count.select("*", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("block")).select("crowd", "band", "rest", block.alias("unit")), "crowd-blocks")
+    above = units.select("crowd", F.explode(F.array("band", F.col("band") - 1)).alias("band"), F.col("rest").alias("also"), F.col("unit").alias("j"))
+    met = units.withColumnRenamed("unit", "i").join(above, ["crowd", "band"]).where((F.col("rest") | F.col("also")) & (F.col("i") <= F.col("j")))
+    met = met.select("crowd", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("unit"))
+    placed = sets.join(count, ["crowd", "band", "rest"]).withColumn("block", F.pmod(F.xxhash64("class"), F.col("blocks")).cast("int"))
+    return placed.select("crowd", "class", block.alias("unit")).join(met, ["crowd", "unit"]).select("class", "crowd", "i", "j")
+
+
+def _crowds(apart: DataFrame, sets: DataFrame) -> DataFrame:
+    """a, b: links that join what is still apart, each pair of blocks in a task that counts overlaps over its inverted
+    lists and gives a forest of its links alone."""
+    placed = written(_blocks(apart), "crowds")
 
     def run(group: pa.Table) -> pa.Table:
         shingles = group.column("shingles").combine_chunks()
@@ -292,7 +329,7 @@ def _crowds(lists: DataFrame, sets: DataFrame) -> DataFrame:
         return pa.table({"a": pa.array(classes[e[:, 0]], pa.int64()), "b": pa.array(classes[e[:, 1]], pa.int64())})
 
     ship(sets.sparkSession)
-    return placed.join(sets, "class").groupBy("root", "i", "j").applyInArrow(run, "a long, b long")
+    return placed.join(sets, "class").groupBy("crowd", "i", "j").applyInArrow(run, "a long, b long")
 
 
 def join_similar(docs: DataFrame) -> DataFrame:

@@ -492,6 +492,45 @@ def test_similarity(spark, monkeypatch, long, block):
     assert similarity.join_similar(empty(spark)).count() == 0
 
 
+def edited(seed, n, k, every):
+    w = prose(seed, n).split()
+    for j in range(k % 7, n, every):
+        w[j] = f"e{k}x{j}"
+    return " ".join(w)
+
+
+def test_a_crowd_of_near_copies_is_never_compared_in_blocks(spark, monkeypatch):
+    monkeypatch.setattr(similarity, "LONG", 4)
+    monkeypatch.setattr(similarity, "_crowds", lambda *a: pytest.fail("representatives link all of them"))
+    data = [(k, edited(91, 200, k, 150), "en", "a") for k in range(60)]
+    got = similarity.join_similar(documents(spark, data)).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == components(data)
+    assert {x["component_id"] for x in got} == {0}
+
+
+@pytest.mark.parametrize("elements", [1_000_000, 700])
+def test_what_representatives_leave_apart(spark, monkeypatch, elements):
+    """Near copies, others too far from them, and longer ones of the same passage, in blocks of few sets or shingles."""
+    monkeypatch.setattr(similarity, "LONG", 2)
+    monkeypatch.setattr(similarity, "BLOCK", 6)
+    monkeypatch.setattr(similarity, "ELEMENTS", elements)
+    seen, real = [], similarity._blocks
+    monkeypatch.setattr(similarity, "_blocks", lambda apart: seen.append(real(apart)) or seen[-1])
+    data = [(k, edited(91, 200, k, 150), "en", "a") for k in range(25)] + [(100 + k, edited(91, 200, k, 24 + k), "en", "a") for k in range(25)]
+    data += [(200 + k, edited(91, 200, k, 90) + " " + prose(300 + k, 20 * (k % 4)), "en", "a") for k in range(25)]
+    got = similarity.join_similar(documents(spark, data)).collect()
+    assert Counter((x["doc_id"], x["n_shingles"], x["component_id"]) for x in got) == components(data)
+    assert len(seen) == 1
+    tiles = seen[0].select("crowd", "i", "j").distinct().collect()
+    assert tiles and all((t["i"]["rest"] or t["j"]["rest"]) and t["i"] <= t["j"] and t["j"]["band"] - t["i"]["band"] <= 1 for t in tiles)
+    assert any(not t["i"]["rest"] for t in tiles)
+
+
+def test_bands_hold_every_link():
+    band = lambda s: math.floor(math.log(s) / math.log(similarity.BAND))
+    assert all(abs(band(s) - band(t)) <= 1 for s in range(1, 700) for t in similarity.partners(s))
+
+
 def test_similarity_bounds():
     for s in range(1, 60):
         for t in similarity.partners(s):
