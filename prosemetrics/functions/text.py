@@ -64,8 +64,12 @@ def chunk_texts(sentence_list: Column, most: int) -> Column:
 
 def token_blocks(tokens: Column, length: int) -> Column:
     """Blocks of ``length`` tokens one after another; what is left over is dropped."""
-    n = F.size(tokens)
-    return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length, F.lit(length)), lambda i: F.slice(tokens, i + 1, length))).otherwise(F.array().cast("array<array<string>>"))
+
+    def cut(t: Column) -> Column:
+        n = F.size(t)
+        return F.when(n >= length, F.transform(F.sequence(F.lit(0), n - length, F.lit(length)), lambda i: F.slice(t, i + 1, length))).otherwise(F.array().cast("array<array<string>>"))
+
+    return let(tokens, cut)  # once a text, not once a block
 
 
 @F.pandas_udf(StringType())

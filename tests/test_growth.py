@@ -27,3 +27,9 @@ def test_text_folder_at_the_ends(spark, tmp_path):
 def test_p_of_a_large_t():
     """The SQL of correlation_tests adds 2,000 steps up to t, too few here: it gives 0.176975."""
     assert stats.student_two_sided(3967.370541, 256408) == pytest.approx(0, abs=1e-300)
+
+
+def test_token_blocks_split_a_text_once(spark, small):
+    """Not once for every block."""
+    plan = catalogue.QUERIES["token_blocks"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") == 1
