@@ -5,18 +5,42 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.arrays import let
 from ..functions.text import clean_text, words
 from ..sources.scratch import spread, stored
+from .ordering import met
 
 FLOOR = 1e-12
 
 
-def term_counts(docs: DataFrame) -> DataFrame:
-    """doc_id, term, cnt, n (tokens of the document) of cleaned, lower-case texts."""
-    each = spread(docs.select("doc_id", "text"), "doc_id").select("doc_id", F.explode(words(F.lower(clean_text(F.col("text"))))).alias("term"))
-    # the count is combined before it is shuffled; the total needs no second pass over tokens
-    counts = each.groupBy("doc_id", "term").agg(F.count("*").alias("cnt"))
-    return counts.withColumn("n", F.sum("cnt").over(Window.partitionBy("doc_id")))
+def counted(text: Column) -> Column:
+    """Structs term, cnt of the words of a cleaned, lower-case text, in the order of terms: runs of its sorted words."""
+
+    def runs(t: Column) -> Column:
+        starts = F.filter(F.transform(t, lambda w, i: F.when((i == 0) | (w != F.get(t, i - 1)), i)), lambda i: i.isNotNull())
+        return let(starts, lambda at: F.transform(at, lambda i, k: F.struct(F.get(t, i).alias("term"), (F.coalesce(F.get(at, k + 1), F.size(t)) - i).cast("long").alias("cnt"))))
+
+    return let(F.sort_array(words(F.lower(clean_text(text)))), runs)
+
+
+def one_text_each(docs: DataFrame) -> DataFrame:
+    """doc_id, text: texts that share an id become one, which has the words of all."""
+    docs = docs.select("doc_id", "text")
+    if docs.groupBy("doc_id").agg(F.count("*").alias("n")).where("n > 1").isEmpty():  # ids alone are shuffled
+        return docs
+    return docs.groupBy("doc_id").agg(F.concat_ws(" ", F.collect_list("text")).alias("text"))
+
+
+def document_terms(docs: DataFrame) -> DataFrame:
+    """doc_id, n, terms: a row for each document, counted where its text is read; no token is shuffled."""
+    each = spread(one_text_each(docs), "doc_id").select("doc_id", counted(F.col("text")).alias("terms"))
+    return each.select("doc_id", F.aggregate("terms", F.lit(0).cast("long"), lambda s, t: s + t["cnt"]).alias("n"), "terms")
+
+
+def term_rows(documents: DataFrame) -> DataFrame:
+    """doc_id, term, cnt, n and what other columns there are, of ``document_terms``."""
+    rest = [c for c in documents.columns if c not in ("doc_id", "n", "terms")]
+    return documents.select("doc_id", F.inline("terms"), "n", *rest)
 
 
 def corpus_frequency(counts: DataFrame) -> DataFrame:
@@ -48,16 +72,19 @@ def rare_terms(frequency: DataFrame, share: float = 0.5) -> Column:
 
 
 def exact_sum(x: Column) -> Column:
-    """A sum of doubles below 1,000 at fifteen places, which the order of rows does not change."""
-    return F.sum(x.cast("decimal(18,15)")).cast("double")
+    """A sum of doubles at fifteen places, which the order of rows does not change; it is to stay below 9,000."""
+    return F.sum(F.rint(x * 1e15).cast("long")) / 1e15
 
 
 def foregrounding(docs: DataFrame) -> DataFrame:
-    """doc_id, n_tokens, lex_rarity, types_used_rate, hapax_rate, rare_tail_share, work_entropy, kl_from_corpus."""
-    counts = stored(term_counts(docs))
+    """doc_id, n_tokens, lex_rarity, types_used_rate, hapax_rate, rare_tail_share, work_entropy, kl_from_corpus.
+
+    The frequent terms' counts go to all tasks, so that only rare terms are shuffled.
+    """
+    counts = term_rows(stored(document_terms(docs)))
     frequency = stored(corpus_frequency(counts))
     whole = frequency.agg(F.sum("c")).first()[0] or 1
-    x = counts.join(frequency.withColumn("rare", rare_terms(frequency)), "term").withColumns({"p": F.col("cnt") / F.col("n"), "q": F.col("c") / F.lit(whole)})
+    x = met(counts, frequency.withColumn("rare", rare_terms(frequency)), ["term"], "c").withColumns({"p": F.col("cnt") / F.col("n"), "q": F.col("c") / F.lit(whole)})
     ln = lambda c: F.log(F.col(c) + FLOOR)
     return x.groupBy("doc_id").agg(
         F.max("n").alias("n_tokens"),
@@ -72,12 +99,13 @@ def foregrounding(docs: DataFrame) -> DataFrame:
 
 def kl_from_class(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """doc_id, kl_own: divergence from the mean distribution of the document's class; no label counts as class 0."""
-    counts = stored(term_counts(docs)).withColumn("p", F.col("cnt") / F.col("n"))
     own = labels.groupBy("doc_id").agg(F.max(label).alias("label"))
-    x = counts.join(own, "doc_id", "left").withColumn("cls", F.coalesce("label", F.lit(0)))
+    documents = stored(document_terms(docs).join(own, "doc_id", "left").withColumn("cls", F.coalesce("label", F.lit(0))).drop("label"))
+    x = term_rows(documents).withColumn("p", F.col("cnt") / F.col("n"))
     mass = x.groupBy("cls").agg(F.sum("p").alias("mass"))
-    centre = x.groupBy("cls", "term").agg(F.sum("p").alias("s")).join(F.broadcast(mass), "cls").select("cls", "term", (F.col("s") / F.col("mass")).alias("q"))
-    return x.join(centre, ["cls", "term"]).groupBy("doc_id").agg(F.sum(F.col("p") * (F.log(F.col("p") + FLOOR) - F.log(F.col("q") + FLOOR))).alias("kl_own"))
+    sums = stored(x.groupBy("cls", "term").agg(F.sum("p").alias("s"), F.count("*").alias("held_by")))
+    centre = sums.join(F.broadcast(mass), "cls").select("cls", "term", (F.col("s") / F.col("mass")).alias("q"), "held_by")
+    return met(x, centre, ["cls", "term"], "held_by").groupBy("doc_id").agg(F.sum(F.col("p") * (F.log(F.col("p") + FLOOR) - F.log(F.col("q") + FLOOR))).alias("kl_own"))
 
 
 def standardised(rows: DataFrame, columns: list[str]) -> DataFrame:

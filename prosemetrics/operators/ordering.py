@@ -22,6 +22,27 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
     return left.join(other, matched or F.lit(True), how).drop(*[f"_k{i}" for i in range(len(keys))])
 
 
+#: Rows of a table that all tasks have; they are the most frequent ones.
+MOST_SENT = 1 << 18
+
+
+def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
+    """``rows`` joined to the row of ``table`` that has their keys, which are not null; ``weight`` says how many rows ask for it.
+
+    Up to ``MOST_SENT`` rows of the table, the most asked for, go to all tasks. Only rows that ask for others, a small
+    part as frequencies fall off, are shuffled, and no frequent key's rows meet in a task.
+    """
+    upto = F.sum("n").over(Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, 0))  # over distinct weights
+    least, every = table.groupBy(weight).agg(F.count("*").alias("n")).withColumn("upto", upto).agg(F.min(F.when(F.col("upto") <= MOST_SENT, F.col(weight))), F.max("upto")).first()
+    if (every or 0) <= MOST_SENT:
+        return rows.join(F.broadcast(table), keys)
+    if least is None:
+        return rows.join(table, keys)
+    often = table.where(F.col(weight) >= least)
+    rest = rows.join(F.broadcast(often.select(*keys)), keys, "left_anti").join(table.where(F.col(weight) < least), keys)
+    return rows.join(F.broadcast(often), keys).unionByName(rest)
+
+
 def placed(rows: DataFrame, by: list[str], order: list[str]) -> DataFrame:
     """``rows`` stored in ranges of ``by`` and ``order``; _part numbers the ranges upwards. Equal rows share a range."""
     return stored(rows.repartitionByRange(*by, *order).withColumn("_part", F.spark_partition_id()))

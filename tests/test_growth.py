@@ -3,8 +3,9 @@
 import duckdb
 import pytest
 
-from prosemetrics.operators import stats
+from prosemetrics.operators import lexical, models, ordering, stats
 from prosemetrics.plans import catalogue
+from prosemetrics.sources.scratch import stored
 
 
 def against_sql(spark, name, d, **tables):
@@ -39,3 +40,33 @@ def test_token_blocks_split_a_text_once(spark, small):
 def test_indices_read_texts_once(spark, small, name):
     """The counts are stored; every moment and join reads these."""
     assert not [f for f in catalogue.QUERIES[name](spark, small).inputFiles() if "documents" in f]
+
+
+DOCS = [(1, "a b b c the the the"), (2, "the a d"), (2, "e the. the,"), (3, ""), (4, None), (5, "rare the b"), (6, "Zz zz é")]
+
+
+@pytest.mark.parametrize("name", ["foregrounding", "kl_own_class"])
+@pytest.mark.parametrize("most", [0, 3, 1 << 18])
+def test_terms_met_by_frequency(spark, tmp_path, monkeypatch, name, most):
+    """The same rows whatever part of the vocabulary goes to all tasks; two texts of one id are one."""
+    monkeypatch.setattr(ordering, "MOST_SENT", most)
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (5, 1), (5, 0)], "doc_id long, quality int")
+    got, expected = against_sql(spark, name, tmp_path, documents=docs, labels=labels)
+    assert [tuple(round(v, 5) + 0.0 for v in r) for r in got] == [tuple(round(v, 5) + 0.0 for v in r) for r in expected]
+
+
+def test_no_token_is_shuffled_to_be_counted(spark):
+    docs = spark.createDataFrame(DOCS, "doc_id long, text string")
+    plan = lexical.term_rows(lexical.document_terms(docs.where("doc_id <> 2")))._jdf.queryExecution().toString()
+    assert "Aggregate [" not in plan and "Window" not in plan
+
+
+def test_features_are_made_once(spark, monkeypatch):
+    """Loadings, and the folds of a design, read a stored table, not what made it."""
+    seen = []
+    monkeypatch.setattr(models, "stored", lambda rows: seen.append(rows.columns) or stored(rows))
+    rows = spark.range(40).selectExpr("id as k", "cast(id % 2 as int) as y", "cast(id * id % 7 as double) as a", "cast(id % 5 as double) as b")
+    models.loadings(rows, "k", "y", ["a", "b"], 2)
+    models.block_scores(rows, "k", "y", {"x": ["a", "b"]}, 2)
+    assert seen == [["k", "y", "a", "b"]] * 2
