@@ -30,7 +30,11 @@ def folds(rows: DataFrame, key: str, label: str, k: int = 10, seed: int = 42) ->
 
 
 def _labelled_design(rows: DataFrame, key: str, label: str, features: list[str], k: int) -> DataFrame:
-    """The design of all rows; those whose label is 0 or 1 have a fold, the others fold -1."""
+    """The design of all rows; those whose label is 0 or 1 have a fold, the others fold -1.
+
+    The rows are stored first, as sorting them by ranges runs what makes them twice, and the others once more.
+    """
+    rows = stored(rows.select(key, label, *features))
     own = folds(rows.where(F.col(label).isin(0, 1)), key, label, k)
     rest = rows.where(F.col(label).isNull() | ~F.col(label).isin(0, 1)).withColumn("fold", F.lit(-1))
     return fitting.design(own.unionByName(rest), key, [label], features, "fold")
@@ -82,6 +86,7 @@ def mixed_scores(rows: DataFrame, key: str, label: str, features: list[str], k:
 
 def loadings(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5) -> DataFrame:
     """component, explained, auc, feature, loading: what each component is made of and how it parts the classes."""
+    rows = stored(rows.select(key, label, *features))
     scores, explained, weights = principal(rows, key, features, k)
     names = [f"pc{i + 1}" for i in range(len(weights))]
     auc = {r["feature"]: r["auc"] for r in rank_statistics(melt(scores.join(rows.select(key, label), key), label, names)).collect()}  # a row for each component
