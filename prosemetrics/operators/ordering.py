@@ -26,15 +26,21 @@ def same(left: DataFrame, right: DataFrame, keys: list[str], how: str = "inner")
 MOST_SENT = 1 << 18
 
 
+def least_sent(table: DataFrame, weight: str, most: int) -> tuple[int | None, bool]:
+    """The least ``weight`` down to which all rows of ``table`` are at most ``most``, if any, and whether these are all its rows."""
+    upto = F.sum("n").over(Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, 0))  # over distinct weights
+    least, every = table.groupBy(weight).agg(F.count("*").alias("n")).withColumn("upto", upto).agg(F.min(F.when(F.col("upto") <= most, F.col(weight))), F.max("upto")).first()
+    return least, (every or 0) <= most
+
+
 def met(rows: DataFrame, table: DataFrame, keys: list[str], weight: str) -> DataFrame:
     """``rows`` joined to the row of ``table`` that has their keys, which are not null; ``weight`` says how many rows ask for it.
 
     Up to ``MOST_SENT`` rows of the table, the most asked for, go to all tasks. Only rows that ask for others, a small
     part as frequencies fall off, are shuffled, and no frequent key's rows meet in a task.
     """
-    upto = F.sum("n").over(Window.orderBy(F.desc(weight)).rowsBetween(Window.unboundedPreceding, 0))  # over distinct weights
-    least, every = table.groupBy(weight).agg(F.count("*").alias("n")).withColumn("upto", upto).agg(F.min(F.when(F.col("upto") <= MOST_SENT, F.col(weight))), F.max("upto")).first()
-    if (every or 0) <= MOST_SENT:
+    least, every = least_sent(table, weight, MOST_SENT)
+    if every:
         return rows.join(F.broadcast(table), keys)
     if least is None:
         return rows.join(table, keys)

@@ -1,9 +1,10 @@
 """Queries whose results or work went wrong on larger tables."""
 
 import duckdb
+import numpy as np
 import pytest
 
-from prosemetrics.operators import lexical, models, ordering, stats
+from prosemetrics.operators import lexical, lm, models, ordering, stats
 from prosemetrics.plans import catalogue
 from prosemetrics.sources.scratch import stored
 
@@ -70,3 +71,42 @@ def test_features_are_made_once(spark, monkeypatch):
     models.loadings(rows, "k", "y", ["a", "b"], 2)
     models.block_scores(rows, "k", "y", {"x": ["a", "b"]}, 2)
     assert seen == [["k", "y", "a", "b"]] * 2
+
+
+TEXTS = [(1, "en", "A b a b c. The the, of it all! b a b"), (2, "en", "the a b c d e. Of it all."), (3, "de", "der a b. Die die das é it all"), (4, "fr", "x"), (5, "de", ""), (6, None, "a\u00a0b c of it"), (7, "en", None), (8, "en", "It all. Of a b. Nothing else is here.")]
+SCORES = ["lm_document_nll", "lm_saved_nll", "ppl_gap", "adaptation_curve", "lm_sentence_nll", "ppl_summary", "top_moments_context", "token_surprisal_top"]
+
+
+@pytest.mark.parametrize("name", SCORES)
+@pytest.mark.parametrize("most", [-1, 6])
+def test_scores_whatever_is_sent(spark, tmp_path, monkeypatch, name, most):
+    """The same rows as SQL's whether none or some of the words and pairs are with all tasks, of texts in several stretches."""
+    monkeypatch.setattr(lm, "MOST_SENT", most)
+    monkeypatch.setattr(ordering, "MOST_SENT", most)
+    monkeypatch.setattr(lm, "STRETCH", 20, raising=False)
+    docs = spark.createDataFrame(TEXTS, "doc_id long, lang string, text string")
+    got, expected = against_sql(spark, name, tmp_path, documents=docs)
+    near = lambda rows: [tuple(round(v, 5) + 0.0 if isinstance(v, float) else v for v in r) for r in rows]
+    assert near(got) == near(expected)
+
+
+def test_models_of_shares_are_counted_together(spark, small, monkeypatch):
+    """Three steps by one table of pairs, one of words and one of values; before, each step had its own."""
+    seen = []
+    monkeypatch.setattr(lm, "stored", lambda rows: seen.append(rows.columns) or stored(rows))
+    plan = catalogue.QUERIES["adaptation_curve"](spark, small)._jdf.queryExecution().optimizedPlan().toString()
+    assert len(seen) == 3 and plan.count("regexp_replace(text") == 1
+
+
+def test_sentences_are_not_stored(spark, small, monkeypatch):
+    """Places are found over numbers; the texts of sentences are neither written nor joined one by one."""
+    seen = []
+    monkeypatch.setattr(lm, "stored", lambda rows: seen.append(rows.columns) or stored(rows))
+    catalogue.QUERIES["top_moments_context"](spark, small)
+    assert not [c for c in seen if "sentence" in c]
+
+
+def test_keys_of_pairs():
+    """The key that NumPy gives a pair is the one that the model's table has; order counts."""
+    w, k, at = lm.hashed(np.frombuffer(b"a b b a", np.uint8), np.array([0, 7]))
+    assert at.tolist() == [0, 4] and w[0] == w[3] and w[1] == w[2] and len(set(k[1:].tolist())) == 3
