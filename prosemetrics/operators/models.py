@@ -7,7 +7,7 @@ from concurrent.futures import ThreadPoolExecutor
 
 import numpy as np
 from pyspark import inheritable_thread_target
-from pyspark.ml.classification import RandomForestClassifier
+from pyspark.ml.classification import RandomForestClassificationModel, RandomForestClassifier
 from pyspark.ml.feature import PCA
 from pyspark.ml.functions import array_to_vector, vector_to_array
 from pyspark.sql import DataFrame
@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from ..sources.scratch import stored
 from . import fitting
+from . import forest as cell_forest
 from .ordering import placed, running
 from .stats import melt, rank_statistics
 
@@ -22,6 +23,17 @@ from .stats import melt, rank_statistics
 AT_ONCE = 4
 
 
+class ForestModel(RandomForestClassificationModel):
+    """``trees`` as a property: as the cached one of Spark it counts as a parameter, so that each fit makes an object of every tree."""
+
+    trees = property(RandomForestClassificationModel.trees.func)
+
+
+class Forest(RandomForestClassifier):
+    def _create_model(self, java_model) -> ForestModel:
+        return ForestModel(java_model)
+
+
 def folds(rows: DataFrame, key: str, label: str, k: int = 10, seed: int = 42) -> DataFrame:
     """fold 0 .. k-1, shares of each class alike, by a hash of the key."""
     marked = rows.withColumn("_order", F.md5(F.concat_ws("|", F.col(key).cast("string"), F.lit(str(seed)))))
@@ -53,10 +65,15 @@ def block_scores(rows: DataFrame, key: str, label: str, blocks: dict[str, list[s
 
 
 def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: int = 5, forest: int = 0) -> DataFrame:
-    """key, y, fold, score, probability: each row scored by a model of the other folds."""
+    """key, y, fold, score, probability: each row scored by a model of the other folds.
+
+    A forest of few features is grown over cells, in work that does not grow with the rows; one of more by ``pyspark.ml``.
+    """
     if not forest:
         return block_scores(rows, key, label, {"all": features}, k).drop("block")
     table = _labelled_design(rows.where(F.col(label).isin(0, 1)), key, label, features, k)
+    if len(features) <= cell_forest.MOST_FEATURES:
+        return cell_forest.out_of_fold(table, len(features), k, forest).withColumnRenamed("key", key)
     draws = [fitting.Draw(fold=fold) for fold in range(k)]
     scales = fitting.scales(table, draws)
     y = F.col("y")[0]
@@ -65,10 +82,12 @@ def out_of_fold(rows: DataFrame, key: str, label: str, features: list[str], k: i
         scale = scales[draws[fold]]
         z = [(F.coalesce(F.col("x")[i], F.lit(float(scale.median[i]))) - float(scale.mean[i])) / float(scale.deviation[i]) for i in range(len(features))]
         x = table.select("key", y.alias("y"), "fold", array_to_vector(F.array(*z)).alias("vector"))
-        model = RandomForestClassifier(featuresCol="vector", labelCol="y", numTrees=forest, seed=42).fit(x.where(F.col("fold") != fold))
-        return model.transform(x.where(F.col("fold") == fold)).select(F.col("key").alias(key), "y", "fold", vector_to_array("rawPrediction")[1].alias("score"), vector_to_array("probability")[1].alias("probability"))
+        model = Forest(featuresCol="vector", labelCol="y", numTrees=forest, seed=42).fit(x.where(F.col("fold") != fold))
+        own = model.transform(x.where(F.col("fold") == fold))
+        return stored(own.select(F.col("key").alias(key), "y", "fold", vector_to_array("rawPrediction")[1].alias("score"), vector_to_array("probability")[1].alias("probability")))
 
-    with ThreadPoolExecutor(min(k, AT_ONCE)) as pool:  # the jobs of several folds run side by side
+    # The jobs of several folds run side by side; each stores its scores, as every task of a union would be sent all models.
+    with ThreadPoolExecutor(min(k, AT_ONCE)) as pool:
         parts = list(pool.map(inheritable_thread_target(rows.sparkSession)(one), range(k)))
     out = parts[0]
     for p in parts[1:]:

@@ -3,8 +3,9 @@
 import duckdb
 import numpy as np
 import pytest
+from pyspark.ml.classification import DecisionTreeClassificationModel, RandomForestClassifier
 
-from prosemetrics.operators import lexical, lm, models, ordering, stats
+from prosemetrics.operators import fitting, forest, lexical, lm, models, ordering, stats
 from prosemetrics.plans import catalogue
 from prosemetrics.sources.scratch import stored
 
@@ -110,3 +111,68 @@ def test_keys_of_pairs():
     """The key that NumPy gives a pair is the one that the model's table has; order counts."""
     w, k, at = lm.hashed(np.frombuffer(b"a b b a", np.uint8), np.array([0, 7]))
     assert at.tolist() == [0, 4] and w[0] == w[3] and w[1] == w[2] and len(set(k[1:].tolist())) == 3
+
+
+def measured(n=1500):
+    r = np.random.default_rng(1)
+    for k in range(n):
+        y = int(r.random() < 0.4)
+        yield k, y, float(r.normal(0.8 * y)), float(r.integers(0, 6) + y), None if k % 50 == 0 else float(r.normal(-0.5 * y))
+
+
+SCHEMA = "k long, y int, a double, b double, c double"
+
+
+def forbidden(*_, **__):
+    raise AssertionError
+
+
+def test_a_forest_of_few_features_passes_rows_once(spark, monkeypatch):
+    """Not once for each fold and level; any partitions give the same scores."""
+    monkeypatch.setattr(RandomForestClassifier, "_fit", forbidden)
+    rows = spark.createDataFrame(list(measured(300)), SCHEMA)
+    one, two = (sorted(map(tuple, models.out_of_fold(x, "k", "y", ["a", "b", "c"], 3, 60).collect())) for x in (rows.coalesce(1), rows.repartition(7, "a")))
+    assert len(one) == 300 and one == two and {r[2] for r in one} == {0, 1, 2}
+
+
+def test_cells_do_not_grow_with_copies(spark):
+    rows = spark.createDataFrame(list(measured(200)), SCHEMA)
+    edges, medians = [[np.array([0.0, 1.0])] * 3] * 2, [np.zeros(3)] * 2
+    once, often = (forest.cells(fitting.design(x.selectExpr("k", "y", "a", "b", "c", "k % 2 as fold"), "k", ["y"], ["a", "b", "c"], "fold"), edges, medians) for x in (rows, rows.crossJoin(spark.range(9))))
+    assert {(r["model"], r["cell"]): 9 * r["n"] for r in once.collect()} == {(r["model"], r["cell"]): r["n"] for r in often.collect()}
+
+
+def test_a_forest_over_cells_is_sparks(spark, monkeypatch):
+    """As near to the forest of pyspark.ml as another seed of it would be."""
+    rows = spark.createDataFrame(list(measured()), SCHEMA)
+    own = {r["k"]: r for r in models.out_of_fold(rows, "k", "y", ["a", "b", "c"], 2, 200).collect()}
+    monkeypatch.setattr(forest, "MOST_FEATURES", 0)
+    theirs = {r["k"]: r for r in models.out_of_fold(rows, "k", "y", ["a", "b", "c"], 2, 200).collect()}
+    assert own.keys() == theirs.keys() and all(own[k]["fold"] == theirs[k]["fold"] for k in own)
+    p, q = (np.array([t[k]["probability"] for k in sorted(own)]) for t in (own, theirs))
+    assert np.corrcoef(p, q)[0, 1] > 0.995 and abs((p - q).mean()) < 0.003 and abs(p - q).mean() < 0.015
+    assert all(r["score"] == pytest.approx(200 * r["probability"]) for r in own.values())
+
+
+def test_a_tree_of_one_split():
+    """Bins 0 and 1 part the labels; a mixed cell of one bin is a leaf with its share; equal predictions are one leaf."""
+    bins, y = np.array([[0], [1], [1]]), np.array([0, 1, 0])
+    tree = forest.Tree(bins, y, np.array([4000, 3000, 1000]), np.random.default_rng(1))
+    assert tree.share(np.array([[0], [1], [7]])).tolist() == pytest.approx([0, 0.75, 0.75], abs=0.03)
+    flat = forest.Tree(bins, y, np.array([4000, 1000, 3000]), np.random.default_rng(1))
+    assert flat.share(np.array([[0], [1]])).tolist() == pytest.approx([0.125, 0.125], abs=0.02)
+
+
+def test_split_candidates():
+    assert forest.candidates(np.array([3.0, 1.0, 1.0, 2.0])).tolist() == [1.5, 2.5]
+    even = forest.candidates(np.arange(3200.0))
+    assert len(even) == 31 and even.tolist() == [100 * i - 0.5 for i in range(1, 32)]
+    heavy = forest.candidates(np.append(np.arange(39.0), np.full(1261, 50.0)))
+    assert len(heavy) == 1 and 37 < heavy[0] < 50
+
+
+def test_no_object_for_each_tree(spark, monkeypatch):
+    """A fit by pyspark.ml leaves its trees where they are."""
+    monkeypatch.setattr(DecisionTreeClassificationModel, "__init__", forbidden)
+    rows = spark.createDataFrame(list(measured(60)), SCHEMA).selectExpr("*", "a * b as d")
+    assert models.out_of_fold(rows, "k", "y", ["a", "b", "c", "d"], 2, 3).count() == 60
